@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from arcweave.llm.fingerprints import op1_fingerprints
+from arcweave.llm.jaccard_join import op6_ngram_jaccard_join
 from arcweave.llm.packing import op10_best_fit_packing
 from arcweave.llm.substring_dedup import op7_substring_dedup
 from arcweave.llm.token_counts import op9_token_counts
 from arcweave.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op7_substring_dedup, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op6_ngram_jaccard_join, op7_substring_dedup, op9_token_counts, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
