@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,5 +73,31 @@ def blobs(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def pressed(batches):
+    """mapInArrow: the text column as zstd blobs, for shuffles; other columns stay."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            blob = pa.array([press.compress(x.encode()) for x in part.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([blob if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema.set(at, pa.field("text", pa.binary())))
+
+
+def unpressed(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What slices() gives, from a column of zstd blobs."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    col = batch.column(batch.schema.get_field_index(name))
+    lo, held, size = 0, [], 0
+    for r, x in enumerate(col):
+        held.append(press.decompress(x.as_py()))
+        size += len(held[-1])
+        if size >= limit or r + 1 == len(col):
+            off = np.zeros(len(held) + 1, np.int64)
+            np.cumsum([len(t) for t in held], out=off[1:])
+            yield lo, r + 1, np.frombuffer(b"".join(held), np.uint8), off
+            lo, held, size = r + 1, [], 0

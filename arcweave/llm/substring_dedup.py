@@ -4,7 +4,7 @@ A set D of residues modulo v is a difference cover if each residue is a differen
 For any positions i and j there is then a shift k < v with (i + k) mod v and (j + k) mod v both in D. So
 two equal windows of `width` words share an anchor, a run of width - v + 1 words that starts at a cover
 position in either text. Anchors are hashed at cover positions only; those met in two documents are
-extended to the windows around them, which are compared by a 128-bit hash of all their words.
+extended to the windows around them, which are compared by a 96-bit hash of all their words.
 
 Texts are shuffled once, by document, and that exchange serves all three readings. A hash that several
 documents of one Arrow batch share is settled there for all but the first of them, so a passage held by
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, shuffle_partitions, slices, table
+from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed
 from arcweave.llm.textkit import FIRST, SECOND, U, Words, mix, words
 
 #: A perfect difference set: 30 differences of 6 residues modulo 31, each once.
@@ -78,13 +78,14 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
 
 
 def _anchor_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
-    """Per batch: rows (h, id, sig, many) to be compared with other batches, and rows with the settled anchors of a document."""
+    """Per batch: rows (h, id, sig, many) to be compared with other batches, and rows with the settled anchors of a
+    document, whose own h only deals them out evenly."""
 
     def run(batches):
         for b in batches:
             ids, sigs = b.column(0).to_numpy(), b.column(1).to_numpy()
             keys, docs = [], []
-            for lo, hi, data, off in slices(b):
+            for lo, hi, data, off in unpressed(b):
                 w = words(data, off)
                 at, h = _anchors(w, width, period, cover)
                 keys.append(h)
@@ -99,8 +100,7 @@ def _anchor_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
             if more.any():
                 rows, inv = np.unique(doc[more], return_inverse=True)
                 order = np.argsort(inv, kind="stable")
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(ids[rows]), pa.array(sigs[rows]), pa.array(np.ones(len(rows), bool)), _lists(h[more][order].view(np.int64), inv[order], len(rows))], ["h", "id", "sig", "many", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + U(1)).view(np.int64)), pa.array(ids[rows]), pa.array(sigs[rows]), pa.array(np.ones(len(rows), bool)), _lists(h[more][order].view(np.int64), inv[order], len(rows))], ["h", "id", "sig", "many", "done"])
 
     return run
 
@@ -114,7 +114,7 @@ def _window_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
             ids, sigs = b.column(0).to_numpy(), b.column(1).to_numpy()
             shared = b.column(3)
             keys, seconds, docs, begins = [], [], [], []
-            for lo, hi, data, off in slices(b):
+            for lo, hi, data, off in unpressed(b):
                 w = words(data, off)
                 at, h = _anchors(w, width, period, cover)
                 part = shared.slice(lo, hi - lo)
@@ -138,16 +138,17 @@ def _window_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
             h, g, doc, s = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((keys, U), (seconds, U), (docs, np.int64), (begins, np.int32)))
             if not len(h):
                 continue
-            both = mix(h) ^ g
+            g &= U(0xFFFFFFFF)
+            both = mix(h) ^ mix(g + U(1))
             least, _, _ = _settled(both, ids[doc])
             more = ids[doc] > least
             send = ~more
-            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), pa.array(g[send].view(np.int64)), pa.array(ids[doc[send]]), pa.array(sigs[doc[send]]), pa.array(s[send]), pa.nulls(int(send.sum()), pa.list_(pa.int32()))], ["h1", "h2", "id", "sig", "s", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), pa.array(g[send].astype(np.uint32).view(np.int32)), pa.array(ids[doc[send]]), pa.array(sigs[doc[send]]), pa.array(s[send]), pa.nulls(int(send.sum()), pa.list_(pa.int32()))], ["h1", "h2", "id", "sig", "s", "done"])
             if more.any():
                 rows, inv = np.unique(doc[more], return_inverse=True)
                 order = np.argsort(inv, kind="stable")
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ids[rows]), pa.array(sigs[rows]), pa.nulls(n, pa.int32()), _lists(s[more][order], inv[order], n)], ["h1", "h2", "id", "sig", "s", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + U(1)).view(np.int64)), pa.nulls(n, pa.int32()), pa.array(ids[rows]), pa.array(sigs[rows]), pa.nulls(n, pa.int32()), _lists(s[more][order], inv[order], n)], ["h1", "h2", "id", "sig", "s", "done"])
 
     return run
 
@@ -158,7 +159,7 @@ def _finish(width: int, texts: bool) -> Callable:
     def run(batches):
         for b in batches:
             copy, starts = b.column(3).to_numpy(zero_copy_only=False), b.column(4)
-            for lo, hi, data, off in slices(b):
+            for lo, hi, data, off in unpressed(b):
                 w = words(data, off)
                 n = hi - lo
                 part = starts.slice(lo, n)
@@ -195,25 +196,24 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
     light = rows.select("id", "sig", F.md5(F.col("text").cast("binary")).alias("md5"))
     first = light.groupBy("md5").agg(F.min("id").alias("first"))
     copies = light.join(first, "md5").filter("first < id").select("id", "sig").distinct()
-    text = rows.select("id", "sig", "text").repartition(n, "id", "sig")
-    lead = text.join(copies, ["id", "sig"], "left_anti")
     by_row = ["id", "sig"]
+    text = rows.select("id", "sig", "text").mapInArrow(pressed, "id long, sig long, text binary").repartition(n, "id", "sig")
+    # the flag is tested after the join, so that all three readings share the exchange of the texts
+    flagged = text.join(copies.withColumn("copy", F.lit(True)), by_row, "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    lead = flagged.filter("not copy").select("id", "sig", "text")
 
     anchors = lead.mapInArrow(_anchor_rows(width, period, cover), "h long, id long, sig long, many boolean, done array<long>")
-    # settled rows carry no hash; they are dealt out evenly instead
-    anchors = anchors.withColumn("deal", F.coalesce("h", F.xxhash64("id", "sig")))
-    w = Window.partitionBy("deal", F.col("h").isNull())
-    found = anchors.withColumns({"a": F.min("id").over(w), "z": F.max("id").over(w), "m": F.max("many").over(w)}).filter("h is null or m or a < z")
-    shared = found.groupBy(by_row).agg(F.concat(F.collect_list("h"), F.flatten(F.collect_list("done"))).alias("shared"))
-
-    windows = lead.join(shared, by_row).select("id", "sig", "text", "shared").mapInArrow(_window_rows(width, period, cover), "h1 long, h2 long, id long, sig long, s int, done array<int>")
-    windows = windows.withColumn("deal", F.coalesce("h1", F.xxhash64("id", "sig")))
-    w = Window.partitionBy("deal", "h2")
-    found = windows.withColumn("a", F.min("id").over(w)).filter("h1 is null or a < id")
+    w = Window.partitionBy("h")
+    found = anchors.withColumns({"a": F.min("id").over(w), "z": F.max("id").over(w), "m": F.max("many").over(w)}).filter("m or a < z")
+    shared = found.groupBy(by_row).agg(F.concat(F.collect_list(F.expr("if(done is null, h, null)")), F.flatten(F.collect_list("done"))).alias("shared"))
+
+    windows = lead.join(shared, by_row).select("id", "sig", "text", "shared").mapInArrow(_window_rows(width, period, cover), "h1 long, h2 int, id long, sig long, s int, done array<int>")
+    w = Window.partitionBy("h1", "h2")
+    found = windows.withColumn("a", F.min("id").over(w)).filter("done is not null or a < id")
     starts = found.groupBy(by_row).agg(F.concat(F.collect_list("s"), F.flatten(F.collect_list("done"))).alias("starts"))
 
-    out = text.join(copies.withColumn("copy", F.lit(True)), by_row, "left").join(starts, by_row, "left")
-    return out.select("id", "sig", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    out = flagged.join(starts, by_row, "left")
+    return out.select("id", "sig", "text", "copy", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
 
 
 def _id():
