@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import crc_mod, slices, table
+from arcweave.llm.frames import crc_mod, slices, table, written
 from arcweave.llm.textkit import ALNUM, U, words
 
 #: Words that are features at most. A word is one if its presence goes with toxic documents by a likelihood ratio
 #: G of at least ln(distinct words), so that chance alone brings in few.
 FEATURES = 50_000
 #: Labelled documents that the model is fitted on at most, those with the smallest hashes of their ids.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 20_000
 BREAK = np.zeros(256, bool)
 BREAK[[10, 33, 46, 63]] = True  # newline ! . ?
 
@@ -57,72 +57,88 @@ class Model:
         return self.bias + np.bincount(sentence[own], self.weights[at[own]], n)
 
 
-def evidence(word: np.ndarray, doc: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct words, likelihood ratio G of each word's presence against the label; 0 where it goes with clean ones)."""
-    keys, inv = np.unique(word, return_inverse=True)
-    pair = np.unique(inv * np.int64(len(positive)) + doc)
-    inv, doc = pair // len(positive), pair % len(positive)
-    a = np.bincount(inv[positive[doc]], minlength=len(keys)).astype(float)
-    b = np.bincount(inv[~positive[doc]], minlength=len(keys)).astype(float)
-    p, q = positive.sum(), (~positive).sum()
-    g = np.zeros(len(keys))
-    for x, total in ((a, p), (b, q), (p - a, p), (q - b, q)):
-        both = a + b if x is a or x is b else p + q - a - b
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(x > 0, 2 * x * np.log(x * (p + q) / (both * total)), 0)
-    return keys, np.where(a * q > b * p, g, 0)
-
-
-def fit(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Adam on the mean log likelihood of document labels, over the words with evidence; weights shrink towards 0."""
+def fit(keys: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """Adam on the mean log likelihood of document labels; weights shrink towards 0.
+
+    word and sentence: for each occurrence its number in `keys` and its sentence; text: of each sentence."""
     n, m = len(label), len(text)
     positive = label > 0.5
     if not positive.any() or positive.all():
         share = float(np.clip(label.mean() if n else 0.0, 1e-4, 1 - 1e-4))
         return Model(np.zeros(0, U), np.zeros(0), float(np.log(share / (1 - share))))
-    keys, g = evidence(word, text[sentence], positive)
-    best = np.argsort(-g, kind="stable")[:FEATURES]
-    keys = np.sort(keys[best[g[best] >= np.log(max(len(keys), 2))]])
-    at = np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))
-    own = np.flatnonzero(keys[at] == word) if len(keys) else np.zeros(0, np.int64)
-    inv, sentence = at[own], sentence[own]
     x, mom, var = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     x[-1] = -5.0
     for step in range(1, steps + 1):
-        z = x[-1] + np.bincount(sentence, x[inv], m)
+        z = x[-1] + np.bincount(sentence, x[word], m)
         p = 1 / (1 + np.exp(-z))
         doc = np.clip(noisy_or(z, text, n), 1e-9, 1 - 1e-9)
         d = p * np.where(positive, (1 - doc) / doc, -1.0)[text] / n
-        grad = np.append(np.bincount(inv, d[sentence], len(keys)) - decay * x[:-1] / n, d.sum())
+        grad = np.append(np.bincount(word, d[sentence], len(keys)) - decay * x[:-1] / n, d.sum())
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         x += rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-6)
     return Model(keys, x[:-1], float(x[-1]))
 
 
-def _encode(batches):
+def _present(batches):
+    """(word, toxic documents, clean documents) with it, summed over each slice."""
     for b in batches:
+        toxic = b.column(1).to_numpy() > 0.5
         for lo, hi, data, off in slices(b):
             word, sentence, text, _ = instances(data, off)
-            at = np.searchsorted(text[sentence] if len(sentence) else sentence, np.arange(hi - lo + 1))
-            rows = [(word[s:e].tobytes(), (sentence[s:e] - (sentence[s] if e > s else 0)).astype(np.int32).tobytes()) for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["y", "word", "sentence"])
+            order = np.lexsort((word, doc := text[sentence]))
+            word, doc = word[order], doc[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+            keys, inv = np.unique(word[new], return_inverse=True)
+            a = np.bincount(inv, toxic[lo:hi][doc[new]], len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(np.bincount(inv, minlength=len(keys)) - a)], ["word", "a", "b"])
+
+
+def evidence(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
+    """Sorted hashes of the words whose presence in a document goes with label 1, at most `features` of them."""
+    p, q = (x or 0 for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
+    counts = rows.select("text", "y").mapInArrow(_present, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    part = lambda x, total, both: f"if({x} > 0, 2 * {x} * ln({x} * {p + q}D / (({both}) * {total}D)), 0D)"
+    g = " + ".join([part("a", p, "a + b"), part("b", q, "a + b"), part(f"({p}D - a)", p, f"{p + q}D - a - b"), part(f"({q}D - b)", q, f"{p + q}D - a - b")])
+    counts = counts.withColumn("g", F.expr(f"if(a * {q}D > b * {p}D, {g}, 0D)"))
+    least = float(np.log(max(counts.count(), 2)))
+    found = counts.filter(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(features).select("word").toPandas()
+    return np.sort(found.word.to_numpy(np.int64).view(U))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on the labelled documents whose crc32(doc_id) mod 4 is not 2, `rows` of them at most.
+    """Fits on the labelled documents whose crc32(doc_id) mod 4 is not 2, `rows` of them at most; copies count once.
 
-    Null labels and ids are left out; several labels of one document count as toxic if one does."""
+    Null labels and ids are left out; several labels of one document count as toxic if one does. The driver
+    gets no texts, only the occurrences of words with evidence."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod("doc_id", 4) != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text"]).select("text", "y")  # at most `rows` narrow rows; copies count once
-    got = own.mapInArrow(_encode, "y double, word binary, sentence binary").limit(2 * rows).toPandas()
-    found = [np.frombuffer(x, U) for x in got.word]
-    order = [np.frombuffer(x, np.int32) for x in got.sentence]
-    counts = np.array([int(s[-1]) + 1 if len(s) else 0 for s in order], np.int64)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most `rows` narrow rows
+    own = written(own.dropDuplicates(["text"]).select("text", "y"))
+    keys = evidence(own)
+
+    def encode(batches):
+        for b in batches:
+            for lo, hi, data, off in slices(b):
+                word, sentence, text, _ = instances(data, off)
+                at = np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))
+                hit = np.flatnonzero(keys[at] == word) if len(keys) else np.zeros(0, np.int64)
+                count = np.bincount(text, minlength=hi - lo)
+                first = np.cumsum(count) - count
+                doc = text[sentence[hit]]
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                at, local = at[hit].astype(np.int32), (sentence[hit] - first[doc]).astype(np.int32)
+                lists = [pa.array([x[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])], pa.binary()) for x in (at, local)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(count), *lists], ["y", "sentences", "word", "sentence"])
+
+    got = own.mapInArrow(encode, "y double, sentences long, word binary, sentence binary").toPandas()
+    counts = got.sentences.to_numpy(np.int64)
     first = np.cumsum(counts) - counts
-    sentence = np.concatenate([np.zeros(0, np.int64), *(s + f for s, f in zip(order, first))])
-    return fit(np.concatenate([np.zeros(0, U), *found]), sentence.astype(np.int64), np.repeat(np.arange(len(counts)), counts), got.y.to_numpy(float))
+    none = np.zeros(0, np.int64)
+    word = np.concatenate([none, *(np.frombuffer(x, np.int32) for x in got.word)])
+    sentence = np.concatenate([none, *(np.frombuffer(x, np.int32) + f for x, f in zip(got.sentence, first))])
+    return fit(keys, word, sentence, np.repeat(np.arange(len(counts)), counts), got.y.to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
