@@ -8,6 +8,7 @@ from arcweave.llm.packing import op10_best_fit_packing
 from arcweave.llm.substring_dedup import op7_substring_dedup
 from arcweave.llm.token_counts import op9_token_counts
 from arcweave.llm.toxicity import op3_toxicity
+from arcweave.llm.warc import op4_warc_index
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op6_ngram_jaccard_join, op7_substring_dedup, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_toxicity, op4_warc_index, op6_ngram_jaccard_join, op7_substring_dedup, op9_token_counts, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
