@@ -1,6 +1,197 @@
-"""Queries over the driver's tables, one for each operator, and the SQL that checks them."""
+"""Queries over the driver's tables, one or more for each operator, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arcweave import oracles as O
+from arcweave.functions.weights import log1pexp, logistic
+from arcweave.network import Network
+from arcweave.operators.base import Term
+from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix
+from arcweave.operators.structural import KINDS, GWDSP, GWESP, Degree, Edges, GWDegree, GWIDegree, GWODegree, IDegree, Kstar, Mutual, ODegree, Triangle, TwoPath
+from arcweave.plans.design import change_stat_all, mple_design, summary_stats
+from arcweave.sources.graphs import nation_network, part_network, shared_types, table, user_network
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _net(s: SparkSession, d: str, directed: bool) -> Network:
+    return user_network(s, d, directed)
+
+
+def _stat(term: Callable[..., Term], directed: bool) -> Query:
+    return lambda s, d: term(s, d).stat(_net(s, d, directed)).select(F.round("value", 6).alias("value"))
+
+
+def _change(term: Callable[..., Term], directed: bool) -> Query:
+    def run(s, d):
+        net = _net(s, d, directed)
+        return term(s, d).change(net, net.dyads).select("i", "j", F.round(F.col("delta"), 6).alias("delta"))
+
+    return run
+
+
+def both(name: str, term: Term | Callable, directed: bool, stat_sql: str, change_sql: str) -> None:
+    make = term if not isinstance(term, Term) else (lambda s, d: term)
+    add(f"stat_{name}", _stat(make, directed), stat_sql)
+    add(f"delta_{name}", _change(make, directed), change_sql)
+
+
+def _step(fn: str, ends: str) -> str:
+    return " + ".join(fn.format(d=f"(d{e[0]}.{e[1:]} - y)") for e in ends.split())
+
+
+def _register_terms() -> None:
+    for label, base, directed in (("dir", O.DIR, True), ("und", O.UND, False)):
+        both(f"edges_{label}", Edges(), directed, O.stat(base, "count(*)", "arcs"), O.change(base, "1"))
+        ends = "idout" if directed else "id jd"
+        side = "dout" if directed else "d"
+        for k, f, step in ((2, "d*(d-1)/2", "{d}"), (3, "d*(d-1)*(d-2)/6", "{d}*({d}-1)/2")):
+            both(f"kstar{k}_{label}", Kstar(k), directed, O.stat(base, f"sum({f.replace('d', side)})", "deg"), O.change(base, _step(step, ends), O.DEGS))
+        both(f"gwdegree_{label}", GWDegree(O.DECAY), directed, O.stat(base, f"sum({O.weight(side)})", "deg"), O.change(base, _step(f"pow({O.W!r}, {{d}})", ends), O.DEGS))
+    both("mutual", Mutual(), True, O.stat(O.DIR, "count(*)", "A x JOIN A z ON x.i = z.j AND x.j = z.i WHERE x.i < x.j"), O.change(O.DIR, "r"))
+    closed = "(SELECT count(*) FROM A x JOIN A y ON x.i = y.i JOIN A z ON z.i = x.j AND z.j = y.j WHERE x.j <> y.j) + (SELECT count(*) FROM A x JOIN A y ON y.i = x.j JOIN A z ON z.i = y.j AND z.j = x.i) / 3"
+    four = "(SELECT count(*) FROM A x JOIN A z ON {0} WHERE {1})"
+    partners = {"otp": ("x.j = z.i", "x.i = dy.i AND z.j = dy.j"), "itp": ("x.j = z.i", "x.i = dy.j AND z.j = dy.i"), "osp": ("x.j = z.j", "x.i = dy.i AND z.i = dy.j"), "isp": ("x.i = z.i", "x.j = dy.i AND z.j = dy.j")}
+    both("triangle_dir", Triangle(), True, O.stat(O.DIR, closed, "(SELECT 1)"), O.change(O.DIR, " + ".join(four.format(*p) for p in partners.values())))
+    both("triangle_und", Triangle(), False, O.stat(O.UND, "count(*)", "E x JOIN E y ON x.j = y.i JOIN E z ON z.i = x.i AND z.j = y.j"), O.change(O.UND, "(SELECT count(*) FROM adj x JOIN adj z ON x.j = z.j WHERE x.i = dy.i AND z.i = dy.j)"))
+    both("twopath_dir", TwoPath(), True, O.stat(O.DIR, "count(*)", "A x JOIN A y ON x.j = y.i WHERE x.i <> y.j"), O.change(O.DIR, "di.din + dj.dout - 2 * r", O.DEGS))
+    both("twopath_und", TwoPath(), False, O.stat(O.UND, "count(*)", "adj x JOIN adj y ON x.j = y.i WHERE x.i < y.j"), O.change(O.UND, "di.d + dj.d - 2 * y", O.DEGS))
+    both("gwidegree", GWIDegree(O.DECAY), True, O.stat(O.DIR, f"sum({O.weight('din')})", "deg"), O.change(O.DIR, _step(f"pow({O.W!r}, {{d}})", "jdin"), O.DEGS))
+    both("gwodegree", GWODegree(O.DECAY), True, O.stat(O.DIR, f"sum({O.weight('dout')})", "deg"), O.change(O.DIR, _step(f"pow({O.W!r}, {{d}})", "idout"), O.DEGS))
+    for kind in (*KINDS, "und"):
+        for stem, cls in (("gwesp", GWESP), ("gwdsp", GWDSP)):
+            term = cls(O.DECAY, "OTP" if kind == "und" else kind)
+            both(f"{stem}_{kind.lower()}", term, kind != "und", O.partner_stat(kind, stem == "gwesp"), O.partner_change(kind, stem == "gwesp"))
+    for name, cls, base, directed, side, ends in (("degree", Degree, O.UND, False, "d", "id jd"), ("idegree", IDegree, O.DIR, True, "din", "jdin"), ("odegree", ODegree, O.DIR, True, "dout", "idout")):
+
+        def several(s, d, cls=cls, directed=directed):
+            net, out = _net(s, d, directed), None
+            for t in cls(range(6)).expand(net):
+                row = t.stat(net).select(F.lit(t.d).alias("d"), F.col("value").cast("long").alias("n"))
+                out = row if out is None else out.union(row)
+            return out
+
+        add(f"stat_{name}_0_5", several, f"WITH {base} SELECT k AS d, (SELECT count(*) FROM deg WHERE {side} = k) AS n FROM (SELECT CAST(unnest(range(6)) AS INTEGER) AS k)")
+        add(f"delta_{name}5", _change(lambda s, d, cls=cls: cls(12), directed), O.change(base, _step("({d} + 1 = 12)::BIGINT - ({d} = 12)::BIGINT", ends), O.DEGS))
+
+
+def _register_nodal() -> None:
+    tie = "arcs t " + O.ENDS.format(t="t")
+    ends = O.ENDS.format(t="dy")
+    terms = {
+        "nodefactor": (NodeFactor("kind", level="click"), "(vi.kind = 'click')::BIGINT + (vj.kind = 'click')::BIGINT"),
+        "nodefactor_levels": (NodeFactor("kind", levels=["error", "view"]), "(vi.kind IN ('error', 'view'))::BIGINT + (vj.kind IN ('error', 'view'))::BIGINT"),
+        "nodecov": (NodeCov("n_events"), "vi.n_events + vj.n_events"),
+        "nodecov_log": (NodeCov("n_events", "log"), "ln(vi.n_events + 1) + ln(vj.n_events + 1)"),
+        "nodecov_sqrt": (NodeCov("n_events", "sqrt"), "sqrt(vi.n_events) + sqrt(vj.n_events)"),
+        "nodematch": (NodeMatch("kind"), "(vi.kind = vj.kind)::BIGINT"),
+        "nodematch_diff": (NodeMatch("kind", diff=True, level="view"), "(vi.kind = vj.kind AND vi.kind = 'view')::BIGINT"),
+        "nodemismatch": (NodeMismatch("kind"), "(vi.kind <> vj.kind)::BIGINT"),
+        "absdiff": (AbsDiff("n_events"), "abs(vi.n_events - vj.n_events)"),
+        "absdiff_pow2": (AbsDiff("n_events", 2.0), "(vi.n_events - vj.n_events) * (vi.n_events - vj.n_events)"),
+        "nodemix": (NodeMix("kind", "click", "view"), "(vi.kind = 'click' AND vj.kind = 'view')::BIGINT"),
+    }
+    for name, (term, x) in terms.items():
+        both(name, term, True, O.stat(O.DIR, f"coalesce(sum({x}), 0)", tie), O.change(O.DIR, x, ends))
+    x = "((vi.kind = 'click' AND vj.kind = 'view') OR (vi.kind = 'view' AND vj.kind = 'click'))::BIGINT"
+    both("nodemix_und", NodeMix("kind", "click", "view"), False, O.stat(O.UND, f"coalesce(sum({x}), 0)", tie), O.change(O.UND, x, ends))
+    base = O.DIR + ", et AS (SELECT DISTINCT user_id, event_type FROM events), cov AS (SELECT x.user_id AS i, z.user_id AS j, count(*) AS x FROM et x JOIN et z USING (event_type) WHERE x.user_id <> z.user_id GROUP BY 1, 2)"
+    both("edgecov", lambda s, d: EdgeCov(shared_types(s, d), "shared_types"), True, O.stat(base, "coalesce(sum(x), 0)", "A LEFT JOIN cov USING (i, j)"), O.change(base, "coalesce(x, 0)", "LEFT JOIN cov ON cov.i = dy.i AND cov.j = dy.j"))
+    add("stat_edgecov_attribute", lambda s, d: EdgeCov("q").stat(nation_network(s, d)).select(F.round("value", 2).alias("value")), f"WITH {O.G2} SELECT round(sum(q), 2) AS value FROM B JOIN buys USING (i, j)")
+
+    def all_mixes(s, d):
+        net = _net(s, d, True)
+        return summary_stats(net, [NodeMix("kind", levels2=0)]).select(F.explode(F.array(*[F.struct(F.lit(t.l1).alias("l1"), F.lit(t.l2).alias("l2"), F.lit(k).cast("long").alias("cell"), F.col(f"`{t.name}`").cast("long").alias("n")) for k, t in enumerate(NodeMix("kind", levels2=0).expand(net), 1)])).alias("x")).select("x.*")
+
+    add("mixing_cells", all_mixes, f"WITH {O.DIR}, L AS (SELECT DISTINCT kind AS l FROM V) SELECT a.l AS l1, b.l AS l2, row_number() OVER (ORDER BY b.l, a.l) AS cell, (SELECT count(*) FROM A t {O.ENDS.format(t='t')} WHERE vi.kind = a.l AND vj.kind = b.l) AS n FROM L a, L b")
+    add("levels", lambda s, d: _net(s, d, True).vertices.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).select("kind", "n", F.row_number().over(Window.orderBy("kind")).cast("long").alias("position")), f"WITH {O.DIR} SELECT kind, count(*) AS n, row_number() OVER (ORDER BY kind) AS position FROM V GROUP BY kind")
+
+
+def _user_terms() -> list[Term]:
+    return [Edges(), Mutual(), Triangle(), TwoPath(), NodeMatch("kind"), NodeCov("n_events"), GWESP(O.DECAY), GWODegree(O.DECAY)]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the user network in one row."""
+    got = summary_stats(_net(spark, sf_dir, True), _user_terms())
+    return got.select(*[F.round(F.col(f"`{c}`"), 6).alias(c.replace(".", "_")) for c in got.columns])
+
+
+def _register_plans() -> None:
+    one = lambda sql: "(" + sql + ")"
+    names = ["edges", "mutual", "triangle", "twopath", "nodematch_kind", "nodecov_n_events", "gwesp_fixed_0_5", "gwodeg_fixed_0_5"]
+    keys = ["stat_edges_dir", "stat_mutual", "stat_triangle_dir", "stat_twopath_dir", "stat_nodematch", "stat_nodecov", "stat_gwesp_otp", "stat_gwodegree"]
+    add("summary_stats", flagship, "SELECT " + ", ".join(f"{one(ORACLE_SQL[k])} AS {n}" for n, k in zip(names, keys)))
+
+    def change_all(s, d):
+        got = change_stat_all(_net(s, d, True), [Edges(), Mutual(), TwoPath(), NodeMatch("kind")])
+        return got.select("i", "j", F.col("y").cast("long").alias("y"), *[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in got.columns[3:]])
+
+    add("change_stat_all", change_all, f"WITH {O.DIR} SELECT dy.i, dy.j, y, 1 AS edges, r AS mutual, di.din + dj.dout - 2 * r AS twopath, (vi.kind = vj.kind)::BIGINT AS nodematch_kind FROM dy {O.DEGS} {O.ENDS.format(t='dy')}".replace("1 AS edges", "1::BIGINT AS edges").replace("di.din + dj.dout - 2 * r AS", "(di.din + dj.dout - 2 * r)::BIGINT AS"))
+
+    def design(s, d, masked=False):
+        net = _net(s, d, True)
+        if masked:
+            net = Network(net.vertices, net.arcs, True, net.dyads.filter("(i + j) % 17 = 0"))
+        got = mple_design(net, [Edges(), Mutual(), NodeMatch("kind"), Kstar(2)])
+        return got.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in got.columns])
+
+    sql = f"WITH {O.DIR} SELECT 1::BIGINT AS edges, r AS mutual, (vi.kind = vj.kind)::BIGINT AS nodematch_kind, (di.dout - y)::BIGINT AS kstar2, count(*) AS n_tot, sum(y)::BIGINT AS n_one FROM dy {O.DEGS} {O.ENDS.format(t='dy')} {{where}} GROUP BY ALL"
+    add("mple_design", design, sql.format(where=""))
+    add("mple_design_masked", lambda s, d: design(s, d, True), sql.format(where="WHERE (dy.i + dy.j) % 17 <> 0"))
+    add("masked_present_edges", lambda s, d: (lambda n: n.arcs.select("i", "j").join(n.dyads.filter("(i + j) % 17 = 0").select("i", "j"), ["i", "j"], "left_semi"))(_net(s, d, True)), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
+    add("dyads", lambda s, d: _net(s, d, True).dyads.select("i", "j", F.col("y").cast("long").alias("y"), F.col("r").cast("long").alias("r")), f"WITH {O.DIR} SELECT i, j, y, r FROM dy")
+    add("reciprocal_ties", lambda s, d: _net(s, d, True).dyads.filter("y = 1 and r = 1").select("i", "j"), f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")
+    add("neighbor_union", lambda s, d: _net(s, d, True).either, f"WITH {O.DIR} SELECT i, j FROM U")
+    add("neighbor_intersection", lambda s, d: _net(s, d, False).shared_partners("und").filter("a < b"), f"WITH {O.UND} SELECT x.i AS a, y.j AS b, count(*) AS s FROM adj x JOIN adj y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2")
+    add("level_difference", lambda s, d: _net(s, d, True).vertices.select("kind").distinct().exceptAll(s.createDataFrame([("click",)], "kind string")), f"WITH {O.DIR} SELECT DISTINCT kind FROM V WHERE kind <> 'click'")
+    add("degrees", lambda s, d: _net(s, d, True).degrees.select("v", *[F.col(c).cast("long").alias(c) for c in ("dout", "din", "d")]), f"WITH {O.DIR} SELECT v, dout, din, d FROM deg")
+    add("network_density", lambda s, d: (lambda n: s.createDataFrame([(n.n, n.n_edges, round(n.density, 9))], "n long, edges long, density double"))(_net(s, d, True)), f"WITH {O.DIR} SELECT count(*) AS n, (SELECT count(*) FROM A) AS edges, round((SELECT count(*) FROM A)::DOUBLE / (count(*) * (count(*) - 1)), 9) AS density FROM V")
+    add("triangle_parts", lambda s, d: Triangle().stat(part_network(s, d)).select(F.col("value").cast("long").alias("value")), f"WITH {O.G3} SELECT count(*) AS value FROM P3 x JOIN P3 y ON x.j = y.i JOIN P3 z ON z.i = x.i AND z.j = y.j")
+    add("gwesp_parts", lambda s, d: GWESP(O.DECAY).stat(part_network(s, d)).select(F.round("value", 4).alias("value")), f"WITH {O.G3}, sp AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i <> y.j GROUP BY 1, 2) SELECT round(coalesce(sum({O.weight('coalesce(s, 0)')}), 0), 4) AS value FROM P3 LEFT JOIN sp ON a = i AND b = j")
+    add("homophily_parts", lambda s, d: (lambda r: r.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in r.columns]))(summary_stats(part_network(s, d), [Edges(), NodeMatch("p_brand"), AbsDiff("p_size")])), f"WITH {O.G3} SELECT count(*) AS edges, sum((a.p_brand = b.p_brand)::BIGINT)::BIGINT AS nodematch_p_brand, sum(abs(a.p_size - b.p_size))::BIGINT AS absdiff_p_size FROM P3 JOIN part a ON a.p_partkey = i JOIN part b ON b.p_partkey = j")
+
+
+_register_terms()
+_register_nodal()
+_register_plans()
+
+
+def _eta(s: SparkSession, d: str) -> DataFrame:
+    """The nation network's dyads with a fixed linear predictor over edges, mutual and region match."""
+    net = nation_network(s, d)
+    rows = net.ends(net.dyads, ["region"])
+    m = F.when(F.col("region_i") == F.col("region_j"), 1.0).otherwise(0.0)
+    return rows.select(F.col("y").cast("double").alias("y"), F.col("r").cast("double").alias("r"), m.alias("m")).withColumn("eta", -1.0 + 0.5 * F.col("r") + 0.25 * F.col("m"))
+
+
+_ETA = f"{O.G2}, q AS (SELECT (a.i IS NOT NULL)::DOUBLE AS y, (b.i IS NOT NULL)::DOUBLE AS r, (x.region = z.region)::DOUBLE AS m FROM N x JOIN N z ON x.v <> z.v LEFT JOIN B a ON a.i = x.v AND a.j = z.v LEFT JOIN B b ON b.i = z.v AND b.j = x.v), e AS (SELECT *, -1 + 0.5 * r + 0.25 * m AS eta FROM q)"
+
+
+def _derivatives(s: SparkSession, d: str) -> DataFrame:
+    p = logistic(F.col("eta"))
+    one = F.lit(1.0)
+    x = [one, F.col("r"), F.col("m")]
+    cols = [F.sum(F.col("y") * F.col("eta") - log1pexp(F.col("eta"))).alias("ll")]
+    cols += [F.sum(x[a] * (F.col("y") - p)).alias(f"g{a}") for a in range(3)]
+    cols += [F.sum(-x[a] * x[b] * p * (1 - p)).alias(f"h{a}{b}") for a in range(3) for b in range(a, 3)]
+    got = _eta(s, d).agg(*cols)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+_X = ["1", "r", "m"]
+add("logz_dyad_independent", lambda s, d: _eta(s, d).agg(F.round(F.sum(log1pexp(F.col("eta"))), 6).alias("logz")), f"WITH {_ETA} SELECT round(sum(ln(1 + exp(eta))), 6) AS logz FROM e")
+add("logistic_derivatives", _derivatives, f"WITH {_ETA}, w AS (SELECT *, 1 / (1 + exp(-eta)) AS p FROM e) SELECT round(sum(y * eta - ln(1 + exp(eta))), 6) AS ll, " + ", ".join([*(f"round(sum({_X[a]} * (y - p)), 6) AS g{a}" for a in range(3)), *(f"round(sum(-{_X[a]} * {_X[b]} * p * (1 - p)), 6) AS h{a}{b}" for a in range(3) for b in range(a, 3))]) + " FROM w")
