@@ -43,6 +43,13 @@ class Term:
     def bind(self, net: Network, ids: np.ndarray) -> None:
         """Fetches what `local` needs of a network's attributes; called once on the driver."""
 
+    def release(self) -> None:
+        """Drops what can't be sent to tasks, after `bind`."""
+
+    def empty(self, n: int) -> float:
+        """The statistic of n vertices without ties."""
+        return 0.0
+
     def local(self, state, i: int, j: int, y: int) -> float:
         raise NotImplementedError(f"{type(self).__name__} has no local change")
 

@@ -269,5 +269,8 @@ class EdgeCov(Term):
         at = {int(v): k for k, v in enumerate(ids)}
         self._x = {(at[int(a)], at[int(b)]): x for a, b, x in zip(got.i, got.j, got.x) if int(a) in at and int(b) in at}
 
+    def release(self):
+        self.source = None
+
     def local(self, state, i, j, y):
         return self._x.get((i, j), 0.0)

@@ -101,6 +101,9 @@ class _DegreeTerm(Term):
     def stat(self, net):
         return _value(net.degrees, self.f(F.col(self.side)))
 
+    def empty(self, n):
+        return n * float(self.f_np(0))
+
     def change(self, net, pairs):
         own = net.degrees.select("v", F.col(self.side).alias("deg"))
         rows = pairs.select("i", "j", "y")

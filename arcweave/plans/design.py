@@ -19,21 +19,27 @@ def compute(term: Term, net: Network) -> float:
     return float(term.stat(net).first()[0])
 
 
-def _pair_row(net: Network, terms: list[PairTerm]) -> DataFrame:
+def _pair_row(net: Network, terms: dict[str, PairTerm]) -> DataFrame:
     """All terms that are expressions over a tie in one pass over the arcs."""
-    need = sorted({a for t in terms for a in t.required_vertex_attributes})
+    need = sorted({a for t in terms.values() for a in t.required_vertex_attributes})
     rows = net.ends(net.arcs.select("i", "j"), need) if need else net.arcs.select("i", "j")
-    return rows.agg(*[F.coalesce(F.sum(t.change_column(net).cast("double")), F.lit(0.0)).alias(t.name) for t in terms])
+    return rows.agg(*[F.coalesce(F.sum(t.change_column(net).cast("double")), F.lit(0.0)).alias(c) for c, t in terms.items()])
+
+
+def _numbered(terms: TermSet) -> tuple[dict[str, PairTerm], dict[str, Term]]:
+    """Terms under plain column names, as two may have one name: those of a dyad and its ends alone, and the others."""
+    named = {f"s{k}": t for k, t in enumerate(terms)}
+    return {c: t for c, t in named.items() if isinstance(t, PairTerm)}, {c: t for c, t in named.items() if not isinstance(t, PairTerm)}
 
 
 def summary_stats(net: Network, terms: Iterable[Term]) -> DataFrame:
     """One row with a double column for each statistic, named as its coefficient."""
     own = expanded(net, terms)
-    pairs = [t for t in own if isinstance(t, PairTerm)]
-    parts = [_pair_row(net, pairs)] if pairs else []
-    parts += [t.stat(net).withColumnRenamed("value", t.name) for t in own if not isinstance(t, PairTerm)]
+    cheap, rest = _numbered(own)
+    parts = [_pair_row(net, cheap)] if cheap else []
+    parts += [t.stat(net).withColumnRenamed("value", c) for c, t in rest.items()]
     got = reduce(lambda a, b: a.crossJoin(b), parts)  # single rows
-    return got.select(*[F.col(f"`{n}`") for n in own.names])
+    return got.select(*[f"s{k}" for k in range(len(own))]).toDF(*own.names)
 
 
 def compute_all(net: Network, terms: Iterable[Term]) -> list[float]:
@@ -49,26 +55,29 @@ def change_stat(term: Term, net: Network, i: int, j: int) -> float:
     return float(term.change(net, pairs).first()["delta"])
 
 
+def _changes(net: Network, own: TermSet, pairs: DataFrame) -> DataFrame:
+    """(i, j, y, s0, s1, ...)"""
+    cheap, rest = _numbered(own)
+    need = sorted({a for t in cheap.values() for a in t.required_vertex_attributes})
+    got = net.ends(pairs, need) if need else pairs
+    got = got.select("i", "j", "y", "r", *[t.change_column(net).cast("double").alias(c) for c, t in cheap.items()])
+    for c, t in rest.items():
+        got = got.join(t.change(net, pairs).withColumnRenamed("delta", c), ["i", "j"])
+    return got.select("i", "j", "y", *[f"s{k}" for k in range(len(own))])
+
+
 def change_stat_all(net: Network, terms: Iterable[Term], pairs: DataFrame | None = None) -> DataFrame:
     """(i, j, y, one column for each statistic) of the given dyads, by default all observed ones."""
     own = expanded(net, terms)
-    pairs = net.dyads if pairs is None else pairs
-    cheap = [t for t in own if isinstance(t, PairTerm)]
-    need = sorted({a for t in cheap for a in t.required_vertex_attributes})
-    got = net.ends(pairs, need) if need else pairs
-    got = got.select("i", "j", "y", "r", *[t.change_column(net).cast("double").alias(t.name) for t in cheap])
-    for t in own:
-        if not isinstance(t, PairTerm):
-            got = got.join(t.change(net, pairs).withColumnRenamed("delta", t.name), ["i", "j"])
-    return got.select("i", "j", "y", *[F.col(f"`{n}`") for n in own.names])
+    return _changes(net, own, net.dyads if pairs is None else pairs).toDF("i", "j", "y", *own.names)
 
 
 def mple_design(net: Network, terms: Iterable[Term]) -> DataFrame:
     """Distinct rows of change statistics with n_tot dyads, n_one of them tied: map-side sums before the shuffle."""
     own = expanded(net, terms)
-    rows = change_stat_all(net, own.terms)
-    keys = [F.round(F.col(f"`{n}`"), DIGITS).alias(n) for n in own.names]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_tot"), F.sum("y").alias("n_one"))
+    keys = [F.round(f"s{k}", DIGITS).alias(f"s{k}") for k in range(len(own))]
+    got = _changes(net, own, net.dyads).groupBy(*keys).agg(F.count("*").alias("n_tot"), F.sum("y").alias("n_one"))
+    return got.toDF(*own.names, "n_tot", "n_one")
 
 
 def terms_of(terms: Iterable[Term]) -> TermSet:
