@@ -132,12 +132,20 @@ class Encoder:
             if not self._slot(np.array([h], np.uint64))[1][0]:
                 self.add(h, pool[a : a + n].tolist())
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, points: np.ndarray, at: np.ndarray, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """(tokens of each text, ids of all texts one after another or None)."""
-        n = len(at) - 1
+    def pretokens(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class of each code point, first and end of each pre-token, hash of each pre-token)."""
         kinds = np.full(len(points), STRANGE, np.uint8)
         low = points < 0x250
         kinds[low] = CLASSES[points[low]]
+        start = cuts(points, at, kinds)
+        end = np.append(start[1:], len(points))
+        sums = FIRST.prefix(mix(points.astype(np.uint64) + U(1)))
+        return kinds, start, end, mix(FIRST.span(sums, start, end) + (end - start).astype(np.uint64)) | U(1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, points: np.ndarray, at: np.ndarray, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """(tokens of each text, ids of all texts one after another or None)."""
+        n = len(at) - 1
+        kinds, start, end, h = self.pretokens(points, at)
         odd = np.zeros(n, bool)
         if self.single is None:
             odd[:] = True
@@ -149,14 +157,10 @@ class Encoder:
             while i >= 0:
                 odd[np.searchsorted(offsets, i, "right") - 1] = True
                 i = raw.find(b, i + len(b))
-        start = cuts(points, at, kinds)
-        end = np.append(start[1:], len(points))
         owner = np.searchsorted(at, start, "right") - 1
         if odd.any():
             keep = ~odd[owner]
-            start, end, owner = start[keep], end[keep], owner[keep]
-        sums = FIRST.prefix(mix(points.astype(np.uint64) + U(1)))
-        h = mix(FIRST.span(sums, start, end) + (end - start).astype(np.uint64)) | U(1)
+            start, end, owner, h = start[keep], end[keep], owner[keep], h[keep]
         slot, found = self._slot(h)
         extra: dict[int, list[int]] = {}
         if not found.all():

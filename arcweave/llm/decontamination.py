@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import table, written
+from arcweave.llm.frames import table, unused, written
 
 #: Positions that each mask keeps.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 6, 7, 8), (0, 1, 3, 5, 7, 8))
@@ -63,9 +63,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that overlap a benchmark item; nulls and repeated rows as in overlaps()."""
-    bad = overlaps(docs, benchmark).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(bad, (F.col("__own") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    own, key, bad_id = unused(docs, "own", "key", "bad_id")
+    bad = overlaps(docs, benchmark).select(F.col("key").alias(key), F.col("doc_id").alias(bad_id)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(bad, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)), "left_anti").select(*docs.columns)
 
 
 def op5_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.components import components
-from arcweave.llm.frames import NULL_ID, slices, table, written
+from arcweave.llm.frames import NULL_ID, slices, table, unused, written
 from arcweave.llm.substring_dedup import _lists, _settled
 from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
@@ -262,8 +262,9 @@ def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     """One row of each component of `docs`, that of its smallest doc_id, with all columns; of several rows with that
     id one. Rows without words stay, one for each id; rows without an id go if linked to one with an id."""
     got = similar_sets(docs, k, percent).select("doc_id", "component_id").distinct()
-    keep = got.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own = unused(docs, "kept")[0]
+    keep = got.filter("doc_id <=> component_id").select(F.col("doc_id").alias(own))
+    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
     known = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return known.unionByName(out.filter("doc_id is null").dropDuplicates(["text"]))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed
+from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed, unused
 from arcweave.llm.textkit import FIRST, SECOND, U, Words, mix, words
 
 #: A perfect difference set: 30 differences of 6 residues modulo 31, each once.
@@ -235,12 +235,13 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     there is one. Nulls, ties and repeated rows as in substring_report."""
     got = removed_windows(docs, width).select("id", "sig", "text", "copy", "starts").mapInArrow(_finish(width, True), "id long, sig long, n_words long, n_removed long, kept string")
     # one row for each (id, sig): repeated rows lose the same words
-    cut = got.filter("n_removed > 0").groupBy("id", "sig").agg(F.first("kept").alias("__kept"), F.max(F.col("n_removed") == F.col("n_words")).alias("__none"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__sig": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = keyed.join(cut.withColumnsRenamed({"id": "__id", "sig": "__sig"}), ["__id", "__sig"], "left").filter("not coalesce(__none, false)")
-    out = out.withColumn("text", F.coalesce("__kept", "text"))
+    one, two, kept, none = unused(docs, "id", "sig", "kept", "none")
+    cut = got.filter("n_removed > 0").groupBy(F.col("id").alias(one), F.col("sig").alias(two)).agg(F.first("kept").alias(kept), F.max(F.col("n_removed") == F.col("n_words")).alias(none))
+    keyed = docs.withColumns({one: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), two: F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = keyed.join(cut, [one, two], "left").filter(~F.coalesce(none, F.lit(False)))
+    out = out.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

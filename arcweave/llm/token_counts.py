@@ -11,8 +11,8 @@ from arcweave.llm.bpe import encoder
 from arcweave.llm.frames import slices, table
 from arcweave.llm.textkit import decoded
 
-#: Entries of the broadcast table at most, and of each task's offer for it; texts from which it is filled.
-FREQUENT, OFFERED, SEED_ROWS = 65_536, 8_192, 4_000
+#: Entries of the broadcast table, and of each task's offer for it (a task counts up to HELD pre-tokens at once).
+FREQUENT, OFFERED, HELD = 65_536, 4_096, 262_144
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,20 +37,42 @@ def _pieces(path: str):
     return count
 
 
-def frequent(docs: DataFrame, path: str, rows: int = SEED_ROWS) -> dict[str, np.ndarray]:
-    """The first tier: hash and ids of pre-tokens met in at most `rows` texts (a bound on a cache; no count depends on it),
-    at most OFFERED from a task and FREQUENT in all, so its size is fixed."""
+def _offer(path: str):
+    """The pre-tokens that a task meets most often: hash, count, ids. When it holds too many, the rarer half goes."""
 
-    def offer(batches):
+    def run(batches):
         e = encoder(path)
+        counts: dict[int, list] = {}
         for b in batches:
             for _, _, data, off in slices(b):
-                e.encode(data, off, *decoded(data, off), want_ids=False)
-        full = np.flatnonzero(e.keys)[:OFFERED]
-        for s in full:
-            yield pa.RecordBatch.from_pydict({"h": pa.array([int(e.keys[s].astype(np.int64))], pa.int64()), "ids": pa.array([e.pool[e.at[s] : e.at[s] + e.size[s]].tolist()], pa.list_(pa.int32()))})
-
-    got = docs.select("text").limit(rows).repartition(8).mapInArrow(offer, "h long, ids array<int>").dropDuplicates(["h"]).limit(FREQUENT).toPandas()
+                points, at = decoded(data, off)
+                _, start, end, h = e.pretokens(points, at)
+                keys, first, found = np.unique(h, return_index=True, return_counts=True)
+                for k, i, c in zip(keys.tolist(), first.tolist(), found.tolist()):
+                    if (own := counts.get(k)) is not None:
+                        own[0] += c
+                    else:
+                        counts[k] = [c, points[start[i] : end[i]].tobytes()]
+                if len(counts) > HELD:
+                    counts = dict(sorted(counts.items(), key=lambda x: -x[1][0])[: HELD // 2])
+        top = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:OFFERED]
+        if top:
+            ids = [e.single(p.decode("utf-32-le").encode()) for _, (_, p) in top]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([c for _, (c, _) in top], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["h", "c", "ids"])
+
+    return run
+
+
+def frequent(docs: DataFrame, path: str) -> dict[str, np.ndarray]:
+    """The first tier: hash and ids of the pre-tokens that all texts together have most often.
+
+    Tasks count their own and offer their top OFFERED, so what is shuffled and what is broadcast has a fixed size
+    for each task and in all. No count of tokens depends on what is in it."""
+    none = np.zeros(0, np.int64)
+    if encoder(path).single is None:
+        return {"keys": none.view(np.uint64), "size": none, "at": none, "pool": np.zeros(0, np.uint32)}
+    offers = docs.select("text").mapInArrow(_offer(path), "h long, c long, ids array<int>")
+    got = offers.groupBy("h").agg(F.sum("c").alias("c"), F.first("ids").alias("ids")).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "ids").toPandas()
     size = np.array([len(x) for x in got.ids], np.int64)
     return {"keys": got.h.to_numpy(np.int64).astype(np.uint64), "size": size, "at": np.cumsum(size) - size, "pool": np.concatenate([np.zeros(0, np.uint32), *got.ids]).astype(np.uint32)}
 
