@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave import oracles as O
+from arcweave.diag.gof import gof
+from arcweave.diag.panels import degree_counts, geodesics, shared_partner_counts
+from arcweave.diag.traces import lagged, mcmc_diagnostics, numbered, segments, thinned
+from arcweave.fit.mcmle import bridge_loglik, mcmle
+from arcweave.fit.model import ERGMModel
+from arcweave.fit.mple import fit_ergm, mple
 from arcweave.functions.weights import log1pexp, logistic
+from arcweave.mcmc.sample import mh_sample, sample_networks
 from arcweave.network import Network
 from arcweave.operators.base import Term
 from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix
@@ -152,6 +159,12 @@ def _register_plans() -> None:
     sql = f"WITH {O.DIR} SELECT 1::BIGINT AS edges, r AS mutual, (vi.kind = vj.kind)::BIGINT AS nodematch_kind, (di.dout - y)::BIGINT AS kstar2, count(*) AS n_tot, sum(y)::BIGINT AS n_one FROM dy {O.DEGS} {O.ENDS.format(t='dy')} {{where}} GROUP BY ALL"
     add("mple_design", design, sql.format(where=""))
     add("mple_design_masked", lambda s, d: design(s, d, True), sql.format(where="WHERE (dy.i + dy.j) % 17 <> 0"))
+    def parts_design(s, d):
+        got = mple_design(part_network(s, d), [Edges(), Triangle(), NodeMatch("p_brand")])
+        return got.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in got.columns])
+
+    near = "nb AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2)"
+    add("mple_design_parts", parts_design, f"WITH {O.G3}, {near} SELECT 1::BIGINT AS edges, coalesce(s, 0)::BIGINT AS triangle, (u.p_brand = v.p_brand)::BIGINT AS nodematch_p_brand, count(*) AS n_tot, count(P3.i) AS n_one FROM part u JOIN part v ON u.p_partkey < v.p_partkey LEFT JOIN nb ON a = u.p_partkey AND b = v.p_partkey LEFT JOIN P3 ON P3.i = u.p_partkey AND P3.j = v.p_partkey GROUP BY 1, 2, 3")
     add("masked_present_edges", lambda s, d: (lambda n: n.arcs.select("i", "j").join(n.dyads.filter("(i + j) % 17 = 0").select("i", "j"), ["i", "j"], "left_semi"))(_net(s, d, True)), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
     add("dyads", lambda s, d: _net(s, d, True).dyads.select("i", "j", F.col("y").cast("long").alias("y"), F.col("r").cast("long").alias("r")), f"WITH {O.DIR} SELECT i, j, y, r FROM dy")
     add("reciprocal_ties", lambda s, d: _net(s, d, True).dyads.filter("y = 1 and r = 1").select("i", "j"), f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")
@@ -195,3 +208,70 @@ def _derivatives(s: SparkSession, d: str) -> DataFrame:
 _X = ["1", "r", "m"]
 add("logz_dyad_independent", lambda s, d: _eta(s, d).agg(F.round(F.sum(log1pexp(F.col("eta"))), 6).alias("logz")), f"WITH {_ETA} SELECT round(sum(ln(1 + exp(eta))), 6) AS logz FROM e")
 add("logistic_derivatives", _derivatives, f"WITH {_ETA}, w AS (SELECT *, 1 / (1 + exp(-eta)) AS p FROM e) SELECT round(sum(y * eta - ln(1 + exp(eta))), 6) AS ll, " + ", ".join([*(f"round(sum({_X[a]} * (y - p)), 6) AS g{a}" for a in range(3)), *(f"round(sum(-{_X[a]} * {_X[b]} * p * (1 - p)), 6) AS h{a}{b}" for a in range(3) for b in range(a, 3))]) + " FROM w")
+
+
+def _register_panels() -> None:
+    def arcs(net):
+        return net.arcs.select(F.lit(0).alias("sim_id"), "i", "j")
+
+    def degrees(side, directed):
+        def run(s, d):
+            net = _net(s, d, directed)
+            got = degree_counts(arcs(net), net.vertices, directed, side, s.range(1).select(F.col("id").cast("int").alias("sim_id")))
+            bins = s.range(0, net.n).withColumnRenamed("id", "label")
+            return bins.join(got, "label", "left").select(F.col("label").alias("degree"), F.coalesce("c", F.lit(0)).alias("n"))
+
+        return run
+
+    for side, base, directed, column in (("degree", O.UND, False, "d"), ("idegree", O.DIR, True, "din"), ("odegree", O.DIR, True, "dout")):
+        add(f"hist_{side}", degrees(side, directed), f"WITH {base}, b AS (SELECT unnest(range(0, (SELECT count(*) FROM V))) AS k) SELECT k AS degree, (SELECT count(*) FROM deg WHERE {column} = k) AS n FROM b")
+    for kind in (*KINDS, "und"):
+        directed = kind != "und"
+        sql = f"WITH {O.DIR if directed else O.UND}, sp AS ({O.SP[kind]}) SELECT coalesce(s, 0)::BIGINT AS partners, count(*) AS n FROM arcs LEFT JOIN sp ON a = i AND b = j GROUP BY 1"
+        add(f"hist_esp_{kind.lower()}", lambda s, d, kind=kind, directed=directed: shared_partner_counts(arcs(_net(s, d, directed)), directed, kind if directed else "OTP").select(F.col("label").alias("partners"), F.col("c").alias("n")), sql)
+    walk = "w AS (SELECT i AS a, j AS b, 1 AS d FROM B UNION SELECT w.a, B.j, w.d + 1 FROM w JOIN B ON B.i = w.b WHERE w.d < 25)"
+    add("hist_geodesic", lambda s, d: geodesics(nation_network(s, d)), f"WITH RECURSIVE {O.G2}, {walk} SELECT d::BIGINT AS d, count(*) AS c FROM (SELECT a, b, min(d) AS d FROM w WHERE a <> b GROUP BY 1, 2) GROUP BY 1")
+
+
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    events = table(s, d, "events").select(F.col("event_type").alias("stat"), "ts", "event_id", F.col("value").alias("x"))
+    return numbered(events, "stat", ["ts", "event_id"], F.to_date("ts"))
+
+
+def _register_traces() -> None:
+    def autocorrelations(s, d):
+        g = lagged(_trace(s, d), "stat", "x", [0, 1])
+        return g.groupBy("stat").agg(F.round(F.sum(F.when(F.col("lag") == 1, F.col("g"))) / F.sum(F.when(F.col("lag") == 0, F.col("g"))), 6).alias("rho"))
+
+    add("trace_autocorr", autocorrelations, f"WITH {O.TRACE}, l AS (SELECT stat, x - m AS x, lead(x - m) OVER (PARTITION BY stat ORDER BY draw) AS z FROM tr) SELECT stat, round(sum(x * z) / sum(x * x), 6) AS rho FROM l GROUP BY stat")
+    add("trace_autocov", lambda s, d: lagged(_trace(s, d), "stat", "x", [0, 1, 2, 5, 10]).select("stat", F.col("lag").cast("long").alias("lag"), F.round("g", 4).alias("g")), f"WITH {O.TRACE}, k AS (SELECT unnest([0, 1, 2, 5, 10])::BIGINT AS lag) SELECT a.stat, lag, round(sum((a.x - a.m) * (b.x - b.m)) / max(a.n), 4) AS g FROM tr a, k, tr b WHERE b.stat = a.stat AND b.draw = a.draw + lag GROUP BY 1, 2")
+    add("trace_thin", lambda s, d: thinned(_trace(s, d), 100, 7).select("stat", F.col("draw").cast("long").alias("draw"), "x"), f"WITH {O.TRACE} SELECT stat, draw, x FROM tr WHERE draw > 100 AND (draw - 100) % 7 = 0")
+    add("trace_geweke_segments", lambda s, d: segments(_trace(s, d), "stat", "x").select("stat", "n_first", F.round("mean_first", 6).alias("mean_first"), "n_last", F.round("mean_last", 6).alias("mean_last")), f"WITH {O.TRACE}, f AS (SELECT *, draw <= greatest(2, n // 10) AS h, draw > n - greatest(2, n // 2) AS t FROM tr) SELECT stat, sum(h::BIGINT)::BIGINT AS n_first, round(avg(x) FILTER (h), 6) AS mean_first, sum(t::BIGINT)::BIGINT AS n_last, round(avg(x) FILTER (t), 6) AS mean_last FROM f GROUP BY stat")
+
+
+def _nation_model(s: SparkSession, d: str, dependent: bool = True) -> ERGMModel:
+    return ERGMModel([Edges(), NodeMatch("region"), *([Mutual()] if dependent else [])], nation_network(s, d))
+
+
+def _register_fits() -> None:
+    """Driven by seeds; SQL has no counterpart."""
+    rounded = lambda df: df.select("term", *[F.round(c, 6).alias(c) for c in df.columns[1:]])
+    add("mple_fit", lambda s, d: rounded(mple(_nation_model(s, d)).coef_table(s)))
+    add("mple_fit_bootstrap", lambda s, d: rounded(mple(_nation_model(s, d), se="bootstrap", n_boot=20, boot_burnin=3000, boot_interval=300, seed=1).coef_table(s)))
+    add("mcmle_fit", lambda s, d: rounded(mcmle(_nation_model(s, d), n_samples=500, burnin=3000, interval=100, seed=1, bridge_rungs=None).coef_table(s)))
+    add("bridge_loglik", lambda s, d: s.createDataFrame([(bridge_loglik(_nation_model(s, d), [-1.5, 0.1, 0.2], 8, 300, 3000, 100, seed=1),)], "loglik double"))
+    add("mh_sample", lambda s, d: mh_sample(_nation_model(s, d), [-1.5, 0.1, 0.2], 50, 2000, 100, seed=1)[0].toDF("chain", "draw", "edges", "nodematch_region", "mutual"))
+    add("sample_networks", lambda s, d: sample_networks(_nation_model(s, d), [-1.5, 0.1, 0.2], 8, 2000, 100, seed=1))
+    add("gof_panels", lambda s, d: gof(fit_ergm(nation_network(s, d), [Edges(), Mutual()]), 20, burnin=2000, interval=200, seed=1).panels)
+
+    def diagnostics(s, d):
+        got = mcmc_diagnostics(mcmle(_nation_model(s, d, False), n_samples=400, burnin=2000, interval=100, seed=1, bridge_rungs=None))
+        rows = [(n, *(float(got[k][i]) for k in ("autocorrelation", "effective_sample_size", "ess_geyer", "geweke_z", "geweke_p"))) for i, n in enumerate(got["term_names"])]
+        return s.createDataFrame(rows, "term string, autocorrelation double, effective_sample_size double, ess_geyer double, geweke_z double, geweke_p double")
+
+    add("mcmc_diagnostics", diagnostics)
+
+
+_register_panels()
+_register_traces()
+_register_fits()

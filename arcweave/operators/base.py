@@ -25,6 +25,13 @@ class Term:
     requires_undirected = False
     dyad_dependent = True
     supports_missing = False
+    #: What the change of a dyad without ties and shared partners follows: "vertices" (their attributes), "degrees" (also
+    #: their degrees), "zero" (it is 0), or None (anything).
+    untouched: str | None = None
+
+    def touches(self, net: Network) -> DataFrame | None:
+        """(i, j) of further dyads whose change doesn't follow `untouched`."""
+        return None
 
     @property
     def name(self) -> str:
@@ -59,6 +66,7 @@ class PairTerm(Term):
 
     dyad_dependent = False
     supports_missing = True
+    untouched = "vertices"
 
     def change_column(self, net: Network) -> Column:
         raise NotImplementedError

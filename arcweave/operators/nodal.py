@@ -233,6 +233,7 @@ class EdgeCov(Term):
 
     dyad_dependent = False
     supports_missing = True
+    untouched = "zero"
 
     def __init__(self, source, name: str = "edgecov"):
         if isinstance(source, str):
@@ -258,6 +259,9 @@ class EdgeCov(Term):
             return net.spark.createDataFrame(rows, "i long, j long, x double")
         return self.source.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("x"))
 
+    def touches(self, net):
+        return self.table(net).filter("x <> 0").select("i", "j")
+
     def change(self, net, pairs):
         return pairs.select("i", "j").join(self.table(net), ["i", "j"], "left").select("i", "j", F.coalesce("x", F.lit(0.0)).alias("delta"))
 

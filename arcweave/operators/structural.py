@@ -36,6 +36,7 @@ class Mutual(Term):
 
     name = "mutual"
     requires_directed = True
+    untouched = "vertices"
 
     def stat(self, net):
         own = net.arcs.select("i", "j")
@@ -58,6 +59,7 @@ class Triangle(Term):
     """Triangles; in a directed network transitive plus cyclic triples."""
 
     name = "triangle"
+    untouched = "zero"
 
     def stat(self, net):
         if not net.directed:
@@ -84,6 +86,7 @@ class _DegreeTerm(Term):
     """Shared by terms that add a function of each vertex's degree. `side`: dout, din or d."""
 
     side = "dout"
+    untouched = "degrees"
 
     def f(self, d: Column) -> Column:
         raise NotImplementedError
@@ -147,6 +150,7 @@ class TwoPath(Term):
     """Paths of two ties."""
 
     name = "twopath"
+    untouched = "degrees"
 
     def stat(self, net):
         if not net.directed:
@@ -359,6 +363,7 @@ class GWESP(_Partners):
     """Geometrically weighted partners that tied vertices share."""
 
     stem = "gwesp"
+    untouched = "zero"
 
     def stat(self, net):
         return _value(_partners(net, net.arcs.select("i", "j"), self.kind(net), "s"), weight(F.col("s"), self.decay))

@@ -121,3 +121,19 @@ def test_edge_attribute_covariate(spark):
 def test_empty_network(spark):
     net = Network.from_edges(spark, 4, [], True)
     assert compute_all(net, [Edges(), Mutual(), Triangle(), TwoPath(), GWESP(), GWDSP(), GWIDegree(), IDegree(0), Kstar(2)]) == [0, 0, 0, 0, 0, 0, 0, 4, 0]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_counted_design_equals_listed_design(spark, directed):
+    edges = [e for e in ring(30, 12, directed, 3)]
+    missing = [(1, 2), (4, 20), (7, 9)]
+    net = Network.from_edges(spark, 34, edges, directed, {"group": [None if k % 7 == 0 else "AB"[k % 2] for k in range(34)], "age": [float(k % 3) for k in range(34)]}, missing)
+    cov = spark.createDataFrame([(2, 9, 1.5), (11, 30, 2.0)], "i long, j long, x double")
+    models = [[Edges()], [Edges(), Triangle(), GWESP(0.5, "union"), EdgeCov(cov)], [Edges(), NodeMatch("group"), NodeCov("age"), TwoPath(), Kstar(2), *([Mutual(), GWIDegree()] if directed else [Degree(2)])]]
+    for terms in models:
+        one, two = (mple_design(net, terms, s).toPandas().round(8).sort_values(TermNames(terms, net)).to_numpy(float).tolist() for s in (None, False))
+        assert one == two and sum(r[-2] for r in one) == net.n_dyads
+
+
+def TermNames(terms, net):
+    return [n for t in terms for n in [x.name for x in t.expand(net)]]
