@@ -80,33 +80,33 @@ def _first_rows(k: int, percent: int, slack: float) -> Callable:
     return run
 
 
-def _shared(rows: DataFrame, list_col: str, need: str) -> DataFrame:
-    """Keys (node, n) of `rows` (node, n, list) with at least `need` values that another row has too.
+def _shared(rows: DataFrame, list_col: str) -> DataFrame:
+    """(node, c): how many values of the list of each of `rows` (node, list) another row has too.
 
-    Values met twice in an Arrow batch are settled there; one row goes out for each value and batch."""
+    Values met twice in an Arrow batch are settled there; one row (h, node, w) goes out for each value and batch, with
+    w -1 if the batch had it twice, else 0. Settled values go as a count w > 0, under an h that only deals them out."""
 
     def run(batches):
         for b in batches:
-            values = b.column(2)
-            node, n = b.column(0), b.column(1)
+            values, node = b.column(1), b.column(0)
             h = values.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(values.offsets.to_numpy()))
             if not len(h):
                 continue
             least, most, first = _settled(h, row)
             many = least < most
-            own = row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), node.take(pa.array(own)), n.take(pa.array(own)), pa.array(many[first]), pa.array(np.zeros(len(own), np.int32))], ["h", "node", "n", "many", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), node.take(pa.array(row[first])), pa.array(-many[first].astype(np.int32))], ["h", "node", "w"])
             count = np.bincount(row[many & ~first], minlength=b.num_rows)
             more = np.flatnonzero(count)
             if len(more):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), node.take(pa.array(more)), n.take(pa.array(more)), pa.array(np.zeros(len(more), bool)), pa.array(count[more].astype(np.int32))], ["h", "node", "n", "many", "done"])
+                own = node.take(pa.array(more))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(own.to_numpy().view(U)).view(np.int64)), own, pa.array(count[more].astype(np.int32))], ["h", "node", "w"])
 
-    sent = rows.select("node", "n", list_col).mapInArrow(run, "h long, node long, n long, many boolean, done int")
-    w = Window.partitionBy("deal", F.col("h").isNull())
-    met = sent.withColumn("deal", F.coalesce("h", F.xxhash64("node"))).withColumns({"rows": F.count("h").over(w), "m": F.max("many").over(w)})
-    one = F.when(F.col("h").isNull(), F.col("done")).otherwise((F.col("m") | (F.col("rows") > 1)).cast("int"))
-    return met.groupBy("node", "n").agg(F.sum(one).alias("c")).filter(f"c >= {need}")
+    sent = rows.select("node", list_col).mapInArrow(run, "h long, node long, w int")
+    same = Window.partitionBy("h")
+    met = sent.withColumns({"rows": F.count(F.when(F.col("w") <= 0, 1)).over(same), "m": F.min("w").over(same)})
+    one = F.when(F.col("w") > 0, F.col("w")).otherwise(((F.col("m") < 0) | (F.col("rows") > 1)).cast("int"))
+    return met.groupBy("node").agg(F.sum(one).alias("c"))
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -215,8 +215,8 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: flo
     spark = rows.sparkSession
     # a linked set may be smaller: what is asked follows the least size it can have
     asked = f"greatest(1, floor({slack} * ceil({percent} * n / 100)))"
-    alive = _shared(classes.select("node", "n", "head"), "head", asked)
-    alive = written(alive.join(classes.select("node", "id", "d", "e"), "node").select("node", "id", "d", "e"))
+    alive = _shared(classes.select("node", "head"), "head").join(classes.select("node", "n", "id", "d", "e"), "node")
+    alive = written(alive.filter(f"c >= {asked}").select("node", "id", "d", "e"))
     bloom = spark.sparkContext.broadcast(_bloom(alive.select(F.col("id").alias("node")).distinct()))
     own = rows.withColumn("bit", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(BLOOM * 64)))
     sets = _sets(k)
@@ -237,7 +237,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: flo
     full = written(full.join(alive, ["id", "d", "e"]).select("node", "n", "set").dropDuplicates(["node"]))
     enough = f"ceil({percent} * n / 100)"
     for _ in range(2):
-        full = written(full.join(_shared(full, "set", enough).select("node"), "node", "left_semi"))
+        full = written(full.join(_shared(full, "set"), "node").filter(f"c >= {enough}").select("node", "n", "set"))
     # the rarest shared shingles of each set
     each = full.select("node", "n", F.explode("set").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
