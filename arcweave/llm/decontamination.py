@@ -16,7 +16,9 @@ from arcweave.llm.frames import table, unused, written
 #: Positions that each mask keeps.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 6, 7, 8), (0, 1, 3, 5, 7, 8))
 SPAN, WINDOW, SHARE = 9, 13, 0.8
-#: Benchmark seeds up to this number (under 300 MB with their items' tokens) go to all tasks; more are joined by a shuffle.
+#: Positions that share one short array of tokens.
+CHUNK = 64
+#: Benchmark seeds up to this number (under 200 MB with the tokens around them) go to all tasks; more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
 
@@ -26,18 +28,32 @@ def tokens(text: Column) -> Column:
     return F.transform(parts, lambda x: F.xxhash64(x))
 
 
-def seeds(rows: DataFrame, masks: tuple = MASKS) -> DataFrame:
-    """Adds p and seed: one row for each position and mask of the array h; arrays under SPAN have none."""
-    at = rows.filter(F.size("h") >= SPAN).withColumn("p", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)))
-    each = [F.xxhash64(F.lit(m), *[F.get(F.col("h"), F.col("p") + o) for o in mask]) for m, mask in enumerate(masks)]
-    return at.withColumn("seed", F.explode(F.array(*each)))
+def chunks(rows: DataFrame, window: int) -> DataFrame:
+    """Rows with the array h cut into (c, base, lo, hi, t): t holds the tokens from `base` on around the CHUNK starts
+    lo..hi of spans in it, with what a window around any of them can reach. So whatever is done for each position
+    carries a short array, however long the text is; arrays under SPAN have no chunk."""
+    last = F.size("h") - SPAN
+    first = lambda c: c * CHUNK
+    base = lambda c: F.greatest(F.lit(0), first(c) - max(0, window - SPAN))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")),
+        lambda c: F.struct(c.alias("c"), base(c).alias("base"), (first(c) - base(c)).alias("lo"), (F.least(first(c) + CHUNK - 1, last) - base(c)).alias("hi"), F.slice("h", base(c) + 1, first(c) + CHUNK + max(window, SPAN) - base(c)).alias("t")),
+    )
+    others = [x for x in rows.columns if x != "h"]
+    return rows.filter(last >= 0).select(*others, F.explode(cut).alias("x")).select(*others, "x.*")
+
+
+def seeds(parts: DataFrame, masks: tuple = MASKS) -> DataFrame:
+    """Adds at (a span's place in t) and seed to rows of chunks(): one row for each position and mask."""
+    each = [F.xxhash64(F.lit(m), *[F.get(F.col("t"), F.col("at") + o) for o in mask]) for m, mask in enumerate(masks)]
+    return parts.withColumn("at", F.explode(F.sequence("lo", "hi"))).withColumn("seed", F.explode(F.array(*each)))
 
 
 def _verified() -> Column:
-    """Whether a window around the hit (p in h, q in g) has enough equal tokens."""
-    low = F.greatest(SPAN - F.col("w"), -F.col("p"), -F.col("q"))
-    high = F.least(F.lit(0), F.size("h") - F.col("w") - F.col("p"), F.size("g") - F.col("w") - F.col("q"))
-    same = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.get(F.col("h"), F.col("p") + s + k) == F.get(F.col("g"), F.col("q") + s + k)))
+    """Whether a window around the hit (at in t, to in g) has enough equal tokens."""
+    low = F.greatest(SPAN - F.col("w"), -F.col("at"), -F.col("to"))
+    high = F.least(F.lit(0), F.size("t") - F.col("w") - F.col("at"), F.size("g") - F.col("w") - F.col("to"))
+    same = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.get(F.col("t"), F.col("at") + s + k) == F.get(F.col("g"), F.col("to") + s + k)))
     return (low <= high) & F.exists(F.sequence(low, F.greatest(low, high)), lambda s: same(s) >= F.col("need"))
 
 
@@ -46,19 +62,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 
     Null and empty texts and items of under SPAN tokens match nothing; null ids stay null; items and
     documents may repeat; an empty table on either side gives an empty result. Texts are read whole."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("g")).filter(F.size("g") >= SPAN).distinct()
-    items = items.withColumn("w", F.least(F.lit(window), F.size("g"))).withColumn("need", F.ceil(F.col("w") * share))
-    bench = written(seeds(items.withColumn("h", F.col("g"))).drop("h").withColumnRenamed("p", "q").distinct())
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("h")).withColumn("w", F.least(F.lit(window), F.size("h"))).withColumn("need", F.ceil(F.col("w") * share))
+    bench = seeds(chunks(items, window)).select("seed", "item_id", (F.col("base") + F.col("at")).alias("q"), F.col("at").alias("to"), F.col("t").alias("g"), "w", "need")
+    bench = written(bench.distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), tokens(F.col("text")).alias("h"))
+    parts = chunks(rows, window)
     if bench.count() <= broadcast_seeds:
-        hits = seeds(rows).join(F.broadcast(bench), "seed")
+        hits = seeds(parts).join(F.broadcast(bench), "seed")
     else:
-        # only ids and positions are shuffled for the hits; tokens join the diagonals that have some
-        thin = seeds(rows).select("doc_id", "key", "p", "seed")
-        found = thin.join(bench.select("seed", "item_id", "g", "w", "need", "q"), "seed").distinct()
-        hits = found.join(rows.distinct(), [found.key == rows.key, found.doc_id.eqNullSafe(rows.doc_id)]).select(found["*"], "h")
-    hits = hits.filter(_verified()).select("key", "doc_id", "item_id", "p", "q")
-    return hits.groupBy("key", "doc_id", "item_id").agg(F.countDistinct("p", "q").alias("n_hits"))
+        # only ids and positions are shuffled for the hits; tokens join the chunks that have some
+        thin = seeds(parts).select("doc_id", "key", "c", "base", "at", "seed")
+        found = thin.join(bench, "seed").drop("seed").distinct()
+        own = parts.select(F.col("key").alias("k"), F.col("doc_id").alias("i"), F.col("c").alias("n"), "t").dropDuplicates(["k", "i", "n"])
+        hits = found.join(own, [found.key == own.k, found.doc_id.eqNullSafe(own.i), found.c == own.n])
+    hit = ["key", "doc_id", "item_id", (F.col("base") + F.col("at")).alias("p"), "q"]
+    # what several masks or equal rows found becomes one; only hits are verified, after the join
+    once = hits.groupBy(*hit).agg(*[F.first(x).alias(x) for x in ("t", "at", "g", "to", "w", "need")])
+    return once.filter(_verified()).groupBy("key", "doc_id", "item_id").agg(F.count("*").alias("n_hits"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

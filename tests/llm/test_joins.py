@@ -222,3 +222,27 @@ def test_every_two_substitutions_are_met():
 
 def test_empty_tables(empty):
     assert similar_sets(empty).count() == 0 and substring_report(empty).count() == 0 and substring_dedup(empty).count() == 0 and near_duplicates_removed(empty).count() == 0
+
+
+def test_long_texts_are_searched_everywhere(spark):
+    """Passages across the borders of chunks, in a text and in an item of many chunks."""
+    import random
+
+    from arcweave.llm.decontamination import CHUNK
+
+    rng = random.Random(12)
+    item = prose(rng, 300, 5000).split(" ")
+    rows = []
+    for k, (at, start, n) in enumerate([(CHUNK - 5, 60, 13), (CHUNK - 12, 0, 14), (5 * CHUNK - 1, 120, 20), (0, 287, 13), (991, 187, 9), (987, 190, 13), (700, 63, 12)]):
+        w = prose(rng, 1000, 100_000).split(" ")
+        part = item[start : start + n]
+        if n == 13:
+            part[4], part[8] = "x1", "x2"
+        w[at : at + n] = part
+        rows.append((k, " ".join(w)))
+    items = [(1, " ".join(item))]
+    want = brute_overlaps(rows, items)
+    assert len(want) >= 4
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (200_000, 0):
+        assert {(r.doc_id, r.item_id) for r in overlaps(docs, bench, broadcast_seeds=limit).collect()} == want
