@@ -40,7 +40,8 @@ def chunks(rows: DataFrame, window: int) -> DataFrame:
         lambda c: F.struct(c.alias("c"), base(c).alias("base"), (first(c) - base(c)).alias("lo"), (F.least(first(c) + CHUNK - 1, last) - base(c)).alias("hi"), F.slice("h", base(c) + 1, first(c) + CHUNK + max(window, SPAN) - base(c)).alias("t")),
     )
     others = [x for x in rows.columns if x != "h"]
-    return rows.filter(last >= 0).select(*others, F.explode(cut).alias("x")).select(*others, "x.*")
+    # the outer form brings no filter along that would cut texts into tokens once more; rows without chunks go here
+    return rows.select(*others, F.explode_outer(F.when(last >= 0, cut)).alias("x")).filter("x is not null").select(*others, "x.*")
 
 
 def seeds(parts: DataFrame, masks: tuple = MASKS) -> DataFrame:
