@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import written
+from arcweave.llm.frames import removed, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is a few shuffles of the links and a table in the shared folder; it ends when every node
     points at its root. No links give no rows. Nulls are left out, repeated links and loops do no harm."""
-    now = written(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    now, at = stored(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct())
     for _ in range(rounds):
-        new = written(_small_star(_large_star(now)))
+        new, path = stored(_small_star(_large_star(now)))
         # done when no root has a root of its own and the star is flat
         a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, new))
-        now = new
+        removed(edges.sparkSession, at)
+        now, at = new, path
         if a == b:
             break
     else:

@@ -30,12 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as Parquet in the shared folder and read back, and where it lies: for removed(), once nothing reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    return stored(df)[0]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that stored() has made; all that came of them must have been written by then."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.components import components
-from arcweave.llm.frames import NULL_ID, slices, table, unused, written
+from arcweave.llm.frames import NULL_ID, removed, slices, stored, table, unused, written
 from arcweave.llm.substring_dedup import _lists, _settled
 from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
@@ -191,14 +191,19 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float =
     of 1 to k-1 words is one shingle; null, empty and blank texts have none and link with nothing. A null
     id comes after all others; rows of one id are told apart by their sets. Repeated rows get equal
     results; an empty table gives an empty result. Texts are read whole, other columns left out."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    heads = written(rows.mapInArrow(_first_rows(k, percent, slack), "id long, n long, d long, e long, head array<long>"))
-    light = heads.select("id", "n", "d", "e")
+    heads, at = stored(rows.mapInArrow(_first_rows(k, percent, slack), "id long, n long, d long, e long, head array<long>"))
+    light = written(heads.select("id", "n", "d", "e"))
     # an id that stands for several sets can't name its class
     clash = light.groupBy("id").agg(F.min(F.struct("d", "e")).alias("a"), F.max(F.struct("d", "e")).alias("z")).filter("a <> z").select("id", F.lit(True).alias("clash"))
-    first = heads.filter("n > 0").groupBy("d", "e").agg(F.min(F.struct("id", "n", "head")).alias("f"))
-    classes = first.select("d", "e", "f.*").join(clash, "id", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("id", "d", "e")).otherwise(F.col("id")))
-    found = written(_links(rows, classes, k, percent, slack, chunk))
+    first = light.filter("n > 0").groupBy("d", "e").agg(F.min(F.struct("id", "n")).alias("f"))
+    classes = written(first.select("d", "e", "f.*").join(clash, "id", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("id", "d", "e")).otherwise(F.col("id"))).drop("clash"))
+    lists = heads.filter("n > 0").groupBy("d", "e").agg(F.first("head").alias("head")).join(classes.select("d", "e", "node"), ["d", "e"])
+    # large tables go as soon as the next one is written: at most two lie side by side
+    parts, old = _links(rows, lists, classes, at, k, percent, slack, chunk)
+    found = written(parts)
+    removed(spark, *old)
     roots = components(found.filter("node <> near").select(F.col("node").alias("u"), F.col("near").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = classes.select("d", "e", "id", "node").join(roots, "node", "left").join(links, "node", "left")
@@ -210,13 +215,14 @@ def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float =
     return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: float, chunk: int) -> DataFrame:
-    """(node, near, links): parts of the answer, to be unioned and summed."""
+def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str, k: int, percent: int, slack: float, chunk: int) -> tuple[DataFrame, list[str]]:
+    """(node, near, links), parts of the answer to be unioned and summed; and the tables that they come from."""
     spark = rows.sparkSession
     # a linked set may be smaller: what is asked follows the least size it can have
     asked = f"greatest(1, floor({slack} * ceil({percent} * n / 100)))"
-    alive = _shared(classes.select("node", "head"), "head").join(classes.select("node", "n", "id", "d", "e"), "node")
+    alive = _shared(lists.select("node", "head"), "head").join(classes.select("node", "n", "id", "d", "e"), "node")
     alive = written(alive.filter(f"c >= {asked}").select("node", "id", "d", "e"))
+    removed(spark, lists_at)
     bloom = spark.sparkContext.broadcast(_bloom(alive.select(F.col("id").alias("node")).distinct()))
     own = rows.withColumn("bit", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(BLOOM * 64)))
     sets = _sets(k)
@@ -234,10 +240,12 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: flo
                 yield pa.RecordBatch.from_arrays([kept.column(0).slice(lo, hi - lo), pa.array(d), pa.array(e), pa.array(n), _lists(h.view(np.int64), doc, hi - lo)], ["id", "d", "e", "n", "set"])
 
     full = own.select("id", "text", "bit").mapInArrow(whole, "id long, d long, e long, n long, set array<long>")
-    full = written(full.join(alive, ["id", "d", "e"]).select("node", "n", "set").dropDuplicates(["node"]))
+    full, at = stored(full.join(alive, ["id", "d", "e"]).select("node", "n", "set").dropDuplicates(["node"]))
     enough = f"ceil({percent} * n / 100)"
     for _ in range(2):
-        full = written(full.join(_shared(full, "set"), "node").filter(f"c >= {enough}").select("node", "n", "set"))
+        full, new = stored(full.join(_shared(full, "set"), "node").filter(f"c >= {enough}").select("node", "n", "set"))
+        removed(spark, at)
+        at = new
     # the rarest shared shingles of each set
     each = full.select("node", "n", F.explode("set").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -245,7 +253,8 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: flo
     rare = rare.select("node", F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(0), F.size("x") - F.expr(enough).cast("int") + 1))).alias("x")).select("node", "x.h")
     lead = rare.groupBy("h").agg(F.min("node").alias("v"))
     group = components(rare.join(lead, "h").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
-    sized = written(full.join(group.withColumnRenamed("root", "grp"), "node"))
+    sized, new = stored(full.join(group.withColumnRenamed("root", "grp"), "node"))
+    removed(spark, at)
     counts = sized.groupBy("grp").agg(F.count("*").alias("m"))
     total = sized.count()
     bins = max(1, -(-total // chunk))
@@ -255,7 +264,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, slack: flo
     small = placed.filter("parts = 1").select(F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("g"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), "node", "n", "set")
     large = placed.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.select(F.col("grp").alias("g"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "set")
-    return small.unionByName(large).groupBy("g", "a", "b").applyInPandas(_search(percent), "node long, near long, links long")
+    return small.unionByName(large).groupBy("g", "a", "b").applyInPandas(_search(percent), "node long, near long, links long"), [new]
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -263,7 +272,7 @@ def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     id one. Rows without words stay, one for each id; rows without an id go if linked to one with an id."""
     got = similar_sets(docs, k, percent).select("doc_id", "component_id").distinct()
     own = unused(docs, "kept")[0]
-    keep = got.filter("doc_id <=> component_id").select(F.col("doc_id").alias(own))
+    keep = written(got.filter("doc_id <=> component_id").select(F.col("doc_id").alias(own)))
     out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
     known = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return known.unionByName(out.filter("doc_id is null").dropDuplicates(["text"]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import crc_mod, slices, table, written
+from arcweave.llm.frames import crc_mod, removed, slices, stored, table
 from arcweave.llm.textkit import ALNUM, U, words
 
 #: Words that are features at most. A word is one if its presence goes with toxic documents by a likelihood ratio
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most `rows` narrow rows
-    own = written(own.dropDuplicates(["text"]).select("text", "y"))
+    own, at = stored(own.dropDuplicates(["text"]).select("text", "y"))
     keys = evidence(own)
 
     def encode(batches):
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(count), *lists], ["y", "sentences", "word", "sentence"])
 
     got = own.mapInArrow(encode, "y double, sentences long, word binary, sentence binary").toPandas()
+    removed(docs.sparkSession, at)
     counts = got.sentences.to_numpy(np.int64)
     first = np.cumsum(counts) - counts
     none = np.zeros(0, np.int64)
