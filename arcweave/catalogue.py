@@ -35,7 +35,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _net(s: SparkSession, d: str, directed: bool) -> Network:
-    return user_network(s, d, directed)
+    return user_network(s, d, directed).cached()
 
 
 def _stat(term: Callable[..., Term], directed: bool) -> Query:
@@ -160,7 +160,7 @@ def _register_plans() -> None:
     add("mple_design", design, sql.format(where=""))
     add("mple_design_masked", lambda s, d: design(s, d, True), sql.format(where="WHERE (dy.i + dy.j) % 17 <> 0"))
     def parts_design(s, d):
-        got = mple_design(part_network(s, d), [Edges(), Triangle(), NodeMatch("p_brand")])
+        got = mple_design(part_network(s, d).cached(), [Edges(), Triangle(), NodeMatch("p_brand")])
         return got.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in got.columns])
 
     near = "nb AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2)"
@@ -173,9 +173,9 @@ def _register_plans() -> None:
     add("level_difference", lambda s, d: _net(s, d, True).vertices.select("kind").distinct().exceptAll(s.createDataFrame([("click",)], "kind string")), f"WITH {O.DIR} SELECT DISTINCT kind FROM V WHERE kind <> 'click'")
     add("degrees", lambda s, d: _net(s, d, True).degrees.select("v", *[F.col(c).cast("long").alias(c) for c in ("dout", "din", "d")]), f"WITH {O.DIR} SELECT v, dout, din, d FROM deg")
     add("network_density", lambda s, d: (lambda n: s.createDataFrame([(n.n, n.n_edges, round(n.density, 9))], "n long, edges long, density double"))(_net(s, d, True)), f"WITH {O.DIR} SELECT count(*) AS n, (SELECT count(*) FROM A) AS edges, round((SELECT count(*) FROM A)::DOUBLE / (count(*) * (count(*) - 1)), 9) AS density FROM V")
-    add("triangle_parts", lambda s, d: Triangle().stat(part_network(s, d)).select(F.col("value").cast("long").alias("value")), f"WITH {O.G3} SELECT count(*) AS value FROM P3 x JOIN P3 y ON x.j = y.i JOIN P3 z ON z.i = x.i AND z.j = y.j")
-    add("gwesp_parts", lambda s, d: GWESP(O.DECAY).stat(part_network(s, d)).select(F.round("value", 4).alias("value")), f"WITH {O.G3}, sp AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i <> y.j GROUP BY 1, 2) SELECT round(coalesce(sum({O.weight('coalesce(s, 0)')}), 0), 4) AS value FROM P3 LEFT JOIN sp ON a = i AND b = j")
-    add("homophily_parts", lambda s, d: (lambda r: r.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in r.columns]))(summary_stats(part_network(s, d), [Edges(), NodeMatch("p_brand"), AbsDiff("p_size")])), f"WITH {O.G3} SELECT count(*) AS edges, sum((a.p_brand = b.p_brand)::BIGINT)::BIGINT AS nodematch_p_brand, sum(abs(a.p_size - b.p_size))::BIGINT AS absdiff_p_size FROM P3 JOIN part a ON a.p_partkey = i JOIN part b ON b.p_partkey = j")
+    add("triangle_parts", lambda s, d: Triangle().stat(part_network(s, d).cached()).select(F.col("value").cast("long").alias("value")), f"WITH {O.G3} SELECT count(*) AS value FROM P3 x JOIN P3 y ON x.j = y.i JOIN P3 z ON z.i = x.i AND z.j = y.j")
+    add("gwesp_parts", lambda s, d: GWESP(O.DECAY).stat(part_network(s, d).cached()).select(F.round("value", 4).alias("value")), f"WITH {O.G3}, sp AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i <> y.j GROUP BY 1, 2) SELECT round(coalesce(sum({O.weight('coalesce(s, 0)')}), 0), 4) AS value FROM P3 LEFT JOIN sp ON a = i AND b = j")
+    add("homophily_parts", lambda s, d: (lambda r: r.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in r.columns]))(summary_stats(part_network(s, d).cached(), [Edges(), NodeMatch("p_brand"), AbsDiff("p_size")])), f"WITH {O.G3} SELECT count(*) AS edges, sum((a.p_brand = b.p_brand)::BIGINT)::BIGINT AS nodematch_p_brand, sum(abs(a.p_size - b.p_size))::BIGINT AS absdiff_p_size FROM P3 JOIN part a ON a.p_partkey = i JOIN part b ON b.p_partkey = j")
 
 
 _register_terms()
@@ -250,7 +250,7 @@ def _register_traces() -> None:
 
 
 def _nation_model(s: SparkSession, d: str, dependent: bool = True) -> ERGMModel:
-    return ERGMModel([Edges(), NodeMatch("region"), *([Mutual()] if dependent else [])], nation_network(s, d))
+    return ERGMModel([Edges(), NodeMatch("region"), *([Mutual()] if dependent else [])], nation_network(s, d).cached())
 
 
 def _register_fits() -> None:

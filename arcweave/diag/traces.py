@@ -85,7 +85,7 @@ def numbered(rows: DataFrame, stat: str, order: list[str], bucket) -> DataFrame:
 def lagged(trace: DataFrame, stat: str, value: str, lags: list[int]) -> DataFrame:
     """(stat, lag, g): autocovariances at the lags, divided by n, of a numbered trace. Rows meet by their numbers."""
     mean = trace.groupBy(stat).agg(F.avg(value).alias("mean"))
-    own = trace.join(F.broadcast(mean), stat).select(stat, "draw", "n", (F.col(value) - F.col("mean")).alias("x"))  # a row for each trace
+    own = trace.join(mean, stat).select(stat, "draw", "n", (F.col(value) - F.col("mean")).alias("x"))
     far = own.select(stat, "draw", "n", "x", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
     near = own.select(stat, F.col("draw").alias("at"), F.col("x").alias("z"))
     met = far.withColumn("at", F.col("draw") + F.col("lag")).join(near, [stat, "at"])

@@ -49,6 +49,11 @@ class Network:
         own = self._canonical(table.select("i", "j", name))
         return Network(self.vertices, self.arcs.drop(name).join(own, ["i", "j"], "left"), self.directed, self.missing)
 
+    def cached(self) -> "Network":
+        """Keeps the tables that every view reads, in memory or on executors' disks; lost parts are computed again."""
+        self.vertices, self.arcs = self.vertices.cache(), self.arcs.cache()
+        return self
+
     @cached_property
     def n(self) -> int:
         return self.vertices.count()
