@@ -14,6 +14,8 @@ from arcweave.plans.sparse import complement, supported, touched
 
 #: Group keys keep this many decimals, so that sums built in another order stay one row.
 DIGITS = 10
+#: Dyads up to this number are listed; that takes fewer joins than counting the untouched ones.
+LISTED = 1_000_000
 
 
 def compute(term: Term, net: Network) -> float:
@@ -76,12 +78,14 @@ def change_stat_all(net: Network, terms: Iterable[Term], pairs: DataFrame | None
 def mple_design(net: Network, terms: Iterable[Term], sparse: bool | None = None) -> DataFrame:
     """Distinct rows of change statistics with n_tot dyads, n_one of them tied: map-side sums before the shuffle.
 
-    By default dyads that no tie or shared partner touches are counted instead of listed, where every term allows it
-    and vertices fall into few classes; sparse=False always lists them."""
+    In a large network dyads that no tie or shared partner touches are counted instead of listed, where every term
+    allows it and vertices fall into few classes; sparse=True counts them in any, sparse=False always lists them."""
     own = expanded(net, terms)
     keys = [F.round(f"s{k}", DIGITS).alias(f"s{k}") for k in range(len(own))]
     rest = None
-    if sparse is not False and supported(net, own):
+    if sparse is None:
+        sparse = net.n_pairs > LISTED
+    if sparse and supported(net, own):
         listed = touched(net, own)
         rest = complement(net, own, listed)
     if rest is None:
