@@ -2,7 +2,8 @@
 
 Sentences are the instances: each has a score from its words, kept as hashes, and a document's score is their noisy-or,
 1 - prod(1 - p). Weights are trained from document labels alone, by gradient steps on the document
-likelihood, so the sentences at fault are found without ever being labelled.
+likelihood, so the sentences at fault are found without ever being labelled. A sentence without any word that
+counts adds nothing to a score, so that length alone never makes a text toxic.
 """
 
 from __future__ import annotations
@@ -50,11 +51,14 @@ class Model:
         self.keys, self.weights, self.bias = keys, weights, bias
 
     def logits(self, word: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+        """Of each of n sentences; -inf for one without any word that counts. Where no word counts, all follow the more frequent label."""
         if not len(self.keys):
-            return np.full(n, self.bias)
+            return np.full(n, self.bias if self.bias > 0 else -np.inf)
         at = np.minimum(np.searchsorted(self.keys, word), len(self.keys) - 1)
         own = np.flatnonzero(self.keys[at] == word)
-        return self.bias + np.bincount(sentence[own], self.weights[at[own]], n)
+        z = np.full(n, -np.inf)
+        z[sentence[own]] = self.bias
+        return z + np.bincount(sentence[own], self.weights[at[own]], n)
 
 
 def fit(keys: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -145,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, and the worst sentence with its score and first byte, for each row.
 
-    Null and empty texts have no sentence and score 0. Null ids and repeated rows are scored like others;
+    Null and empty texts have no sentence and score 0, as do texts without any word that counts. Null ids and repeated rows are scored like others;
     an empty table gives an empty result. Texts are read whole. The model's size is fixed."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
 

@@ -62,6 +62,20 @@ def test_toxicity(spark, graded, messy, empty):
     assert np.array_equal(toxicity.train(docs, spoiled).weights, model.weights)
 
 
+def test_length_alone_is_not_toxic(spark, graded):
+    docs, labels = graded
+    model = toxicity.train(docs, labels)
+    rng = random.Random(3)
+    clean = ". ".join(f"w{rng.randrange(10**9)} x{k}" for k in range(20_000))
+    rows = spark.createDataFrame([(1, clean), (2, f"{clean}. you vile worm. {clean}")], docs.select("doc_id", "text").schema)
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    assert got[1].score < 0.01 and not got[1].predicted and got[1].worst_score < 0.01
+    assert got[2].predicted and "vile" in got[2].worst_sentence
+    assert [r.doc_id for r in toxicity.remove_toxic(rows, model).collect()] == [1]
+    clean_only = toxicity.train(docs, labels.withColumn("toxic", labels.toxic * 0))
+    assert not any(r.predicted for r in toxicity.score(rows, clean_only).collect())
+
+
 def test_noisy_or():
     z, text = np.array([0.3, -2.0, 1.5]), np.array([0, 0, 2])
     p = 1 / (1 + np.exp(-z))
