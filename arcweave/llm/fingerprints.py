@@ -6,8 +6,9 @@ two positions is found by binary search over its length.
 
 A fingerprint keeps the length, four residues of the whole, and a sample of the prefix array: residues at
 fixed cut positions (every length up to 16, then in steps of an eighth of an octave), the same for any text, from both
-ends. Two fingerprints compare like the texts: a binary search over the cuts finds the longest common
-beginning and end.
+ends; and the residues and lengths of all interior spans between cuts placed by content, 33 code points on average.
+Two fingerprints compare like the texts: a binary search over the cuts finds the longest common
+beginning and end, and between them equal spans count wherever they stand, so edits hide only the spans they touch.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ P = (1 << 31) - 1
 BASES = (998_244_353 % P, 1_000_003, 1_812_433_253 % P, 69_069)
 U = np.uint64
 STEPS = np.unique(np.concatenate([np.arange(1, 17), np.floor(16 * 2.0 ** (np.arange(1, 8 * 40) / 8)).astype(np.int64)]))
+#: A cut by content stands where the residue of WIDTH code points is below those of the REACH positions on either side;
+#: where none does, a cut follows after LONGEST code points.
+WIDTH, REACH, LONGEST = 8, 16, 64
+INVERSE = pow(BASES[0], -1, P)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -67,13 +72,46 @@ def grid(n: int) -> np.ndarray:
     return STEPS[: np.searchsorted(STEPS, n, "right")]
 
 
+def residues(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the spans of a text with these prefix sums, the same wherever a span stands."""
+    return (sums[end] + U(P) - sums[start]) % U(P) * powers(len(sums), INVERSE)[start] % U(P)
+
+
+def content_cuts(sums: np.ndarray) -> np.ndarray:
+    """Ends of all spans of one text: cuts by content, those forced after LONGEST code points, and the text's end."""
+    n = len(sums) - 1
+    if not n:
+        return np.zeros(0, np.int64)
+    m = n - WIDTH + 1
+    cuts = np.zeros(1, np.int64)
+    if m > 0:
+        at = np.arange(m)
+        h = np.full(m + 2 * REACH, 1 << 32, np.uint64)
+        h[REACH:-REACH] = residues(sums, at, at + WIDTH) * U(0x9E3779B1) % U(1 << 32)  # order unlike that of the code points
+        low, k = h, 1
+        while k < REACH:  # least of k positions, doubled
+            low, k = np.minimum(low[:-k], low[k:]), 2 * k
+        own = h[REACH:-REACH]
+        cuts = np.append(cuts, np.flatnonzero((own < low[:m]) & (own <= low[REACH + 1 : REACH + 1 + m])))
+    cuts = cuts[np.append(True, cuts[1:] > 0)]
+    more = (np.diff(np.append(cuts, n)) - 1) // LONGEST + 1
+    begin = np.repeat(cuts, more) + LONGEST * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
+    return np.append(begin[1:], n)
+
+
+def _hex(residues: np.ndarray) -> str:
+    return residues.astype(">u4").tobytes().hex()
+
+
 def fingerprint_of(points: np.ndarray) -> str:
-    """length : whole : cuts from the start : cuts from the end, residues as 8 hex digits each."""
+    """length : whole : cuts from the start : cuts from the end : interior spans, residues as 8 hex digits each : their lengths as 2 each."""
     n = len(points)
     at = grid(n)
     whole = [int(((points.astype(np.uint64) + U(1)) * powers(n, b) % U(P)).sum() % U(P)) if n else 0 for b in BASES]
-    ends = (prefix(points)[at], prefix(points[::-1])[at])
-    return ":".join([f"{n:x}", *("".join(f"{int(x):08x}" for x in part) for part in (whole, *ends))])
+    sums = prefix(points)
+    ends = content_cuts(sums)
+    begin = np.append(np.zeros(1, np.int64), ends[:-1])[: len(ends)]
+    return ":".join([f"{n:x}", *map(_hex, (np.array(whole), sums[at], prefix(points[::-1])[at], residues(sums, begin, ends))), (ends - begin).astype(np.uint8).tobytes().hex()])
 
 
 def _shared(a: str, b: str) -> int:
@@ -85,14 +123,31 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
+def _between(spans: str, lengths: str, head: int, tail: int) -> dict[str, list[int]]:
+    """For each residue (with its length) how many code points of each such span lie after the first `head` and before the last `tail`."""
+    size = np.frombuffer(bytes.fromhex(lengths), np.uint8).astype(np.int64)
+    end = np.cumsum(size)
+    left = np.minimum(end, (end[-1] if len(end) else 0) - tail) - np.maximum(end - size, head)
+    out: dict[str, list[int]] = {}
+    for k in np.flatnonzero(left > 0).tolist():
+        out.setdefault(spans[8 * k : 8 * k + 8] + lengths[2 * k : 2 * k + 2], []).append(int(left[k]))
+    return out
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text in the common beginning and end, as far as the cuts tell; 1 for equal fingerprints."""
+    """Share of the longer text in the common beginning and end, as far as the cuts tell, and in equal spans between
+    them, each paired once; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    (na, _, sa, ea), (nb, _, sb, eb) = a.split(":"), b.split(":")
-    long = max(int(na, 16), int(nb, 16))
+    (na, _, sa, ea, *mid_a), (nb, _, sb, eb, *mid_b) = a.split(":"), b.split(":")
+    na, nb = int(na, 16), int(nb, 16)
+    long, short = max(na, nb), min(na, nb)
     cut = np.append(0, grid(long))
-    return float(min(cut[_shared(sa, sb)] + cut[_shared(ea, eb)], long - 1)) / long
+    head = int(cut[_shared(sa, sb)])
+    tail = min(int(cut[_shared(ea, eb)]), short - head)
+    own, other = _between(*mid_a, head, tail), _between(*mid_b, head, tail)
+    same = sum(min(x, y) for key in own.keys() & other.keys() for x, y in zip(sorted(own[key], reverse=True), sorted(other[key], reverse=True)))
+    return float(min(head + tail + same, long - 1)) / long
 
 
 def _dealt(docs: DataFrame) -> DataFrame:

@@ -44,6 +44,36 @@ def test_likeness_follows_common_ends():
     assert 0.5 < near <= 0.7 and likeness(f(t), f(prose(rng, 300))) < 0.05 and likeness(f(""), f("")) == 1 and likeness(f(""), f("a")) == 0
 
 
+def test_likeness_sees_past_edits():
+    rng = random.Random(9)
+    f = lambda x: fingerprint_of(points(x))
+    t = prose(rng, 600, 9000)
+    assert likeness(f(t), f("#" + t[1:-1] + "#")) > 0.95
+    words = t.split(" ")
+    for k in range(20, 600, 50):
+        words[k] = "edited" if k % 100 else "words put in"
+    assert likeness(f(t), f(" ".join(words))) > 0.75
+    assert likeness(f(t), f(f"{prose(rng, 9, 9000)} {t[1500:]} {prose(rng, 9, 9000)} {t[:1500]} {prose(rng, 9, 9000)}")) > 0.85  # moved
+    other = prose(rng, 600, 9000)
+    assert likeness(f(t), f(other)) < 0.05 and likeness(f(t + t), f("x" + t + other)) < 0.6  # each span is paired once
+    for a, b in (("a" * 1000, "b" + "a" * 999), ("a" * 1000, "b" + "a" * 998 + "c"), ("ab" * 40, "b" + "ab" * 500), ("", "x" * 100)):
+        got = likeness(f(a), f(b))
+        assert 0 <= got < 1 and got == likeness(f(b), f(a))
+        assert got <= (min(len(a), len(b))) / max(len(a), len(b))
+
+
+def test_interior_spans_cover_the_text():
+    rng = random.Random(2)
+    for t in ["", "a", "ab" * 3, "a" * 700, *(prose(rng, n) for n in (2, 9, 90, 900)), "東京 naïve " * 30]:
+        parts = fingerprint_of(points(t)).split(":")
+        size = list(bytes.fromhex(parts[5]))
+        assert sum(size) == len(t) and len(parts[4]) == 8 * len(size) and all(0 < x <= 64 for x in size)
+        at = 0
+        for k, n in enumerate(size):
+            assert int(parts[4][8 * k : 8 * k + 8], 16) == int(prefix(points(t[at : at + n]))[-1])
+            at += n
+
+
 def test_edited_texts(messy, empty):
     rows = messy_rows()
     tie = lambda t: np.array([__import__("xxhash").xxh64_intdigest((t or "").encode())], np.uint64).view(np.int64)[0]
