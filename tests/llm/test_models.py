@@ -157,3 +157,12 @@ def test_probabilities_sum_to_one():
     own = np.exp(model.logs(f, ids))
     # class 0 stands for all rare words; unused slots of a class take what is left
     assert own.sum() < 1 + 1e-6 and own.sum() > 0.8
+
+
+def test_rare_words_are_learned_from_their_context(spark):
+    """Of 4,000 words that each follow a word of their own, none is frequent."""
+    rng = random.Random(12)
+    texts = [" ".join(f"a{k} b{k}" for k in (rng.randrange(2000) for _ in range(40))) for _ in range(3000)]
+    got = scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 200 and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
