@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from llm.conftest import clashing, messy_rows, prose
 
-from arcweave.llm import quality, toxicity
+from arcweave.llm import language_model, quality, toxicity
 from arcweave.llm.language_model import Model, scores
-from arcweave.llm.textkit import U
+from arcweave.llm.textkit import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,19 +123,30 @@ def order(x):
     return (x[0] is not None, x[0] or 0, x[2], x[5])
 
 
-def test_base_scores(messy, empty, monkeypatch):
-    from arcweave.llm import language_model
-
+def test_base_scores(messy, empty):
     rows = [r[:2] for r in messy_rows()]
     want = sorted(brute_base(rows), key=order)
     for top in (1 << 17, 1200):  # all counts broadcast; the rest joined
-        monkeypatch.setattr(language_model, "TOP", top)
-        got = sorted(map(tuple, scores(clashing(messy)).collect()), key=order)
+        got = sorted(map(tuple, scores(clashing(messy), top=top).collect()), key=order)
         assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5] for g in got], [w[5] for w in want], atol=1e-6)
         assert all(g[6] < 0 for g in got)
     assert scores(empty).count() == 0 and scores(messy.filter("doc_id = 31")).count() == 1
 
 
+def test_nothing_to_learn_from(spark):
+    held = [i for i in range(60) if not remainder(i, 10)]
+    got = scores(spark.createDataFrame([(i, "one two") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) > 0 and all(r.train_tokens == 0 and r.n_known == 0 and abs(r.score - r.base_score) < 1e-6 for r in got)
+
+
+def test_scores_do_not_follow_the_layout(spark):
+    rng = random.Random(21)
+    docs = [(i, prose(rng, rng.randrange(0, 120), 900)) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    one, *others = ({r.doc_id: r.score for r in scores(table.repartition(n)).collect()} for n in (1, 8, 32))
+    assert len(one) == 400 and all(math.isclose(x[i], one[i], rel_tol=1e-6) for x in others for i in one)
+
+
 def test_model_beats_its_base_on_held_out_text(spark):
     """Words that follow one another are learned."""
     rng = random.Random(8)
@@ -146,19 +157,6 @@ def test_model_beats_its_base_on_held_out_text(spark):
     assert len(held) > 30 and sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one():
-    keys = np.arange(1, 201).astype(U)
-    counts = np.arange(200, 0, -1).astype(float)
-    model = Model.start(keys, counts, 30_000.0)
-    rng = np.random.default_rng(0)
-    model.tables = [t + rng.normal(0, 0.1, t.shape).astype(np.float32) for t in model.tables]
-    f = np.repeat(np.array([[3], [1030], [2100]]), 201, axis=1)
-    ids = np.arange(201)
-    own = np.exp(model.logs(f, ids))
-    # class 0 stands for all rare words; unused slots of a class take what is left
-    assert own.sum() < 1 + 1e-6 and own.sum() > 0.8
-
-
 def test_rare_words_are_learned_from_their_context(spark):
     """Of 4,000 words that each follow a word of their own, none is frequent."""
     rng = random.Random(12)
@@ -166,3 +164,112 @@ def test_rare_words_are_learned_from_their_context(spark):
     got = scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
     held = [r for r in got if r.held_out]
     assert len(held) > 200 and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
+def test_probabilities_sum_to_one():
+    """Over all known words, in any context, with any weights."""
+    rng = np.random.default_rng(0)
+    data = np.frombuffer(" ".join(f"w{k}" for k in range(3000)).encode(), np.uint8)
+    own = language_model.Tokens(data, np.array([0, len(data)])).hash
+    counts = rng.integers(1, 50, len(own)).astype(float)
+    total = counts.sum()
+    k, _ = language_model.shape(total)
+    c, g = language_model.groups_of(own, k)
+    seen, kinds = np.bincount(c * k + g, counts, k * k).reshape(k, k), np.bincount(c * k + g, minlength=k * k).reshape(k, k)
+    model = Model.start(own[:500], counts[:500], seen, kinds, total)
+    model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+    p = np.zeros(len(own))
+    for s in range(0, len(own), 1000):  # the context "w7 w9" before each word
+        texts = [f"w7 w9 w{j}" if j < 3000 else "w7 w9" for j in range(s, min(s + 1000, len(own)))]
+        off = np.cumsum([0, *map(len, texts)])
+        t = language_model.Tokens(np.frombuffer("".join(texts).encode(), np.uint8), off)
+        p[s : s + len(texts)] = model.gains(t)[t.first + 2]
+    base = (counts + 0.1) / (total + 0.1 * (len(own) + 1))
+    assert abs((10**p * base).sum() - 1) < 1e-3
+
+
+def one_mix(x):
+    return int(mix(np.array([x % 2**64], np.uint64))[0])
+
+
+def brute_scores(rows):
+    """The model over plain lists and dictionaries, one token and one weight at a time."""
+    m = language_model
+    fit = [(i, t) for i, t in rows if remainder(i, 10)]
+    hashed = {}
+
+    def ids(t):
+        w = tokens(t)
+        new = [x for x in w if x is not None and x not in hashed]
+        for x in new:
+            raw = np.frombuffer(x.encode(), np.uint8)
+            hashed[x] = int(m.Tokens(raw, np.array([0, len(raw)])).hash[0])
+        return [int(m.END) if x is None else hashed[x] for x in w]
+
+    counts = Counter(h for _, t in fit for h in ids(t))
+    n, v = sum(counts.values()), len(counts)
+    k, size = m.shape(n)
+    den = n + 0.1 * (v + 1)
+    group = lambda h: ((x := one_mix(h + 77)) % k, (x >> 32) % k)
+    mass = {(a, b): 0.1 / k**2 / den for a in range(k) for b in range(k)}
+    for h, c in counts.items():
+        mass[group(h)] += (c + 0.1) / den
+    share = [sum(mass[a, b] for b in range(k)) for a in range(k)]
+    mean = [sum(mass[a, b] for a in range(k)) for b in range(k)]
+    rank = {h: r for r, h in enumerate(sorted(counts, key=lambda h: (-counts[h], h)))}
+    weights = {}
+
+    def contexts(h):
+        for i, x in enumerate(h):
+            a, b = group(x)
+            one = h[i - 1] if i else int(m.BOS)
+            two = h[i - 2] if i > 1 else int(m.BOS)
+            some = [y for y in h[max(0, i - m.REACH) : i] if y in rank]
+            often = int(m.BOS) if not i else min(some, key=rank.get) if some else int(m.NONE)
+            both = one_mix(one * 0x9E3779B97F4A7C15 + one_mix(often))
+            yield a, b, [(j, one_mix(y + j) % size) for j, y in enumerate((one, two, often, both))], [(4 + j, one_mix(one_mix(y + 50 + j) + a) % size) for j, y in enumerate((one, often))]
+
+    def soft(rows_, start):
+        z = [s * math.exp(sum(weights[r][c] for r in rows_ if r in weights)) for c, s in enumerate(start)]
+        return [x / sum(z) for x in z]
+
+    used = Counter()
+    for r in range(m.ROUNDS):
+        grad = {}
+        for i, t in fit:
+            if part_of[i] != r:
+                continue
+            for a, b, wide, deep in contexts(ids(t)):
+                for own, taken, start in ((wide, a, share), (deep, b, [mass[a, x] / share[a] for x in range(k)])):
+                    p = soft(own, start)
+                    for row in own:
+                        g = grad.setdefault(row, [0.0] * k)
+                        used[row] += 1
+                        for c in range(k):
+                            g[c] += (c == taken) - p[c]
+        for row, g in grad.items():
+            q = soft([row], share if row[0] < 4 else mean)
+            w = weights.setdefault(row, [0.0] * k)
+            for c in range(k):
+                w[c] += min(max(m.RATE * math.log1p(max(g[c] / (used[row] * q[c] + m.PRIOR), -0.95)), -m.STEP), m.STEP)
+    out = {}
+    for i, t in rows:
+        h = ids(t)
+        total = 0.0
+        for x, (a, b, wide, deep) in zip(h, contexts(h)):
+            total += math.log10((counts[x] + 0.1) / den * soft(wide, share)[a] / share[a] * soft(deep, [mass[a, y] / share[a] for y in range(k)])[b] / (mass[a, b] / share[a]))
+        out[i] = total
+    return out
+
+
+part_of = {}
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 22), 40)) for i in range(80)] + [(80, ""), (81, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    part_of.update({r[0]: r[1] for r in table.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {language_model.ROUNDS}) AS p").collect()})
+    want = brute_scores(rows)
+    got = {r.doc_id: r.score for r in scores(table).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
