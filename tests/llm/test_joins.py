@@ -1,6 +1,7 @@
 """Similarity join, substring dedup and decontamination against plain Python."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from llm.conftest import clashing, messy_rows, prose
 
 from arcweave.llm.components import components
-from arcweave.llm.decontamination import MASKS, SPAN, decontaminated, overlaps
+from arcweave.llm.decontamination import MASKS, SHORT_MASKS, decontaminated, overlaps
 from arcweave.llm.jaccard_join import divide_skip, near_duplicates_removed, similar_sets
 from arcweave.llm.substring_dedup import COVER, PERIOD, check_cover, substring_dedup, substring_report
 
@@ -173,25 +174,28 @@ def split(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
 
-def brute_overlaps(rows, items, window=13, share=0.8):
-    """Pairs of rows and items that an aligned window joins around a hit of some mask."""
-    out = set()
+def brute_windows(rows, items, window=13, share=0.8):
+    """How many aligned windows of each row and item have enough equal tokens: all of them are compared, without masks."""
+    out = Counter()
     for r in rows:
         h = split(r[1])
         for item, text in items:
             g = split(text)
             w = min(window, len(g))
-            need = -(-w * 8 // 10) if share == 0.8 else None
-            for p in range(len(h) - SPAN + 1):
-                for q in range(len(g) - SPAN + 1):
-                    if not any(all(h[p + o] == g[q + o] for o in m) for m in MASKS):
-                        continue
-                    for s in range(max(SPAN - w, -p, -q), min(0, len(h) - w - p, len(g) - w - q) + 1):
-                        if sum(h[p + s + k] == g[q + s + k] for k in range(w)) >= need:
-                            out.add((r[0], item))
+            need = len(g) if len(g) < 9 else -(-w * 8 // 10)
+            for d in range(-len(g), len(h)) if g else ():
+                equal = [0 <= q + d < len(h) and h[q + d] == g[q] for q in range(len(g))]
+                if sum(equal) >= need:
+                    n = sum(0 <= q + d and q + d + w <= len(h) and sum(equal[q : q + w]) >= need for q in range(len(g) - w + 1))
+                    if n:
+                        out[r[0], item] += n
     return out
 
 
+def brute_overlaps(rows, items):
+    return set(brute_windows(rows, items))
+
+
 def test_decontamination(spark, messy, empty):
     import random
 
@@ -209,15 +213,53 @@ def test_decontamination(spark, messy, empty):
         assert {(r.doc_id, r.item_id) for r in overlaps(docs, bench, broadcast_seeds=limit).collect()} == want
     own = clashing(docs)
     got = decontaminated(own, bench)
-    assert got.columns == own.columns
+    assert got.columns == own.columns and decontaminated(own, bench, 0).count() == got.count()
     assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in rows if not brute_overlaps([r], items))
     assert overlaps(empty, bench).count() == 0 and overlaps(docs, bench.filter("false")).count() == 0 and decontaminated(docs, bench.filter("false")).count() == len(rows)
 
 
-def test_every_two_substitutions_are_met():
-    for a in range(13):
-        for b in range(a):
-            assert any(all(p + o not in (a, b) for o in m) for m in MASKS for p in range(13 - SPAN + 1)), (a, b)
+def test_every_allowed_substitution_is_met():
+    for masks, w, subs in ((MASKS, 13, 2), (SHORT_MASKS, 12, 2), (SHORT_MASKS, 11, 2), (SHORT_MASKS, 10, 2), (SHORT_MASKS, 9, 1)):
+        for changed in itertools.combinations(range(w), subs):
+            assert any(not {p + o for o in m} & set(changed) for m in masks for p in range(w - m[-1])), (w, changed)
+
+
+def test_substituted_items_of_every_length(spark):
+    """Each pattern of allowed substitutions in items of 9 to 13 tokens, and one too many; short items whole."""
+    import random
+
+    rng = random.Random(6)
+    rows, items = [], []
+    for w in range(1, 14):
+        item = [f"i{w}x{k}" for k in range(w)]
+        items.append((w, " ".join(item)))
+        subs = w - (w if w < 9 else -(-w * 8 // 10))
+        for n in range(subs + 2):
+            for changed in list(itertools.combinations(range(w), n))[: 200 if n <= subs else 20]:
+                own = [f"other{rng.randrange(999)}" if k in changed else x for k, x in enumerate(item)]
+                rows.append((len(rows), f"{prose(rng, rng.randrange(3))} {' '.join(own)} {prose(rng, rng.randrange(3))}"))
+    want = brute_windows(rows, items)
+    assert {i for _, i in want} == set(range(1, 14))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (200_000, 0):
+        assert {(r.doc_id, r.item_id): r.n_hits for r in overlaps(docs, bench, broadcast_seeds=limit).collect()} == want
+
+
+def test_item_ids_that_repeat_with_other_texts(spark):
+    import random
+
+    rng = random.Random(31)
+    a = prose(rng, 24, 3000).split(" ")
+    b = [x if k % 6 else "else" for k, x in enumerate(a)]
+    items = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(a)), (None, " ".join(a)), (2, prose(rng, 20, 3000))]
+    docs = spark.createDataFrame([(7, " ".join(a)), (8, " ".join(b)), (9, prose(rng, 30, 3000))], "doc_id long, text string")
+    rows = [tuple(r) for r in docs.collect()]
+    one, two = brute_windows(rows, items[:1]), brute_windows(rows, items[1:2])
+    want = {**{(d, 1): one[d, 1] + two[d, 1] for d in (7, 8)}, **{(d, None): one[d, 1] for d in (7, 8) if one[d, 1]}}
+    for order in (items, items[::-1]):
+        for limit in (200_000, 0):
+            bench = spark.createDataFrame(order, "item_id long, text string").repartition(2)
+            assert {(r.doc_id, r.item_id): r.n_hits for r in overlaps(docs, bench, broadcast_seeds=limit).collect()} == want
 
 
 def test_empty_tables(empty):
