@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from arcweave.llm.frames import removed, stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """For each u its smallest neighbour or itself; hubs are pre-aggregated before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _least(edges: DataFrame, paths: list[str]) -> DataFrame:
+    """For each u its smallest neighbour or itself; hubs are pre-aggregated before the shuffle. A written table, so that
+    the join with it is of two plain exchanges and the adaptive plan can split a hub's rows."""
+    got, path = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    paths.append(path)
+    return got
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(_least(both, paths), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+def _small_star(edges: DataFrame, paths: list[str]) -> DataFrame:
+    down, path = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    paths.append(path)
+    least = _least(down, paths)
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -32,10 +36,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     points at its root. No links give no rows. Nulls are left out, repeated links and loops do no harm."""
     now, at = stored(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct())
     for _ in range(rounds):
-        new, path = stored(_small_star(_large_star(now)))
+        used: list[str] = []
+        new, path = stored(_small_star(_large_star(now, used), used))
         # done when no root has a root of its own and the star is flat
         a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, new))
-        removed(edges.sparkSession, at)
+        removed(edges.sparkSession, at, *used)
         now, at = new, path
         if a == b:
             break

@@ -2,25 +2,28 @@
 
 1. Equal sets become one class. Shingles are 64-bit hashes; their numeric order is a global order.
 2. A set that links must share `t` of its first n - ceil(s n) + t shingles with one other set. Classes
-   with fewer shared ones leave; so do, over whole sets, those with under ceil(s n) shared shingles.
+   with fewer shared ones leave; so do, over whole sets, those with under ceil(s n) shared shingles. Shingles
+   that one set alone has are counted, by sums that combine before the shuffle, so frequent ones cost nothing.
 3. The rest is sorted by frequency. Two linked sets share one of their rarest n' - ceil(s n) + 1, so the
-   groups of sets that are connected through those hold all links between them.
+   groups of sets that are connected through those hold all links between them. Groups are cut by size where sizes
+   differ too much for a link.
 4. Each group gets an inverted index. DivideSkip merges a query's short lists, probes its long ones by
-   binary search, and keeps what reaches the overlap; an exact test follows. Large groups are searched
-   chunk against chunk, so a task's memory has a fixed bound. Links are unioned where they are found:
-   a task returns one row for each of its sets.
+   binary search, and keeps what reaches the overlap; an exact test follows. The index of a large group is split into
+   shards, each searched by each other one, so a task's memory has a fixed bound; shards grow with the square root
+   of the group, up to that bound. Links are unioned where they are found: a task returns one row for each of its sets.
 
 Filters 2 and 3 only ever let too much through; no link is lost, and no list or group is cut.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.components import components
@@ -28,8 +31,13 @@ from arcweave.llm.frames import NULL_ID, removed, slices, stored, table, unused,
 from arcweave.llm.substring_dedup import _lists, _settled
 from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
-#: Share of a set's size that is asked of its first shingles, and sets in a search group or chunk.
-SLACK, CHUNK = 0.1, 2_000
+#: Share of a set's size that is asked of its first shingles.
+SLACK = 0.1
+#: Shingles of a shard: of small groups together and of a large one at least; at most (under 500 MB in a task); and
+#: their growth with the square root of a group's shingles between these.
+SHARD, MOST, GROWTH = 1 << 18, 1 << 23, 256
+#: Entries that are merged by a heap; more by a sort that merges sorted runs.
+HEAP = 64
 #: Words of 64 bits in the filter that spares whole sets of documents that left: 8 MB, whatever the input.
 BLOOM = 1 << 20
 
@@ -75,16 +83,15 @@ def _first_rows(k: int, percent: int, slack: float) -> Callable:
                 at = np.arange(len(h)) - np.repeat(start, n)
                 head = at < np.repeat(size, n)
                 rows = np.repeat(np.arange(hi - lo), n)[head]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d), pa.array(e), _lists(h[head].view(np.int64), rows, hi - lo)], ["id", "n", "d", "e", "head"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(size), pa.array(d), pa.array(e), _lists(h[head].view(np.int64), rows, hi - lo)], ["id", "tk", "n", "s", "d", "e", "head"])
 
     return run
 
 
 def _shared(rows: DataFrame, list_col: str) -> DataFrame:
-    """(node, c): how many values of the list of each of `rows` (node, list) another row has too.
+    """(node, alone): how many values of the list of each of `rows` (node, list) no other row has; none where it has none.
 
-    Values met twice in an Arrow batch are settled there; one row (h, node, w) goes out for each value and batch, with
-    w -1 if the batch had it twice, else 0. Settled values go as a count w > 0, under an h that only deals them out."""
+    A value goes out once for each Arrow batch, as seen once or more often, and is added up before the shuffle."""
 
     def run(batches):
         for b in batches:
@@ -94,19 +101,11 @@ def _shared(rows: DataFrame, list_col: str) -> DataFrame:
             if not len(h):
                 continue
             least, most, first = _settled(h, row)
-            many = least < most
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), node.take(pa.array(row[first])), pa.array(-many[first].astype(np.int32))], ["h", "node", "w"])
-            count = np.bincount(row[many & ~first], minlength=b.num_rows)
-            more = np.flatnonzero(count)
-            if len(more):
-                own = node.take(pa.array(more))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(own.to_numpy().view(U)).view(np.int64)), own, pa.array(count[more].astype(np.int32))], ["h", "node", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), node.take(pa.array(row[first])), pa.array(1 + (least < most)[first].astype(np.int32))], ["h", "node", "c"])
 
-    sent = rows.select("node", list_col).mapInArrow(run, "h long, node long, w int")
-    same = Window.partitionBy("h")
-    met = sent.withColumns({"rows": F.count(F.when(F.col("w") <= 0, 1)).over(same), "m": F.min("w").over(same)})
-    one = F.when(F.col("w") > 0, F.col("w")).otherwise(((F.col("m") < 0) | (F.col("rows") > 1)).cast("int"))
-    return met.groupBy("node").agg(F.sum(one).alias("c"))
+    sent = rows.select("node", list_col).mapInArrow(run, "h long, node long, c int")
+    one = sent.groupBy("h").agg(F.sum("c").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return one.groupBy("node").agg(F.count("*").alias("alone"))
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -118,11 +117,24 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, number of runs that have it) of ascending runs: a heap merges few entries, a stable sort, which merges
+    the runs it finds, many."""
+    if sum(map(len, runs)) <= HEAP:
+        flat = np.fromiter(heapq.merge(*(r.tolist() for r in runs)), np.int64)
+    else:
+        flat = np.concatenate(runs)
+        flat.sort(kind="stable")
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    return flat[at], np.diff(np.append(at, len(flat)))
+
+
 def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, sides: np.ndarray | None = None, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """(local root, number of links) of each set, by T-occurrence search over one inverted index.
 
-    With `sides`, only links between a set of side 0 and one of side 1 count."""
+    With `sides`, only links between a set of side 0 and one of side 1 count, and side 0 comes first."""
     m = len(sets)
+    after = int(np.searchsorted(sides, 1)) if sides is not None else 0
     flat = np.concatenate([np.zeros(0, np.int64), *sets])
     owner = np.repeat(np.arange(m), sizes)
     _, token = np.unique(flat, return_inverse=True)
@@ -150,11 +162,13 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, sides:
         # DivideSkip's rule for how many of the longest lists to leave out of the merge
         skip = min(t - 1, int(t / (mu * np.log2(max(biggest, 2)) + 1)))
         short, long = own[: len(own) - skip], own[len(own) - skip :]
-        merged = np.concatenate([lists[bound[x] : bound[x + 1]] for x in short if length[x] > 1] or [np.zeros(0, np.int64)])
-        merged = merged[sides[merged] == 1] if sides is not None else merged[merged > q]
-        if not len(merged):
+        runs = [lists[bound[x] : bound[x + 1]] for x in short if length[x] > 1]
+        # what follows the query alone: with sides those of side 1 come last
+        least = after if sides is not None else q + 1
+        runs = [r for r in (r[np.searchsorted(r, least) :] for r in runs) if len(r)]
+        if not runs:
             continue
-        found, count = np.unique(merged, return_counts=True)
+        found, count = merged_runs(runs)
         fits = (count >= t - skip) & (100 * np.minimum(sizes[found], sizes[q]) >= percent * np.maximum(sizes[found], sizes[q]))
         found, count = found[fits], count[fits]
         for i, x in enumerate(long[::-1]):  # probes, the longest last to leave few candidates
@@ -176,52 +190,59 @@ def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, sides:
 def _search(percent: int) -> Callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "node"], ignore_index=True)
-        side = rows["side"].to_numpy()
-        root, links = divide_skip(list(rows["set"]), rows["n"].to_numpy(), percent, side if key[1] != key[2] else None)
+        root, links = divide_skip(list(rows["set"]), rows["n"].to_numpy(), percent, rows["side"].to_numpy() if key[1:3] != key[3:5] else None)
         node = rows["node"].to_numpy()
         return pd.DataFrame({"node": node, "near": node[root], "links": links})
 
     return run
 
 
-def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float = SLACK, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row of `docs`.
-
-    component_id is the smallest doc_id that links reach; n_links counts the different linked sets. A text
-    of 1 to k-1 words is one shingle; null, empty and blank texts have none and link with nothing. A null
-    id comes after all others; rows of one id are told apart by their sets. Repeated rows get equal
-    results; an empty table gives an empty result. Texts are read whole, other columns left out."""
+def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tk, n, d, e) of each row, tk being a hash of its text; and (d, e, root, least, n_links) of each set."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    heads, at = stored(rows.mapInArrow(_first_rows(k, percent, slack), "id long, n long, d long, e long, head array<long>"))
-    light = written(heads.select("id", "n", "d", "e"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
+    heads, at = stored(rows.mapInArrow(_first_rows(k, percent, slack), "id long, tk long, n long, s long, d long, e long, head array<long>"))
+    light = written(heads.select("id", "tk", "n", "s", "d", "e"))
     # an id that stands for several sets can't name its class
     clash = light.groupBy("id").agg(F.min(F.struct("d", "e")).alias("a"), F.max(F.struct("d", "e")).alias("z")).filter("a <> z").select("id", F.lit(True).alias("clash"))
-    first = light.filter("n > 0").groupBy("d", "e").agg(F.min(F.struct("id", "n")).alias("f"))
+    first = light.filter("n > 0").groupBy("d", "e").agg(F.min(F.struct("id", "n", "s")).alias("f"))
     classes = written(first.select("d", "e", "f.*").join(clash, "id", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("id", "d", "e")).otherwise(F.col("id"))).drop("clash"))
     lists = heads.filter("n > 0").groupBy("d", "e").agg(F.first("head").alias("head")).join(classes.select("d", "e", "node"), ["d", "e"])
     # large tables go as soon as the next one is written: at most two lie side by side
-    parts, old = _links(rows, lists, classes, at, k, percent, slack, chunk)
-    found = written(parts)
+    parts, old = _links(rows, lists, classes, at, k, percent, slack, shard)
+    found, found_at = stored(parts)
     removed(spark, *old)
     roots = components(found.filter("node <> near").select(F.col("node").alias("u"), F.col("near").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = classes.select("d", "e", "id", "node").join(roots, "node", "left").join(links, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
-    named = named.join(least, "root").select("d", "e", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = written(named.join(least, "root").select("d", "e", "root", "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    removed(spark, found_at)
+    return light.drop("s"), named
+
+
+def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float = SLACK, shard: int = SHARD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row of `docs`.
+
+    component_id is the smallest doc_id that links reach; n_links counts the different linked sets. A text
+    of 1 to k-1 words is one shingle; null, empty and blank texts have none and link with nothing. A null
+    id comes after all others; rows of one id are told apart by their sets. Repeated rows get equal
+    results; an empty table gives an empty result. Texts are read whole, other columns left out."""
+    light, named = _classified(docs, k, percent, slack, shard)
     out = light.join(named, ["d", "e"], "left")
     known = lambda c: F.when(c != NULL_ID, c)
-    return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str, k: int, percent: int, slack: float, chunk: int) -> tuple[DataFrame, list[str]]:
+def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str, k: int, percent: int, slack: float, shard: int) -> tuple[DataFrame, list[str]]:
     """(node, near, links), parts of the answer to be unioned and summed; and the tables that they come from."""
     spark = rows.sparkSession
     # a linked set may be smaller: what is asked follows the least size it can have
-    asked = f"greatest(1, floor({slack} * ceil({percent} * n / 100)))"
-    alive = _shared(lists.select("node", "head"), "head").join(classes.select("node", "n", "id", "d", "e"), "node")
-    alive = written(alive.filter(f"c >= {asked}").select("node", "id", "d", "e"))
+    asked = f"greatest(1, floor({slack}D * ceil({percent} * n / 100)))"
+    alone = lambda c: F.col(c) - F.coalesce("alone", F.lit(0))
+    alive = classes.join(_shared(lists.select("node", "head"), "head"), "node", "left")
+    alive = written(alive.filter(alone("s") >= F.expr(asked)).select("node", "id", "d", "e"))
     removed(spark, lists_at)
     bloom = spark.sparkContext.broadcast(_bloom(alive.select(F.col("id").alias("node")).distinct()))
     own = rows.withColumn("bit", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(BLOOM * 64)))
@@ -243,7 +264,7 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     full, at = stored(full.join(alive, ["id", "d", "e"]).select("node", "n", "set").dropDuplicates(["node"]))
     enough = f"ceil({percent} * n / 100)"
     for _ in range(2):
-        full, new = stored(full.join(_shared(full, "set"), "node").filter(f"c >= {enough}").select("node", "n", "set"))
+        full, new = stored(full.join(_shared(full, "set"), "node", "left").filter(alone("n") >= F.expr(enough)).select("node", "n", "set"))
         removed(spark, at)
         at = new
     # the rarest shared shingles of each set
@@ -255,28 +276,47 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     group = components(rare.join(lead, "h").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
     sized, new = stored(full.join(group.withColumnRenamed("root", "grp"), "node"))
     removed(spark, at)
-    counts = sized.groupBy("grp").agg(F.count("*").alias("m"))
-    total = sized.count()
-    bins = max(1, -(-total // chunk))
-    parts = F.ceil(F.col("m") / chunk).cast("int")
-    placed = sized.join(counts, "grp").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # small groups share a task; a large one becomes all pairs of its chunks
-    small = placed.filter("parts = 1").select(F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("g"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side"), "node", "n", "set")
-    large = placed.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.select(F.col("grp").alias("g"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "set")
-    return small.unionByName(large).groupBy("g", "a", "b").applyInPandas(_search(percent), "node long, near long, links long"), [new]
+    weights = sized.groupBy("grp").agg(F.sum("n").alias("w"))
+    bins = max(1, -(-int(sized.agg(F.sum("n")).first()[0] or 0) // shard))
+    # sizes of linked sets differ by 100 / percent at most, so by one level; a little more keeps rounding out of it
+    level = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
+    placed = sized.join(weights, "grp")
+    # small groups share a task; of a large one each shard meets those of its own size level and of the next ones
+    small = placed.filter(F.col("w") <= shard).select(F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("g"), *[F.lit(-1).cast("long").alias(c) for c in "xayb"], F.lit(0).alias("side"), "node", "n", "set")
+    large = placed.filter(F.col("w") > shard).withColumn("x", level)
+    size = F.least(F.lit(float(max(MOST, shard))), F.greatest(F.lit(float(shard)), GROWTH * F.sqrt(F.sum("n"))))
+    cells = large.groupBy("grp", "x").agg(F.ceil(F.sum("n") / size).alias("parts"))
+    large = large.join(cells, ["grp", "x"]).withColumn("a", F.pmod(F.xxhash64("node"), F.col("parts")))
+    for step, name in ((-1, "below"), (1, "above")):
+        large = large.join(cells.select("grp", (F.col("x") - step).alias("x"), F.col("parts").alias(name)), ["grp", "x"], "left")
+    others = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meet = lambda x, a, y, b, side: F.struct(x.alias("x"), a.alias("a"), y.alias("y"), b.alias("b"), side.cast("int").alias("side"))
+    x, a, none = F.col("x"), F.col("a"), F.array().cast("array<struct<x:bigint,a:bigint,y:bigint,b:bigint,side:int>>")
+    same = F.transform(others(F.col("parts")), lambda o: meet(x, F.least(a, o), x, F.greatest(a, o), a > o))
+    up = F.when(F.col("above").isNotNull(), F.transform(others(F.col("above")), lambda o: meet(x, a, x + 1, o, F.lit(0))))
+    down = F.when(F.col("below").isNotNull(), F.transform(others(F.col("below")), lambda o: meet(x - 1, o, x, a, F.lit(1))))
+    large = large.withColumn("to", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))).select(F.col("grp").alias("g"), "to.*", "node", "n", "set")
+    return small.unionByName(large).groupBy("g", "x", "a", "y", "b").applyInPandas(_search(percent), "node long, near long, links long"), [new]
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component of `docs`, that of its smallest doc_id, with all columns; of several rows with that
-    id one. Rows without words stay, one for each id; rows without an id go if linked to one with an id."""
-    got = similar_sets(docs, k, percent).select("doc_id", "component_id").distinct()
-    own = unused(docs, "kept")[0]
-    keep = written(got.filter("doc_id <=> component_id").select(F.col("doc_id").alias(own)))
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
-    known = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(out.filter("doc_id is null").dropDuplicates(["text"]))
+    """One row of each component of `docs`, with all its columns: that of the smallest doc_id, a null one last, and of
+    several texts with that id the one with the smallest hash. Rows without words are linked with nothing and stay.
+    Of rows with one id and one text, also without any id, one stays."""
+    light, named = _classified(docs, k, percent, SLACK, SHARD)
+    rows = light.groupBy("id", "tk").agg(F.first("d").alias("d"), F.first("e").alias("e"), F.max("n").alias("n"), F.count("*").alias("m"))
+    best = rows.filter("n > 0").join(named, ["d", "e"]).groupBy("root").agg(F.min(F.struct("id", "tk")).alias("f")).select("f.*")
+    one, two = unused(docs, "one", "two")
+    lost = rows.filter("n > 0").join(best, ["id", "tk"], "left_anti").select(F.col("id").alias(one), F.col("tk").alias(two))
+    often = rows.filter("m > 1").select(F.col("id").alias(one), F.col("tk").alias(two))
+    lost, often = written(lost), written(often)
+    out = docs.withColumns({one: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), two: F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = out.join(lost, [one, two], "left_anti")
+    # only rows that repeat are looked at as a whole
+    single, several = out.join(often, [one, two], "left_anti"), out.join(often, [one, two], "left_semi").dropDuplicates([one, two])
+    return single.unionByName(several).select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """similar_sets() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
     return similar_sets(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ from llm.conftest import clashing, messy_rows, prose
 
 from arcweave.llm.components import components
 from arcweave.llm.decontamination import MASKS, SHORT_MASKS, decontaminated, overlaps
-from arcweave.llm.jaccard_join import divide_skip, near_duplicates_removed, similar_sets
+from arcweave.llm.jaccard_join import divide_skip, merged_runs, near_duplicates_removed, similar_sets
 from arcweave.llm.substring_dedup import COVER, PERIOD, check_cover, substring_dedup, substring_report
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,9 +60,9 @@ def same(got, want):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
 
 
-@pytest.mark.parametrize("k, percent, chunk", [(4, 85, 2000), (5, 80, 3), (4, 30, 2)])
-def test_similar_sets(messy, k, percent, chunk):
-    same(similar_sets(messy, k, percent, chunk=chunk).collect(), brute_links(messy_rows(), k, percent))
+@pytest.mark.parametrize("k, percent, shard", [(4, 85, 1 << 18), (5, 80, 300), (4, 30, 200)])
+def test_similar_sets(messy, k, percent, shard):
+    same(similar_sets(messy, k, percent, shard=shard).collect(), brute_links(messy_rows(), k, percent))
 
 
 def test_links_of_many_near_copies(spark):
@@ -77,10 +77,111 @@ def test_links_of_many_near_copies(spark):
             w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
         rows.append((k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for chunk in (2000, 40):
-        same(similar_sets(docs, 4, 85, chunk=chunk).collect(), brute_links(rows, 4, 85))
+    for shard in (1 << 18, 4000):
+        same(similar_sets(docs, 4, 85, shard=shard).collect(), brute_links(rows, 4, 85))
 
 
+def test_links_between_size_levels(spark, monkeypatch):
+    """Near copies that grow: their sizes lie on several levels of a group cut into shards."""
+    from arcweave.llm import jaccard_join
+
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(base[: 100 + k])) for k in range(0, 200, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "MOST", 3000)
+    for percent in (85, 97, 100):
+        same(similar_sets(docs, 4, percent, shard=2000).collect(), brute_links(rows, 4, percent))
+
+
+def test_twenty_thousand_near_copies(spark):
+    """One group of different texts; words are changed where each shingle they touch becomes one of its own."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(60)]
+    rows, whole = [], np.ones((20_000, 57), np.float32)
+    for k in range(len(whole)):
+        own = list(base)
+        for at in rng.sample(range(60), k % 3):
+            own[at] = f"x{k}y{at}"
+            whole[k, max(0, at - 3) : at + 1] = 0
+        rows.append((k, " ".join(own)))
+    sets = {}
+    for k, (_, t) in enumerate(rows):
+        sets.setdefault(t, k)
+    kinds = np.array(sorted(sets.values()))
+    m = whole[kinds]
+    own = m.sum(1)
+    linked = np.zeros(len(m), np.int64)
+    to_first = None
+    for s in range(0, len(m), 1000):
+        # all sets have 57 shingles; those changed belong to one text alone
+        both = m[s : s + 1000] @ m.T
+        near = 100 * both >= 85 * (114 - both)
+        near[np.arange(len(near)), s + np.arange(len(near))] = False
+        linked[s : s + 1000] = near.sum(1)
+        to_first = near[0] if s == 0 else to_first
+    assert len(kinds) > 13_000 and own.min() > 40
+    links = {rows[i][1]: int(n) for i, n in zip(kinds, linked)}
+    assert {t: links[t] for t in links if links[t]}.keys() == {t for t in links if to_first[np.searchsorted(kinds, sets[t])] or sets[t] == 0}  # one component
+    got = similar_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shard=1 << 17).collect()
+    assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {i: (links[t], 0 if links[t] else sets[t]) for i, t in rows}
+
+
+def test_merged_runs():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for n in (1, 5, 40, 400):
+        runs = [np.array(sorted(rng.sample(range(1000), rng.randrange(n + 1))), np.int64) for _ in range(6)]
+        value, count = merged_runs(runs)
+        assert dict(zip(value.tolist(), count.tolist())) == Counter(x for r in runs for x in r.tolist()) and (np.diff(value) > 0).all()
+
+
+def brute_candidates(rows, k, percent):
+    """Pairs of rows that link, compared exactly wherever they share a shingle."""
+    sets = {}
+    for i, t in rows:
+        if own := frozenset(shingles(t, k)):
+            sets.setdefault(own, []).append(i)
+    kinds, lists, out = list(sets), defaultdict(list), {}
+    for a, s in enumerate(kinds):
+        both = Counter(b for x in s for b in lists[x])
+        out[a] = [b for b, n in both.items() if 100 * n >= percent * (len(s) + len(kinds[b]) - n)]
+        for x in s:
+            lists[x].append(a)
+    return kinds, sets, out
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_no_link_of_the_documents_is_lost(spark, k, percent):
+    """All documents of the small tables against exact comparison: what stays unlinked lies below the threshold."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    kinds, sets, near = brute_candidates(rows, k, percent)
+    root, links = list(range(len(kinds))), Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, found in near.items():
+        for b in found:
+            links[a] += 1
+            links[b] += 1
+            root[find(a)] = find(b)
+    least = {}
+    for a, s in enumerate(kinds):
+        least[find(a)] = min([least.get(find(a), LAST), *sets[s]])
+    want = {i: (least[find(a)], links[a]) for a, s in enumerate(kinds) for i in sets[s]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in similar_sets(docs, k, percent).collect() if r.n_shingles}
+    assert got == want and sum(links.values())
+
 def test_divide_skip_finds_every_pair():
     import numpy as np
 
@@ -94,14 +195,50 @@ def test_divide_skip_finds_every_pair():
             assert links.tolist() == want
 
 
-def test_one_of_each_group_stays(messy):
-    rows = messy_rows()
-    docs = clashing(messy)
-    got = near_duplicates_removed(docs, 5, 80)
-    assert got.columns == docs.columns
-    found = Counter(r.doc_id for r in got.collect())
-    want = {i for i, _, c, _ in brute_links(rows, 5, 80) if i is not None and i == c}
-    assert {i for i in found if i is not None} == want and all(found[i] == 1 for i in want)
+def brute_kept(rows, k, percent):
+    """(id, text) of the rows that stay: of each component the smallest id, then the text with the smallest hash."""
+    known = lambda r: LAST if r[0] is None else r[0]
+    sets = [frozenset(shingles(r[1], k)) for r in rows]
+    kinds = sorted({s for s in sets if s}, key=lambda s: sorted(s))
+    root = {s: s for s in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in itertools.combinations(kinds, 2):
+        if 100 * len(x & y) >= percent * len(x | y):
+            root[find(x)] = find(y)
+    best, out = {}, set()
+    for r, s in zip(rows, sets):
+        own = (known(r), text_hash(r[1]), r[0], r[1] or "")
+        if s:
+            best[find(s)] = min(best.get(find(s), own), own)
+        else:
+            out.add((r[0], r[1] or ""))
+    return out | {x[2:] for x in best.values()}
+
+
+def text_hash(t):
+    import xxhash
+
+    x = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return x - (x >> 63 << 64)
+
+
+def test_one_of_each_group_stays(spark, messy):
+    import random
+
+    rng = random.Random(41)
+    x, y, z = (prose(rng, 40, 9000) for _ in range(3))
+    odd = [(5, z), (5, y + " tail"), (None, y), (None, y + " tail two"), (None, x + " extra"), (1, x), (None, prose(rng, 30)), (None, ""), (None, None), (8, " "), (8, " "), (9, None)]
+    for rows in ([(r[0], r[1]) for r in messy_rows()], odd):
+        docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got = near_duplicates_removed(docs, 5, 80)
+        assert got.columns == docs.columns
+        found = Counter((r.doc_id, r.text or "") for r in got.collect())
+        assert set(found) == brute_kept(rows, 5, 80) and set(found.values()) == {1}
 
 
 def test_components(spark):
