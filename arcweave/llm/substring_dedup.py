@@ -4,11 +4,12 @@ A set D of residues modulo v is a difference cover if each residue is a differen
 For any positions i and j there is then a shift k < v with (i + k) mod v and (j + k) mod v both in D. So
 two equal windows of `width` words share an anchor, a run of width - v + 1 words that starts at a cover
 position in either text. Anchors are hashed at cover positions only; those met in two documents are
-extended to the windows around them, which are compared by a 96-bit hash of all their words.
+extended to the windows around them, which are compared by 96 bits: a hash over the hashes of their words, and one
+over other hashes of these words.
 
 Texts are shuffled once, by document, and that exchange serves all three readings. A hash that several
-documents of one Arrow batch share is settled there for all but the first of them, so a passage held by
-very many documents sends one row for each batch.
+documents of one task share is settled there for all but the first of them, so a passage held by very many
+documents, or repeated within one, sends a row or two for each task.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed, unused
-from arcweave.llm.textkit import FIRST, SECOND, U, Words, mix, words
+from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed, unused, written
+from arcweave.llm.textkit import FIRST, SECOND, U, Words, mix, second_hash, words
 
 #: A perfect difference set: 30 differences of 6 residues modulo 31, each once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 WIDTH = 50
+#: Shared hashes that a task remembers from batch to batch; more are settled within their batch alone.
+HELD = 1 << 20
 
 
 def check_cover(period: int, cover: tuple[int, ...], width: int) -> None:
@@ -70,6 +73,30 @@ def _settled(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return least, most, first
 
 
+class Met:
+    """Hashes that documents of earlier batches of a task shared, and the least of these documents: HELD at most."""
+
+    def __init__(self):
+        self.keys, self.least = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def lower(self, key: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least document so far, whether the key was kept before)."""
+        if not len(self.keys):
+            return least, np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, np.minimum(least, self.least[at]), least), hit
+
+    def keep(self, key: np.ndarray, least: np.ndarray) -> None:
+        """Equal keys must come with equal documents."""
+        key, first = np.unique(key, return_index=True)
+        least = least[first]
+        if len(self.keys) + len(key) <= HELD:
+            both, low = np.append(key, self.keys), np.append(least, self.least)  # what is new comes first
+            self.keys, first = np.unique(both, return_index=True)
+            self.least = low[first]
+
+
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     """values grouped by row (sorted by row) as a list column of n rows."""
     off = np.zeros(n + 1, np.int32)
@@ -78,10 +105,11 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
 
 
 def _anchor_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
-    """Per batch: rows (h, id, sig, many) to be compared with other batches, and rows with the settled anchors of a
+    """Per batch: rows (h, id, sig, many) to be compared with other tasks, and rows with the settled anchors of a
     document, whose own h only deals them out evenly."""
 
     def run(batches):
+        met = Met()
         for b in batches:
             ids, sigs = b.column(0).to_numpy(), b.column(1).to_numpy()
             keys, docs = [], []
@@ -95,21 +123,27 @@ def _anchor_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
                 continue
             least, most, first = _settled(h, ids[doc])
             many = least < most
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[doc[first]]), pa.array(sigs[doc[first]]), pa.array(many[first]), pa.nulls(int(first.sum()), pa.list_(pa.int64()))], ["h", "id", "sig", "many", "done"])
-            more = many & ~first
+            _, before = met.lower(h, least)
+            send = first & ~before  # what was shared before went out then
+            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), pa.array(ids[doc[send]]), pa.array(sigs[doc[send]]), pa.array(many[send]), pa.nulls(int(send.sum()), pa.list_(pa.int64()))], ["h", "id", "sig", "many", "done"])
+            met.keep(h[send & many], least[send & many])
+            more = (many | before) & ~send
             if more.any():
                 rows, inv = np.unique(doc[more], return_inverse=True)
                 order = np.argsort(inv, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + U(1)).view(np.int64)), pa.array(ids[rows]), pa.array(sigs[rows]), pa.array(np.ones(len(rows), bool)), _lists(h[more][order].view(np.int64), inv[order], len(rows))], ["h", "id", "sig", "many", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + mix(ids[rows].view(U))).view(np.int64)), pa.array(ids[rows]), pa.array(sigs[rows]), pa.array(np.ones(len(rows), bool)), _lists(h[more][order].view(np.int64), inv[order], len(rows))], ["h", "id", "sig", "many", "done"])
 
     return run
 
 
 def _window_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
-    """Windows around shared anchors: rows (h1, h2, id, sig, s), and rows with the settled window starts of a document."""
+    """Windows around shared anchors: rows (h1, h2, id, sig, s, done), one for each window and document, with its first
+    start and the others; and rows with the settled window starts of a document, without h2."""
     size = width - period + 1
+    names = ["h1", "h2", "id", "sig", "s", "done"]
 
     def run(batches):
+        met = Met()
         for b in batches:
             ids, sigs = b.column(0).to_numpy(), b.column(1).to_numpy()
             shared = b.column(3)
@@ -132,7 +166,7 @@ def _window_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
                 s = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 doc = np.searchsorted(w.hi, s, "right")
                 keys.append(_at(w, width, s))
-                seconds.append(_at(w, width, s, FIRST, FIRST.prefix(mix(w.hash + U(1)))))
+                seconds.append(_at(w, width, s, FIRST, FIRST.prefix(second_hash(w))))
                 docs.append(doc + lo)
                 begins.append((s - w.lo[doc]).astype(np.int32))
             h, g, doc, s = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((keys, U), (seconds, U), (docs, np.int64), (begins, np.int32)))
@@ -140,15 +174,25 @@ def _window_rows(width: int, period: int, cover: tuple[int, ...]) -> Callable:
                 continue
             g &= U(0xFFFFFFFF)
             both = mix(h) ^ mix(g + U(1))
-            least, _, _ = _settled(both, ids[doc])
+            least, most, _ = _settled(both, ids[doc])
+            kept = least < most
+            least, before = met.lower(both, least)
+            met.keep(both[kept | before], least[kept | before])
             more = ids[doc] > least
-            send = ~more
-            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), pa.array(g[send].astype(np.uint32).view(np.int32)), pa.array(ids[doc[send]]), pa.array(sigs[doc[send]]), pa.array(s[send]), pa.nulls(int(send.sum()), pa.list_(pa.int32()))], ["h1", "h2", "id", "sig", "s", "done"])
+            own = np.flatnonzero(~more)
+            own = own[np.lexsort((own, doc[own], both[own]))]
+            new = np.ones(len(own), bool)  # a document's first start of a window goes out by itself, all others as a list
+            new[1:] = (both[own[1:]] != both[own[:-1]]) | (doc[own[1:]] != doc[own[:-1]])
+            send, group = own[new], np.cumsum(new) - 1
+            ends = np.zeros(len(send) + 1, np.int32)
+            np.cumsum(np.bincount(group[~new], minlength=len(send)), out=ends[1:])
+            others = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[own[~new]]), mask=pa.array(np.diff(ends) == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), pa.array(g[send].astype(np.uint32).view(np.int32)), pa.array(ids[doc[send]]), pa.array(sigs[doc[send]]), pa.array(s[send]), others], names)
             if more.any():
                 rows, inv = np.unique(doc[more], return_inverse=True)
                 order = np.argsort(inv, kind="stable")
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + U(1)).view(np.int64)), pa.nulls(n, pa.int32()), pa.array(ids[rows]), pa.array(sigs[rows]), pa.nulls(n, pa.int32()), _lists(s[more][order], inv[order], n)], ["h1", "h2", "id", "sig", "s", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(sigs[rows].view(U) + mix(ids[rows].view(U))).view(np.int64)), pa.nulls(n, pa.int32()), pa.array(ids[rows]), pa.array(sigs[rows]), pa.nulls(n, pa.int32()), _lists(s[more][order], inv[order], n)], names)
 
     return run
 
@@ -194,7 +238,8 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sig", F.xxhash64("text"))
     light = rows.select("id", "sig", F.md5(F.col("text").cast("binary")).alias("md5"))
-    first = light.groupBy("md5").agg(F.min("id").alias("first"))
+    # a written table, so that the join with it is of two plain exchanges and the adaptive plan can split a hot text
+    first = written(light.groupBy("md5").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("md5", "first"))
     copies = light.join(first, "md5").filter("first < id").select("id", "sig").distinct()
     by_row = ["id", "sig"]
     text = rows.select("id", "sig", "text").mapInArrow(pressed, "id long, sig long, text binary").repartition(n, "id", "sig")
@@ -209,7 +254,7 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
 
     windows = lead.join(shared, by_row).select("id", "sig", "text", "shared").mapInArrow(_window_rows(width, period, cover), "h1 long, h2 int, id long, sig long, s int, done array<int>")
     w = Window.partitionBy("h1", "h2")
-    found = windows.withColumn("a", F.min("id").over(w)).filter("done is not null or a < id")
+    found = windows.withColumn("a", F.min("id").over(w)).filter("h2 is null or a < id")
     starts = found.groupBy(by_row).agg(F.concat(F.collect_list("s"), F.flatten(F.collect_list("done"))).alias("starts"))
 
     out = flagged.join(starts, by_row, "left")
@@ -221,7 +266,7 @@ def _id():
 
 
 def substring_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row.
+    """doc_id, n_words, n_removed, kept_sha256 of each row of `docs`.
 
     Null and empty texts have no words. Null ids count as one id after all others. Rows of one id never
     remove each other's words, repeated rows get equal results. An empty table gives an empty result."""
@@ -246,4 +291,5 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """substring_report() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
     return substring_report(table(spark, sf_dir, "documents"))

@@ -102,6 +102,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np
     return Words(data, start, end, at[:-1], at[1:], h)
 
 
+def second_hash(w: Words) -> np.ndarray:
+    """Another hash of each word, from its bytes by the other roller: two words that share one do not share both."""
+    sums = SECOND.prefix(SECOND.byte[w.data])
+    return mix(SECOND.span(sums, w.start, w.end) + (w.end - w.start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def windows(w: Words, k: int, hashes: np.ndarray | None = None, roller: Roller = SECOND, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of each run of k words within a text; with `whole`, a text of 1 to k-1 words is one run."""
     h = w.hash if hashes is None else hashes

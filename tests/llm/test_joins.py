@@ -273,6 +273,28 @@ def test_substring_report(messy, width):
     same(substring_report(messy, width).collect(), [x[:4] for x in brute_cut(messy_rows(), width)])
 
 
+def test_a_task_sends_a_shared_hash_once():
+    """Of 40 batches that all hold one passage, the first rows go out and the others are settled."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from arcweave.llm.substring_dedup import _anchor_rows, _anchors, _window_rows
+    from arcweave.llm.textkit import words
+
+    text = " ".join(f"w{k}" for k in range(60)).encode()
+    w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    _, h = _anchors(w, 50, PERIOD, COVER)
+    press = zstandard.ZstdCompressor()
+    shared = pa.array([h.view(np.int64).tolist()] * 3, pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([3 * k, 3 * k + 1, 3 * k + 2]), pa.array([7, 8, 9]), pa.array([press.compress(text)] * 3), shared], ["id", "sig", "text", "shared"]) for k in range(40)]
+    for run, column in ((_anchor_rows, "many"), (_window_rows, "s")):
+        out = pa.Table.from_batches(run(50, PERIOD, COVER)(iter(batches))).to_pylist()
+        single = [r for r in out if (r["done"] is None if column == "many" else r["s"] is not None)]
+        assert len(single) == len({r["h" if column == "many" else "h1"] for r in single}) <= 60 and all(r["id"] == 0 for r in single)
+        assert {r["id"] for r in out if r["done"]} == set(range(1, 120))
+
+
 def test_overlapping_repeats_across_many_documents(spark):
     import random
 
@@ -290,6 +312,23 @@ def test_overlapping_repeats_across_many_documents(spark):
     same(substring_report(docs).collect(), [x[:4] for x in brute_cut(rows, 50)])
 
 
+def test_passages_shared_by_all_tasks(spark):
+    """A passage in every document, repeated within some, in many Arrow batches of few tasks."""
+    import random
+
+    rng = random.Random(23)
+    passage, line = prose(rng, 80, 9000), prose(rng, 7, 9000)
+    rows = [(rng.randrange(150), f"{prose(rng, rng.randrange(30), 5000)} {passage} {' '.join([line] * rng.randrange(0, 40))} {passage if k % 9 == 0 else ''}") for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = [x[:4] for x in brute_cut(rows, 50)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same(substring_report(docs).collect(), want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_substring_dedup_keeps_columns(messy):
     docs = clashing(messy)
     got = substring_dedup(docs)
