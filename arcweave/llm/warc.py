@@ -2,8 +2,9 @@
 
 Archives: one gzip member for each record, so any record can be read by its byte range. Equal payloads are
 kept once; later pages become revisit records. Index: entries sorted by reversed-host URL keys lie in
-compressed blocks; a sparse directory keeps the keys and byte range of each block. A lookup searches the
-directory, reads one block by range, searches it, and reads the record by range.
+compressed blocks; beside each index file lies its sparse directory, which keeps the keys and byte range of each block.
+A lookup deals the wanted keys to the index files whose key range holds them, searches the directory of the file,
+reads a block by range, searches it, and reads the records by range.
 
 Files are written where the shared folder is, through pyarrow's file systems, under names no other attempt
 of a task uses; a table of what was written names the files that count.
@@ -27,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, shared_dir, shuffle_partitions, table, written
+from arcweave.llm.frames import NULL_ID, removed, shared_dir, shuffle_partitions, stored, table, written
 
 #: Bytes after which an archive ends and the next begins; entries in an index block; bytes read at once.
 ARCHIVE_BYTES, BLOCK, READ = 64 << 20, 256, 8 << 20
 #: Revisits up to this number (about 60 MB) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+DIRECTORY = ".directory"
 ENTRY = "key string, id long, file string, offset long, length long"
 URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)(:\d+)?([^#]*)", re.I)
 
@@ -122,6 +124,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
     size = again.count()  # one row for each payload that several pages have
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
+    # a written table, so that the shuffled join is of two plain exchanges and the adaptive plan can split a common payload
     joined = rows.join(F.broadcast(again) if size <= broadcast_rows else again, "sha1", "left")
     small = F.octet_length(F.coalesce("html", F.lit(""))) < min_payload
     refers = F.when(~small & (F.coalesce("id", F.lit(NULL_ID)) > F.col("refers")), F.col("refers"))
@@ -129,12 +132,14 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
 
 
 def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
-    """Sorts entries by key into compressed blocks in files of the folder; returns the directory, one row for each
-    block: (first_key, last_key, file, offset, length, n)."""
+    """Sorts entries by key into compressed blocks in files of the folder, each with its directory beside it; returns
+    the directories, one row for each block: (first_key, last_key, file, offset, length, n).
+
+    Entries of equal keys follow each other, also into the next blocks and files. No entries give no files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
-        name, out, at, held = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.cdx", None, 0, []
+        name, out, at, held, blocks = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.cdx", None, 0, [], []
 
         def flush(lines):
             nonlocal out, at
@@ -142,7 +147,8 @@ def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFram
             raw = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
             out.write(raw)
             at += len(raw)
-            return lines[0][0], lines[-1][0], name, at - len(raw), len(raw), len(lines)
+            blocks.append((lines[0][0], lines[-1][0], name, at - len(raw), len(raw), len(lines)))
+            return blocks[-1]
 
         cols = ["first_key", "last_key", "file", "offset", "length", "n"]
         for pdf in batches:
@@ -155,6 +161,8 @@ def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFram
             yield pd.DataFrame([flush(held)], columns=cols)
         if out:
             out.close()
+            with fs.open_output_stream(f"{root}/{name}{DIRECTORY}", compression=None) as f:
+                f.write(zlib.compress("\n".join(json.dumps([*x[:2], *x[3:]]) for x in blocks).encode(), 6))
 
     n = shuffle_partitions(entries.sparkSession)
     # files break ties of a key that very many pages share, so that its rows spread over partitions
@@ -162,21 +170,60 @@ def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFram
     return written(ordered.mapInPandas(run, "first_key string, last_key string, file string, offset long, length long, n long"))
 
 
-def _blocks(folder: str, want: list[str] | None = None) -> Callable:
-    """Entries of the blocks in a part of the directory; with `want`, those of these keys by binary search."""
+def _lines(f, offset: int, length: int) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "id", "file", "offset", "length"])
+
+
+def _blocks(folder: str) -> Callable:
+    """All entries of the blocks in a part of the directory."""
 
     def run(batches):
         fs, root = _open(folder)
         for b in batches:
             for file, offset, length in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 with fs.open_input_file(f"{root}/{file}") as f:
-                    lines = zlib.decompress(f.read_at(length, offset)).decode().split("\n")
-                rows = [json.loads(x) for x in lines]
-                if want is not None:
-                    keys = [r[0] for r in rows]
-                    rows = [r for k in want for r in rows[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "id", "file", "offset", "length"])
+                    yield _batch(_lines(f, offset, length))
+
+    return run
+
+
+def within(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Which of the ranges firsts[i]..lasts[i], in order, hold the key: by binary search on either side."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
+def _found(folder: str) -> Callable:
+    """Entries of the keys in rows (file, key), sorted by both: a search in the file's directory, then in each block."""
+
+    def run(batches):
+        fs, root = _open(folder)
+        name, f, firsts, lasts, places, at, keys, lines = None, None, [], [], [], -1, [], []
+        for b in batches:
+            rows = []
+            for file, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file != name:
+                    if f:
+                        f.close()
+                    name, f, at = file, fs.open_input_file(f"{root}/{file}"), -1
+                    with fs.open_input_file(f"{root}/{file}{DIRECTORY}") as d:
+                        blocks = _lines(d, 0, d.size())
+                    firsts, lasts, places = [x[0] for x in blocks], [x[1] for x in blocks], [x[2:4] for x in blocks]
+                for k in within(firsts, lasts, key):
+                    if k != at:
+                        at, lines = k, _lines(f, *places[k])
+                        keys = [x[0] for x in lines]
+                    rows += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+                    if len(rows) >= 4 * BLOCK:
+                        yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
+        if f:
+            f.close()
 
     return run
 
@@ -208,35 +255,59 @@ def _reader(folder: str, payloads: bool) -> Callable:
     return run
 
 
-def read_back(directory: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Every record that the index names, read by range; with `payloads` also url and payload."""
-    entries = directory.repartition(shuffle_partitions(directory.sparkSession)).mapInArrow(_blocks(folder), ENTRY)
+def _read(entries: DataFrame, folder: str, payloads: bool) -> DataFrame:
     # stretches of an archive, so that neither a large archive nor many small ones fall to one task
     stretch = (F.col("offset") / READ).cast("long")
-    dealt = entries.repartition(shuffle_partitions(directory.sparkSession), "file", stretch).sortWithinPartitions("file", "offset")
+    dealt = entries.repartition(shuffle_partitions(entries.sparkSession), "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_reader(folder, payloads), RECORDS + (", url string, payload binary" if payloads else ""))
 
 
-def lookup(directory: DataFrame, folder: str, urls: list[str]) -> DataFrame:
-    """Captures of a few urls: the blocks whose key range holds one, a binary search in each, then range reads."""
-    want = sorted({reversed_host(u) for u in urls})
-    held = F.lit(False)
-    for k in want:
-        held = held | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
-    return directory.filter(held).mapInArrow(_blocks(folder, want), ENTRY).mapInArrow(_reader(folder, True), RECORDS + ", url string, payload binary")
+def read_back(directory: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
+    """Every record that the index names, read by range, without a search; with `payloads` also url and payload."""
+    entries = directory.repartition(shuffle_partitions(directory.sparkSession)).mapInArrow(_blocks(folder), ENTRY)
+    return _read(entries, folder, payloads)
+
+
+def lookup(directory: DataFrame, folder: str, urls: DataFrame, payloads: bool = False) -> DataFrame:
+    """The captures of all urls in the column `url`, each once however often it is asked for.
+
+    A null url finds the captures without one; unknown urls find nothing; no urls or an empty index give no rows. The
+    driver keeps the key range of each index file, as many as shuffle partitions wrote them; a key that very many
+    pages have is looked up in every file that holds it."""
+    ranges = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()
+    ranges.sort(key=lambda r: r.file)  # their names follow the order of keys
+    spark = directory.sparkSession
+    shared = spark.sparkContext.broadcast(([r.file for r in ranges], [r["first"] for r in ranges], [r["last"] for r in ranges]))
+
+    def dealt(batches):
+        files, firsts, lasts = shared.value
+        for b in batches:
+            keys = {reversed_host(u) for u in b.column(0).to_pylist()}
+            rows = [(files[i], k) for k in keys for i in within(firsts, lasts, k)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["file", "key"])
+
+    wanted = urls.select(F.col("url").cast("string")).mapInArrow(dealt, "file string, key string").distinct()
+    wanted = wanted.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "key")
+    return _read(wanted.mapInArrow(_found(folder), ENTRY), folder, payloads)
 
 
 def round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Writes archives and index of `pages` into the shared folder and reads every record back.
+    """Writes archives and index of `pages` into the shared folder and finds every page's record by its url.
 
     Null html is an empty payload; null and repeated ids and urls are kept row by row; an empty table
-    gives an empty result; other columns are left out; payloads of any length are kept whole."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    gives an empty result; other columns are left out; payloads of any length are kept whole. The files are deleted
+    once the result, which holds no payloads, is written."""
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if "://" not in folder and not folder.startswith("/"):
         folder = folder.replace("file:", "file://", 1)
-    return read_back(write_index(write_archives(pages, folder, min_payload), folder), folder)
+    directory = write_index(write_archives(pages, folder, min_payload), folder)
+    out, _ = stored(lookup(directory, folder, pages.select("url")))
+    removed(spark, folder)
+    return out
 
 
 def op4_warc_index(spark, sf_dir: str) -> DataFrame:
+    """round_trip() of all pages: nulls, ties, repeated rows and empty tables as stated there."""
     return round_trip(table(spark, sf_dir, "pages"))
-

@@ -204,8 +204,37 @@ def test_index_lookup(spark, tmp_path, broadcast_rows):
     assert directory.count() >= 910 // 64
     whole = {r.page_id: r for r in read_back(directory, folder, True).filter("record_type = 'response'").collect()}
     assert bytes(whole[100].payload) == b"page 0" and whole[12].payload_bytes == 300_000
-    got = lookup(directory, folder, ["http://www.example.com/a?b=1", "http://site3.com/43", "http://nowhere.org/"]).collect()
-    assert sorted(r.page_id for r in got) == [3, 5, 143]
+    urls = lambda *x: spark.createDataFrame([(u,) for u in x], "url string")
+    got = lookup(directory, folder, urls("http://www.example.com/a?b=1", "http://site3.com/43", "http://nowhere.org/", "http://site3.com/43"), True).collect()
+    assert sorted(r.page_id for r in got) == [3, 5, 143] and {bytes(r.payload) for r in got if r.record_type == "response"} == {b"<p>one</p>", b"page 43"}
+    assert lookup(directory, folder, urls()).count() == 0 and lookup(directory.filter("false"), folder, urls("http://b.org")).count() == 0
+    assert [r.page_id for r in lookup(directory, folder, urls(None)).collect()] == [7]
+    # every row comes by a search: what a directory lacks is not found, in all or in one file
+    every = lookup(directory, folder, table.select("url"))
+    assert Counter(r.page_id for r in every.collect()) == Counter(r.page_id for r in table.collect())
+    gone = directory.orderBy("first_key").first()
+    left = lookup(directory.filter(directory.file != gone.file), folder, table.select("url")).count()
+    assert left == 910 - directory.filter(directory.file == gone.file).selectExpr("sum(n)").first()[0]
+    side = tmp_path / "w" / f"{gone.file}.directory"
+    blocks = zlib.decompress(side.read_bytes()).decode().split("\n")
+    side.write_bytes(zlib.compress("\n".join(blocks[1:]).encode()))
+    assert lookup(directory, folder, table.select("url")).count() == 910 - gone.n
+
+
+def test_one_url_of_very_many_pages(spark, tmp_path):
+    """Captures of one url fill many blocks of several index files."""
+    table = spark.createDataFrame([(k, None if k % 3 else f"http://s{k}.org/", f"p{k % 50}") for k in range(3000)], "page_id long, url string, html string").repartition(4)
+    folder = f"file://{tmp_path}/w"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        directory = write_index(write_archives(table, folder, limit=20_000), folder, block=32)
+        holding = directory.filter("first_key <= '' and last_key >= ''").select("file").distinct().count()
+        got = lookup(directory, folder, spark.createDataFrame([(None,), ("",)], "url string")).collect()
+        assert holding > 1 and sorted(r.page_id for r in got) == [k for k in range(3000) if k % 3]
+        assert Counter(tuple(r)[:5] for r in round_trip(table).collect()) == brute_records(table.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_keys():
