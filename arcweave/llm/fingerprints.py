@@ -17,12 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, shuffle_partitions, slices, table
+from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, slices, table
 from arcweave.llm.textkit import decoded
 
 P = (1 << 31) - 1
@@ -103,15 +102,17 @@ def _hex(residues: np.ndarray) -> str:
     return residues.astype(">u4").tobytes().hex()
 
 
-def fingerprint_of(points: np.ndarray) -> str:
-    """length : whole : cuts from the start : cuts from the end : interior spans, residues as 8 hex digits each : their lengths as 2 each."""
+def fingerprint_of(points: np.ndarray, sums: np.ndarray | None = None, back: np.ndarray | None = None) -> str:
+    """From the prefix arrays of the text and of its reverse, where they are at hand;
+    length : whole : cuts from the start : cuts from the end : interior spans, residues as 8 hex digits each : their lengths as 2 each."""
     n = len(points)
     at = grid(n)
     whole = [int(((points.astype(np.uint64) + U(1)) * powers(n, b) % U(P)).sum() % U(P)) if n else 0 for b in BASES]
-    sums = prefix(points)
+    sums = prefix(points) if sums is None else sums
+    back = prefix(points[::-1]) if back is None else back
     ends = content_cuts(sums)
     begin = np.append(np.zeros(1, np.int64), ends[:-1])[: len(ends)]
-    return ":".join([f"{n:x}", *map(_hex, (np.array(whole), sums[at], prefix(points[::-1])[at], residues(sums, begin, ends))), (ends - begin).astype(np.uint8).tobytes().hex()])
+    return ":".join([f"{n:x}", *map(_hex, (np.array(whole), sums[at], back[at], residues(sums, begin, ends))), (ends - begin).astype(np.uint8).tobytes().hex()])
 
 
 def _shared(a: str, b: str) -> int:
@@ -150,40 +151,37 @@ def likeness(a: str, b: str) -> float:
     return float(min(head + tail + same, long - 1)) / long
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, ord, rng, halo, tie, blob): texts compressed, dealt to ranges of descending id.
+def _followed(batches):
+    """Each row of a sorted part (doc_id, text, part) beside the text of the next one: (kind 0, part, doc_id, blob, after);
+    the first row's text by itself as kind 1 and the last row, which lacks the next one, as kind 2."""
+    part, last = 0, None
 
-    Limits of the ranges are approximate quantiles of the ids, which are ids of the table, so each is the
-    first id of its range; rows of that id also go, marked, to the end of the range before. Only the
-    limits reach the driver, four for each shuffle partition."""
-    n = 4 * shuffle_partitions(docs.sparkSession)
-    got = docs.agg(F.percentile_approx("ord", [i / n for i in range(1, n)], 10_000), F.max("ord")).first()
-    tops = np.array(sorted({*(got[0] or []), *([] if got[1] is None else [got[1]])}), np.int64)
+    def rows(kind, ids, own, after):
+        n = len(own)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), ids, own, after], ["kind", "part", "doc_id", "blob", "after"])
 
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            ids, order = b.column(0), b.column(1).to_numpy()
-            for lo, hi, data, off in slices(b):
-                raw = data.tobytes()
-                texts = [raw[off[i] : off[i + 1]] for i in range(hi - lo)]
-                key = order[lo:hi]
-                at = np.searchsorted(tops, key)
-                rng = len(tops) - 1 - at
-                first = np.flatnonzero(tops[at] == key)
-                pick = np.concatenate([np.arange(hi - lo), first])
-                rng = np.concatenate([rng, (rng[first] - 1) % len(tops)])
-                halo = np.arange(len(pick)) >= hi - lo
-                packed = [press.compress(t) for t in texts]
-                tie = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(pick)), pa.array(key[pick]), pa.array(rng.astype(np.int32)), pa.array(halo), pa.array(tie[pick]), pa.array([packed[i] for i in pick], pa.binary())], ["doc_id", "ord", "rng", "halo", "tie", "blob"])
-
-    return docs.mapInArrow(run, "doc_id long, ord long, rng int, halo boolean, tie long, blob binary")
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b.column(2)[0].as_py()
+        ids, text = b.column(0), b.column(1)
+        if last is None:
+            yield rows(1, pa.nulls(1, pa.int64()), text.slice(0, 1), pa.nulls(1, pa.binary()))
+        else:
+            yield rows(0, *last, text.slice(0, 1))
+        yield rows(0, ids.slice(0, b.num_rows - 1), text.slice(0, b.num_rows - 1), text.slice(1))
+        last = ids.slice(b.num_rows - 1), text.slice(b.num_rows - 1)
+    if last is not None:
+        yield rows(2, *last, pa.nulls(1, pa.binary()))
 
 
 def _compared(batches):
     press = zstandard.ZstdDecompressor()
-    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+
+    def arrays(t):
+        x = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        return x, prefix(x), prefix(x[::-1])
+
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part, out = b.slice(lo, 256), []
@@ -191,9 +189,11 @@ def _compared(batches):
                 text, after = (press.decompress(x.as_py()).decode("utf-8", "replace") for x in (own, nxt))
                 k = len(text) // 3
                 edited = text[: len(text) - k] + after[:k]
-                a, e, f = (fingerprint_of(points(x)) for x in (text, edited, after))
-                out.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, f)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                x, y, z = arrays(text), arrays(edited), arrays(after)
+                a, e, f = (fingerprint_of(*v) for v in (x, y, z))
+                ends = [common_extension(x[i], 0, v[i], 0) for v in (y, z) for i in (1, 2)]
+                out.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, f), *ends))
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out))], [c.split()[0] for c in EDITED.split(", ")])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -210,17 +210,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_head long, edited_tail long, next_head long, next_tail long"
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint beside that of its edited text: its last third replaced by the beginning of the
-    next document by descending doc_id (the first follows the last, a single row itself).
+    next document by descending doc_id (the first follows the last, a single row itself); with the likeness of the
+    fingerprints, and the longest common beginnings and ends of the texts, in code points, from their prefix arrays.
 
     Null text counts as empty; null ids follow all others; rows of one id follow by a hash of their text,
     and equal rows in any order, which gives the same. An empty table gives an empty result."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-NULL_ID)).alias("ord"), "text")
-    w = Window.partitionBy("rng").orderBy("halo", F.col("ord").desc(), F.col("tie").desc())
-    near = _dealt(rows).withColumn("after", F.lead("blob").over(w)).filter(~F.col("halo"))
-    return near.select("doc_id", "blob", "after").mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-NULL_ID)).alias("ord"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    packed = rows.select("doc_id", "ord", "tie", "text").mapInArrow(pressed, "doc_id long, ord long, tie long, text binary")
+    # ranges of (id, hash of text), so that rows of one id, or of none, spread as well; all uses share the exchange
+    order = [F.col("ord").desc(), F.col("tie").desc()]
+    dealt = packed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    near = dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_followed, "kind int, part int, doc_id long, blob binary, after binary")
+    # a row for each part: the last row of a part is followed by the first of the next one that has any
+    heads = near.filter("kind = 1").select("part", F.col("blob").alias("after"))
+    everywhere = Window.orderBy("part")
+    before = heads.select(F.col("part").alias("own"), F.coalesce(F.lag("part").over(everywhere), F.max("part").over(Window.partitionBy(F.lit(0)))).alias("at"))
+    tails = near.filter("kind = 2").select(F.col("part").alias("at"), "doc_id", "blob")
+    ends = tails.join(before, "at").join(heads.withColumnRenamed("part", "own"), "own").select("doc_id", "blob", "after")
+    return near.filter("kind = 0").select("doc_id", "blob", "after").unionByName(ends).mapInArrow(_compared, EDITED)
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """edited_fingerprints() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

@@ -76,7 +76,40 @@ def test_interior_spans_cover_the_text():
 
 def test_edited_texts(messy, empty):
     rows = messy_rows()
-    tie = lambda t: np.array([__import__("xxhash").xxh64_intdigest((t or "").encode())], np.uint64).view(np.int64)[0]
+    want = brute_edited(rows)
+    got = [tuple(r) for r in edited_fingerprints(clashing(messy)).collect()]
+    assert Counter(got) == Counter(want)
+    assert {(r.doc_id, r.n_chars, r.fingerprint) for r in fingerprints(messy).collect()} == {(w[0], w[1], w[3]) for w in want}
+    assert edited_fingerprints(empty).count() == 0 and fingerprints(empty).count() == 0
+    one = messy.filter("doc_id = 4").limit(1)
+    assert edited_fingerprints(one).count() == 1
+
+
+def test_edited_texts_of_one_id(spark):
+    """Rows without an id, or with one, and different texts spread over parts; some parts stay empty."""
+    rng = random.Random(15)
+    rows = [(None if k % 3 else 5, prose(rng, rng.randrange(1, 12), 9000)) for k in range(300)] + [(9, "last"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("7", "400"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert Counter(tuple(r) for r in edited_fingerprints(docs).collect()) == Counter(brute_edited(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert Counter(tuple(r) for r in edited_fingerprints(docs).collect()) == Counter(brute_edited(rows))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def common(a, b):
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def brute_edited(rows):
+    tie = lambda t: np.array([__import__("xxhash").xxh64_intdigest((t or "").encode(), 42)], np.uint64).view(np.int64)[0]
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 62)), -tie(r[1])))
     want = []
     for k, r in enumerate(order):
@@ -84,13 +117,9 @@ def test_edited_texts(messy, empty):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
         a, e = fingerprint_of(points(text)), fingerprint_of(points(edited))
-        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, fingerprint_of(points(after)))))
-    got = [tuple(r) for r in edited_fingerprints(clashing(messy)).collect()]
-    assert Counter(got) == Counter(want)
-    assert {(r.doc_id, r.n_chars, r.fingerprint) for r in fingerprints(messy).collect()} == {(w[0], w[1], w[3]) for w in want}
-    assert edited_fingerprints(empty).count() == 0 and fingerprints(empty).count() == 0
-    one = messy.filter("doc_id = 4").limit(1)
-    assert edited_fingerprints(one).count() == 1
+        ends = [common(*v) for o in (edited, after) for v in ((text, o), (text[::-1], o[::-1]))]
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, fingerprint_of(points(after))), *ends))
+    return want
 
 
 ODD = ["x" * 3000, "''s 's'S 'll  'LL I'd", "  lead", "tail  ", "\n\n\n a\n b", "<|endoftext|> and <|endoftext|>", "１２３ ٣٤ ⅷ ²", "a b c　d", "é ‍ 👩‍👩‍👧 🏳️‍🌈", "퟿\x00\x1c\x85", "don’t", "ab12cd!!??  ..", "ǅ ʰ ꟲ 𞤀", "' s", "'", "x'", "'re're"]
