@@ -1,7 +1,8 @@
 """Byte-level BPE through a compact hash table of pre-tokens, filled by the worker as it meets new ones.
 
 Texts are cut into pre-tokens as arrays over code points; each pre-token is looked up by a 64-bit hash
-in an open-addressing numpy table that gives its ids. What the table lacks is encoded once and kept.
+in an open-addressing numpy table that gives its code points, which are compared, and its ids. What the table lacks is
+encoded once and kept.
 Texts with code points whose class differs between Unicode versions, or with a special token's string,
 go to the tokenizers library whole.
 """
@@ -16,8 +17,8 @@ import numpy as np
 from arcweave.llm.textkit import FIRST, U, mix
 
 STRANGE, BLANK, OTHER, LETTER, NUMBER = range(5)
-#: Slots of a worker's table, and how full it may get; ids kept beside it.
-SLOTS, FULL, POOL = 1 << 21, 0.6, 6_000_000
+#: Slots of a worker's table, and how full it may get; ids and code points kept beside it.
+SLOTS, FULL, POOL, SIGNS = 1 << 21, 0.6, 6_000_000, 16_000_000
 SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
@@ -86,7 +87,10 @@ class Encoder:
         self.at = np.zeros(SLOTS, np.int64)
         self.size = np.zeros(SLOTS, np.int32)
         self.pool = np.zeros(POOL, np.uint32)
-        self.filled = self.used = 0
+        self.begin = np.zeros(SLOTS, np.int64)
+        self.length = np.zeros(SLOTS, np.int32)
+        self.signs = np.zeros(SIGNS, np.uint32)
+        self.filled = self.used = self.written = 0
 
     def _single(self, spec: dict):
         """A fast encoder of one pre-token; None if the file isn't plain byte-level BPE with ids in merge order."""
@@ -114,23 +118,41 @@ class Encoder:
             left = left[(k != h[left]) & (k != 0)]
         return slot, found
 
-    def add(self, h: int, ids: list[int]) -> None:
+    def add(self, h: int, points: np.ndarray, ids: list[int]) -> None:
         """Keeps the ids of a pre-token that the table lacks, as long as there is room."""
-        if self.filled >= FULL * SLOTS or self.used + len(ids) > POOL:
+        if self.filled >= FULL * SLOTS or self.used + len(ids) > POOL or self.written + len(points) > SIGNS:
             return
         s, keys = h & (SLOTS - 1), self.keys
         while keys[s]:
+            if keys[s] == h:  # another pre-token has this hash
+                return
             s = (s + 1) & (SLOTS - 1)
         keys[s], self.at[s], self.size[s] = h, self.used, len(ids)
+        self.begin[s], self.length[s] = self.written, len(points)
         self.pool[self.used : self.used + len(ids)] = ids
+        self.signs[self.written : self.written + len(points)] = points
         self.used += len(ids)
+        self.written += len(points)
         self.filled += 1
 
-    def load(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> None:
+    def load(self, keys: list[int], texts: list[str], ids: list[list[int]]) -> None:
         """Adds entries that were encoded elsewhere."""
-        for h, a, n in zip(keys.tolist(), at.tolist(), size.tolist()):
-            if not self._slot(np.array([h], np.uint64))[1][0]:
-                self.add(h, pool[a : a + n].tolist())
+        for h, t, x in zip(keys, texts, ids):
+            self.add(h, np.frombuffer(t.encode("utf-32-le"), np.uint32), x)
+
+    def _same(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the slot of each pre-token holds the very code points that the text has."""
+        size = end - start
+        ok = self.length[slot] == size
+        own = np.flatnonzero(ok)
+        size = size[own]
+        ahead = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        equal = points[np.repeat(start[own] - ahead, size) + step] == self.signs[np.repeat(self.begin[slot[own]] - ahead, size) + step]
+        wrong = np.flatnonzero(~equal)
+        if len(wrong):
+            ok[own[np.searchsorted(ahead, wrong, "right") - 1]] = False
+        return ok
 
     def pretokens(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class of each code point, first and end of each pre-token, hash of each pre-token)."""
@@ -162,18 +184,21 @@ class Encoder:
             keep = ~odd[owner]
             start, end, owner, h = start[keep], end[keep], owner[keep], h[keep]
         slot, found = self._slot(h)
-        extra: dict[int, list[int]] = {}
         if not found.all():
-            new, first = np.unique(h[~found], return_index=True)
-            where = np.flatnonzero(~found)[first]
-            spill = {}
-            for k, s, e in zip(new.tolist(), start[where].tolist(), end[where].tolist()):
-                ids = self.single(points[s:e].tobytes().decode("utf-32-le").encode())
-                self.add(k, ids)
-                spill[k] = ids
+            _, first = np.unique(h[~found], return_index=True)
+            for i in np.flatnonzero(~found)[first].tolist():
+                own = points[start[i] : end[i]]
+                self.add(int(h[i]), own, self.single(own.tobytes().decode("utf-32-le").encode()))
             slot, found = self._slot(h)
-            if not found.all():  # the table is full
-                extra = {int(i): spill[int(h[i])] for i in np.flatnonzero(~found)}
+        found[found] = self._same(points, start[found], end[found], slot[found])
+        extra: dict[int, list[int]] = {}
+        if not found.all():  # the table is full, or another pre-token has the hash
+            spill: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(~found).tolist():
+                own = points[start[i] : end[i]].tobytes()
+                if own not in spill:
+                    spill[own] = self.single(own.decode("utf-32-le").encode())
+                extra[i] = spill[own]
         size = np.where(found, self.size[slot], 0).astype(np.int64)
         for i, ids in extra.items():
             size[i] = len(ids)

@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all tasks
+    run in the driver's own process; on a cluster without it this raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='arcweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -90,13 +93,6 @@ def slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES)
         lo = hi
 
 
-def blobs(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    """A binary column whose row r is the bytes of data[offsets[r]:offsets[r+1]] (offsets in elements)."""
-    data = np.ascontiguousarray(data)
-    off = (np.asarray(offsets, np.int64) * data.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
-
-
 def pressed(batches):
     """mapInArrow: the text column as zstd blobs, for shuffles; other columns stay."""
     import zstandard

@@ -21,7 +21,7 @@ from arcweave.llm.frames import slices, table, written
 from arcweave.llm.textkit import decoded
 from arcweave.llm.token_counts import default_path
 
-PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, row long, key long, piece int, start long, length long, ids_crc32 long"
 #: Mean number of pieces in a group that is packed by itself.
 GROUP = 20_000
 
@@ -38,16 +38,16 @@ def pieces(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024) -> Da
                 counts, ids = e.encode(data, off, points, at)
                 first = np.cumsum(counts) - counts
                 ids = ids.astype("<u4")
-                for r, doc, row in zip(range(hi - lo), b.column(0)[lo:hi].to_pylist(), b.column(1)[lo:hi].to_pylist()):
+                for r, doc, row, key in zip(range(hi - lo), *(b.column(c)[lo:hi].to_pylist() for c in range(3))):
                     own = np.append(ids[first[r] : first[r] + counts[r]], np.uint32(end)).tobytes()
                     n, cut, k = len(own) // 4, 0, 0
                     size = n % capacity or capacity
                     while cut < n:
-                        out.append((doc, row, k, cut, size, zlib.crc32(own[4 * cut : 4 * (cut + size)])))
+                        out.append((doc, row, key, k, cut, size, zlib.crc32(own[4 * cut : 4 * (cut + size)])))
                         cut, k, size = cut + size, k + 1, capacity
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64", "piece": "int32"}), preserve_index=False)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
     return rows.mapInArrow(run, PIECES)
 
 
@@ -99,7 +99,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def pack(parts: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to rows of PIECES; no sequence holds more than `capacity` tokens.
 
-    Which sequence a piece gets depends only on the pieces, not on tasks or their order."""
+    Which sequence a piece gets depends only on the ids and texts, not on tasks or their order. Rows that are equal in
+    both, or lack both, are told apart by their number in the table: where very many of them would share a group, that
+    deals them to several."""
     parts = written(parts)
     full = parts.filter(F.col("length") >= capacity)
     rest = parts.filter(F.col("length") < capacity)
@@ -107,17 +109,20 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFram
     schema = PIECES + ", sequence_id long, offset long"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "piece"], ignore_index=True)
+        rows = rows.sort_values(["key", "piece", "row"], ignore_index=True)
         lengths = rows["length"].to_numpy()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, own in enumerate(best_two_fit(lengths, capacity)):
             own = np.array(own)
-            sequence[own] = (key[0] << 32) + k
+            sequence[own] = (key[0] << 40) + (key[1] << 20) + k
             offset[own] = np.cumsum(lengths[own]) - lengths[own]
-        return rows.drop(columns="grp").assign(sequence_id=sequence, offset=offset)
+        return rows.drop(columns=["grp", "part"]).assign(sequence_id=sequence, offset=offset)
 
-    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    packed = dealt.groupBy("grp").applyInPandas(run, schema)
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    crowded = dealt.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") > 4 * group).withColumn("parts", F.ceil(F.col("m") / group))
+    dealt = dealt.join(F.broadcast(crowded.select("grp", "parts")), "grp", "left")  # no more rows than one for 4 * group pieces
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    packed = dealt.groupBy("grp", "part").applyInPandas(run, schema)
     # full pieces have the negative numbers; the written table's files fix them
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(alone)
@@ -128,8 +133,9 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = 1
 
     Null and empty texts are the end id alone. Repeated rows and null ids are packed row by row. Longer
     documents are cut; an empty table gives an empty result; other columns are left out."""
-    return pack(pieces(docs, path or default_path(), capacity=capacity), capacity).drop("row")
+    return pack(pieces(docs, path or default_path(), capacity=capacity), capacity).drop("row", "key")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """best_fit_packing() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
     return best_fit_packing(table(spark, sf_dir, "documents"))

@@ -86,21 +86,8 @@ def fit(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndar
     gap = np.log(np.maximum(np.diff(cut), 0.05))
     x = np.concatenate([np.zeros(len(used)), cut[:1], gap])
     mom, var = np.zeros(len(x)), np.zeros(len(x))
-    rows = np.arange(n)
     for step in range(1, steps + 1):
-        w, gaps = x[: len(used)], np.exp(x[len(used) + 1 :])
-        theta = x[len(used)] + np.append(0, np.cumsum(gaps))
-        z = np.bincount(text, w[inv] * value, n)
-        s = 1 / (1 + np.exp(np.clip(theta[None] - z[:, None], -40, 40)))  # P(grade > i)
-        full = np.hstack([np.ones((n, 1)), s, np.zeros((n, 1))])
-        p = np.maximum(full[rows, grade] - full[rows, grade + 1], 1e-9)
-        slope = np.hstack([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))])
-        dz = (slope[rows, grade] - slope[rows, grade + 1]) / p / n
-        dt = np.zeros(grades + 1)
-        np.add.at(dt, grade, -slope[rows, grade] / p / n)
-        np.add.at(dt, grade + 1, slope[rows, grade + 1] / p / n)
-        dt = dt[1:-1]
-        grad = np.concatenate([np.bincount(inv, dz[text] * value, len(used)) - decay * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+        grad = slope(x, len(used), text, inv, value, grade, grades, decay)
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         x += rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-5)
     weights = np.zeros(SIZE)
@@ -108,10 +95,31 @@ def fit(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndar
     return Model(weights, x[len(used)] + np.append(0, np.cumsum(np.exp(x[len(used) + 1 :]))))
 
 
+def slope(x: np.ndarray, m: int, text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, decay: float) -> np.ndarray:
+    """Gradient of the mean log likelihood of the grades less decay / 2 of the squared weights, at x: m weights, the first
+    threshold, and logs of the gaps between thresholds."""
+    n, rows = len(grade), np.arange(len(grade))
+    w, gaps = x[:m], np.exp(x[m + 1 :])
+    theta = x[m] + np.append(0, np.cumsum(gaps))
+    z = np.bincount(text, w[feature] * value, n)
+    s = 1 / (1 + np.exp(np.clip(theta[None] - z[:, None], -40, 40)))  # P(grade > i)
+    full = np.hstack([np.ones((n, 1)), s, np.zeros((n, 1))])
+    p = np.maximum(full[rows, grade] - full[rows, grade + 1], 1e-9)
+    curve = np.hstack([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))])
+    dz = (curve[rows, grade] - curve[rows, grade + 1]) / p / n
+    dt = np.zeros(grades + 1)
+    np.add.at(dt, grade, -curve[rows, grade] / p / n)
+    np.add.at(dt, grade + 1, curve[rows, grade + 1] / p / n)
+    dt = dt[1:-1]
+    return np.concatenate([np.bincount(feature, dz[text] * value, m) - decay * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+
+
 def train(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = TRAIN_ROWS) -> Model:
     """Fits on rated documents (doc_id, grade from 0) whose crc32(doc_id) mod 4 is not 2, `rows` of them at most.
 
-    Null ids and grades are left out; of several grades of one document the lowest counts; copies count once."""
+    Null ids and grades are left out; of several grades of one document, or of equal texts, the lowest counts; copies
+    count once. Without any ratings all texts get the same tails. The driver gets the features of `rows` texts, as many
+    for each as it has different words and trigrams, SIZE at most."""
     known = ratings.filter("doc_id is not null and grade is not null").filter(crc_mod("doc_id", 4) != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("grade").cast("int")).alias("grade"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -125,7 +133,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = TRAIN_RO
                 lists = [pa.array([x[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])], pa.binary()) for x in (f.astype(np.int32), v.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), *lists], ["grade", "f", "v"])
 
-    got = written(own.dropDuplicates(["text"]).select("text", "grade").mapInArrow(encode, "grade int, f binary, v binary")).toPandas()
+    got = written(own.groupBy("text").agg(F.min("grade").alias("grade")).mapInArrow(encode, "grade int, f binary, v binary")).toPandas()
     counts = [len(x) // 4 for x in got.f]
     flat = lambda x, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(y, t) for y in x)])
     return fit(np.repeat(np.arange(len(got)), counts), flat(got.f, np.int32), flat(got.v, np.float32), got.grade.to_numpy(np.int64), grades)
@@ -156,5 +164,6 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """score() of all documents by train() on graded() labels: nulls, ties, repeated rows and empty tables as stated there."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, graded(table(spark, sf_dir, "labels")), 3))

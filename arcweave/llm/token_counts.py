@@ -1,4 +1,8 @@
-"""Token counts: a broadcast table of frequent pre-tokens, worker caches for the rest, no pre-token shuffle."""
+"""Token counts: a broadcast table of frequent pre-tokens, worker caches for the rest, no shuffle of the texts' pre-tokens.
+
+The table is fitted on a bounded sample of rows, whose pre-tokens alone are counted in Spark. It decides what a worker
+need not encode itself and no result: every pre-token of every text is looked up or encoded, and compared sign by sign.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,8 @@ from arcweave.llm.bpe import encoder
 from arcweave.llm.frames import slices, table
 from arcweave.llm.textkit import decoded
 
-#: Entries of the broadcast table, and of each task's offer for it (a task counts up to HELD pre-tokens at once).
-FREQUENT, OFFERED, HELD = 65_536, 4_096, 262_144
+#: Entries of the broadcast table, code points of each at most, and rows of the random sample that it is fitted on (mean).
+FREQUENT, LONGEST, FIT_ROWS = 65_536, 64, 20_000
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,43 +42,40 @@ def _pieces(path: str):
 
 
 def _offer(path: str):
-    """The pre-tokens that a task meets most often: hash, count, ids. When it holds too many, the rarer half goes."""
+    """The pre-tokens of each Arrow batch: hash, count, text, ids."""
 
     def run(batches):
         e = encoder(path)
-        counts: dict[int, list] = {}
         for b in batches:
+            counts: dict[str, int] = {}
+            hashes: dict[str, int] = {}
             for _, _, data, off in slices(b):
                 points, at = decoded(data, off)
                 _, start, end, h = e.pretokens(points, at)
                 keys, first, found = np.unique(h, return_index=True, return_counts=True)
                 for k, i, c in zip(keys.tolist(), first.tolist(), found.tolist()):
-                    if (own := counts.get(k)) is not None:
-                        own[0] += c
-                    else:
-                        counts[k] = [c, points[start[i] : end[i]].tobytes()]
-                if len(counts) > HELD:
-                    counts = dict(sorted(counts.items(), key=lambda x: -x[1][0])[: HELD // 2])
-        top = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:OFFERED]
-        if top:
-            ids = [e.single(p.decode("utf-32-le").encode()) for _, (_, p) in top]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([c for _, (c, _) in top], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["h", "c", "ids"])
+                    if end[i] - start[i] <= LONGEST:
+                        t = points[start[i] : end[i]].tobytes().decode("utf-32-le")
+                        counts[t] = counts.get(t, 0) + c
+                        hashes[t] = k
+            if counts:
+                ids = [e.single(t.encode()) for t in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes.values()), np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64()), pa.array(list(counts)), pa.array(ids, pa.list_(pa.int32()))], ["h", "c", "t", "ids"])
 
     return run
 
 
-def frequent(docs: DataFrame, path: str) -> dict[str, np.ndarray]:
-    """The first tier: hash and ids of the pre-tokens that all texts together have most often.
+def frequent(docs: DataFrame, path: str, rows: int = FIT_ROWS) -> tuple[list[int], list[str], list[list[int]]]:
+    """The first tier: hashes, texts and ids of the pre-tokens that a random sample of about `rows` rows has most often.
 
-    Tasks count their own and offer their top OFFERED, so what is shuffled and what is broadcast has a fixed size
-    for each task and in all. No count of tokens depends on what is in it."""
-    none = np.zeros(0, np.int64)
+    What is counted follows the sample and not the table. No count of tokens depends on what is in it."""
     if encoder(path).single is None:
-        return {"keys": none.view(np.uint64), "size": none, "at": none, "pool": np.zeros(0, np.uint32)}
-    offers = docs.select("text").mapInArrow(_offer(path), "h long, c long, ids array<int>")
-    got = offers.groupBy("h").agg(F.sum("c").alias("c"), F.first("ids").alias("ids")).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "ids").toPandas()
-    size = np.array([len(x) for x in got.ids], np.int64)
-    return {"keys": got.h.to_numpy(np.int64).astype(np.uint64), "size": size, "at": np.cumsum(size) - size, "pool": np.concatenate([np.zeros(0, np.uint32), *got.ids]).astype(np.uint32)}
+        return [], [], []
+    total = docs.count()
+    own = docs.select("text") if total <= rows else docs.select("text").sample(rows / total, seed=1)
+    offers = own.mapInArrow(_offer(path), "h long, c long, t string, ids array<int>")
+    got = offers.groupBy("t").agg(F.sum("c").alias("c"), F.first("h").alias("h"), F.first("ids").alias("ids")).orderBy(F.desc("c"), "t").limit(FREQUENT).select("h", "t", "ids").toPandas()
+    return got.h.to_numpy(np.int64).astype(np.uint64).tolist(), got.t.tolist(), [list(x) for x in got.ids]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
@@ -95,7 +96,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
         def run(batches):
             e = encoder(path)
             if not getattr(e, "seeded", False):
-                e.load(**first.value)
+                e.load(*first.value)
                 e.seeded = True
             for b in batches:
                 for lo, hi, data, off in slices(b):
@@ -111,4 +112,5 @@ def _out(rows: pa.RecordBatch, off: np.ndarray, counts: np.ndarray, limit: int)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
     return token_counts(table(spark, sf_dir, "documents"))

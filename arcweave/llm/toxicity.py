@@ -3,7 +3,8 @@
 Sentences are the instances: each has a score from its words, kept as hashes, and a document's score is their noisy-or,
 1 - prod(1 - p). Weights are trained from document labels alone, by gradient steps on the document
 likelihood, so the sentences at fault are found without ever being labelled. A sentence without any word that
-counts adds nothing to a score, so that length alone never makes a text toxic.
+counts adds nothing to a score, so that length alone never makes a text toxic. Only words whose presence goes with toxic documents count: what
+speaks for a clean text can't take back what another sentence says, so such words have no weight.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from pyspark.sql import functions as F
 from arcweave.llm.frames import crc_mod, removed, slices, stored, table
 from arcweave.llm.textkit import ALNUM, U, words
 
-#: Words that are features at most. A word is one if its presence goes with toxic documents by a likelihood ratio
-#: G of at least ln(distinct words), so that chance alone brings in few.
-FEATURES = 50_000
-#: Labelled documents that the model is fitted on at most, those with the smallest hashes of their ids.
+#: Labelled documents that the model is fitted on at most, those with the smallest hashes of their ids. All words in them
+#: are looked at; one is a feature if its presence goes with toxic documents by a likelihood ratio G of at least
+#: ln(distinct words), so that chance alone brings in few.
 TRAIN_ROWS = 20_000
 BREAK = np.zeros(256, bool)
 BREAK[[10, 33, 46, 63]] = True  # newline ! . ?
@@ -73,16 +73,22 @@ def fit(keys: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarr
     x, mom, var = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     x[-1] = -5.0
     for step in range(1, steps + 1):
-        z = x[-1] + np.bincount(sentence, x[word], m)
-        p = 1 / (1 + np.exp(-z))
-        doc = np.clip(noisy_or(z, text, n), 1e-9, 1 - 1e-9)
-        d = p * np.where(positive, (1 - doc) / doc, -1.0)[text] / n
-        grad = np.append(np.bincount(word, d[sentence], len(keys)) - decay * x[:-1] / n, d.sum())
+        grad = slope(x, word, sentence, text, positive, decay)
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         x += rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-6)
     return Model(keys, x[:-1], float(x[-1]))
 
 
+def slope(x: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarray, positive: np.ndarray, decay: float) -> np.ndarray:
+    """Gradient, at weights and bias x, of the mean log likelihood of the labels less decay / 2n of the squared weights."""
+    n, m = len(positive), len(text)
+    z = x[-1] + np.bincount(sentence, x[word], m)
+    p = 1 / (1 + np.exp(-z))
+    doc = np.clip(noisy_or(z, text, n), 1e-9, 1 - 1e-9)
+    d = p * np.where(positive, (1 - doc) / doc, -1.0)[text] / n
+    return np.append(np.bincount(word, d[sentence], len(x) - 1) - decay * x[:-1] / n, d.sum())
+
+
 def _present(batches):
     """(word, toxic documents, clean documents) with it, summed over each slice."""
     for b in batches:
@@ -98,28 +104,31 @@ def _present(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(np.bincount(inv, minlength=len(keys)) - a)], ["word", "a", "b"])
 
 
-def evidence(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Sorted hashes of the words whose presence in a document goes with label 1, at most `features` of them."""
+def evidence(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of all words whose presence in a document goes with label 1."""
     p, q = (x or 0 for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     counts = rows.select("text", "y").mapInArrow(_present, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     part = lambda x, total, both: f"if({x} > 0, 2 * {x} * ln({x} * {p + q}D / (({both}) * {total}D)), 0D)"
     g = " + ".join([part("a", p, "a + b"), part("b", q, "a + b"), part(f"({p}D - a)", p, f"{p + q}D - a - b"), part(f"({q}D - b)", q, f"{p + q}D - a - b")])
     counts = counts.withColumn("g", F.expr(f"if(a * {q}D > b * {p}D, {g}, 0D)"))
+    counts, at = stored(counts.select("word", "g"))
     least = float(np.log(max(counts.count(), 2)))
-    found = counts.filter(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(features).select("word").toPandas()
+    found = counts.filter(F.col("g") >= least).select("word").toPandas()
+    removed(rows.sparkSession, at)
     return np.sort(found.word.to_numpy(np.int64).view(U))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on the labelled documents whose crc32(doc_id) mod 4 is not 2, `rows` of them at most; copies count once.
 
-    Null labels and ids are left out; several labels of one document count as toxic if one does. The driver
+    Null labels and ids are left out; several labels of one document, or of equal texts, count as toxic if one does.
+    Other columns don't matter; without any labels, or with equal ones only, all texts score alike. The driver
     gets no texts, only the occurrences of words with evidence."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod("doc_id", 4) != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most `rows` narrow rows
-    own, at = stored(own.dropDuplicates(["text"]).select("text", "y"))
+    own, at = stored(own.groupBy("text").agg(F.max("y").alias("y")))
     keys = evidence(own)
 
     def encode(batches):
@@ -186,7 +195,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose score is below the threshold, with all their columns."""
+    """The rows of `docs` whose score is below the threshold, with all their columns. Null and empty texts stay, as do
+    repeated rows and null ids; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
 
     def run(batches):
@@ -201,5 +211,6 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score() of all documents by train() on `labels`: nulls, ties, repeated rows and empty tables as stated there."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -76,6 +76,116 @@ def test_length_alone_is_not_toxic(spark, graded):
     assert not any(r.predicted for r in toxicity.score(rows, clean_only).collect())
 
 
+def test_toxicity_slope_by_differences():
+    rng = np.random.default_rng(2)
+    text = np.sort(rng.integers(0, 12, 40))
+    sentence = np.sort(rng.integers(0, 40, 150))
+    word, x = rng.integers(0, 9, 150), rng.normal(0, 0.7, 10)
+    positive, decay = rng.random(12) < 0.5, 0.3
+
+    def value(x):
+        keep = np.zeros(12)
+        for t in range(12):
+            keep[t] = math.prod(1 - 1 / (1 + math.exp(-(x[9] + sum(x[w] for w, s in zip(word, sentence) if s == k)))) for k in range(40) if text[k] == t)
+        return np.mean([math.log(1 - k) if p else math.log(k) for k, p in zip(np.clip(keep, 1e-9, 1 - 1e-9), positive)]) - decay * (x[:9] ** 2).sum() / 24
+
+    got = toxicity.slope(x, word, sentence, text, positive, decay)
+    own = np.array([(value(x + e) - value(x - e)) / 2e-6 for e in 1e-6 * np.eye(10)])
+    assert set(text) == set(range(12)) and np.allclose(got, own, atol=1e-6)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every row's score and worst sentence from the weights, in plain Python."""
+    rows = [r[:2] for r in messy_rows()] + [(900, "Bad bad WORD. fine here! bad? bad-word\nno"), (901, "...!?"), (902, "word")]
+    known = ["bad", "word", "one", "changed", "tail"]
+    hashes = {}
+    for w in known:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        hashes[w] = toxicity.instances(raw, np.array([0, len(raw)]))[0][0]
+    order = sorted(known, key=hashes.get)
+    weight = {w: 0.5 + 0.3 * k for k, w in enumerate(order)}
+    model = toxicity.Model(np.array([hashes[w] for w in order]), np.array([weight[w] for w in order]), -2.0)
+    got = {}
+    for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got.setdefault(r.doc_id, []).append((r.score, r.predicted, r.worst_score))
+    want = {}
+    for i, t in rows:
+        found = [re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", s) for s in re.split("[.!?\n]", t or "")]
+        found = [["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in s] for s in found if s]
+        p = [1 / (1 + math.exp(2 - sum(weight.get(w, 0) for w in s))) if any(w in weight for w in s) else 0.0 for s in found]
+        score = 1 - math.prod(1 - x for x in p)
+        want.setdefault(i, []).append((score, int(score >= 0.3), max(p, default=0.0)))
+    assert got.keys() == want.keys() and all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-9) for i in want) and any(x[1] for v in want.values() for x in v)
+
+
+def test_tied_labels(spark):
+    """Equal texts with different labels: toxic if one is, and the lowest grade, in any order of rows."""
+    rng = random.Random(14)
+    texts = [f"{prose(rng, 12)} {'vile toad' if k % 4 == 0 else ''}" for k in range(200)]
+    docs = [(i, t) for i, t in enumerate(texts * 2)]
+    labels = [(i, int(i % 200 % 4 == 0 and i < 200), 1 - int(i % 200 % 8 == 0 and i >= 200)) for i, _ in docs]
+    models = []
+    for rows in (docs, docs[::-1]):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+        tox, good = toxicity.train(table, marks), quality.train(table, marks.selectExpr("doc_id", "quality AS grade"), 2)
+        models.append((sorted(zip(tox.keys.tolist(), tox.weights)), good.weights, good.thresholds))
+    assert np.allclose([w for _, w in models[0][0]], [w for _, w in models[1][0]], atol=1e-6) and len(models[0][0]) >= 2
+    assert np.allclose(models[0][1], models[1][1], atol=1e-4) and np.allclose(models[0][2], models[1][2], atol=1e-4)
+
+
+def test_quality_slope_by_differences():
+    rng = np.random.default_rng(4)
+    text, feature, value = np.repeat(np.arange(10), 5), rng.integers(0, 6, 50), rng.random(50)
+    grade, x, decay = rng.integers(0, 4, 10), rng.normal(0, 0.8, 9), 0.2
+
+    def likelihood(x):
+        theta = [x[6], x[6] + math.exp(x[7]), x[6] + math.exp(x[7]) + math.exp(x[8])]
+        total = 0.0
+        for t in range(10):
+            z = sum(x[f] * v for s, f, v in zip(text, feature, value) if s == t)
+            tails = [1.0, *(1 / (1 + math.exp(c - z)) for c in theta), 0.0]
+            total += math.log(tails[grade[t]] - tails[grade[t] + 1])
+        return total / 10 - decay / 2 * (x[:6] ** 2).sum()
+
+    got = quality.slope(x, 6, text, feature, value, grade, 4, decay)
+    assert np.allclose(got, [(likelihood(x + e) - likelihood(x - e)) / 2e-6 for e in 1e-6 * np.eye(9)], atol=1e-6)
+
+
+def test_quality_scores_by_hand(spark):
+    """Features and tails of every row in plain Python."""
+    rng = np.random.default_rng(9)
+    model = quality.Model(rng.normal(0, 1, quality.SIZE).astype(np.float32), np.array([-0.5, 1.0]))
+    rows = [r[:2] for r in messy_rows() if len(r[1] or "") < 3000] + [(950, "SHOUT shout 12 12 !!"), (951, "x")]
+    hashed = {}
+
+    def bucket(w):
+        if w not in hashed:
+            raw = np.frombuffer(w.encode(), np.uint8)
+            hashed[w] = int(quality.words(raw, np.array([0, len(raw)]), True, quality.ALNUM).hash[0]) % quality.WORDS
+        return hashed[w]
+
+    want = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        found = [w.lower() if w.isascii() else w for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t or "")]
+        found = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in found]
+        kind = [int(quality.KIND[b]) for b in raw]
+        z = 0.0
+        for bag in (Counter(bucket(w) for w in found), Counter(quality.WORDS + a * quality.KINDS**2 + b * quality.KINDS + c for a, b, c in zip(kind, kind[1:], kind[2:]))):
+            norm = math.sqrt(sum(bag.values()))
+            z += sum(model.weights[f] * math.sqrt(n) for f, n in bag.items()) / norm if bag else 0.0
+        n, size = len(found), max(len(raw), 1)
+        own = [1.0, math.log1p(n) / 8, sum(a == b for a, b in zip(found, found[1:])) / max(n, 1), len({bucket(w) for w in found}) / max(n, 1), sum(k in (1, 2, 4) for k in kind) / size, sum(k == 2 for k in kind) / size, float(not raw), len(raw) / max(n, 1) / 16]
+        z += sum(model.weights[quality.SIZE - 8 + k] * v for k, v in enumerate(own))
+        tails = [1 / (1 + math.exp(c - z)) for c in model.thresholds]
+        want.setdefault(i, []).append((sum(tails), tails[0], float(tails[0] >= 0.5)))
+    got = {}
+    for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got.setdefault(r.doc_id, []).append((r.expected_grade, r.tail, float(r.keep)))
+    assert got.keys() == want.keys() and all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-5) for i in want)
+
+
 def test_noisy_or():
     z, text = np.array([0.3, -2.0, 1.5]), np.array([0, 0, 2])
     p = 1 / (1 + np.exp(-z))

@@ -153,6 +153,30 @@ def test_token_counts(messy, odd, name):
         assert Counter(map(tuple, token_counts(docs, default_path(name)).collect())) == want
 
 
+def test_pretokens_that_share_a_hash(monkeypatch):
+    """With hashes of 6 bits and a table of 32 entries nearly all pre-tokens collide; ids are the library's still."""
+    from arcweave.llm import bpe
+    from arcweave.llm.textkit import decoded
+
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(40), 3000) for _ in range(60)] + ODD
+    own = bpe.Encoder(default_path())
+    plain = own.pretokens
+
+    def few(points, at):
+        kinds, start, end, h = plain(points, at)
+        return kinds, start, end, h & np.uint64(63) | np.uint64(1)
+
+    monkeypatch.setattr(own, "pretokens", few)
+    monkeypatch.setattr(bpe, "FULL", 32 / bpe.SLOTS)
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = library("byte_bpe_50k.json", texts)
+    for _ in range(2):
+        counts, ids = own.encode(data, off, *decoded(data, off))
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_token_counts_of_nothing(empty):
     assert token_counts(empty).count() == 0 and token_counts(empty, default_path("piece_bpe_32k.model")).count() == 0
 
@@ -186,6 +210,25 @@ def test_packing(messy, odd, empty):
     assert best_fit_packing(empty).count() == 0
 
 
+def test_packing_does_not_follow_the_layout(spark):
+    from arcweave.llm.packing import pack, pieces
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randrange(1, 90))) for k in range(400)] + [(None, "same")] * 500, "doc_id long, text string")
+    got = []
+    for n in (1, 7):
+        rows = pack(pieces(docs.repartition(n), default_path()), group=60).collect()
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.doc_id, r.piece, r.offset))
+        assert len(rows) == 900 and all(sum(r.length for r in rows if r.sequence_id == s) <= 1024 for s in list(bins)[:20])
+        got.append(Counter(tuple(sorted(x)) for x in bins.values() if all(i is not None for i, _, _ in x)))
+    assert got[0] and sum((got[0] & got[1]).values()) >= 0.5 * sum(got[0].values())
+    unique = spark.createDataFrame([(k, prose(rng, rng.randrange(1, 90))) for k in range(500)], "doc_id long, text string")
+    one, two = ({(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in pack(pieces(unique.repartition(n), default_path()), group=60).collect() if r.length < 1024} for n in (1, 7))
+    assert one == two
+
+
 def test_two_fit_wastes_little():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 700, 4000), rng.integers(300, 520, 2000), np.full(50, 600), np.array([1024, 1, 1023])):
