@@ -117,6 +117,47 @@ class Network:
             cache[kind] = got
         return cache[kind]
 
+    @cached_property
+    def closed(self) -> DataFrame:
+        """(u, v, w, uv, vu, uw, wu, vw, wv): three vertices that are joined pairwise, once each, and which of the six ties exist.
+
+        Each joined pair points from the end with fewer neighbours to the other, so a vertex points at no more than
+        about the square root of twice the pairs, hubs included; paths that leave one vertex are then closed by a pair."""
+        own = self.arcs.select("i", "j")
+        if self.directed:
+            sides = own.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") < F.col("j"), 1).otherwise(2).alias("way"))
+            ties = sides.groupBy("a", "b").agg(F.sum("way").alias("way"))  # 1: up, 2: down, 3: both
+        else:
+            ties = own.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(3).cast("long").alias("way"))
+        ends = ties.select(F.col("a").alias("v")).union(ties.select("b")).groupBy("v").agg(F.count("*").alias("d"))
+        ties = ties.join(ends.withColumnsRenamed({"v": "a", "d": "da"}), "a").join(ends.withColumnsRenamed({"v": "b", "d": "db"}), "b")
+        rank = lambda d, v: F.struct(F.col(d).alias("d"), F.col(v).alias("v"))
+        up = rank("da", "a") < rank("db", "b")
+        pick = lambda x, z: F.when(up, x).otherwise(z)
+        out = ties.select(pick(F.col("a"), F.col("b")).alias("x"), pick(F.col("b"), F.col("a")).alias("z"), pick(F.col("db"), F.col("da")).alias("dz"), pick(F.col("way").bitwiseAND(1), F.shiftright("way", 1)).alias("fore"), pick(F.shiftright("way", 1), F.col("way").bitwiseAND(1)).alias("back"))
+        name = lambda z, f, b: out.select(F.col("x").alias("u"), F.col("z").alias(z), F.col("dz").alias(f"d{z}"), F.col("fore").alias(f), F.col("back").alias(b))
+        paths = name("v", "uv", "vu").join(name("w", "uw", "wu"), "u").filter(rank("dv", "v") < rank("dw", "w")).drop("dv", "dw")
+        return paths.join(out.select(F.col("x").alias("v"), F.col("z").alias("w"), F.col("fore").alias("vw"), F.col("back").alias("wv")), ["v", "w"])
+
+    def tie_partners(self, kind: str) -> DataFrame:
+        """(i, j, s): ties with s > 0 shared partners, as shared_partners has them, from the closed triples alone."""
+        cache = self.__dict__.setdefault("_tie_partners", {})
+        if kind not in cache:
+            each = []
+            for x, y, z in (("u", "v", "w"), ("v", "u", "w"), ("u", "w", "v"), ("w", "u", "v"), ("v", "w", "u"), ("w", "v", "u")):
+                if not self.directed and (x, y) not in (("u", "v"), ("u", "w"), ("v", "w")):
+                    continue
+                tie = lambda p, q: F.col(p + q)
+                s = {
+                    "OTP": lambda: tie(x, z) * tie(z, y), "ITP": lambda: tie(y, z) * tie(z, x), "OSP": lambda: tie(x, z) * tie(y, z), "ISP": lambda: tie(z, x) * tie(z, y),
+                    "union": lambda: F.lit(1), "und": lambda: F.lit(1),
+                }[kind]()
+                i, j = (F.col(x), F.col(y)) if self.directed else (F.least(x, y), F.greatest(x, y))
+                each.append(F.struct(i.alias("i"), j.alias("j"), (tie(x, y) * s).cast("long").alias("s")))
+            rows = self.closed.select(F.explode(F.filter(F.array(*each), lambda e: e["s"] > 0)).alias("e")).select("e.*")
+            cache[kind] = rows.groupBy("i", "j").agg(F.sum("s").alias("s"))
+        return cache[kind]
+
     @cached_property
     def dyads(self) -> DataFrame:
         """(i, j, y, r) of every observed dyad: whether i>j and j>i exist. The one place that enumerates pairs of
@@ -135,6 +176,10 @@ class Network:
         back = self.arcs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("r"))
         return got.join(back, ["i", "j"], "left").fillna(0, ["r"])
 
+    def is_whole(self, pairs: DataFrame) -> bool:
+        """Whether these are all dyads, or all that ties touch: then work may start from the ties."""
+        return any(pairs is self.__dict__.get(k) for k in ("dyads", "listed"))
+
     def ends(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
         """Adds each vertex column c as c_i and c_j."""
         own = self.vertices.select("v", *columns)

@@ -63,10 +63,12 @@ class Triangle(Term):
 
     def stat(self, net):
         if not net.directed:
-            closed = _partners(net, net.arcs.select("i", "j"), "und", "s")
-            return _value(closed, F.col("s") / 3)
-        closed = _partners(net, _partners(net, net.arcs.select("i", "j"), "OSP", "t"), "ITP", "c")
-        return _value(closed, F.col("t") + F.col("c") / 3)
+            return net.closed.agg(F.count("*").cast("double").alias("value"))
+        c = F.col
+        # each order of the three is transitive if its first two ties and their shortcut exist
+        orders = (("u", "v", "w"), ("u", "w", "v"), ("v", "u", "w"), ("v", "w", "u"), ("w", "u", "v"), ("w", "v", "u"))
+        transitive = sum((c(x + y) * c(y + z) * c(x + z) for x, y, z in orders), F.lit(0))
+        return _value(net.closed, transitive + c("uv") * c("vw") * c("wu") + c("vu") * c("wv") * c("uw"))
 
     def change(self, net, pairs):
         rows = pairs.select("i", "j")
@@ -251,6 +253,17 @@ class ODegree(Degree):
     label, requires_undirected, requires_directed = "odegree", False, True
 
 
+#: For each kind: the near and far end of the relation and which end of the dyad the near one is; and the pair.
+PARTS = {
+    "OTP": [("f", "t", "j", "i", "k"), ("t", "f", "i", "k", "j")],
+    "ITP": [("f", "t", "j", "k", "i"), ("t", "f", "i", "j", "k")],
+    "OSP": [("t", "f", "j", "i", "k")],
+    "ISP": [("f", "t", "i", "j", "k")],
+    "union": [("f", "t", "j", "i", "k"), ("f", "t", "i", "j", "k")],
+    "und": [("f", "t", "j", "i", "k"), ("f", "t", "i", "j", "k")],
+}
+
+
 class _Partners(Term):
     """Shared by the weighted shared-partner terms. A new tie i>j lets pairs gain a partner:
 
@@ -281,26 +294,20 @@ class _Partners(Term):
         which shared_partners has them. Only pairs that a path of two ties joins, through some partner or through
         the dyad itself, are listed by the callers."""
         kind = self.kind(net)
-        base = net.either if kind == "union" else net.pairs
-        out = base.select(F.col("i").alias("f"), F.col("j").alias("t"))
+        out = self._near(net)
         own = pairs.select("i", "j", "y", "r")
         if kind == "union":
             own = own.filter("r = 0")
-        at = lambda near, far, key: own.join(out.withColumnsRenamed({near: key, far: "k"}), key)
-        parts = {
-            "OTP": lambda: [(at("f", "t", "j"), "i", "k"), (at("t", "f", "i"), "k", "j")],
-            "ITP": lambda: [(at("f", "t", "j"), "k", "i"), (at("t", "f", "i"), "j", "k")],
-            "OSP": lambda: [(at("t", "f", "j"), "i", "k")],
-            "ISP": lambda: [(at("f", "t", "i"), "j", "k")],
-            "union": lambda: [(at("f", "t", "j"), "i", "k"), (at("f", "t", "i"), "j", "k")],
-            "und": lambda: [(at("f", "t", "j"), "i", "k"), (at("f", "t", "i"), "j", "k")],
-        }[kind]()
         rows = None
-        for part, a, b in parts:
-            part = part.filter("k <> i and k <> j").select("i", "j", "y", F.col(a).alias("a"), F.col(b).alias("b"))
+        for near, far, key, a, b in PARTS[kind]:
+            part = own.join(out.withColumnsRenamed({near: key, far: "k"}), key).filter("k <> i and k <> j").select("i", "j", "y", F.col(a).alias("a"), F.col(b).alias("b"))
             rows = part if rows is None else rows.union(part)
         return rows
 
+    def _near(self, net: Network) -> DataFrame:
+        base = net.either if self.kind(net) == "union" else net.pairs
+        return base.select(F.col("i").alias("f"), F.col("j").alias("t"))
+
     def _gain(self, rows: DataFrame, net: Network, times: str) -> DataFrame:
         sp = net.shared_partners(self.kind(net))
         rows = rows.join(sp, ["a", "b"], "left")
@@ -366,15 +373,44 @@ class GWESP(_Partners):
     untouched = "zero"
 
     def stat(self, net):
-        return _value(_partners(net, net.arcs.select("i", "j"), self.kind(net), "s"), weight(F.col("s"), self.decay))
+        return _value(net.tie_partners(self.kind(net)), weight(F.col("s"), self.decay))  # no partner, no weight
 
-    def change(self, net, pairs):
-        kind = self.kind(net)
-        # pairs that count are tied, so the tie is joined first and keeps the rest small
+    def _ties(self, net: Network) -> DataFrame:
+        """(a, b, m): tied pairs, both ways with the number of ties where the kind has no direction."""
         ties = net.pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1).alias("m"))
-        if kind in ("OSP", "ISP", "union"):
+        if self.kind(net) in ("OSP", "ISP", "union"):
             ties = ties.union(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "m")).groupBy("a", "b").agg(F.sum("m").alias("m"))
-        gain = self._gain(self._gaining(net, pairs).join(ties, ["a", "b"]), net, "m")
+        return ties
+
+    def _gain_from_ties(self, net: Network) -> DataFrame:
+        """(i, j, gain) of all dyads with a gain: from each tied pair by the third vertex to the dyads that it is for, so
+        that work follows the ties and their neighbours and no list of dyads."""
+        kind = self.kind(net)
+        s = net.tie_partners(kind).select(F.col("i").alias("a"), F.col("j").alias("b"), "s")
+        if kind not in ("OTP", "ITP"):
+            s = s.union(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).distinct()
+        ties = self._ties(net).join(s, ["a", "b"], "left").fillna(0, ["s"])
+        out, rows = self._near(net), None
+        for near, far, key, a, b in PARTS[kind]:
+            other = "i" if key == "j" else "j"
+            own = ties.withColumnsRenamed({"a": a, "b": b})  # one of them is the other end, one is k
+            part = own.join(out.withColumnsRenamed({near: key, far: "k"}), "k").filter(f"{key} <> {other}").select("i", "j", "m", "s")
+            rows = part if rows is None else rows.union(part)
+        if not net.directed:
+            rows = rows.filter("i < j")
+        own = net.arcs.select("i", "j", F.lit(1).alias("y"))
+        rows = rows.groupBy("i", "j", "s").agg(F.sum("m").alias("m"))
+        if kind == "union":
+            rows = rows.join(own.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_anti")
+        rows = rows.join(own, ["i", "j"], "left").fillna(0, ["y"])
+        return rows.groupBy("i", "j").agg(F.sum(F.col("m") * power(F.col("s") - F.col("y"), self.decay)).alias("gain"))
+
+    def change(self, net, pairs):
+        kind = self.kind(net)
+        if net.is_whole(pairs):
+            gain = self._gain_from_ties(net)
+        else:  # pairs that count are tied, so the tie is joined first and keeps the rest small
+            gain = self._gain(self._gaining(net, pairs).join(self._ties(net), ["a", "b"]), net, "m")
         own = _partners(net, pairs.select("i", "j"), kind, "s").join(gain, ["i", "j"], "left")
         return own.select("i", "j", (weight(F.col("s"), self.decay) + F.coalesce("gain", F.lit(0.0))).alias("delta"))
 

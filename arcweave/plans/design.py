@@ -86,7 +86,7 @@ def mple_design(net: Network, terms: Iterable[Term], sparse: bool | None = None)
     if sparse is None:
         sparse = net.n_pairs > LISTED
     if sparse and supported(net, own):
-        listed = touched(net, own)
+        net.listed = listed = touched(net, own)
         rest = complement(net, own, listed)
     if rest is None:
         got = _changes(net, own, net.dyads).groupBy(*keys).agg(F.count("*").alias("n_tot"), F.sum("y").alias("n_one"))
