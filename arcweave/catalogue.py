@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,9 @@ from arcweave import oracles as O
 from arcweave.diag.gof import gof
 from arcweave.diag.panels import degree_counts, geodesics, shared_partner_counts
 from arcweave.diag.traces import lagged, mcmc_diagnostics, numbered, segments, thinned
-from arcweave.fit.mcmle import bridge_loglik, mcmle
+from arcweave.fit.mcmle import bridge_loglik, independent_logz, mcmle, present_missing
 from arcweave.fit.model import ERGMModel
-from arcweave.fit.mple import fit_ergm, mple
-from arcweave.functions.weights import log1pexp, logistic
+from arcweave.fit.mple import fit_ergm, mple, spark_derivatives
 from arcweave.mcmc.sample import mh_sample, sample_networks
 from arcweave.network import Network
 from arcweave.operators.base import Term
@@ -38,6 +38,10 @@ def _net(s: SparkSession, d: str, directed: bool) -> Network:
     return user_network(s, d, directed).cached()
 
 
+def _masked(net: Network) -> Network:
+    return Network(net.vertices, net.arcs, True, net.dyads.filter("(i + j) % 17 = 0"))
+
+
 def _stat(term: Callable[..., Term], directed: bool) -> Query:
     return lambda s, d: term(s, d).stat(_net(s, d, directed)).select(F.round("value", 6).alias("value"))
 
@@ -113,6 +117,25 @@ def _register_nodal() -> None:
     }
     for name, (term, x) in terms.items():
         both(name, term, True, O.stat(O.DIR, f"coalesce(sum({x}), 0)", tie), O.change(O.DIR, x, ends))
+    # attributes with nulls: a null level matches nothing, a null number counts as 0
+    holes = O.DIR + ", H AS (SELECT v, CASE WHEN v % 7 <> 0 THEN kind END AS kind, CASE WHEN v % 5 <> 0 THEN n_events END AS n_events FROM V)"
+    hole = O.ENDS.replace("JOIN V ", "JOIN H ")
+    gaps = {
+        "nodematch_nulls": (NodeMatch("kind"), "coalesce((vi.kind = vj.kind)::BIGINT, 0)"),
+        "nodemismatch_nulls": (NodeMismatch("kind"), "coalesce((vi.kind <> vj.kind)::BIGINT, 0)"),
+        "nodefactor_nulls": (NodeFactor("kind", level="click"), "coalesce((vi.kind = 'click')::BIGINT, 0) + coalesce((vj.kind = 'click')::BIGINT, 0)"),
+        "nodecov_nulls": (NodeCov("n_events"), "coalesce(vi.n_events, 0) + coalesce(vj.n_events, 0)"),
+        "absdiff_nulls": (AbsDiff("n_events"), "abs(coalesce(vi.n_events, 0) - coalesce(vj.n_events, 0))"),
+    }
+
+    def with_holes(s, d):
+        net = _net(s, d, True)
+        cut = lambda c, k: F.when(F.col("v") % k != 0, F.col(c)).alias(c)
+        return Network(net.vertices.select("v", cut("kind", 7), cut("n_events", 5)), net.arcs, True)
+
+    for name, (term, x) in gaps.items():
+        add(f"stat_{name}", lambda s, d, term=term: term.stat(with_holes(s, d)).select(F.round("value", 6).alias("value")), O.stat(holes, f"coalesce(sum({x}), 0)", "arcs t " + hole.format(t="t")))
+        add(f"delta_{name}", lambda s, d, term=term: (lambda n: term.change(n, n.dyads).select("i", "j", F.round(F.col("delta").cast("double"), 6).alias("delta")))(with_holes(s, d)), O.change(holes, x, hole.format(t="dy")))
     x = "((vi.kind = 'click' AND vj.kind = 'view') OR (vi.kind = 'view' AND vj.kind = 'click'))::BIGINT"
     both("nodemix_und", NodeMix("kind", "click", "view"), False, O.stat(O.UND, f"coalesce(sum({x}), 0)", tie), O.change(O.UND, x, ends))
     base = O.DIR + ", et AS (SELECT DISTINCT user_id, event_type FROM events), cov AS (SELECT x.user_id AS i, z.user_id AS j, count(*) AS x FROM et x JOIN et z USING (event_type) WHERE x.user_id <> z.user_id GROUP BY 1, 2)"
@@ -152,7 +175,7 @@ def _register_plans() -> None:
     def design(s, d, masked=False):
         net = _net(s, d, True)
         if masked:
-            net = Network(net.vertices, net.arcs, True, net.dyads.filter("(i + j) % 17 = 0"))
+            net = _masked(net)
         got = mple_design(net, [Edges(), Mutual(), NodeMatch("kind"), Kstar(2)])
         return got.select(*[F.col(f"`{c}`").cast("long").alias(c.replace(".", "_")) for c in got.columns])
 
@@ -165,12 +188,12 @@ def _register_plans() -> None:
 
     near = "nb AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2)"
     add("mple_design_parts", parts_design, f"WITH {O.G3}, {near} SELECT 1::BIGINT AS edges, coalesce(s, 0)::BIGINT AS triangle, (u.p_brand = v.p_brand)::BIGINT AS nodematch_p_brand, count(*) AS n_tot, count(P3.i) AS n_one FROM part u JOIN part v ON u.p_partkey < v.p_partkey LEFT JOIN nb ON a = u.p_partkey AND b = v.p_partkey LEFT JOIN P3 ON P3.i = u.p_partkey AND P3.j = v.p_partkey GROUP BY 1, 2, 3")
-    add("masked_present_edges", lambda s, d: (lambda n: n.arcs.select("i", "j").join(n.dyads.filter("(i + j) % 17 = 0").select("i", "j"), ["i", "j"], "left_semi"))(_net(s, d, True)), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
+    add("masked_present_edges", lambda s, d: present_missing(_masked(_net(s, d, True))), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
     add("dyads", lambda s, d: _net(s, d, True).dyads.select("i", "j", F.col("y").cast("long").alias("y"), F.col("r").cast("long").alias("r")), f"WITH {O.DIR} SELECT i, j, y, r FROM dy")
     add("reciprocal_ties", lambda s, d: _net(s, d, True).dyads.filter("y = 1 and r = 1").select("i", "j"), f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")
     add("neighbor_union", lambda s, d: _net(s, d, True).either, f"WITH {O.DIR} SELECT i, j FROM U")
     add("neighbor_intersection", lambda s, d: _net(s, d, False).shared_partners("und").filter("a < b"), f"WITH {O.UND} SELECT x.i AS a, y.j AS b, count(*) AS s FROM adj x JOIN adj y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2")
-    add("level_difference", lambda s, d: _net(s, d, True).vertices.select("kind").distinct().exceptAll(s.createDataFrame([("click",)], "kind string")), f"WITH {O.DIR} SELECT DISTINCT kind FROM V WHERE kind <> 'click'")
+    add("level_difference", lambda s, d: s.createDataFrame([(t.level,) for t in NodeFactor("kind").expand(_net(s, d, True))], "kind string"), f"WITH {O.DIR} SELECT DISTINCT kind FROM V WHERE kind <> (SELECT min(kind) FROM V)")
     add("degrees", lambda s, d: _net(s, d, True).degrees.select("v", *[F.col(c).cast("long").alias(c) for c in ("dout", "din", "d")]), f"WITH {O.DIR} SELECT v, dout, din, d FROM deg")
     add("network_density", lambda s, d: (lambda n: s.createDataFrame([(n.n, n.n_edges, round(n.density, 9))], "n long, edges long, density double"))(_net(s, d, True)), f"WITH {O.DIR} SELECT count(*) AS n, (SELECT count(*) FROM A) AS edges, round((SELECT count(*) FROM A)::DOUBLE / (count(*) * (count(*) - 1)), 9) AS density FROM V")
     add("triangle_parts", lambda s, d: Triangle().stat(part_network(s, d).cached()).select(F.col("value").cast("long").alias("value")), f"WITH {O.G3} SELECT count(*) AS value FROM P3 x JOIN P3 y ON x.j = y.i JOIN P3 z ON z.i = x.i AND z.j = y.j")
@@ -183,30 +206,24 @@ _register_nodal()
 _register_plans()
 
 
-def _eta(s: SparkSession, d: str) -> DataFrame:
-    """The nation network's dyads with a fixed linear predictor over edges, mutual and region match."""
-    net = nation_network(s, d)
-    rows = net.ends(net.dyads, ["region"])
-    m = F.when(F.col("region_i") == F.col("region_j"), 1.0).otherwise(0.0)
-    return rows.select(F.col("y").cast("double").alias("y"), F.col("r").cast("double").alias("r"), m.alias("m")).withColumn("eta", -1.0 + 0.5 * F.col("r") + 0.25 * F.col("m"))
+#: A fixed linear predictor over edges, mutual and region match of the nation network's dyads.
+_BETA = (-1.0, 0.5, 0.25)
+_ETA = f"{O.G2}, q AS (SELECT (a.i IS NOT NULL)::DOUBLE AS y, (b.i IS NOT NULL)::DOUBLE AS r, (x.region = z.region)::DOUBLE AS m FROM N x JOIN N z ON x.v <> z.v LEFT JOIN B a ON a.i = x.v AND a.j = z.v LEFT JOIN B b ON b.i = z.v AND b.j = x.v), e AS (SELECT *, -1 + 0.5 * r + 0.25 * m AS eta FROM q)"
 
 
-_ETA = f"{O.G2}, q AS (SELECT (a.i IS NOT NULL)::DOUBLE AS y, (b.i IS NOT NULL)::DOUBLE AS r, (x.region = z.region)::DOUBLE AS m FROM N x JOIN N z ON x.v <> z.v LEFT JOIN B a ON a.i = x.v AND a.j = z.v LEFT JOIN B b ON b.i = z.v AND b.j = x.v), e AS (SELECT *, -1 + 0.5 * r + 0.25 * m AS eta FROM q)"
+def _independent(s: SparkSession, d: str) -> ERGMModel:
+    return ERGMModel([Edges(), Mutual(), NodeMatch("region")], nation_network(s, d).cached())
 
 
 def _derivatives(s: SparkSession, d: str) -> DataFrame:
-    p = logistic(F.col("eta"))
-    one = F.lit(1.0)
-    x = [one, F.col("r"), F.col("m")]
-    cols = [F.sum(F.col("y") * F.col("eta") - log1pexp(F.col("eta"))).alias("ll")]
-    cols += [F.sum(x[a] * (F.col("y") - p)).alias(f"g{a}") for a in range(3)]
-    cols += [F.sum(-x[a] * x[b] * p * (1 - p)).alias(f"h{a}{b}") for a in range(3) for b in range(a, 3)]
-    got = _eta(s, d).agg(*cols)
-    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+    model = _independent(s, d)
+    ll, g, h = spark_derivatives(mple_design(model.network, model.terms), model.names)(np.array(_BETA))
+    row = {"ll": ll, **{f"g{a}": g[a] for a in range(3)}, **{f"h{a}{b}": h[a, b] for a in range(3) for b in range(a, 3)}}
+    return s.createDataFrame([tuple(float(x) for x in row.values())], ", ".join(f"{c} double" for c in row)).select(*[F.round(c, 6).alias(c) for c in row])
 
 
 _X = ["1", "r", "m"]
-add("logz_dyad_independent", lambda s, d: _eta(s, d).agg(F.round(F.sum(log1pexp(F.col("eta"))), 6).alias("logz")), f"WITH {_ETA} SELECT round(sum(ln(1 + exp(eta))), 6) AS logz FROM e")
+add("logz_dyad_independent", lambda s, d: s.createDataFrame([(independent_logz(_independent(s, d), np.array(_BETA)),)], "logz double").select(F.round("logz", 6).alias("logz")), f"WITH {_ETA} SELECT round(sum(ln(1 + exp(eta))), 6) AS logz FROM e")
 add("logistic_derivatives", _derivatives, f"WITH {_ETA}, w AS (SELECT *, 1 / (1 + exp(-eta)) AS p FROM e) SELECT round(sum(y * eta - ln(1 + exp(eta))), 6) AS ll, " + ", ".join([*(f"round(sum({_X[a]} * (y - p)), 6) AS g{a}" for a in range(3)), *(f"round(sum(-{_X[a]} * {_X[b]} * p * (1 - p)), 6) AS h{a}{b}" for a in range(3) for b in range(a, 3))]) + " FROM w")
 
 
@@ -256,6 +273,9 @@ def _nation_model(s: SparkSession, d: str, dependent: bool = True) -> ERGMModel:
 def _register_fits() -> None:
     """Driven by seeds; SQL has no counterpart."""
     rounded = lambda df: df.select("term", *[F.round(c, 6).alias(c) for c in df.columns[1:]])
+    # edges and one match have a closed form: a logit for each of two kinds of dyads
+    closed = f"WITH {O.G2}, q AS (SELECT x.region = z.region AS m, count(*)::DOUBLE AS n, count(B.i)::DOUBLE AS k FROM N x JOIN N z ON x.v <> z.v LEFT JOIN B ON B.i = x.v AND B.j = z.v GROUP BY 1), w AS (SELECT m, ln(k / (n - k)) AS l, 1 / k + 1 / (n - k) AS v FROM q), o AS (SELECT l, v FROM w WHERE NOT m), i AS (SELECT l, v FROM w WHERE m)"
+    add("mple_fit_match", lambda s, d: (lambda r: s.createDataFrame([(n, float(c), float(e)) for n, c, e in zip(r.model.names, r.coefficients, r.std_errors)], "term string, estimate double, std_error double").select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error")))(mple(_nation_model(s, d, False))), f"{closed} SELECT 'edges' AS term, round(l, 5) AS estimate, round(sqrt(v), 5) AS std_error FROM o UNION ALL SELECT 'nodematch.region', round(i.l - o.l, 5), round(sqrt(i.v + o.v), 5) FROM i, o")
     add("mple_fit", lambda s, d: rounded(mple(_nation_model(s, d)).coef_table(s)))
     add("mple_fit_bootstrap", lambda s, d: rounded(mple(_nation_model(s, d), se="bootstrap", n_boot=20, boot_burnin=3000, boot_interval=300, seed=1).coef_table(s)))
     add("mcmle_fit", lambda s, d: rounded(mcmle(_nation_model(s, d), n_samples=500, burnin=3000, interval=100, seed=1, bridge_rungs=None).coef_table(s)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.network import Network
+from arcweave.mcmc.sample import MAX_VERTICES
 from arcweave.operators.structural import KINDS
 
 
@@ -54,7 +57,10 @@ def distances(a: np.ndarray) -> np.ndarray:
 
 
 def distance_counts(arcs: DataFrame, vertices: DataFrame, directed: bool) -> DataFrame:
-    """(sim_id, label, c): ordered pairs by distance; pairs that nothing joins are left out. One network is a task."""
+    """(sim_id, label, c): ordered pairs by distance; pairs that nothing joins are left out. One network is a task,
+    so it may have MAX_VERTICES vertices; geodesics() has no such limit."""
+    if vertices.count() > MAX_VERTICES:
+        raise ValueError(f"distances of a network in one task are for at most {MAX_VERTICES} vertices; geodesics() takes any")
     ids = np.array(sorted(r[0] for r in vertices.select("v").collect()), np.int64)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -75,9 +81,10 @@ def geodesics(net: Network, depth: int | None = None) -> DataFrame:
     The pairs seen so far grow up to the pairs that are joined at all; `depth` ends the search early. Each round is
     written to the checkpoint folder, so the plan stays small and a lost executor costs no more than its round."""
     if not net.spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        net.spark.sparkContext.setCheckpointDir(net.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweave-"))
+        folder = net.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not net.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        net.spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arcweave-"))
     ties = net.pairs.withColumnsRenamed({"i": "k", "j": "b"}).checkpoint()
     front = ties.select(F.col("k").alias("a"), "b").distinct()
     seen, parts, d = front, [], 1

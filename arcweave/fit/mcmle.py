@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.diag.traces import geyer_ess
@@ -13,6 +14,7 @@ from arcweave.fit.mple import mple
 from arcweave.functions.special import chi2_quantile, f_sf
 from arcweave.functions.weights import log1pexp
 from arcweave.mcmc.sample import bound_chain, chains, require_observed, sample_matrix, seeds
+from arcweave.network import Network
 from arcweave.plans.design import compute_all, mple_design
 
 
@@ -78,6 +80,11 @@ def mcmle(model: ERGMModel, n_samples: int = 1000, burnin: int | None = None, in
     return ERGMResult(model, theta, inverse, float(loglik), "mcmle", converged, drawn, "mcmc", "condition_on_face" if net.n_missing else "none")
 
 
+def present_missing(net: Network) -> DataFrame:
+    """(i, j) of the unobserved dyads that are stored as tied: their face value."""
+    return net.missing.join(net.arcs.select("i", "j"), ["i", "j"], "left_semi").select("i", "j")
+
+
 def independent_logz(model: ERGMModel, theta) -> float:
     """log of the normalizing constant for terms of single dyads, summed in Spark; masked dyads add their face value."""
     net, names = model.network, model.names
@@ -86,7 +93,7 @@ def independent_logz(model: ERGMModel, theta) -> float:
     if net.n_missing:
         from arcweave.plans.design import change_stat_all
 
-        face = net.missing.join(net.arcs.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", F.lit(1).alias("y"), F.lit(0).alias("r"))
+        face = present_missing(net).select("i", "j", F.lit(1).alias("y"), F.lit(0).alias("r"))
         total += float(change_stat_all(net, model.terms, face).agg(F.sum(eta)).first()[0] or 0.0)
     return total
 

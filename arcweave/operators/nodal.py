@@ -13,9 +13,16 @@ TRANSFORMS = {"none": lambda x: x, "log": F.log1p, "sqrt": F.sqrt}
 TRANSFORMS_NP = {"none": lambda x: x, "log": np.log1p, "sqrt": np.sqrt}
 
 
+#: Levels of an attribute, and entries of a covariate that a chain holds, at most: they go through the driver.
+MAX_LEVELS, MAX_ENTRIES = 10_000, 5_000_000
+
+
 def levels_of(net: Network, attribute: str) -> list:
-    """Distinct values that occur, sorted."""
-    return [r[0] for r in net.vertices.select(attribute).filter(F.col(attribute).isNotNull()).distinct().orderBy(attribute).collect()]
+    """Distinct values that occur, sorted; more than MAX_LEVELS raise an error."""
+    got = [r[0] for r in net.vertices.select(attribute).filter(F.col(attribute).isNotNull()).distinct().orderBy(attribute).limit(MAX_LEVELS + 1).collect()]
+    if len(got) > MAX_LEVELS:
+        raise ValueError(f"{attribute} has more than {MAX_LEVELS} levels")
+    return got
 
 
 def _flag(condition: Column) -> Column:
@@ -227,7 +234,8 @@ class NodeMix(_Level):
 
 
 class EdgeCov(Term):
-    """Sum over ties of a dyadic covariate: a table (i, j, x), a square matrix, or an edge attribute; 0 elsewhere.
+    """Sum over ties of a dyadic covariate: a table (i, j, x), a square matrix, an edge attribute, or a function that
+    gives (i, j, x) for a network and the pairs (i, j) asked for; 0 elsewhere.
 
     An undirected network reads the entry with i < j."""
 
@@ -241,7 +249,9 @@ class EdgeCov(Term):
             self.required_edge_attributes = (source,)
         else:
             self._name, self.attribute, self.source = name, None, source
-            if not hasattr(source, "columns"):
+            if callable(source):
+                self.untouched = None
+            elif not hasattr(source, "columns"):
                 self.source = np.asarray(source, float)
                 if self.source.ndim != 2 or self.source.shape[0] != self.source.shape[1]:
                     raise ValueError("a covariate matrix must be square")
@@ -250,7 +260,9 @@ class EdgeCov(Term):
     def name(self):
         return self._name
 
-    def table(self, net: Network):
+    def table(self, net: Network, pairs=None):
+        if callable(self.source):
+            return self.source(net, net.dyads if pairs is None else pairs)
         if self.attribute:
             return net.arcs.select("i", "j", F.coalesce(F.col(self.attribute).cast("double"), F.lit(0.0)).alias("x"))
         if isinstance(self.source, np.ndarray):
@@ -260,16 +272,21 @@ class EdgeCov(Term):
         return self.source.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("x"))
 
     def touches(self, net):
+        if callable(self.source):
+            return None
         return self.table(net).filter("x <> 0").select("i", "j")
 
     def change(self, net, pairs):
-        return pairs.select("i", "j").join(self.table(net), ["i", "j"], "left").select("i", "j", F.coalesce("x", F.lit(0.0)).alias("delta"))
+        return pairs.select("i", "j").join(self.table(net, pairs), ["i", "j"], "left").select("i", "j", F.coalesce("x", F.lit(0.0)).alias("delta"))
 
     def stat(self, net):
-        return net.arcs.select("i", "j").join(self.table(net), ["i", "j"]).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("value"))
+        return net.arcs.select("i", "j").join(self.table(net, net.arcs), ["i", "j"]).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("value"))
 
     def bind(self, net, ids):
-        got = self.table(net).toPandas()
+        rows = self.table(net).filter("x <> 0")
+        got = rows.limit(MAX_ENTRIES + 1).toPandas()
+        if len(got) > MAX_ENTRIES:
+            raise ValueError(f"a chain holds its covariate in one task; it may have {MAX_ENTRIES} entries")
         at = {int(v): k for k, v in enumerate(ids)}
         self._x = {(at[int(a)], at[int(b)]): x for a, b, x in zip(got.i, got.j, got.x) if int(a) in at and int(b) in at}
 

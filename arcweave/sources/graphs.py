@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a day up to which it is one range; a larger day is cut into as many equal stretches of time as it needs.
+RANGE_ROWS = 1_000_000
+
+
+def time_ranges(rows: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
+    """Adds `cut`, which grows with ts: its day and, in days of more than `most` rows, a stretch of that day."""
+    rows = rows.withColumn("day", F.to_date("ts"))
+    sizes = rows.groupBy("day").agg(F.ceil(F.count("*") / most).alias("stretches"))
+    second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    stretch = F.floor(second * F.col("stretches") / 86_400).alias("stretch")
+    return rows.join(sizes, "day").withColumn("cut", F.struct("day", stretch)).drop("day", "stretches")
+
+
 def successors(events: DataFrame, event_type: str) -> DataFrame:
     """(i, j, n): how often user j's event of the type comes next after user i's, in time order.
 
-    The order is cut by day: a window sorts each day, and one row for each day carries the last user over."""
-    own = events.filter(F.col("event_type") == event_type).select("user_id", F.struct("ts", "event_id").alias("at"), F.to_date("ts").alias("day"))
-    days = own.groupBy("day").agg(F.max(F.struct("at", "user_id")).alias("last"))
-    carry = days.select("day", F.lag("last.user_id").over(Window.orderBy("day")).alias("carried"))  # as many rows as days
-    prev = F.lag("user_id").over(Window.partitionBy("day").orderBy("at"))
-    rows = own.withColumn("prev", prev).join(carry, "day").select(F.coalesce("prev", "carried").alias("i"), F.col("user_id").alias("j"))
+    The order is cut by ranges of time, of any day too large for one: a window sorts each range, and one row for each
+    range carries the last user over."""
+    own = events.filter(F.col("event_type") == event_type).select("user_id", F.struct("ts", "event_id").alias("at"), "ts")
+    own = time_ranges(own)
+    ranges = own.groupBy("cut").agg(F.max(F.struct("at", "user_id")).alias("last"))
+    carry = ranges.select("cut", F.lag("last.user_id").over(Window.orderBy("cut")).alias("carried"))  # as many rows as ranges
+    prev = F.lag("user_id").over(Window.partitionBy("cut").orderBy("at"))
+    rows = own.withColumn("prev", prev).join(carry, "cut").select(F.coalesce("prev", "carried").alias("i"), F.col("user_id").alias("j"))
     return rows.filter("i is not null and i <> j").groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
@@ -38,11 +55,24 @@ def user_network(spark: SparkSession, sf_dir: str, directed: bool = True) -> Net
     return Network(users(events), successors(events, "purchase"), directed)
 
 
-def shared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, x): number of event types that both users have, of users that share one."""
-    own = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
-    one, two = own.withColumnRenamed("user_id", "i"), own.withColumnRenamed("user_id", "j")
-    return one.join(two, "event_type").filter("i <> j").groupBy("i", "j").agg(F.count("*").cast("double").alias("x"))
+def shared_types(spark: SparkSession, sf_dir: str, limit: int = 63) -> Callable[[Network, DataFrame], DataFrame]:
+    """A covariate of vertex pairs: the number of event types that both users have. It is taken from a bitmask for each
+    user, for the pairs asked for alone; there may be `limit` types."""
+    events = table(spark, sf_dir, "events")
+    types = [r[0] for r in events.select("event_type").filter("event_type is not null").distinct().orderBy("event_type").limit(limit + 1).collect()]
+    if len(types) > limit:
+        raise ValueError(f"a bitmask has room for {limit} event types")
+    bit = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(1 << k)) for k, t in enumerate(types)], F.lit(0)).cast("long")
+    masks = events.groupBy("user_id").agg(F.bit_or(bit).alias("mask"))
+
+    def value(net: Network, pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("i", "j")
+        for e in ("i", "j"):
+            rows = rows.join(masks.select(F.col("user_id").cast("long").alias(e), F.col("mask").alias(f"mask_{e}")), e, "left")
+        both = F.bit_count(F.coalesce("mask_i", F.lit(0)).bitwiseAND(F.coalesce("mask_j", F.lit(0))))
+        return rows.select("i", "j", both.cast("double").alias("x"))
+
+    return value
 
 
 def nation_network(spark: SparkSession, sf_dir: str, top: int = 5) -> Network:
