@@ -12,6 +12,6 @@ from arcweave.operators.base import PairTerm, Term, TermSet, is_dyad_dependent,
 from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix
 from arcweave.operators.structural import GWDSP, GWESP, Degree, Edges, GWDegree, GWIDegree, GWODegree, IDegree, Kstar, Mutual, ODegree, Triangle, TwoPath
 from arcweave.plans.design import change_stat, change_stat_all, compute, compute_all, mple_design, summary_stats
-from arcweave.sources.datasets import covariate, load_dataset, read_network, write_network
+from arcweave.sources.datasets import covariate, load_dataset, load_golden, read_network, write_network
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("diag", "fit", "functions", "mcmc", "network", "operators", "plans", "sources")]

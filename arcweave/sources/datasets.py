@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.network import Network
 
 # Marriage ties and wealth of 16 Florentine families, a published data set.
-FLORENTINE_TIES = "1-9 2-6 2-7 2-9 3-5 3-9 4-7 4-11 4-15 5-11 5-15 7-8 7-16 9-13 9-14 9-16 10-14 11-15 13-15 13-16"
+FLORENTINE_TIES = [(1, 9), (2, 6), (2, 7), (2, 9), (3, 5), (3, 9), (4, 7), (4, 11), (4, 15), (5, 11), (5, 15), (7, 8), (7, 16), (9, 13), (9, 14), (9, 16), (10, 14), (11, 15), (13, 15), (13, 16)]
 FLORENTINE_WEALTH = [10, 36, 55, 44, 20, 32, 8, 42, 103, 48, 49, 3, 27, 10, 146, 48]
 
 
 def load_dataset(spark: SparkSession, name: str) -> Network:
     if name != "florentine_marriage":
         raise ValueError(f"no dataset {name!r}; there is florentine_marriage")
-    ties = [tuple(map(int, t.split("-"))) for t in FLORENTINE_TIES.split()]
-    return Network.from_edges(spark, 16, ties, directed=False, attributes={"wealth": [float(w) for w in FLORENTINE_WEALTH]})
+    return Network.from_edges(spark, 16, FLORENTINE_TIES, directed=False, attributes={"wealth": [float(w) for w in FLORENTINE_WEALTH]})
+
+
+def load_golden(path: str) -> dict:
+    """Pinned values of a TOML file, a dictionary for each of its tables; an unreadable file raises."""
+    with open(path, "rb") as f:
+        return tomllib.load(f)
 
 
 def read_network(spark: SparkSession, vertices: str, arcs: str, directed: bool = True, missing: str | None = None, format: str = "parquet", **options) -> Network:

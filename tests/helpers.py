@@ -7,6 +7,7 @@ import math
 
 from arcweave.network import Network
 
+# Two published seven-vertex networks and their attributes, for which statistics are pinned.
 UND = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (2, 5), (5, 6), (1, 5)]
 DIR = [(1, 2), (2, 1), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (1, 5), (5, 6), (6, 2)]
 GROUP = ["A", "A", "B", "B", "A", "B", "A"]

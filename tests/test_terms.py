@@ -134,3 +134,86 @@ def test_counted_design_equals_listed_design(spark, directed):
         names = [x.name for t in terms for x in t.expand(net)]
         one, two = (mple_design(net, terms, s).toPandas().round(8).sort_values(names).to_numpy(float).tolist() for s in (True, False))
         assert one == two and sum(r[-2] for r in one) == net.n_dyads
+
+
+def test_changes_of_all_dyads_start_from_the_ties(spark):
+    """Both ways to the changes of shared-partner terms agree: from listed dyads and from the ties."""
+    for directed in (True, False):
+        net = Network.from_edges(spark, 14, ring(14, 22, directed, 3), directed)
+        listed = net.dyads.select("*")
+        assert net.is_whole(net.dyads) and not net.is_whole(listed)
+        for kind in KINDS if directed else ("OTP",):
+            term = GWESP(0.7, kind)
+            one, two = ({(r.i, r.j): r.delta for r in term.change(net, p).collect()} for p in (net.dyads, listed))
+            assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_closed_triples_of_hubs(spark):
+    """A wheel with a hub and a second hub: each triple once, whichever end has more neighbours."""
+    rim = [(k, k % 20 + 1) for k in range(1, 21)]
+    edges = rim + [(21, k) for k in range(1, 21)] + [(k, 22) for k in range(1, 11)]
+    for directed in (True, False):
+        net = Network.from_edges(spark, 22, edges, directed)
+        e = set(edges)
+        joined = lambda i, j: (i, j) in e or (j, i) in e
+        want = {(i, j, k) for i in range(1, 23) for j in range(i + 1, 23) for k in range(j + 1, 23) if joined(i, j) and joined(j, k) and joined(i, k)}
+        assert sorted(tuple(sorted((r.u, r.v, r.w))) for r in net.closed.collect()) == sorted(want) and len(want) > 25
+        for kind in KINDS if directed else ("und",):
+            got = {(r.i, r.j): r.s for r in net.tie_partners(kind).collect()}
+            have = {(r.a, r.b): r.s for r in net.shared_partners(kind).collect()}
+            ties = {(r.i, r.j) for r in net.arcs.collect()}
+            assert got == {k: s for k, s in have.items() if k in ties}
+
+
+def test_covariate_of_asked_pairs(spark):
+    from pyspark.sql import functions as F
+
+    net = small(spark, True)
+    term = EdgeCov(lambda n, pairs: pairs.select("i", "j", (F.col("i") * F.col("j") % 7).cast("double").alias("x")), "cov")
+    table = EdgeCov(COV)
+    assert compute(term, net) == compute(table, net)
+    one, two = ({(r.i, r.j): r.delta for r in t.change(net, net.dyads).collect()} for t in (term, table))
+    assert one == two and mple_design(net, [term], sparse=True).count() == mple_design(net, [table], sparse=False).count()
+
+
+def test_driver_collections_are_checked(spark, monkeypatch):
+    from arcweave.diag import panels
+    from arcweave.operators import nodal
+
+    net = small(spark, False)
+    monkeypatch.setattr(nodal, "MAX_LEVELS", 1)
+    monkeypatch.setattr(nodal, "MAX_ENTRIES", 3)
+    monkeypatch.setattr(panels, "MAX_VERTICES", 5)
+    with pytest.raises(ValueError):
+        nodal.levels_of(net, "group")
+    with pytest.raises(ValueError):
+        EdgeCov(COV).bind(net, np.arange(1, 8))
+    with pytest.raises(ValueError):
+        panels.distance_counts(net.arcs, net.vertices, False)
+
+
+def test_ranges_of_a_crowded_day(spark):
+    """The order of events holds across the stretches that a day is cut into."""
+    from pyspark.sql import functions as F
+
+    from arcweave.sources import graphs
+
+    rows = [(k, f"2024-03-{1 + k % 3:02d} {k * 7 % 24:02d}:{k * 13 % 60:02d}:{k * 29 % 60:02d}", k * 31 % 17, "buy") for k in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    order = [r[2] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    want = {}
+    for a, b in zip(order, order[1:]):
+        if a != b:
+            want[a, b] = want.get((a, b), 0) + 1
+    before = graphs.RANGE_ROWS
+    for most in (1_000_000, 9):
+        graphs.time_ranges.__defaults__ = (most,)
+        assert {(r.i, r.j): r.n for r in graphs.successors(events, "buy").collect()} == want
+    graphs.time_ranges.__defaults__ = (before,)
+
+
+def test_golden_values(tmp_path):
+    from arcweave import load_golden
+
+    (tmp_path / "g.toml").write_text("name = 'n'\n[fit]\ncoef = [1.5, -2]\n[fit.se]\nedges = 0.25\n")
+    assert load_golden(str(tmp_path / "g.toml")) == {"name": "n", "fit": {"coef": [1.5, -2], "se": {"edges": 0.25}}}
