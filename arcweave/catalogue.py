@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arcweave import oracles as O
 from arcweave.diag.gof import gof
 from arcweave.diag.panels import degree_counts, geodesics, shared_partner_counts
-from arcweave.diag.traces import lagged, mcmc_diagnostics, numbered, segments, thinned
+from arcweave.diag.traces import lagged, mcmc_diagnostics, numbered, segments, thinned, trace_ess, trace_geweke
 from arcweave.fit.mcmle import bridge_loglik, independent_logz, mcmle, present_missing
 from arcweave.fit.model import ERGMModel
 from arcweave.fit.mple import fit_ergm, mple, spark_derivatives
@@ -266,6 +266,23 @@ def _register_traces() -> None:
     add("trace_geweke_segments", lambda s, d: segments(_trace(s, d), "stat", "x").select("stat", "n_first", F.round("mean_first", 6).alias("mean_first"), "n_last", F.round("mean_last", 6).alias("mean_last")), f"WITH {O.TRACE}, f AS (SELECT *, draw <= greatest(2, n // 10) AS h, draw > n - greatest(2, n // 2) AS t FROM tr) SELECT stat, sum(h::BIGINT)::BIGINT AS n_first, round(avg(x) FILTER (h), 6) AS mean_first, sum(t::BIGINT)::BIGINT AS n_last, round(avg(x) FILTER (t), 6) AS mean_last FROM f GROUP BY stat")
 
 
+def _geyer(source: str, key: str) -> str:
+    """Long-run variance v beside n, mean m and variance g0 of the traces in `source` (key, draw, x), by lags up to 63."""
+    return f"""{key}_c AS (SELECT *, avg(x) OVER (PARTITION BY stat) AS mean, count(*) OVER (PARTITION BY stat) AS size FROM {source}),
+{key}_g AS (SELECT a.stat, lag, sum((a.x - a.mean) * (b.x - b.mean)) / max(a.size) AS g FROM {key}_c a, (SELECT unnest(range(64)) AS lag) k, {key}_c b WHERE b.stat = a.stat AND b.draw = a.draw + lag GROUP BY 1, 2),
+{key}_p AS (SELECT stat, lag // 2 AS k, sum(g) AS s FROM {key}_g GROUP BY 1, 2),
+{key}_s AS (SELECT stat, coalesce(min(k) FILTER (s <= 0), 32) AS stop FROM {key}_p GROUP BY 1),
+{key}_m AS (SELECT stat, min(s) OVER (PARTITION BY stat ORDER BY k) AS s FROM {key}_p JOIN {key}_s USING (stat) WHERE k < stop),
+{key}_v AS (SELECT stat, size AS n, mean AS m, g AS g0, 2 * total - g AS v FROM (SELECT stat, sum(s) AS total FROM {key}_m GROUP BY 1) JOIN (SELECT stat, g FROM {key}_g WHERE lag = 0) USING (stat) JOIN (SELECT DISTINCT stat, size, mean FROM {key}_c) USING (stat))"""
+
+
+def _register_long_runs() -> None:
+    whole = f"WITH {O.TRACE}, {_geyer('tr', 'w')}"
+    add("trace_ess", lambda s, d: trace_ess(_trace(s, d), "stat", "x").select("stat", "n", F.round("ess", 3).alias("ess")), f"{whole} SELECT stat, n, round(n * g0 / v, 3) AS ess FROM w_v")
+    parts = f"WITH {O.TRACE}, h AS (SELECT stat, draw, x FROM tr WHERE draw <= greatest(2, n // 10)), t AS (SELECT stat, draw, x FROM tr WHERE draw > n - greatest(2, n // 2)), {_geyer('h', 'a')}, {_geyer('t', 'b')}"
+    add("trace_geweke", lambda s, d: trace_geweke(_trace(s, d), "stat", "x").select("stat", F.round("z", 5).alias("z")), f"{parts} SELECT a.stat, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 5) AS z FROM a_v a JOIN b_v b USING (stat)")
+
+
 def _nation_model(s: SparkSession, d: str, dependent: bool = True) -> ERGMModel:
     return ERGMModel([Edges(), NodeMatch("region"), *([Mutual()] if dependent else [])], nation_network(s, d).cached())
 
@@ -294,4 +311,5 @@ def _register_fits() -> None:
 
 _register_panels()
 _register_traces()
+_register_long_runs()
 _register_fits()

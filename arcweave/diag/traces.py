@@ -101,3 +101,51 @@ def segments(trace: DataFrame, stat: str, value: str, first: float = 0.1, last:
     size = lambda share: F.greatest(F.lit(2), F.floor(F.col("n") * share))
     head, tail = F.col("draw") <= size(first), F.col("draw") > F.col("n") - size(last)
     return trace.groupBy(stat).agg(F.count_if(head).alias("n_first"), F.avg(F.when(head, F.col(value))).alias("mean_first"), F.count_if(tail).alias("n_last"), F.avg(F.when(tail, F.col(value))).alias("mean_last"))
+
+
+def long_runs(trace: DataFrame, stat: str, value: str, block: int = 16) -> dict:
+    """For each numbered trace: (n, mean, variance, long-run variance), the last as geyer_variance has it.
+
+    Autocovariances are taken `block` lags at a time, for the traces whose sums of neighbouring lags are still positive;
+    the driver gets these few numbers and no draws."""
+    got = trace.groupBy(stat).agg(F.max("n").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+    base = {r[stat]: r for r in got}
+    g: dict = {k: [] for k in base}
+    open_, at = {k for k, r in base.items() if r.low != r.high}, 0
+    while open_:
+        rows = lagged(trace.filter(F.col(stat).isin(list(open_))), stat, value, list(range(at, at + block))).collect()
+        found = {(r[stat], r.lag): r.g for r in rows}
+        at += block
+        for k in list(open_):
+            g[k] += [found.get((k, lag), 0.0) for lag in range(at - block, at)]
+            pairs = np.array(g[k]).reshape(-1, 2).sum(1)
+            if (pairs <= 0).any() or at >= base[k].n:
+                open_.discard(k)
+    out = {}
+    for k, r in base.items():
+        pairs = np.array(g[k][: r.n // 2 * 2]).reshape(-1, 2).sum(1)
+        stop = np.flatnonzero(pairs <= 0)
+        pairs = np.minimum.accumulate(pairs[: stop[0]] if len(stop) else pairs)
+        out[k] = (int(r.n), float(r["mean"]), float(g[k][0]) if g[k] else 0.0, float(2 * pairs.sum() - g[k][0]) if g[k] else 0.0)
+    return out
+
+
+def trace_ess(trace: DataFrame, stat: str, value: str) -> DataFrame:
+    """(stat, n, ess) of numbered traces: geyer_ess of each."""
+    rows = [(k, n, n * var / own if own > 0 and var > 0 else float(n)) for k, (n, _, var, own) in long_runs(trace, stat, value).items()]
+    return trace.sparkSession.createDataFrame(rows, f"{stat} {trace.schema[stat].dataType.simpleString()}, n long, ess double")
+
+
+def trace_geweke(trace: DataFrame, stat: str, value: str, first: float = 0.1, last: float = 0.5) -> DataFrame:
+    """(stat, z) of numbered traces: geweke_z of each."""
+    size = lambda share: F.greatest(F.lit(2), F.floor(F.col("n") * share).cast("long"))
+    head = trace.filter(F.col("draw") <= size(first)).withColumn("n", size(first))
+    gap = F.col("n") - size(last)
+    tail = trace.filter(F.col("draw") > gap).withColumns({"draw": F.col("draw") - gap, "n": size(last)})
+    a, b = long_runs(head, stat, value), long_runs(tail, stat, value)
+    rows = []
+    for k in a:
+        se = float(np.sqrt(max(a[k][3], 0) / a[k][0] + max(b[k][3], 0) / b[k][0]))
+        diff = a[k][1] - b[k][1]
+        rows.append((k, diff / se if se else 0.0 if diff == 0 else float("inf")))
+    return trace.sparkSession.createDataFrame(rows, f"{stat} {trace.schema[stat].dataType.simpleString()}, z double")

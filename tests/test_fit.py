@@ -237,3 +237,21 @@ def test_stored_networks(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert fit_ergm(back, [Edges()]).nobs == 20
+
+
+def test_long_runs_of_stored_traces(spark):
+    """The diagnostics of traces in Spark are those of the driver's arrays: mixing fast, slowly, not at all, and short."""
+    from arcweave.diag.traces import geweke_z, geyer_ess, trace_ess, trace_geweke
+
+    rng = np.random.default_rng(3)
+    slow = np.zeros(900)
+    for k in range(1, 900):
+        slow[k] = 0.95 * slow[k - 1] + rng.normal()
+    traces = {"fast": rng.normal(size=700), "slow": slow, "flat": np.full(40, 2.5), "short": rng.normal(size=5)}
+    rows = [(k, i + 1, len(x), float(v)) for k, x in traces.items() for i, v in enumerate(x)]
+    trace = spark.createDataFrame(rows, "stat string, draw long, n long, x double").cache()
+    ess = {r.stat: (r.n, r.ess) for r in trace_ess(trace, "stat", "x").collect()}
+    z = {r.stat: r.z for r in trace_geweke(trace, "stat", "x").collect()}
+    assert all(ess[k][0] == len(x) and np.isclose(ess[k][1], geyer_ess(x)) for k, x in traces.items())
+    # two draws on either side have no variance but rounding
+    assert np.allclose([z[k] for k in traces if k != "short"], [geweke_z(x) for k, x in traces.items() if k != "short"])
