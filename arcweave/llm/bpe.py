@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -18,7 +19,7 @@ from arcweave.llm.textkit import FIRST, U, mix
 
 STRANGE, BLANK, OTHER, LETTER, NUMBER = range(5)
 #: Slots of a worker's table, and how full it may get; ids and code points kept beside it.
-SLOTS, FULL, POOL, SIGNS = 1 << 21, 0.6, 6_000_000, 16_000_000
+SLOTS, FULL, POOL, SIGNS = 1 << 19, 0.7, 1_500_000, 3_000_000
 SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
@@ -77,21 +78,26 @@ class Encoder:
     """Token ids of whole texts for one vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.single = self._single(spec)
         self.keys = np.zeros(SLOTS, np.uint64)
-        self.at = np.zeros(SLOTS, np.int64)
-        self.size = np.zeros(SLOTS, np.int32)
+        self.at = np.zeros(SLOTS, np.int32)
+        self.size = np.zeros(SLOTS, np.uint16)
         self.pool = np.zeros(POOL, np.uint32)
-        self.begin = np.zeros(SLOTS, np.int64)
-        self.length = np.zeros(SLOTS, np.int32)
+        self.begin = np.zeros(SLOTS, np.int32)
+        self.length = np.zeros(SLOTS, np.uint16)
         self.signs = np.zeros(SIGNS, np.uint32)
         self.filled = self.used = self.written = 0
 
+    @cached_property
+    def whole(self):
+        """The library itself, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _single(self, spec: dict):
         """A fast encoder of one pre-token; None if the file isn't plain byte-level BPE with ids in merge order."""
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -120,7 +126,7 @@ class Encoder:
 
     def add(self, h: int, points: np.ndarray, ids: list[int]) -> None:
         """Keeps the ids of a pre-token that the table lacks, as long as there is room."""
-        if self.filled >= FULL * SLOTS or self.used + len(ids) > POOL or self.written + len(points) > SIGNS:
+        if self.filled >= FULL * SLOTS or len(points) >= 1 << 16 or self.used + len(ids) > POOL or self.written + len(points) > SIGNS:
             return
         s, keys = h & (SLOTS - 1), self.keys
         while keys[s]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcweave.llm.frames import removed, stored
@@ -29,21 +29,31 @@ def _small_star(edges: DataFrame, paths: list[str]) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The links as a written table, where it lies, and their number and the sum of their hashes, taken while writing."""
+    seen = Observation()
+    x = F.xxhash64("u", "v")
+    got, path = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(x % (1 << 31)).alias("low"), F.sum(F.shiftright(x, 32)).alias("high")))
+    found = seen.get
+    return got, path, (found["n"], found["low"], found["high"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of `edges` (u, v): root is the smallest node that links reach.
 
     Each round is a few shuffles of the links and a table in the shared folder; it ends when every node
     points at its root. No links give no rows. Nulls are left out, repeated links and loops do no harm."""
-    now, at = stored(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct())
-    for _ in range(rounds):
+    now, at, state = _counted(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct())
+    for _ in range(rounds if state[0] else 0):
         used: list[str] = []
-        new, path = stored(_small_star(_large_star(now, used), used))
-        # done when no root has a root of its own and the star is flat
-        a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, new))
+        new, path, then = _counted(_small_star(_large_star(now, used), used))
         removed(edges.sparkSession, at, *used)
         now, at = new, path
-        if a == b:
+        # done when no root has a root of its own and the stars are flat
+        if then == state:
             break
+        state = then
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

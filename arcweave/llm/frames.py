@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside joins and orders: such rows come last and equal each other.
 NULL_ID = (1 << 63) - 1
 #: Bytes of text that one numpy step holds at most (a longer text is a step of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of at most `rows` rows in this session, a fifth of Spark's default: whole texts and sets of shingles
+    are a few kB each, so JVM and Python workers hold a few MB for a batch. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.components import components
-from arcweave.llm.frames import NULL_ID, removed, slices, stored, table, unused, written
-from arcweave.llm.substring_dedup import _lists, _settled
+from arcweave.llm.frames import NULL_ID, removed, shuffle_partitions, slices, stored, table, unused, written
+from arcweave.llm.substring_dedup import _lists
 from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
 #: Share of a set's size that is asked of its first shingles.
@@ -36,6 +36,8 @@ SLACK = 0.1
 #: Shingles of a shard: of small groups together and of a large one at least; at most (under 500 MB in a task); and
 #: their growth with the square root of a group's shingles between these.
 SHARD, MOST, GROWTH = 1 << 18, 1 << 23, 256
+#: Shingles that are sorted at once to add them up.
+STEP = 1 << 20
 #: Entries that are merged by a heap; more by a sort that merges sorted runs.
 HEAP = 64
 #: Words of 64 bits in the filter that spares whole sets of documents that left: 8 MB, whatever the input.
@@ -91,17 +93,24 @@ def _first_rows(k: int, percent: int, slack: float) -> Callable:
 def _shared(rows: DataFrame, list_col: str) -> DataFrame:
     """(node, alone): how many values of the list of each of `rows` (node, list) no other row has; none where it has none.
 
-    A value goes out once for each Arrow batch, as seen once or more often, and is added up before the shuffle."""
+    A value goes out once for some rows of each Arrow batch, as seen once or more often, and is added up before the shuffle."""
 
     def run(batches):
         for b in batches:
             values, node = b.column(1), b.column(0)
-            h = values.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), np.diff(values.offsets.to_numpy()))
-            if not len(h):
-                continue
-            least, most, first = _settled(h, row)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), node.take(pa.array(row[first])), pa.array(1 + (least < most)[first].astype(np.int32))], ["h", "node", "c"])
+            flat, ends = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+            ends, lo = ends - ends[0], 0
+            while lo < b.num_rows:  # some rows at a time, so that memory doesn't follow the longest sets of a batch
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
+                h = flat[ends[lo] : ends[hi]]
+                if len(h):
+                    order = np.argsort(h, kind="stable")
+                    h = h[order]
+                    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                    twice = np.diff(np.append(at, len(h))) > 1  # by different rows, as a set has no value twice
+                    row = np.searchsorted(ends, order[at] + ends[lo], "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at]), node.take(pa.array(row)), pa.array(1 + twice.astype(np.int32))], ["h", "node", "c"])
+                lo = hi
 
     sent = rows.select("node", list_col).mapInArrow(run, "h long, node long, c int")
     one = sent.groupBy("h").agg(F.sum("c").alias("c"), F.min("node").alias("node")).filter("c = 1")
@@ -276,7 +285,7 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     group = components(rare.join(lead, "h").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
     sized, new = stored(full.join(group.withColumnRenamed("root", "grp"), "node"))
     removed(spark, at)
-    weights = sized.groupBy("grp").agg(F.sum("n").alias("w"))
+    weights = written(sized.groupBy("grp").agg(F.sum("n").alias("w")))  # a small table's join needs no shuffle of the sets
     bins = max(1, -(-int(sized.agg(F.sum("n")).first()[0] or 0) // shard))
     # sizes of linked sets differ by 100 / percent at most, so by one level; a little more keeps rounding out of it
     level = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
@@ -285,7 +294,7 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     small = placed.filter(F.col("w") <= shard).select(F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("g"), *[F.lit(-1).cast("long").alias(c) for c in "xayb"], F.lit(0).alias("side"), "node", "n", "set")
     large = placed.filter(F.col("w") > shard).withColumn("x", level)
     size = F.least(F.lit(float(max(MOST, shard))), F.greatest(F.lit(float(shard)), GROWTH * F.sqrt(F.sum("n"))))
-    cells = large.groupBy("grp", "x").agg(F.ceil(F.sum("n") / size).alias("parts"))
+    cells = written(large.groupBy("grp", "x").agg(F.ceil(F.sum("n") / size).alias("parts")))
     large = large.join(cells, ["grp", "x"]).withColumn("a", F.pmod(F.xxhash64("node"), F.col("parts")))
     for step, name in ((-1, "below"), (1, "above")):
         large = large.join(cells.select("grp", (F.col("x") - step).alias("x"), F.col("parts").alias(name)), ["grp", "x"], "left")
@@ -296,7 +305,8 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     up = F.when(F.col("above").isNotNull(), F.transform(others(F.col("above")), lambda o: meet(x, a, x + 1, o, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(others(F.col("below")), lambda o: meet(x - 1, o, x, a, F.lit(1))))
     large = large.withColumn("to", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))).select(F.col("grp").alias("g"), "to.*", "node", "n", "set")
-    return small.unionByName(large).groupBy("g", "x", "a", "y", "b").applyInPandas(_search(percent), "node long, near long, links long"), [new]
+    keys = ["g", "x", "a", "y", "b"]
+    return small.unionByName(large).repartition(shuffle_partitions(spark), *keys).groupBy(*keys).applyInPandas(_search(percent), "node long, near long, links long"), [new]
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

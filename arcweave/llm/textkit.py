@@ -33,7 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Roller:
-    """Prefix sums modulo 2**64 under one base; the powers are kept and grow as needed."""
+    """Prefix sums modulo 2**64 under one base; up to KEEP powers are kept and grow as needed."""
+
+    KEEP = 1 << 20
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -43,14 +45,18 @@ class Roller:
         self.pow = self.inv = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pow) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, b in (("pow", self.base), ("inv", self.inverse)):
-                p = np.ones(1, np.uint64)
-                while len(p) < size:  # doubles: b**(k+i) = b**k * b**i
-                    p = np.concatenate([p, p * U(pow(b, len(p), 2**64))])
-                setattr(self, name, p)
-        return self.pow, self.inv
+        """Of the base and of its inverse, n of each at least. Those of a very long text are made anew and not kept."""
+        if len(self.pow) >= n:
+            return self.pow, self.inv
+        size, out = 1 << (n - 1).bit_length(), []
+        for b in (self.base, self.inverse):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:  # doubles: b**(k+i) = b**k * b**i
+                p = np.concatenate([p, p * U(pow(b, len(p), 2**64))])
+            out.append(p)
+        if size <= self.KEEP:
+            self.pow, self.inv = out
+        return out[0], out[1]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(values) + 1, np.uint64)
