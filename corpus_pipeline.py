@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arcweave.llm.decontamination import decontaminated
-from arcweave.llm.frames import table, written
+from arcweave.llm.frames import short_batches, table, written
 from arcweave.llm.jaccard_join import near_duplicates_removed
 from arcweave.llm.packing import best_fit_packing
 from arcweave.llm.substring_dedup import substring_dedup
@@ -14,16 +14,19 @@ from arcweave.llm.toxicity import remove_toxic, train
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is below 0.3, by a model fitted on the labelled ones among them."""
+    short_batches(spark)
     return remove_toxic(docs, train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 80 % of their five-word shingles connect."""
+    short_batches(spark)
     return near_duplicates_removed(docs, 5, 80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 50 words that start in an earlier document are cut out."""
+    short_batches(spark)
     return substring_dedup(docs, 50)
 
 
@@ -34,6 +37,7 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 1024 tokens."""
+    short_batches(spark)
     return best_fit_packing(docs)
 
 
