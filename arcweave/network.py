@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: For each kind of shared partner k of (a, b): which columns of a tie hold a and k, and which hold b and k.
+SIDES = {"OTP": (("i", "j"), ("j", "i")), "ITP": (("j", "i"), ("i", "j")), "OSP": (("i", "j"), ("i", "j")), "ISP": (("j", "i"), ("j", "i")), "union": (("i", "j"), ("i", "j")), "und": (("i", "j"), ("i", "j"))}
+#: Neighbours of a vertex that one cell of a join by common neighbours holds; a vertex with more gets a cell for each two blocks.
+HUB = 2_000
+
+
 class Network:
     """A simple graph without loops. Undirected edges are stored once with i < j.
 
@@ -99,24 +105,73 @@ class Network:
         got = self.vertices.select("v").join(sums, "v", "left").fillna(0, ["dout", "din"])
         return got.withColumn("d", F.col("dout") + F.col("din") if self.directed else F.col("dout"))
 
+    def _lists(self, kind: str) -> tuple[DataFrame, DataFrame]:
+        """(a, k) and (b, k): what may be a partner seen from either end."""
+        base = self.either if kind == "union" else self.pairs
+        (a, x), (b, z) = SIDES[kind]
+        return base.select(F.col(a).alias("a"), F.col(x).alias("k")), base.select(F.col(b).alias("b"), F.col(z).alias("k"))
+
+    @cached_property
+    def most_neighbours(self) -> int:
+        """Of any vertex, ties either way counted each."""
+        return int(self.degrees.agg(F.max("d")).first()[0] or 0)
+
+    def _paths(self, x: DataFrame, y: DataFrame) -> DataFrame:
+        """x (a, k) joined with y (b, k) by k. The neighbours of a hub are cut into blocks by a hash on both sides, and each
+        two blocks meet in a cell of their own, so no key has more than about HUB rows of a side and HUB squared results."""
+        if self.most_neighbours <= HUB:
+            return x.join(y, "k")
+        for side, name in ((x, "p"), (y, "q")):
+            blocks = side.groupBy("k").agg(F.ceil(F.count("*") / HUB).cast("int").alias(f"n{name}")).filter(F.col(f"n{name}") > 1)
+            x, y = x.join(blocks, "k", "left"), y.join(blocks, "k", "left")
+        one = lambda c: F.coalesce(c, F.lit(1))
+        every = lambda c: F.explode(F.sequence(F.lit(0), one(F.col(c)) - 1))
+        own = lambda end, c: F.pmod(F.xxhash64(end), one(F.col(c))).cast("int")
+        x = x.select("a", "k", own("a", "np").alias("p"), every("nq").alias("q"))
+        y = y.select("b", "k", every("np").alias("p"), own("b", "nq").alias("q"))
+        return x.join(y, ["k", "p", "q"])
+
     def shared_partners(self, kind: str) -> DataFrame:
         """(a, b, s): ordered pairs with s > 0 shared partners. Kinds: OTP a>k>b, ITP b>k>a, OSP a>k<b, ISP a<k>b,
         union (either direction) and und (undirected)."""
         cache = self.__dict__.setdefault("_partners", {})
         if kind not in cache:
-            own = self.arcs.select("i", "j") if self.directed else self.pairs
             if kind == "ITP":
                 got = self.shared_partners("OTP").select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
             else:
-                base = self.either if kind == "union" else own
-                left, right = {"OTP": ("j", "i"), "OSP": ("j", "j"), "ISP": ("i", "i"), "union": ("j", "i"), "und": ("j", "i")}[kind]
-                far = {"i": "j", "j": "i"}
-                x = base.select(F.col(far[left]).alias("a"), F.col(left).alias("k"))
-                y = base.select(F.col(right).alias("k"), F.col(far[right]).alias("b"))
-                got = x.join(y, "k").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
+                got = self._paths(*self._lists(kind)).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
             cache[kind] = got
         return cache[kind]
 
+    def partners_of(self, asked: DataFrame, kind: str) -> DataFrame:
+        """(a, b, s): those of the asked ordered pairs (a, b) that share s > 0 partners, as shared_partners has them.
+
+        For each pair the shorter of the two ends' lists is gone through and looked up in the other one, so beyond one
+        pass over the ties the rows made are the smaller degrees of the pairs asked for, whatever hubs they are joined to."""
+        x, y = self._lists(kind)
+        size = lambda rows, end: rows.groupBy(end).agg(F.count("*").alias(f"d{end}"))
+        sized = asked.select("a", "b").filter("a <> b").distinct().join(size(x, "a"), "a").join(size(y, "b"), "b")
+        # side 0 goes through the list of a, side 1 through that of b
+        up = F.col("da") <= F.col("db")
+        walked = sized.select("a", "b", F.when(up, 0).otherwise(1).alias("side"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("far"))
+        sides = lambda end, one, two: one.select(F.lit(0).alias("side"), F.col(one.columns[0]).alias(end), "k").union(two.select(F.lit(1), two.columns[0], "k"))
+        return walked.join(sides("near", x, y), ["side", "near"]).join(sides("far", y, x), ["side", "far", "k"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("s"))
+
+    def lone_pairs(self, kind: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs of shared_partners in two parts: a row (c) with the number of ordered pairs (a, b) of which an end has
+        one neighbour alone on its side, so that they share just that one; and (a, b, s) of the others. The former
+        are counted neighbour by neighbour and never listed, so leaves of a star cost a row each."""
+        x, y = self._lists(kind)
+        lone = lambda rows, end: rows.join(rows.groupBy(end).agg((F.count("*") == 1).cast("long").alias("one")), end)
+        x, y = lone(x, "a"), lone(y, "b")
+        sums = lambda rows, n: rows.groupBy("k").agg(F.count("*").alias(f"all_{n}"), F.sum("one").alias(f"one_{n}"))
+        c = F.col
+        met = sums(x, "x").join(sums(y, "y"), "k").agg(F.coalesce(F.sum(c("one_x") * c("all_y") + (c("all_x") - c("one_x")) * c("one_y")), F.lit(0)).alias("c"))
+        # a vertex met with itself
+        own = x.withColumnRenamed("one", "ox").join(y.select(F.col("b").alias("a"), "k", F.col("one").alias("oy")), ["a", "k"]).agg(F.coalesce(F.sum(F.greatest("ox", "oy")), F.lit(0)).alias("own"))
+        rest = self._paths(x.filter("one = 0").drop("one"), y.filter("one = 0").drop("one")).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
+        return met.crossJoin(own).select((c("c") - c("own")).alias("c")), rest  # two single rows
+
     @cached_property
     def closed(self) -> DataFrame:
         """(u, v, w, uv, vu, uw, wu, vw, wv): three vertices that are joined pairwise, once each, and which of the six ties exist.

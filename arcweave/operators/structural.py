@@ -50,8 +50,10 @@ class Mutual(Term):
         return float(state.a[j, i])
 
 
-def _partners(net: Network, pairs: DataFrame, kind: str, column: str) -> DataFrame:
-    got = net.shared_partners(kind).select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("s").alias(column))
+def _partners(net: Network, pairs: DataFrame, kind: str, column: str, whole: bool) -> DataFrame:
+    """Adds the partners that the ends of each dyad share; where not all dyads are asked for, of these alone."""
+    got = net.shared_partners(kind) if whole else net.partners_of(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")), kind)
+    got = got.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("s").alias(column))
     return pairs.join(got, ["i", "j"], "left").fillna(0, [column])
 
 
@@ -74,7 +76,7 @@ class Triangle(Term):
         rows = pairs.select("i", "j")
         kinds = ("OTP", "ITP", "OSP", "ISP") if net.directed else ("und",)
         for k in kinds:
-            rows = _partners(net, rows, k, k)
+            rows = _partners(net, rows, k, k, net.is_whole(pairs))
         return rows.select("i", "j", sum((F.col(k) for k in kinds), F.lit(0)).cast("double").alias("delta"))
 
     def local(self, state, i, j, y):
@@ -308,8 +310,8 @@ class _Partners(Term):
         base = net.either if self.kind(net) == "union" else net.pairs
         return base.select(F.col("i").alias("f"), F.col("j").alias("t"))
 
-    def _gain(self, rows: DataFrame, net: Network, times: str) -> DataFrame:
-        sp = net.shared_partners(self.kind(net))
+    def _gain(self, rows: DataFrame, net: Network, times: str, whole: bool = False) -> DataFrame:
+        sp = net.shared_partners(self.kind(net)) if whole else net.partners_of(rows, self.kind(net))
         rows = rows.join(sp, ["a", "b"], "left")
         each = F.col(times) * power(F.coalesce("s", F.lit(0)) - F.col("y"), self.decay) if times else power(F.coalesce("s", F.lit(0)) - F.col("y"), self.decay)
         return rows.groupBy("i", "j").agg(F.sum(each).alias("gain"))
@@ -411,7 +413,7 @@ class GWESP(_Partners):
             gain = self._gain_from_ties(net)
         else:  # pairs that count are tied, so the tie is joined first and keeps the rest small
             gain = self._gain(self._gaining(net, pairs).join(self._ties(net), ["a", "b"]), net, "m")
-        own = _partners(net, pairs.select("i", "j"), kind, "s").join(gain, ["i", "j"], "left")
+        own = _partners(net, pairs.select("i", "j"), kind, "s", net.is_whole(pairs)).join(gain, ["i", "j"], "left")
         return own.select("i", "j", (weight(F.col("s"), self.decay) + F.coalesce("gain", F.lit(0.0))).alias("delta"))
 
     def local(self, state, i, j, y):
@@ -424,13 +426,13 @@ class GWDSP(_Partners):
     stem = "gwdsp"
 
     def stat(self, net):
-        rows = net.shared_partners(self.kind(net))
-        if self.kind(net) not in ("OTP", "ITP"):
-            rows = rows.filter("a < b")
-        return _value(rows, weight(F.col("s"), self.decay))
+        one, rows = net.lone_pairs(self.kind(net))
+        half = 1 if self.kind(net) in ("OTP", "ITP") else 2  # unordered pairs stand there both ways
+        rows = rows.agg(F.coalesce(F.sum(weight(F.col("s"), self.decay)), F.lit(0.0)).alias("rest"))
+        return rows.crossJoin(one).select(((F.col("rest") + F.col("c") * weight(F.lit(1), self.decay)) / half).alias("value"))  # two single rows
 
     def change(self, net, pairs):
-        gain = self._gain(self._gaining(net, pairs), net, "")
+        gain = self._gain(self._gaining(net, pairs), net, "", net.is_whole(pairs))
         return pairs.select("i", "j").join(gain, ["i", "j"], "left").select("i", "j", F.coalesce("gain", F.lit(0.0)).alias("delta"))
 
     def local(self, state, i, j, y):

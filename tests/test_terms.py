@@ -137,17 +137,93 @@ def test_counted_design_equals_listed_design(spark, directed):
 
 
 def test_changes_of_all_dyads_start_from_the_ties(spark):
-    """Both ways to the changes of shared-partner terms agree: from listed dyads and from the ties."""
+    """Both ways to the changes of shared-partner terms agree: for all dyads, from the ties, and for asked ones, from their ends."""
     for directed in (True, False):
         net = Network.from_edges(spark, 14, ring(14, 22, directed, 3), directed)
         listed = net.dyads.select("*")
         assert net.is_whole(net.dyads) and not net.is_whole(listed)
-        for kind in KINDS if directed else ("OTP",):
-            term = GWESP(0.7, kind)
+        for term in (Triangle(), *(GWESP(0.7, kind) for kind in (KINDS if directed else ("OTP",))), *((GWDSP(0.7, kind) for kind in ("ITP", "union")) if directed else ())):
             one, two = ({(r.i, r.j): r.delta for r in term.change(net, p).collect()} for p in (net.dyads, listed))
             assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def rows_made(df):
+    """Runs a plan; the most rows that any of its operators put out."""
+    df._jdf.collectToPython()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        for inner in ("executedPlan", "plan"):
+            if node.getClass().getSimpleName() in {"executedPlan": ("AdaptiveSparkPlanExec",), "plan": ("ShuffleQueryStageExec", "BroadcastQueryStageExec")}[inner]:
+                todo.append(getattr(node, inner)())
+        got = node.metrics().get("numOutputRows")
+        if got.isDefined():
+            most = max(most, got.get().value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_changes_of_two_dyads_follow_their_degrees(spark):
+    """A hub joined to all others beside a sparse rest: the shared partners of the whole network are never made."""
+    n = 3_000
+    edges = ring(n, 3 * n, False, 2) + [(1, k) for k in range(3, n)]
+    net = Network.from_edges(spark, n, edges, False).cached()
+    ties = {tuple(sorted(e)) for e in edges}
+    near = {v: set() for v in range(1, n + 1)}
+    for i, j in ties:
+        near[i].add(j)
+        near[j].add(i)
+    asked = [(1, 2), (40, 900)]
+    pairs = spark.createDataFrame([(i, j, int((i, j) in ties), int((i, j) in ties)) for i, j in asked], "i long, j long, y int, r int")
+    for term in (Triangle(), GWESP(0.5), GWDSP(0.5)):
+        got = term.change(net, pairs)
+        assert rows_made(got) < 20_000 + 2 * len(ties)  # the ties are read, both ways
+        made = {(r.i, r.j): r.delta for r in got.collect()}
+        for i, j in asked:
+            shared = near[i] & near[j]
+            if isinstance(term, Triangle):
+                want = len(shared)
+            else:
+                w, own = 1 - np.exp(-0.5), int((i, j) in ties)
+                each = [(a, k) for a, b in ((i, j), (j, i)) for k in near[b] - {a} if isinstance(term, GWDSP) or k in near[a]]
+                want = sum(w ** (len(near[a] & near[k]) - own) for a, k in each) + (np.exp(0.5) * (1 - w ** len(shared)) if isinstance(term, GWESP) else 0)
+            assert abs(made[i, j] - want) < 1e-6
+
+
+def test_partners_of_hubs_are_cut_into_cells(spark, monkeypatch):
+    import arcweave.network as module
+
+    rng = np.random.default_rng(4)
+    edges = {(1, k) for k in range(2, 61)} | {(k, 61) for k in range(5, 50)} | {(int(a), int(b)) for a, b in rng.integers(1, 62, (40, 2)) if a != b}
+    for directed in (True, False):
+        own = sorted(edges) if directed else sorted({tuple(sorted(e)) for e in edges})
+        want = Network.from_edges(spark, 64, own, directed)
+        for kind in KINDS if directed else ("und",):
+            whole = {(r.a, r.b): r.s for r in want.shared_partners(kind).collect()}
+            count, rest = want.lone_pairs(kind)
+            listed = {(r.a, r.b): r.s for r in rest.collect()}
+            assert all(whole[k] == v for k, v in listed.items()) and count.first()[0] == len(whole) - len(listed) and all(whole[k] == 1 for k in whole.keys() - listed.keys())
+            monkeypatch.setattr(module, "HUB", 7)
+            cut = Network.from_edges(spark, 64, own, directed)
+            cells = cut._paths(*cut._lists(kind))
+            assert {(r.a, r.b): r.s for r in cut.shared_partners(kind).collect()} == whole
+            # several cells for a hub, none of them beyond what its blocks allow by far
+            sizes = [r["count"] for r in cells.groupBy("k", "p", "q").count().collect()]
+            assert len(sizes) > cut._lists(kind)[0].select("k").distinct().count() - 3 and max(sizes) < 25 * 25
+            monkeypatch.undo()
+
+
+def test_statistic_of_a_large_star(spark):
+    """50,000 leaves share one partner pairwise: 1.2 billion pairs are counted by the hub, not listed."""
+    n = 50_001
+    arcs = spark.range(2, n + 1).selectExpr("1L AS i", "id AS j")
+    net = Network(spark.range(1, n + 1).toDF("v"), arcs, False)
+    got = GWDSP(0.5).stat(net)
+    assert rows_made(got) < 20 * n
+    assert np.isclose(got.first()[0], (n - 1) * (n - 2) / 2)
+
+
 def test_closed_triples_of_hubs(spark):
     """A wheel with a hub and a second hub: each triple once, whichever end has more neighbours."""
     rim = [(k, k % 20 + 1) for k in range(1, 21)]
