@@ -24,6 +24,7 @@ class Network:
     def __init__(self, vertices: DataFrame, arcs: DataFrame, directed: bool = True, missing: DataFrame | None = None):
         self.spark = vertices.sparkSession
         self.directed = directed
+        self.kept = False
         self.vertices = vertices.withColumn("v", F.col("v").cast("long"))
         self.arcs = self._canonical(arcs)
         self.missing = self._canonical(missing.select("i", "j")) if missing is not None else None
@@ -58,6 +59,7 @@ class Network:
     def cached(self) -> "Network":
         """Keeps the tables that every view reads, in memory or on executors' disks; lost parts are computed again."""
         self.vertices, self.arcs = self.vertices.cache(), self.arcs.cache()
+        self.kept = True
         return self
 
     @cached_property
@@ -190,29 +192,38 @@ class Network:
         up = rank("da", "a") < rank("db", "b")
         pick = lambda x, z: F.when(up, x).otherwise(z)
         out = ties.select(pick(F.col("a"), F.col("b")).alias("x"), pick(F.col("b"), F.col("a")).alias("z"), pick(F.col("db"), F.col("da")).alias("dz"), pick(F.col("way").bitwiseAND(1), F.shiftright("way", 1)).alias("fore"), pick(F.shiftright("way", 1), F.col("way").bitwiseAND(1)).alias("back"))
+        if self.kept:  # three joins read it
+            out = out.cache()
         name = lambda z, f, b: out.select(F.col("x").alias("u"), F.col("z").alias(z), F.col("dz").alias(f"d{z}"), F.col("fore").alias(f), F.col("back").alias(b))
         paths = name("v", "uv", "vu").join(name("w", "uw", "wu"), "u").filter(rank("dv", "v") < rank("dw", "w")).drop("dv", "dw")
         return paths.join(out.select(F.col("x").alias("v"), F.col("z").alias("w"), F.col("fore").alias("vw"), F.col("back").alias("wv")), ["v", "w"])
 
+    def tie_census(self, kinds: tuple[str, ...]) -> DataFrame:
+        """(i, j, one column for each kind): ties and the partners their ends share, as shared_partners has them, where
+        there are any. All kinds come from one pass over the closed triples and one aggregation."""
+        each, c = [], lambda p, q: F.col(p + q)
+        for x, y, z in (("u", "v", "w"), ("v", "u", "w"), ("u", "w", "v"), ("w", "u", "v"), ("v", "w", "u"), ("w", "v", "u")):
+            if not self.directed and (x, y) not in (("u", "v"), ("u", "w"), ("v", "w")):
+                continue
+            ways = {"OTP": c(x, z) * c(z, y), "ITP": c(y, z) * c(z, x), "OSP": c(x, z) * c(y, z), "ISP": c(z, x) * c(z, y)} if self.directed else {}
+            i, j = (F.col(x), F.col(y)) if self.directed else (F.least(x, y), F.greatest(x, y))
+            each.append(F.struct(i.alias("i"), j.alias("j"), *[(c(x, y) * ways.get(k, F.lit(1))).cast("long").alias(k) for k in kinds]))
+        some = lambda e: F.greatest(*[e[k] for k in kinds]) > 0 if len(kinds) > 1 else e[kinds[0]] > 0
+        rows = self.closed.select(F.explode(F.filter(F.array(*each), some)).alias("e")).select("e.*")
+        return rows.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in kinds])
+
     def tie_partners(self, kind: str) -> DataFrame:
-        """(i, j, s): ties with s > 0 shared partners, as shared_partners has them, from the closed triples alone."""
+        """(i, j, s): ties with s > 0 shared partners of one kind."""
         cache = self.__dict__.setdefault("_tie_partners", {})
         if kind not in cache:
-            each = []
-            for x, y, z in (("u", "v", "w"), ("v", "u", "w"), ("u", "w", "v"), ("w", "u", "v"), ("v", "w", "u"), ("w", "v", "u")):
-                if not self.directed and (x, y) not in (("u", "v"), ("u", "w"), ("v", "w")):
-                    continue
-                tie = lambda p, q: F.col(p + q)
-                s = {
-                    "OTP": lambda: tie(x, z) * tie(z, y), "ITP": lambda: tie(y, z) * tie(z, x), "OSP": lambda: tie(x, z) * tie(y, z), "ISP": lambda: tie(z, x) * tie(z, y),
-                    "union": lambda: F.lit(1), "und": lambda: F.lit(1),
-                }[kind]()
-                i, j = (F.col(x), F.col(y)) if self.directed else (F.least(x, y), F.greatest(x, y))
-                each.append(F.struct(i.alias("i"), j.alias("j"), (tie(x, y) * s).cast("long").alias("s")))
-            rows = self.closed.select(F.explode(F.filter(F.array(*each), lambda e: e["s"] > 0)).alias("e")).select("e.*")
-            cache[kind] = rows.groupBy("i", "j").agg(F.sum("s").alias("s"))
+            cache[kind] = self.tie_census((kind,)).withColumnRenamed(kind, "s")
         return cache[kind]
 
+    @cached_property
+    def joined(self) -> DataFrame:
+        """(i, j, ties) of pairs joined either way, i < j, with 1 tie or 2."""
+        return self.arcs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count("*").alias("ties"))
+
     @cached_property
     def dyads(self) -> DataFrame:
         """(i, j, y, r) of every observed dyad: whether i>j and j>i exist. The one place that enumerates pairs of

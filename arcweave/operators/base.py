@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,11 @@ class Term:
     def name(self) -> str:
         return type(self).__name__
 
+    def sums(self, net: Network) -> tuple[list[tuple[str, Column]], Callable] | None:
+        """The statistic from sums over tables that several terms share: (table, aggregate) each, and how their values make
+        it. Tables are `degrees`, `joined` and, for the partners of ties by kind, `partners`. None: `stat` alone has it."""
+        return None
+
     def expand(self, net: Network) -> list["Term"]:
         """The terms this one stands for, one for each statistic."""
         return [self]

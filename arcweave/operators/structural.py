@@ -43,6 +43,9 @@ class Mutual(Term):
         back = own.select(F.col("j").alias("i"), F.col("i").alias("j"))
         return own.filter("i < j").join(back, ["i", "j"], "left_semi").agg(F.count("*").cast("double").alias("value"))
 
+    def sums(self, net):
+        return [("joined", F.count_if(F.col("ties") == 2))], lambda m: m
+
     def change(self, net, pairs):
         return pairs.select("i", "j", F.col("r").cast("double").alias("delta"))
 
@@ -72,6 +75,15 @@ class Triangle(Term):
         transitive = sum((c(x + y) * c(y + z) * c(x + z) for x, y, z in orders), F.lit(0))
         return _value(net.closed, transitive + c("uv") * c("vw") * c("wu") + c("vu") * c("wv") * c("uw"))
 
+    def sums(self, net):
+        if not net.directed:
+            return [("partners", F.sum("und"))], lambda s: s / 3
+        # a transitive triple is a tie whose ends point at a third; a cyclic one is seen from each of its ties
+        return [("partners", F.sum("OSP")), ("partners", F.sum("ITP"))], lambda t, c: t + c / 3
+
+    def partner_kinds(self, net):
+        return ("OSP", "ITP") if net.directed else ("und",)
+
     def change(self, net, pairs):
         rows = pairs.select("i", "j")
         kinds = ("OTP", "ITP", "OSP", "ISP") if net.directed else ("und",)
@@ -108,6 +120,9 @@ class _DegreeTerm(Term):
     def stat(self, net):
         return _value(net.degrees, self.f(F.col(self.side)))
 
+    def sums(self, net):
+        return [("degrees", F.sum(self.f(F.col(self.side)).cast("double")))], lambda x: x
+
     def empty(self, n):
         return n * float(self.f_np(0))
 
@@ -163,6 +178,11 @@ class TwoPath(Term):
         both = net.arcs.select("i", "j").join(back, ["i", "j"], "left_semi").agg(F.count("*").alias("m"))
         return _value(net.degrees, F.col("din") * F.col("dout")).crossJoin(both).select((F.col("value") - F.col("m")).alias("value"))  # two single rows
 
+    def sums(self, net):
+        if not net.directed:
+            return [("degrees", F.sum(choose(F.col("d"), 2)))], lambda x: x
+        return [("degrees", F.sum(F.col("din") * F.col("dout"))), ("joined", F.count_if(F.col("ties") == 2))], lambda x, m: x - 2 * m
+
     def change(self, net, pairs):
         own = net.degrees
         one, two = ("din", "dout") if net.directed else ("d", "d")
@@ -377,6 +397,12 @@ class GWESP(_Partners):
     def stat(self, net):
         return _value(net.tie_partners(self.kind(net)), weight(F.col("s"), self.decay))  # no partner, no weight
 
+    def sums(self, net):
+        return [("partners", F.sum(weight(F.col(self.kind(net)), self.decay)))], lambda x: x
+
+    def partner_kinds(self, net):
+        return (self.kind(net),)
+
     def _ties(self, net: Network) -> DataFrame:
         """(a, b, m): tied pairs, both ways with the number of ties where the kind has no direction."""
         ties = net.pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1).alias("m"))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from arcweave.network import Network
 from arcweave.operators.base import PairTerm, Term, TermSet, expanded
-from arcweave.plans.sparse import complement, supported, touched
+from arcweave.plans.sparse import complement, supported, touched, touched_rows
 
 #: Group keys keep this many decimals, so that sums built in another order stay one row.
 DIGITS = 10
-#: Dyads up to this number are listed; that takes fewer joins than counting the untouched ones.
-LISTED = 1_000_000
+#: Dyads up to this number are listed: counting the untouched ones takes about as long as listing so many. A touched
+#: dyad costs about as much as LISTED_EACH listed ones, as it is found by joins.
+LISTED, LISTED_EACH = 8_000_000, 4
 
 
 def compute(term: Term, net: Network) -> float:
@@ -36,13 +37,30 @@ def _numbered(terms: TermSet) -> tuple[dict[str, PairTerm], dict[str, Term]]:
 
 
 def summary_stats(net: Network, terms: Iterable[Term]) -> DataFrame:
-    """One row with a double column for each statistic, named as its coefficient."""
+    """One row with a double column for each statistic, named as its coefficient.
+
+    Terms over a tie and its ends share one pass over the arcs; those that are sums over degrees, over joined pairs or
+    over the partners of ties share one aggregation of each of these, so the closed triples are made once."""
     own = expanded(net, terms)
     cheap, rest = _numbered(own)
     parts = [_pair_row(net, cheap)] if cheap else []
-    parts += [t.stat(net).withColumnRenamed("value", c) for c, t in rest.items()]
+    tables: dict[str, list] = {}
+    values, kinds = {c: F.col(c) for c in cheap}, []
+    for c, t in rest.items():
+        got = t.sums(net)
+        if got is None:
+            parts.append(t.stat(net).withColumnRenamed("value", c))
+            values[c] = F.col(c)
+            continue
+        for k, (name, x) in enumerate(got[0]):
+            tables.setdefault(name, []).append(F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"{c}_{k}"))
+        values[c] = got[1](*[F.col(f"{c}_{k}") for k in range(len(got[0]))])
+        kinds += t.partner_kinds(net) if any(name == "partners" for name, _ in got[0]) else ()
+    for name, columns in tables.items():
+        rows = net.tie_census(tuple(dict.fromkeys(kinds))) if name == "partners" else getattr(net, name)
+        parts.append(rows.agg(*columns))
     got = reduce(lambda a, b: a.crossJoin(b), parts)  # single rows
-    return got.select(*[f"s{k}" for k in range(len(own))]).toDF(*own.names)
+    return got.select(*[values[f"s{k}"].cast("double").alias(f"s{k}") for k in range(len(own))]).toDF(*own.names)
 
 
 def compute_all(net: Network, terms: Iterable[Term]) -> list[float]:
@@ -78,13 +96,14 @@ def change_stat_all(net: Network, terms: Iterable[Term], pairs: DataFrame | None
 def mple_design(net: Network, terms: Iterable[Term], sparse: bool | None = None) -> DataFrame:
     """Distinct rows of change statistics with n_tot dyads, n_one of them tied: map-side sums before the shuffle.
 
-    In a large network dyads that no tie or shared partner touches are counted instead of listed, where every term
-    allows it and vertices fall into few classes; sparse=True counts them in any, sparse=False always lists them."""
+    Dyads that no tie or shared partner touches are counted instead of listed where every term allows it, vertices fall
+    into few classes, and the measured number of touched ones is small beside all; sparse=True counts them in any network,
+    sparse=False always lists them."""
     own = expanded(net, terms)
     keys = [F.round(f"s{k}", DIGITS).alias(f"s{k}") for k in range(len(own))]
     rest = None
     if sparse is None:
-        sparse = net.n_pairs > LISTED
+        sparse = net.n_pairs > LISTED and LISTED_EACH * touched_rows(net, own) < net.n_pairs
     if sparse and supported(net, own):
         net.listed = listed = touched(net, own)
         rest = complement(net, own, listed)
