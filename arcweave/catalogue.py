@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave import oracles as O
@@ -18,7 +18,7 @@ from arcweave.fit.mple import fit_ergm, mple, spark_derivatives
 from arcweave.mcmc.sample import mh_sample, sample_networks
 from arcweave.network import Network
 from arcweave.operators.base import Term
-from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix
+from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix, levels_of
 from arcweave.operators.structural import KINDS, GWDSP, GWESP, Degree, Edges, GWDegree, GWIDegree, GWODegree, IDegree, Kstar, Mutual, ODegree, Triangle, TwoPath
 from arcweave.plans.design import change_stat_all, mple_design, summary_stats
 from arcweave.sources.graphs import nation_network, part_network, shared_types, table, user_network
@@ -64,6 +64,12 @@ def _step(fn: str, ends: str) -> str:
     return " + ".join(fn.format(d=f"(d{e[0]}.{e[1:]} - y)") for e in ends.split())
 
 
+def _levels(net: Network, name: str) -> DataFrame:
+    """Each level of an attribute with its place among them and the vertices that have it."""
+    ranked = net.spark.createDataFrame([(x, k) for k, x in enumerate(levels_of(net, name), 1)], f"{name} string, position long")
+    return net.vertices.groupBy(name).agg(F.count("*").alias("n")).join(ranked, name).select(name, "n", "position")
+
+
 def _register_terms() -> None:
     for label, base, directed in (("dir", O.DIR, True), ("und", O.UND, False)):
         both(f"edges_{label}", Edges(), directed, O.stat(base, "count(*)", "arcs"), O.change(base, "1"))
@@ -147,7 +153,7 @@ def _register_nodal() -> None:
         return summary_stats(net, [NodeMix("kind", levels2=0)]).select(F.explode(F.array(*[F.struct(F.lit(t.l1).alias("l1"), F.lit(t.l2).alias("l2"), F.lit(k).cast("long").alias("cell"), F.col(f"`{t.name}`").cast("long").alias("n")) for k, t in enumerate(NodeMix("kind", levels2=0).expand(net), 1)])).alias("x")).select("x.*")
 
     add("mixing_cells", all_mixes, f"WITH {O.DIR}, L AS (SELECT DISTINCT kind AS l FROM V) SELECT a.l AS l1, b.l AS l2, row_number() OVER (ORDER BY b.l, a.l) AS cell, (SELECT count(*) FROM A t {O.ENDS.format(t='t')} WHERE vi.kind = a.l AND vj.kind = b.l) AS n FROM L a, L b")
-    add("levels", lambda s, d: _net(s, d, True).vertices.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).select("kind", "n", F.row_number().over(Window.orderBy("kind")).cast("long").alias("position")), f"WITH {O.DIR} SELECT kind, count(*) AS n, row_number() OVER (ORDER BY kind) AS position FROM V GROUP BY kind")
+    add("levels", lambda s, d: _levels(_net(s, d, True), "kind"), f"WITH {O.DIR} SELECT kind, count(*) AS n, row_number() OVER (ORDER BY kind) AS position FROM V GROUP BY kind")
 
 
 def _user_terms() -> list[Term]:
@@ -190,7 +196,7 @@ def _register_plans() -> None:
     add("mple_design_parts", parts_design, f"WITH {O.G3}, {near} SELECT 1::BIGINT AS edges, coalesce(s, 0)::BIGINT AS triangle, (u.p_brand = v.p_brand)::BIGINT AS nodematch_p_brand, count(*) AS n_tot, count(P3.i) AS n_one FROM part u JOIN part v ON u.p_partkey < v.p_partkey LEFT JOIN nb ON a = u.p_partkey AND b = v.p_partkey LEFT JOIN P3 ON P3.i = u.p_partkey AND P3.j = v.p_partkey GROUP BY 1, 2, 3")
     add("masked_present_edges", lambda s, d: present_missing(_masked(_net(s, d, True))), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
     add("dyads", lambda s, d: _net(s, d, True).dyads.select("i", "j", F.col("y").cast("long").alias("y"), F.col("r").cast("long").alias("r")), f"WITH {O.DIR} SELECT i, j, y, r FROM dy")
-    add("reciprocal_ties", lambda s, d: _net(s, d, True).dyads.filter("y = 1 and r = 1").select("i", "j"), f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")
+    add("reciprocal_ties", lambda s, d: _net(s, d, True).reciprocal, f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")
     add("neighbor_union", lambda s, d: _net(s, d, True).either, f"WITH {O.DIR} SELECT i, j FROM U")
     add("neighbor_intersection", lambda s, d: _net(s, d, False).shared_partners("und").filter("a < b"), f"WITH {O.UND} SELECT x.i AS a, y.j AS b, count(*) AS s FROM adj x JOIN adj y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2")
     add("level_difference", lambda s, d: s.createDataFrame([(t.level,) for t in NodeFactor("kind").expand(_net(s, d, True))], "kind string"), f"WITH {O.DIR} SELECT DISTINCT kind FROM V WHERE kind <> (SELECT min(kind) FROM V)")
@@ -246,13 +252,18 @@ def _register_panels() -> None:
         directed = kind != "und"
         sql = f"WITH {O.DIR if directed else O.UND}, sp AS ({O.SP[kind]}) SELECT coalesce(s, 0)::BIGINT AS partners, count(*) AS n FROM arcs LEFT JOIN sp ON a = i AND b = j GROUP BY 1"
         add(f"hist_esp_{kind.lower()}", lambda s, d, kind=kind, directed=directed: shared_partner_counts(arcs(_net(s, d, directed)), directed, kind if directed else "OTP").select(F.col("label").alias("partners"), F.col("c").alias("n")), sql)
+    def user_distances(s, d):
+        return geodesics(_net(s, d, True))
+
+    steps = "w AS (SELECT i AS a, j AS b, 1 AS d FROM A UNION SELECT w.a, A.j, w.d + 1 FROM w JOIN A ON A.i = w.b WHERE w.d < 40)"
+    add("hist_geodesic_users", user_distances, f"WITH RECURSIVE {O.DIR}, {steps} SELECT d::BIGINT AS d, count(*) AS c FROM (SELECT a, b, min(d) AS d FROM w WHERE a <> b GROUP BY 1, 2) GROUP BY 1")
     walk = "w AS (SELECT i AS a, j AS b, 1 AS d FROM B UNION SELECT w.a, B.j, w.d + 1 FROM w JOIN B ON B.i = w.b WHERE w.d < 25)"
     add("hist_geodesic", lambda s, d: geodesics(nation_network(s, d)), f"WITH RECURSIVE {O.G2}, {walk} SELECT d::BIGINT AS d, count(*) AS c FROM (SELECT a, b, min(d) AS d FROM w WHERE a <> b GROUP BY 1, 2) GROUP BY 1")
 
 
 def _trace(s: SparkSession, d: str) -> DataFrame:
     events = table(s, d, "events").select(F.col("event_type").alias("stat"), "ts", "event_id", F.col("value").alias("x"))
-    return numbered(events, "stat", ["ts", "event_id"], F.to_date("ts"))
+    return numbered(events, "stat", ["ts", "event_id"])
 
 
 def _register_traces() -> None:

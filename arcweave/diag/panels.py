@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcweave.network import Network
 from arcweave.mcmc.sample import MAX_VERTICES
 from arcweave.operators.structural import KINDS
+from arcweave.plans.scratch import removed, stored, with_row_numbers
 
 
 def degree_counts(arcs: DataFrame, vertices: DataFrame, directed: bool, side: str, sims: DataFrame) -> DataFrame:
@@ -75,27 +74,47 @@ def distance_counts(arcs: DataFrame, vertices: DataFrame, directed: bool) -> Dat
     return arcs.groupBy("sim_id").applyInPandas(run, "sim_id int, label long, c long")
 
 
+#: Sources that one row of the search carries, 64 to a column; rows of the search at most at once (of vertices times rows
+#: of sources).
+WORDS, STATES = 8, 50_000_000
+
+
 def geodesics(net: Network, depth: int | None = None) -> DataFrame:
-    """(d, c): ordered pairs by distance, by joins of a frontier with the ties, for networks beyond one task.
-
-    The pairs seen so far grow up to the pairs that are joined at all; `depth` ends the search early. Each round is
-    written to the checkpoint folder, so the plan stays small and a lost executor costs no more than its round."""
-    if not net.spark.sparkContext.getCheckpointDir():
-        folder = net.spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not net.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        net.spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arcweave-"))
-    ties = net.pairs.withColumnsRenamed({"i": "k", "j": "b"}).checkpoint()
-    front = ties.select(F.col("k").alias("a"), "b").distinct()
-    seen, parts, d = front, [], 1
-    while True:
-        c = front.count()
-        if not c:
-            break
-        parts.append((d, c))
-        if depth is not None and d >= depth:
-            break
-        new = front.withColumnRenamed("b", "k").join(ties, "k").select("a", "b").filter("a <> b").distinct()
-        front = new.join(seen, ["a", "b"], "left_anti").checkpoint()
-        seen, d = seen.unionAll(front), d + 1
-    return net.spark.createDataFrame(parts, "d long, c long")
+    """(d, c): ordered pairs by distance, out-distances when directed; pairs that nothing joins are left out.
+
+    A breadth-first search from many sources at once: a row stands for a vertex and a group of 512 sources and holds a bit
+    for each source that reached it. A round sends the newly reached bits along the ties and ors them, so no pair is ever
+    a row: n vertices make n * n / 512 rows at most. Groups of sources are searched in batches of bounded size. Each round
+    is a table in the shared folder, which the next one replaces, so lost executors repeat no more than a round. `depth`
+    ends the search early."""
+    spark = net.spark
+    ties = net.pairs.select(F.col("i").alias("v"), F.col("j").alias("to"))
+    numbered, at = stored(with_row_numbers(net.vertices.select("v").distinct(), ["v"]))
+    group = 64 * WORDS
+    batch = max(1, STATES // max(net.n, 1)) * group
+    counts: dict[int, int] = {}
+    old, new = [f"s{k}" for k in range(WORDS)], [f"x{k}" for k in range(WORDS)]
+    for low in range(0, net.n, batch):
+        source = numbered.filter(F.col("row").between(low, low + batch - 1)).withColumn("bit", F.expr("shiftleft(1L, cast(row % 64 as int))"))
+        bits = [F.when(F.floor(F.col("row") / 64) % WORDS == k, F.col("bit")).otherwise(F.lit(0).cast("long")) for k in range(WORDS)]
+        begin = source.select("v", F.floor(F.col("row") / group).alias("g"), *[b.alias(c) for b, c in zip(bits, old)])
+        # sources of one group stand at different vertices, so nothing is added up here
+        state, path = stored(begin.select("v", "g", *old, *[F.col(s).alias(x) for s, x in zip(old, new)]))
+        d = 0
+        while True:
+            sent = state.filter(" or ".join(f"{x} <> 0" for x in new)).select("v", "g", *new).join(ties, "v").groupBy(F.col("to").alias("v"), "g").agg(*[F.bit_or(x).alias(x) for x in new])
+            met = state.select("v", "g", *old, *[F.lit(0).cast("long").alias(x) for x in new]).unionByName(sent.select("v", "g", *[F.lit(0).cast("long").alias(s) for s in old], *new))
+            both = met.groupBy("v", "g").agg(*[F.bit_or(c).alias(c) for c in (*old, *new)])
+            fresh = [F.col(x).bitwiseAND(F.bitwise_not(F.col(s))) for s, x in zip(old, new)]
+            both = both.select("v", "g", *[F.col(s).bitwiseOR(F.col(x)).alias(s) for s, x in zip(old, new)], *[f.alias(x) for f, x in zip(fresh, new)])
+            seen = Observation()
+            then, next_path = stored(both.observe(seen, F.sum(sum((F.bit_count(x) for x in new), F.lit(0))).alias("c")))
+            removed(spark, path)
+            state, path, d, c = then, next_path, d + 1, seen.get["c"]
+            if c:
+                counts[d] = counts.get(d, 0) + c
+            if not c or (depth is not None and d >= depth):
+                break
+        removed(spark, path)
+    removed(spark, at)
+    return spark.createDataFrame(sorted(counts.items()), "d long, c long")

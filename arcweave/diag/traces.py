@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.fit.model import ERGMResult
 from arcweave.functions.special import two_sided_p
+from arcweave.plans.scratch import removed, stored, with_row_numbers
 
 
 def autocovariance(x: np.ndarray) -> np.ndarray:
@@ -69,17 +71,10 @@ def mcmc_diagnostics(result: ERGMResult) -> dict:
     }
 
 
-def numbered(rows: DataFrame, stat: str, order: list[str], bucket) -> DataFrame:
-    """Adds draw (from 1) and n, the length of the row's trace.
-
-    `bucket` is a coarse column that grows with the order, such as the day: rows are numbered within it, and its
-    start comes from a window over one row for each bucket, so a long trace never meets in one task."""
-    own = rows.withColumn("bucket", bucket)
-    sizes = own.groupBy(stat, "bucket").agg(F.count("*").alias("size"))
-    ahead = F.sum("size").over(Window.partitionBy(stat).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(stat, "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead"), F.sum("size").over(Window.partitionBy(stat)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(stat, "bucket").orderBy(*order))
-    return own.withColumn("place", place).join(starts, [stat, "bucket"]).withColumn("draw", F.col("ahead") + F.col("place")).drop("bucket", "place", "ahead")
+def numbered(rows: DataFrame, stat: str, order: list[str]) -> DataFrame:
+    """Adds draw (from 1) and n, the length of the row's trace, in order. Ranges of all traces are sorted apart and
+    numbered by how many rows come before each, so neither a trace nor a stretch of it meets in one task."""
+    return with_row_numbers(rows, order, [stat], "draw", "n").withColumn("draw", F.col("draw") + 1)
 
 
 def lagged(trace: DataFrame, stat: str, value: str, lags: list[int]) -> DataFrame:
@@ -103,30 +98,89 @@ def segments(trace: DataFrame, stat: str, value: str, first: float = 0.1, last:
     return trace.groupBy(stat).agg(F.count_if(head).alias("n_first"), F.avg(F.when(head, F.col(value))).alias("mean_first"), F.count_if(tail).alias("n_last"), F.avg(F.when(tail, F.col(value))).alias("mean_last"))
 
 
-def long_runs(trace: DataFrame, stat: str, value: str, block: int = 16) -> dict:
+#: Draws of a segment in the first pass over a trace, which gives as many lags; most draws of a segment in the second;
+#: lags that the driver takes at most.
+SEGMENT, LARGEST, DRIVER_LAGS = 4_096, 1 << 20, 10_000_000
+
+
+def _products(size: int):
+    """Of segments x (lag 0 on) and z, `apart` segments later: sums of x[t] z[t + lag] by lag, added up over a task, by
+    one product of Fourier transforms each; given out in stretches of lags."""
+    wide = 1 << (2 * size - 1).bit_length()
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for stat, apart, x, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, z = x.values.to_numpy(zero_copy_only=False), z.values.to_numpy(zero_copy_only=False)
+                got = np.fft.irfft(np.conj(np.fft.rfft(x, wide)) * np.fft.rfft(z, wide), wide)
+                # lags -(size - 1) to size - 1 within the pair of segments
+                own = sums.setdefault((stat, apart), np.zeros(2 * size - 1))
+                own += np.concatenate([got[wide - size + 1 :], got[:size]])
+        for (stat, apart), own in sums.items():
+            lag = np.arange(2 * size - 1) - (size - 1) + apart * size
+            first = int(np.searchsorted(lag, 0))
+            for lo in range(first, len(lag), 65_536):
+                at = slice(lo, lo + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array([stat] * len(lag[at])), pa.array(lag[at]), pa.array(own[at])], ["stat", "lag", "p"])
+
+    return run
+
+
+def autocovariances(trace: DataFrame, stat: str, value: str, size: int, segments: int = 1) -> DataFrame:
+    """(stat, lag, g): autocovariances of numbered traces, divided by n, at all lags below size * segments.
+
+    Traces are cut into segments of `size` draws; each is multiplied with itself and the next ones, all lags at once by
+    Fourier transforms, so one pass and one shuffle of the trace give every lag."""
+    kind = trace.schema[stat].dataType.simpleString()
+    mean = trace.groupBy(stat).agg(F.avg(value).alias("mean"), F.max("n").alias("size_"))
+    part = F.floor((F.col("draw") - 1) / size)
+    cut = trace.join(mean, stat).groupBy(stat, part.alias("b")).agg(F.sort_array(F.collect_list(F.struct("draw", (F.col(value) - F.col("mean")).alias("x")))).alias("s")).select(stat, "b", F.col("s.x").alias("x"))
+    cut, path = stored(cut)
+    near = cut.select(stat, "b", "x", F.explode(F.sequence(F.lit(0), F.lit(segments))).alias("apart"))
+    met = near.join(cut.select(F.col(stat).alias("other"), F.col("b").alias("c"), F.col("x").alias("z")), (F.col(stat) == F.col("other")) & (F.col("b") + F.col("apart") == F.col("c")))
+    sums = met.select(stat, "apart", "x", "z").mapInArrow(_products(size), f"stat {kind}, lag long, p double").groupBy("stat", "lag").agg(F.sum("p").alias("p"))
+    got, _ = stored(sums.join(mean.withColumnRenamed(stat, "stat"), "stat").filter((F.col("lag") < size * segments) & (F.col("lag") < F.col("size_"))).select(F.col("stat").alias(stat), "lag", (F.col("p") / F.col("size_")).alias("g")))
+    removed(trace.sparkSession, path)
+    return got
+
+
+def _positive_pairs(g: DataFrame, stat: str, base: dict) -> dict:
+    """For each trace its variance, the sums of neighbouring lags before the first that is not positive, and whether there is such a one."""
+    pairs = g.groupBy(stat, F.floor(F.col("lag") / 2).alias("k")).agg(F.sum("g").alias("s"), F.max(F.when(F.col("lag") == 0, F.col("g"))).alias("g0"))
+    stop = pairs.groupBy(stat).agg(F.min(F.when(F.col("s") <= 0, F.col("k"))).alias("stop"))
+    rows = pairs.join(stop, stat).filter("stop is null or k < stop or k = 0").select(stat, "k", "s", "g0", "stop").limit(DRIVER_LAGS + 1).toPandas()
+    if len(rows) > DRIVER_LAGS:
+        raise ValueError(f"long-run variances of more than {DRIVER_LAGS} pairs of lags")
+    out = {}
+    for name, own in rows.sort_values("k").groupby(stat):
+        ended = bool(own.stop.notna().any())
+        last = own.stop.iloc[0] if ended else base[name].n // 2  # an odd trace's last lag has no neighbour
+        out[name] = (float(own.g0.iloc[0]), own.s[own.k < last].to_numpy(float), ended)
+    return out
+
+
+def long_runs(trace: DataFrame, stat: str, value: str, size: int = SEGMENT) -> dict:
     """For each numbered trace: (n, mean, variance, long-run variance), the last as geyer_variance has it.
 
-    Autocovariances are taken `block` lags at a time, for the traces whose sums of neighbouring lags are still positive;
-    the driver gets these few numbers and no draws."""
+    One pass gives the first `size` lags of all traces, which end most; a second one, over those that it does not end,
+    gives all lags. The driver gets the sums of neighbouring lags up to the first that is not positive."""
     got = trace.groupBy(stat).agg(F.max("n").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
     base = {r[stat]: r for r in got}
-    g: dict = {k: [] for k in base}
-    open_, at = {k for k, r in base.items() if r.low != r.high}, 0
-    while open_:
-        rows = lagged(trace.filter(F.col(stat).isin(list(open_))), stat, value, list(range(at, at + block))).collect()
-        found = {(r[stat], r.lag): r.g for r in rows}
-        at += block
-        for k in list(open_):
-            g[k] += [found.get((k, lag), 0.0) for lag in range(at - block, at)]
-            pairs = np.array(g[k]).reshape(-1, 2).sum(1)
-            if (pairs <= 0).any() or at >= base[k].n:
-                open_.discard(k)
+    moving = [k for k, r in base.items() if r.low != r.high]
+    found = _positive_pairs(autocovariances(trace.filter(F.col(stat).isin(moving)), stat, value, size), stat, base) if moving else {}
+    open_ = [k for k in moving if not found[k][2] and base[k].n > size]
+    if open_:
+        longest = max(base[k].n for k in open_)
+        wide = min(LARGEST, max(size, 1 << int(np.ceil(np.log2(8 * np.sqrt(longest))))))
+        found |= _positive_pairs(autocovariances(trace.filter(F.col(stat).isin(open_)), stat, value, wide, -(-longest // wide)), stat, base)
     out = {}
     for k, r in base.items():
-        pairs = np.array(g[k][: r.n // 2 * 2]).reshape(-1, 2).sum(1)
-        stop = np.flatnonzero(pairs <= 0)
-        pairs = np.minimum.accumulate(pairs[: stop[0]] if len(stop) else pairs)
-        out[k] = (int(r.n), float(r["mean"]), float(g[k][0]) if g[k] else 0.0, float(2 * pairs.sum() - g[k][0]) if g[k] else 0.0)
+        if k not in found:
+            out[k] = (int(r.n), float(r["mean"]), 0.0, 0.0)
+            continue
+        g0, pairs, _ = found[k]
+        out[k] = (int(r.n), float(r["mean"]), g0, float(2 * np.minimum.accumulate(pairs).sum() - g0))
     return out
 
 

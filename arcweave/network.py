@@ -99,6 +99,12 @@ class Network:
         own = self.arcs.select("i", "j")
         return own.union(own.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
 
+    @cached_property
+    def reciprocal(self) -> DataFrame:
+        """(i, j) of arcs whose reverse exists too."""
+        own = self.arcs.select("i", "j")
+        return own.join(own.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_semi")
+
     @cached_property
     def degrees(self) -> DataFrame:
         """(v, dout, din, d) of every vertex; in an undirected network all three are the degree."""

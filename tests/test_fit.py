@@ -207,7 +207,7 @@ def test_synthetic_traces(spark):
     assert 2500 < geyer_ess(x) < 5500 and 50 < geyer_ess(y) < 800 and abs(geweke_z(x)) < 4 and abs(geweke_z(drift)) > 5
     assert geyer_ess(np.full(100, 3.0)) == 100 and geweke_z(np.full(100, 3.0)) == 0
     rows = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(y)], "stat string, k long, x double")
-    trace = numbered(rows, "stat", ["k"], (rows["k"] / 100).cast("int"))
+    trace = numbered(rows, "stat", ["k"])
     g = {r.lag: r.g for r in lagged(trace, "stat", "x", [0, 1]).collect()}
     assert abs(g[1] / g[0] - autocorrelation(y)) < 1e-9
 
@@ -255,3 +255,62 @@ def test_long_runs_of_stored_traces(spark):
     assert all(ess[k][0] == len(x) and np.isclose(ess[k][1], geyer_ess(x)) for k, x in traces.items())
     # two draws on either side have no variance but rounding
     assert np.allclose([z[k] for k in traces if k != "short"], [geweke_z(x) for k, x in traces.items() if k != "short"])
+
+
+def test_all_lags_from_segments(spark):
+    """Transforms of short segments, in one pass or two, give the autocovariances of the whole trace at every lag."""
+    from arcweave.diag.traces import autocovariance, autocovariances, geyer_variance, long_runs
+
+    rng = np.random.default_rng(6)
+    slow = np.zeros(500)
+    for k in range(1, 500):
+        slow[k] = 0.97 * slow[k - 1] + rng.normal()
+    traces = {"slow": slow, "fast": rng.normal(size=131), "odd": np.cumsum(rng.normal(size=33)), "one": np.array([1.0]), "flat": np.full(20, 2.0)}
+    rows = [(k, i + 1, len(x), float(v)) for k, x in traces.items() for i, v in enumerate(x)]
+    trace = spark.createDataFrame(rows, "stat string, draw long, n long, x double").repartition(3).cache()
+    for size, segments in ((8, 63), (64, 8), (4096, 1)):
+        got = {(r.stat, r.lag): r.g for r in autocovariances(trace, "stat", "x", size, segments).collect()}
+        for k, x in traces.items():
+            want = autocovariance(x)
+            assert np.allclose([got[k, lag] for lag in range(len(x))], want, atol=1e-9) and (k, len(x)) not in got
+    for size in (4, 4096):
+        runs = long_runs(trace, "stat", "x", size)
+        assert all(np.isclose(runs[k][3], geyer_variance(x)) and runs[k][0] == len(x) for k, x in traces.items() if len(x) > 1)
+
+
+def test_row_numbers_without_a_window_on_a_key(spark):
+    from arcweave.plans.scratch import with_row_numbers
+
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 5 == 0 else "hot" if k % 3 else "rare", int(rng.integers(0, 40)), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "name string, at int, k int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = with_row_numbers(df, ["at", "k"], ["name"], total="n")
+        assert got.columns == ["name", "at", "k", "row", "n"]
+        made = {(r.name if isinstance(r.name, str) else r["name"], r.at, r.k): (r.row, r.n) for r in got.collect()}
+        plain = {r.k: r.row for r in with_row_numbers(df, ["at", "k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for name in ("hot", "rare", None):
+        own = sorted(r for r in rows if r[0] == name) if name else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:])
+        assert [made[r] for r in own] == [(k, len(own)) for k in range(len(own))]
+    order = sorted(rows, key=lambda r: r[1:])
+    assert [plain[r[2]] for r in order] == list(range(600))
+    assert with_row_numbers(df.filter("false"), ["at"], ["name"]).count() == 0
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_distances_by_bits(spark, monkeypatch, directed):
+    """More sources than a row has bits, in more than one batch; parts that nothing joins; a long path."""
+    from arcweave.diag import panels
+
+    rng = np.random.default_rng(11)
+    n = 700
+    edges = {(int(a), int(b)) for a, b in rng.integers(1, 640, (900, 2)) if a != b} | {(k, k + 1) for k in range(640, 648)}
+    net = Network.from_edges(spark, n, sorted(edges), directed).cached()
+    want = distances(net.matrix()[0]).tolist()
+    monkeypatch.setattr(panels, "STATES", 1)
+    assert [(r.d, r.c) for r in geodesics(net).orderBy("d").collect()] == list(enumerate(want, 1))
+    assert [r.c for r in geodesics(net, depth=2).orderBy("d").collect()] == want[:2]
+    assert geodesics(Network.from_edges(spark, 3, [], directed)).count() == 0
