@@ -90,13 +90,14 @@ def geodesics(net: Network, depth: int | None = None) -> DataFrame:
     spark = net.spark
     ties = net.pairs.select(F.col("i").alias("v"), F.col("j").alias("to"))
     numbered, at = stored(with_row_numbers(net.vertices.select("v").distinct(), ["v"]))
-    group = 64 * WORDS
+    words = min(WORDS, net.n // 64 + 1)
+    group = 64 * words
     batch = max(1, STATES // max(net.n, 1)) * group
     counts: dict[int, int] = {}
-    old, new = [f"s{k}" for k in range(WORDS)], [f"x{k}" for k in range(WORDS)]
+    old, new = [f"s{k}" for k in range(words)], [f"x{k}" for k in range(words)]
     for low in range(0, net.n, batch):
         source = numbered.filter(F.col("row").between(low, low + batch - 1)).withColumn("bit", F.expr("shiftleft(1L, cast(row % 64 as int))"))
-        bits = [F.when(F.floor(F.col("row") / 64) % WORDS == k, F.col("bit")).otherwise(F.lit(0).cast("long")) for k in range(WORDS)]
+        bits = [F.when(F.floor(F.col("row") / 64) % words == k, F.col("bit")).otherwise(F.lit(0).cast("long")) for k in range(words)]
         begin = source.select("v", F.floor(F.col("row") / group).alias("g"), *[b.alias(c) for b, c in zip(bits, old)])
         # sources of one group stand at different vertices, so nothing is added up here
         state, path = stored(begin.select("v", "g", *old, *[F.col(s).alias(x) for s, x in zip(old, new)]))

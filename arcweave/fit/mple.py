@@ -14,8 +14,10 @@ from arcweave.fit.newton import logistic_derivatives, newton_fit
 from arcweave.functions.weights import log1pexp, logistic
 from arcweave.mcmc.sample import bound_chain, simulated
 from arcweave.network import Network
-from arcweave.operators.base import Term
-from arcweave.plans.design import mple_design
+from arcweave.operators.base import Term, TermSet, expanded
+from arcweave.plans.blocks import block_pairs, block_sums, corrections, usable
+from arcweave.plans.design import LISTED, _changes, mple_design
+from arcweave.plans.sparse import few_classes
 
 #: Distinct design rows that are solved on the driver; beyond, each Newton step is one aggregation in Spark.
 DRIVER_ROWS = 200_000
@@ -34,13 +36,27 @@ def spark_derivatives(design: DataFrame, names: list[str]):
         each = [F.sum(F.col("n_one") * F.col("eta") - F.col("n_tot") * log1pexp(F.col("eta")))]
         each += [F.sum(F.col(f"x{a}") * (F.col("n_one") - F.col("n_tot") * q)) for a in range(p)]
         each += [F.sum(-F.col(f"x{a}") * F.col(f"x{b}") * F.col("n_tot") * q * (1 - q)) for a in range(p) for b in range(a, p)]
-        got = [float(v or 0) for v in rows.agg(*[e.alias(f"c{k}") for k, e in enumerate(each)]).first()]
-        hess, at = np.zeros((p, p)), 1 + p
-        for a in range(p):
-            for b in range(a, p):
-                hess[a, b] = hess[b, a] = got[at]
-                at += 1
-        return got[0], np.array(got[1 : 1 + p]), hess
+        return _unpacked([float(v or 0) for v in rows.agg(*[e.alias(f"c{k}") for k, e in enumerate(each)]).first()], p)
+
+    return f
+
+
+def _unpacked(got: list[float], p: int):
+    """Log-likelihood, gradient and Hessian from their sums in a row."""
+    hess = np.zeros((p, p))
+    hess[np.triu_indices(p)] = got[1 + p :]
+    return got[0], np.array(got[1 : 1 + p]), hess + np.triu(hess, 1).T
+
+
+def block_derivatives(net: Network, terms: TermSet):
+    """What spark_derivatives gives, for a design that does not compress: pairs of vertex blocks are gone through in
+    each step, and a small table puts the touched and unobserved dyads right."""
+    p = len(terms)
+    listed = spark_derivatives(corrections(net, terms, _changes).cache(), terms.names)
+    pairs = block_pairs(net, terms)
+
+    def f(beta: np.ndarray):
+        return tuple(a + b for a, b in zip(listed(beta), _unpacked(block_sums(net, terms, pairs, beta), p)))
 
     return f
 
@@ -64,22 +80,37 @@ def compressed(design: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndar
     return got.iloc[:, : len(names)].to_numpy(float), got["n_tot"].to_numpy(float), got["n_one"].to_numpy(float)
 
 
-def mple(model: ERGMModel, se: str = "hessian", n_boot: int = 100, boot_burnin: int | None = None, boot_interval: int | None = None, seed: int | None = None, driver_rows: int = DRIVER_ROWS) -> ERGMResult:
-    """Unobserved dyads are left out. se: hessian, or bootstrap by refits to n_boot networks simulated at the estimate."""
+def mple(model: ERGMModel, se: str = "hessian", n_boot: int = 100, boot_burnin: int | None = None, boot_interval: int | None = None, seed: int | None = None, driver_rows: int = DRIVER_ROWS, by_blocks: bool | None = None) -> ERGMResult:
+    """Unobserved dyads are left out. se: hessian, or bootstrap by refits to n_boot networks simulated at the estimate.
+
+    In a large network whose vertices fall into too many classes for a compressed design, as a continuous attribute makes
+    them, dyads are summed over pairs of vertex blocks and never listed; `by_blocks` forces or forbids that."""
     if se not in ("hessian", "bootstrap"):
         raise ValueError(f"se must be hessian or bootstrap, not {se!r}")
     net, names = model.network, model.names
-    design = mple_design(net, model.terms).cache()
+    own = expanded(net, model.terms)
+    if by_blocks is None:
+        by_blocks = net.n_pairs > LISTED and usable(net, own) and not few_classes(net, own)
+    if by_blocks and not usable(net, own):
+        raise ValueError("a term follows more than its dyad's ends, ties and shared partners; its dyads must be listed")
+    design = None if by_blocks else mple_design(net, model.terms).cache()
     try:
-        if design.count() <= driver_rows:
+        if by_blocks:
+            f = block_derivatives(net, own)
+            fit = newton_fit(f, np.zeros(len(names)), tol=1e-12)
+            design_rows = None
+        else:
+            design_rows = design.count()
+        if design_rows is not None and design_rows <= driver_rows:
             x, n_tot, n_one = compressed(design, names)
             fit, f = _solve(x, n_tot, n_one), logistic_derivatives(x, n_one, weight=n_tot)
-        else:
+        elif design_rows is not None:
             f = spark_derivatives(design, names)
             fit = newton_fit(f, np.zeros(len(names)), tol=1e-12)
         ll, grad, hess = f(fit.theta)
     finally:
-        design.unpersist()
+        if design is not None:
+            design.unpersist()
     cov = _covariance(hess)
     if se == "bootstrap":
         cov = bootstrap_cov(model, fit.theta, n_boot, boot_burnin, boot_interval, seed)

@@ -37,6 +37,11 @@ class Term:
     def name(self) -> str:
         return type(self).__name__
 
+    def idle_column(self, net: Network) -> Column | None:
+        """The change of a dyad without ties and shared partners, over its ends' attributes (a_i, a_j) and degrees (dout_i,
+        din_i, d_i, ...); None if that is not all it follows."""
+        return F.lit(0.0) if self.untouched == "zero" else None
+
     def sums(self, net: Network) -> tuple[list[tuple[str, Column]], Callable] | None:
         """The statistic from sums over tables that several terms share: (table, aggregate) each, and how their values make
         it. Tables are `degrees`, `joined` and, for the partners of ties by kind, `partners`. None: `stat` alone has it."""
@@ -76,6 +81,9 @@ class PairTerm(Term):
     def change_column(self, net: Network) -> Column:
         raise NotImplementedError
 
+    def idle_column(self, net):
+        return self.change_column(net)
+
     def stat(self, net: Network) -> DataFrame:
         rows = net.ends(net.arcs.select("i", "j"), list(self.required_vertex_attributes))
         return rows.agg(F.coalesce(F.sum(self.change_column(net).cast("double")), F.lit(0.0)).alias("value"))

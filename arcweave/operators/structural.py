@@ -49,6 +49,9 @@ class Mutual(Term):
     def change(self, net, pairs):
         return pairs.select("i", "j", F.col("r").cast("double").alias("delta"))
 
+    def idle_column(self, net):
+        return F.lit(0.0)
+
     def local(self, state, i, j, y):
         return float(state.a[j, i])
 
@@ -126,10 +129,16 @@ class _DegreeTerm(Term):
     def empty(self, n):
         return n * float(self.f_np(0))
 
+    def _ends(self, net) -> tuple[str, ...]:
+        return ("i", "j") if not net.directed else ("j",) if self.side == "din" else ("i",)
+
+    def idle_column(self, net):
+        return sum((self.step(F.col(f"{self.side}_{e}")) for e in self._ends(net)), F.lit(0.0))
+
     def change(self, net, pairs):
         own = net.degrees.select("v", F.col(self.side).alias("deg"))
         rows = pairs.select("i", "j", "y")
-        ends = ("i", "j") if not net.directed else ("j",) if self.side == "din" else ("i",)
+        ends = self._ends(net)
         for e in ends:
             rows = rows.join(own.withColumnsRenamed({"v": e, "deg": f"deg_{e}"}), e)
         return rows.select("i", "j", sum((self.step(F.col(f"deg_{e}") - F.col("y")) for e in ends), F.lit(0.0)).cast("double").alias("delta"))
@@ -183,6 +192,9 @@ class TwoPath(Term):
             return [("degrees", F.sum(choose(F.col("d"), 2)))], lambda x: x
         return [("degrees", F.sum(F.col("din") * F.col("dout"))), ("joined", F.count_if(F.col("ties") == 2))], lambda x, m: x - 2 * m
 
+    def idle_column(self, net):
+        return F.col("din_i") + F.col("dout_j") if net.directed else F.col("d_i") + F.col("d_j")
+
     def change(self, net, pairs):
         own = net.degrees
         one, two = ("din", "dout") if net.directed else ("d", "d")

@@ -59,6 +59,11 @@ def classes(net: Network, terms: TermSet) -> DataFrame:
     return own.join(least, match).select("v", "cls")
 
 
+def few_classes(net: Network, terms: TermSet) -> bool:
+    """Whether complement() would list the pairs of classes."""
+    return classes(net, terms).select("cls").distinct().count() ** 2 <= CLASS_PAIRS
+
+
 def supported(net: Network, terms: TermSet) -> bool:
     return all(t.untouched is not None for t in terms)
 

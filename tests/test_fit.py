@@ -314,3 +314,31 @@ def test_distances_by_bits(spark, monkeypatch, directed):
     assert [(r.d, r.c) for r in geodesics(net).orderBy("d").collect()] == list(enumerate(want, 1))
     assert [r.c for r in geodesics(net, depth=2).orderBy("d").collect()] == want[:2]
     assert geodesics(Network.from_edges(spark, 3, [], directed)).count() == 0
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_fit_by_blocks_equals_listed_fit(spark, monkeypatch, directed):
+    """A continuous attribute, degrees, shared partners and unobserved dyads: sums over pairs of blocks, no dyad listed."""
+    from arcweave.operators.structural import GWESP, GWDegree, Mutual, TwoPath
+    from arcweave.plans import blocks
+
+    rng = np.random.default_rng(5)
+    n = 60
+    edges = sorted({(int(a), int(b)) if directed else (min(int(a), int(b)), max(int(a), int(b))) for a, b in rng.integers(1, n + 1, (160, 2)) if a != b})
+    missing = sorted({(int(a), int(b)) for a, b in rng.integers(1, n + 1, (30, 2)) if a < b})
+    net = Network.from_edges(spark, n, edges, directed, {"x": [float(v) for v in rng.normal(size=n)]}, missing).cached()
+    terms = [Edges(), NodeCov("x"), GWESP(0.4), *([Mutual(), TwoPath()] if directed else [GWDegree(0.3)])]
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks.block_pairs, "__defaults__", (16,))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        model = ERGMModel(terms, net)
+        one, two = mple(model, by_blocks=False), mple(model, by_blocks=True)
+    assert np.allclose(one.coefficients, two.coefficients, atol=1e-6) and np.allclose(one.std_errors, two.std_errors, atol=1e-6)
+    assert np.isclose(one.loglik, two.loglik) and one.converged and two.converged
+
+
+def test_covariate_that_follows_the_dyad_is_listed(spark):
+    net = small(spark, True)
+    with pytest.raises(ValueError, match="listed"):
+        mple(ERGMModel([Edges(), EdgeCov(lambda n, pairs: pairs.select("i", "j").withColumn("x", pairs.i * 0.1))], net), by_blocks=True)
