@@ -11,6 +11,8 @@
    binary search, and keeps what reaches the overlap; an exact test follows. The index of a large group is split into
    shards, each searched by each other one, so a task's memory has a fixed bound; shards grow with the square root
    of the group, up to that bound. Links are unioned where they are found: a task returns one row for each of its sets.
+   Lists are ordered by the components found so far and a query passes over its own one, so sets that are near copies
+   of each other are not compared pair by pair; only where the number of links is asked for are all of them met.
 
 Filters 2 and 3 only ever let too much through; no link is lost, and no list or group is cut.
 """
@@ -33,9 +35,9 @@ from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
 #: Share of a set's size that is asked of its first shingles.
 SLACK = 0.1
-#: Shingles of a shard: of small groups together and of a large one at least; at most (under 500 MB in a task); and
+#: Shingles of a shard: of small groups together and of a large one at least; at most (under 250 MB in a task); and
 #: their growth with the square root of a group's shingles between these.
-SHARD, MOST, GROWTH = 1 << 18, 1 << 23, 256
+SHARD, MOST, GROWTH = 1 << 18, 1 << 22, 256
 #: Shingles that are sorted at once to add them up.
 STEP = 1 << 20
 #: Entries that are merged by a heap; more by a sort that merges sorted runs.
@@ -127,10 +129,10 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(value, number of runs that have it) of ascending runs: a heap merges few entries, a stable sort, which merges
-    the runs it finds, many."""
+    """(value, number of runs that have it) of runs: a heap merges few entries, a stable sort, which merges the
+    ascending stretches it finds, many."""
     if sum(map(len, runs)) <= HEAP:
-        flat = np.fromiter(heapq.merge(*(r.tolist() for r in runs)), np.int64)
+        flat = np.fromiter(heapq.merge(*(np.sort(r).tolist() for r in runs)), np.int64)
     else:
         flat = np.concatenate(runs)
         flat.sort(kind="stable")
@@ -138,75 +140,115 @@ def merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.diff(np.append(at, len(flat)))
 
 
-def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, sides: np.ndarray | None = None, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """(local root, number of links) of each set, by T-occurrence search over one inverted index.
+class _Lists:
+    """Posting lists of some sets, each list ordered by the component that a set was in when this was built. A query
+    passes over the sets of its own component without looking at them."""
 
-    With `sides`, only links between a set of side 0 and one of side 1 count, and side 0 comes first."""
+    def __init__(self, token: np.ndarray, owner: np.ndarray, label: np.ndarray, m: int):
+        self.m, self.label = m, label
+        key = token.astype(np.int64) * m + label[owner]
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner = key[order], owner[order]
+
+    def others(self, tokens: np.ndarray, q: int) -> tuple[np.ndarray, ...]:
+        """For each token the bounds of its list and, within, of the sets in q's component."""
+        first = tokens.astype(np.int64) * self.m
+        return tuple(np.searchsorted(self.key, x) for x in (first, first + self.label[q], first + self.label[q] + 1, first + self.m))
+
+
+def divide_skip(sets: list[np.ndarray], sizes: np.ndarray, percent: int, sides: np.ndarray | None = None, mu: float = 0.01, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(local root, number of links) of each set, by T-occurrence search over inverted lists.
+
+    With `sides`, only links between a set of side 0 and one of side 1 count. Without `count` only the roots are asked
+    for: then what is in a query's component already is passed over, so that of a group of near copies the first queries
+    join most and the others find nothing left to look at. Lists are built again after 1, 2, 4, ... queries, with
+    the components of that time and without the sets that were queries."""
     m = len(sets)
-    after = int(np.searchsorted(sides, 1)) if sides is not None else 0
-    flat = np.concatenate([np.zeros(0, np.int64), *sets])
-    owner = np.repeat(np.arange(m), sizes)
-    _, token = np.unique(flat, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    lists = owner[order]
-    bound = np.searchsorted(token[order], np.arange((token.max() if len(token) else -1) + 2))
-    length = np.diff(bound)
-    root, links = np.arange(m), np.zeros(m, np.int64)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    start = np.cumsum(sizes) - sizes
-    need = least_overlap(sizes, percent)
-    biggest = int(length.max()) if len(length) else 1
+    side = np.zeros(m, np.int64) if sides is None else np.asarray(sides, np.int64)
+    # sides take turns, so that both are drawn into components early
+    turn = np.empty(m, np.int64)
+    for s in (0, 1):
+        own = np.flatnonzero(side == s)
+        turn[own] = 2 * np.arange(len(own)) + s
+    order = np.argsort(turn, kind="stable")
+    size, side = np.asarray(sizes, np.int64)[order], side[order]
+    start = np.cumsum(size) - size
+    _, token = np.unique(np.concatenate([np.zeros(0, np.int64), *[sets[k] for k in order]]), return_inverse=True)
+    token, owner = token.astype(np.int32), np.repeat(np.arange(m, dtype=np.int32), size)
+    comp, links = np.arange(m), np.zeros(m, np.int64)
+    need = least_overlap(size, percent)
+    biggest = int(np.bincount(token).max()) if len(token) else 1
+    lists: dict[int, _Lists] = {}
     for q in range(m):
-        if sides is not None and sides[q]:
-            continue
-        own = token[start[q] : start[q] + sizes[q]]
-        own = own[np.argsort(length[own], kind="stable")]
+        if q & (q - 1) == 0:  # 0, 1, 2, 4, ...
+            left = start[q] if q < m else len(token)
+            label = np.arange(m) if count else comp
+            lists = {s: _Lists(token[left:][mask], owner[left:][mask], label, m) for s in ((0, 1) if sides is not None else (0,)) for mask in [side[owner[left:]] == s]}
+        index = lists[1 - side[q]] if sides is not None else lists[0]
+        own = token[start[q] : start[q] + size[q]]
+        begin, mine, after, end = index.others(own, q)
+        length = (mine - begin) + (end - after)
         t = int(need[q])
         # DivideSkip's rule for how many of the longest lists to leave out of the merge
         skip = min(t - 1, int(t / (mu * np.log2(max(biggest, 2)) + 1)))
-        short, long = own[: len(own) - skip], own[len(own) - skip :]
-        runs = [lists[bound[x] : bound[x + 1]] for x in short if length[x] > 1]
-        # what follows the query alone: with sides those of side 1 come last
-        least = after if sides is not None else q + 1
-        runs = [r for r in (r[np.searchsorted(r, least) :] for r in runs) if len(r)]
+        by_length = np.argsort(length, kind="stable")
+        short, long = by_length[: len(own) - skip], by_length[len(own) - skip :]
+        runs = [index.owner[x:z] for k in short[length[short] > 0] for x, z in ((begin[k], mine[k]), (after[k], end[k])) if z > x]
         if not runs:
             continue
-        found, count = merged_runs(runs)
-        fits = (count >= t - skip) & (100 * np.minimum(sizes[found], sizes[q]) >= percent * np.maximum(sizes[found], sizes[q]))
-        found, count = found[fits], count[fits]
-        for i, x in enumerate(long[::-1]):  # probes, the longest last to leave few candidates
+        # within a list sets of one component ascend, of several they need not
+        found, seen = merged_runs(runs)
+        fits = (found > q) & (seen >= t - skip) & (100 * np.minimum(size[found], size[q]) >= percent * np.maximum(size[found], size[q])) & (comp[found] != comp[q] if not count else True)
+        found, seen = found[fits], seen[fits]
+        for i, k in enumerate(long[::-1]):  # probes, the longest last to leave few candidates
             if not len(found):
                 break
-            one = lists[bound[x] : bound[x + 1]]
-            at = np.searchsorted(one, found)
-            count = count + (one[np.minimum(at, len(one) - 1)] == found)
-            alive = 100 * (count + len(long) - 1 - i) >= percent * (sizes[found] + sizes[q] - count - (len(long) - 1 - i))
-            found, count = found[alive], count[alive]
-        for z in found[100 * count >= percent * (sizes[found] + sizes[q] - count)].tolist():
-            links[q] += 1
-            links[z] += 1
-            a, b = find(q), find(z)
-            root[max(a, b)] = min(a, b)
-    return np.array([find(x) for x in range(m)], np.int64), links
-
-
-def _search(percent: int) -> Callable:
+            # a list's sets are looked up under their component
+            want = np.int64(own[k]) * m + index.label[found]
+            x, z = np.searchsorted(index.key, want), np.searchsorted(index.key, want, "right")
+            seen = seen + _held(index.owner, x, z, found)
+            rest = len(long) - 1 - i
+            alive = 100 * (seen + rest) >= percent * (size[found] + size[q] - seen - rest)
+            found, seen = found[alive], seen[alive]
+        near = found[100 * seen >= percent * (size[found] + size[q] - seen)]
+        if len(near):
+            links[q] += len(near)
+            links[near] += 1
+            joined = np.unique(np.append(comp[near], comp[q]))
+            if len(joined) > 1:
+                to = np.arange(m)
+                to[joined] = joined[0]
+                comp = to[comp]
+    root, back = np.empty(m, np.int64), np.empty(m, np.int64)
+    back[order] = links
+    root[order] = order[comp]
+    # the first set of each component stands for it
+    first = np.full(m, m)
+    np.minimum.at(first, root, np.arange(m))
+    return first[root], back
+
+
+def _held(owner: np.ndarray, x: np.ndarray, z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each wanted set stands in its ascending stretch x..z, by binary search of all at once."""
+    low, high = x.copy(), z.copy()
+    while (low < high).any():
+        mid = (low + high) // 2
+        less = (low < high) & (owner[np.minimum(mid, len(owner) - 1)] < wanted)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
+    return (low < z) & (owner[np.minimum(low, len(owner) - 1)] == wanted)
+
+
+def _search(percent: int, count: bool) -> Callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "node"], ignore_index=True)
-        root, links = divide_skip(list(rows["set"]), rows["n"].to_numpy(), percent, rows["side"].to_numpy() if key[1:3] != key[3:5] else None)
+        root, links = divide_skip(list(rows["set"]), rows["n"].to_numpy(), percent, rows["side"].to_numpy() if key[1:3] != key[3:5] else None, count=count)
         node = rows["node"].to_numpy()
         return pd.DataFrame({"node": node, "near": node[root], "links": links})
 
     return run
 
 
-def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int, count: bool) -> tuple[DataFrame, DataFrame]:
     """(id, tk, n, d, e) of each row, tk being a hash of its text; and (d, e, root, least, n_links) of each set."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
@@ -218,7 +260,7 @@ def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int)
     classes = written(first.select("d", "e", "f.*").join(clash, "id", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("id", "d", "e")).otherwise(F.col("id"))).drop("clash"))
     lists = heads.filter("n > 0").groupBy("d", "e").agg(F.first("head").alias("head")).join(classes.select("d", "e", "node"), ["d", "e"])
     # large tables go as soon as the next one is written: at most two lie side by side
-    parts, old = _links(rows, lists, classes, at, k, percent, slack, shard)
+    parts, old = _links(rows, lists, classes, at, k, percent, slack, shard, count)
     found, found_at = stored(parts)
     removed(spark, *old)
     roots = components(found.filter("node <> near").select(F.col("node").alias("u"), F.col("near").alias("v")))
@@ -231,20 +273,22 @@ def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int)
     return light.drop("s"), named
 
 
-def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float = SLACK, shard: int = SHARD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row of `docs`.
+def similar_sets(docs: DataFrame, k: int = 4, percent: int = 85, slack: float = SLACK, shard: int = SHARD, links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row of `docs`; without `links` the last column is left out and
+    pairs that a component joins already are not looked at, which makes large groups of near copies cheap.
 
     component_id is the smallest doc_id that links reach; n_links counts the different linked sets. A text
     of 1 to k-1 words is one shingle; null, empty and blank texts have none and link with nothing. A null
     id comes after all others; rows of one id are told apart by their sets. Repeated rows get equal
     results; an empty table gives an empty result. Texts are read whole, other columns left out."""
-    light, named = _classified(docs, k, percent, slack, shard)
+    light, named = _classified(docs, k, percent, slack, shard, links)
     out = light.join(named, ["d", "e"], "left")
     known = lambda c: F.when(c != NULL_ID, c)
-    return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    own = [known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id")]
+    return out.select(*own, *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []))
 
 
-def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str, k: int, percent: int, slack: float, shard: int) -> tuple[DataFrame, list[str]]:
+def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str, k: int, percent: int, slack: float, shard: int, count: bool) -> tuple[DataFrame, list[str]]:
     """(node, near, links), parts of the answer to be unioned and summed; and the tables that they come from."""
     spark = rows.sparkSession
     # a linked set may be smaller: what is asked follows the least size it can have
@@ -306,14 +350,14 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
     down = F.when(F.col("below").isNotNull(), F.transform(others(F.col("below")), lambda o: meet(x - 1, o, x, a, F.lit(1))))
     large = large.withColumn("to", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none)))).select(F.col("grp").alias("g"), "to.*", "node", "n", "set")
     keys = ["g", "x", "a", "y", "b"]
-    return small.unionByName(large).repartition(shuffle_partitions(spark), *keys).groupBy(*keys).applyInPandas(_search(percent), "node long, near long, links long"), [new]
+    return small.unionByName(large).repartition(shuffle_partitions(spark), *keys).groupBy(*keys).applyInPandas(_search(percent, count), "node long, near long, links long"), [new]
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of `docs`, with all its columns: that of the smallest doc_id, a null one last, and of
     several texts with that id the one with the smallest hash. Rows without words are linked with nothing and stay.
     Of rows with one id and one text, also without any id, one stays."""
-    light, named = _classified(docs, k, percent, SLACK, SHARD)
+    light, named = _classified(docs, k, percent, SLACK, SHARD, False)
     rows = light.groupBy("id", "tk").agg(F.first("d").alias("d"), F.first("e").alias("e"), F.max("n").alias("n"), F.count("*").alias("m"))
     best = rows.filter("n > 0").join(named, ["d", "e"]).groupBy("root").agg(F.min(F.struct("id", "tk")).alias("f")).select("f.*")
     one, two = unused(docs, "one", "two")
@@ -329,4 +373,4 @@ def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """similar_sets() of all documents: nulls, ties, repeated rows and empty tables as stated there."""
-    return similar_sets(table(spark, sf_dir, "documents"))
+    return similar_sets(table(spark, sf_dir, "documents"), links=False)
