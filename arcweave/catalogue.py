@@ -194,6 +194,12 @@ def _register_plans() -> None:
 
     near = "nb AS (SELECT x.i AS a, y.j AS b, count(*) AS s FROM S3 x JOIN S3 y ON x.j = y.i WHERE x.i < y.j GROUP BY 1, 2)"
     add("mple_design_parts", parts_design, f"WITH {O.G3}, {near} SELECT 1::BIGINT AS edges, coalesce(s, 0)::BIGINT AS triangle, (u.p_brand = v.p_brand)::BIGINT AS nodematch_p_brand, count(*) AS n_tot, count(P3.i) AS n_one FROM part u JOIN part v ON u.p_partkey < v.p_partkey LEFT JOIN nb ON a = u.p_partkey AND b = v.p_partkey LEFT JOIN P3 ON P3.i = u.p_partkey AND P3.j = v.p_partkey GROUP BY 1, 2, 3")
+
+    def wide_design(s, d):
+        got = mple_design(_net(s, d, False), [Edges(), GWDSP(O.DECAY)], sparse=True).toDF("edges", "gwdsp", "n_tot", "n_one")
+        return got.groupBy(F.col("edges").cast("long").alias("edges"), F.round("gwdsp", 6).alias("gwdsp")).agg(F.sum("n_tot").cast("long").alias("n_tot"), F.sum("n_one").cast("long").alias("n_one"))
+
+    add("mple_design_gwdsp", wide_design, f"SELECT 1::BIGINT AS edges, delta AS gwdsp, count(*) AS n_tot, count(e.i) AS n_one FROM ({O.partner_change('und', False)}) q LEFT JOIN (WITH {O.UND} SELECT i, j FROM E) e USING (i, j) GROUP BY 2")
     add("masked_present_edges", lambda s, d: present_missing(_masked(_net(s, d, True))), f"WITH {O.DIR} SELECT i, j FROM A WHERE (i + j) % 17 = 0")
     add("dyads", lambda s, d: _net(s, d, True).dyads.select("i", "j", F.col("y").cast("long").alias("y"), F.col("r").cast("long").alias("r")), f"WITH {O.DIR} SELECT i, j, y, r FROM dy")
     add("reciprocal_ties", lambda s, d: _net(s, d, True).reciprocal, f"WITH {O.DIR} SELECT x.i, x.j FROM A x JOIN A z ON x.i = z.j AND x.j = z.i")

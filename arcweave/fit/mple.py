@@ -15,9 +15,9 @@ from arcweave.functions.weights import log1pexp, logistic
 from arcweave.mcmc.sample import bound_chain, simulated
 from arcweave.network import Network
 from arcweave.operators.base import Term, TermSet, expanded
-from arcweave.plans.blocks import block_pairs, block_sums, corrections, usable
+from arcweave.plans.blocks import block_pairs, block_sums, corrections
 from arcweave.plans.design import LISTED, _changes, mple_design
-from arcweave.plans.sparse import few_classes
+from arcweave.plans.sparse import few_classes, supported
 
 #: Distinct design rows that are solved on the driver; beyond, each Newton step is one aggregation in Spark.
 DRIVER_ROWS = 200_000
@@ -90,8 +90,8 @@ def mple(model: ERGMModel, se: str = "hessian", n_boot: int = 100, boot_burnin:
     net, names = model.network, model.names
     own = expanded(net, model.terms)
     if by_blocks is None:
-        by_blocks = net.n_pairs > LISTED and usable(net, own) and not few_classes(net, own)
-    if by_blocks and not usable(net, own):
+        by_blocks = net.n_pairs > LISTED and supported(net, own) and not few_classes(net, own)
+    if by_blocks and not supported(net, own):
         raise ValueError("a term follows more than its dyad's ends, ties and shared partners; its dyads must be listed")
     design = None if by_blocks else mple_design(net, model.terms).cache()
     try:

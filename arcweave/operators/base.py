@@ -28,6 +28,8 @@ class Term:
     #: What the change of a dyad without ties and shared partners follows: "vertices" (their attributes), "degrees" (also
     #: their degrees), "zero" (it is 0), or None (anything).
     untouched: str | None = None
+    #: Ties in a row that the touched dyads are apart at most.
+    reach = 2
 
     def touches(self, net: Network) -> DataFrame | None:
         """(i, j) of further dyads whose change doesn't follow `untouched`."""
@@ -77,6 +79,7 @@ class PairTerm(Term):
     dyad_dependent = False
     supports_missing = True
     untouched = "vertices"
+    reach = 1
 
     def change_column(self, net: Network) -> Column:
         raise NotImplementedError

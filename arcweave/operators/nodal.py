@@ -242,6 +242,7 @@ class EdgeCov(Term):
     dyad_dependent = False
     supports_missing = True
     untouched = "zero"
+    reach = 1
 
     def __init__(self, source, name: str = "edgecov"):
         if isinstance(source, str):

@@ -37,6 +37,7 @@ class Mutual(Term):
     name = "mutual"
     requires_directed = True
     untouched = "vertices"
+    reach = 1
 
     def stat(self, net):
         own = net.arcs.select("i", "j")
@@ -106,6 +107,7 @@ class _DegreeTerm(Term):
 
     side = "dout"
     untouched = "degrees"
+    reach = 1
 
     def f(self, d: Column) -> Column:
         raise NotImplementedError
@@ -179,6 +181,7 @@ class TwoPath(Term):
 
     name = "twopath"
     untouched = "degrees"
+    reach = 1
 
     def stat(self, net):
         if not net.directed:
@@ -462,6 +465,23 @@ class GWDSP(_Partners):
     """Geometrically weighted partners that any two vertices share: ordered pairs for OTP and ITP, else unordered."""
 
     stem = "gwdsp"
+    reach = 3
+
+    def __init__(self, decay: float = 0.5, type: str = "OTP"):
+        super().__init__(decay, type)
+        # of dyads farther apart than three ties no gaining pair has a partner yet; the ties either way, which the kind
+        # union follows, are not among a vertex's degrees
+        self.untouched = None if type == "union" else "degrees"
+
+    def touches(self, net):
+        two = net.shared_partners("union" if net.directed else "und").select("a", F.col("b").alias("k"))
+        three = two.join(net.either.select(F.col("i").alias("k"), F.col("j").alias("b")), "k").filter("a <> b").select("a", "b")
+        return two.toDF("a", "b").union(three).distinct().toDF("i", "j")
+
+    def idle_column(self, net):
+        if self.untouched is None:
+            return None
+        return {"und": F.col("d_i") + F.col("d_j"), "OSP": F.col("din_j"), "ISP": F.col("dout_i")}.get(self.kind(net), F.col("din_i") + F.col("dout_j"))
 
     def stat(self, net):
         one, rows = net.lone_pairs(self.kind(net))

@@ -15,48 +15,29 @@ from arcweave.functions.weights import log1pexp, logistic
 from arcweave.network import Network
 from arcweave.operators.base import TermSet
 from arcweave.plans.scratch import stored
-from arcweave.plans.sparse import touched
+from arcweave.plans.sparse import idle, known, touched
 
 #: Vertices of a block on average.
 BLOCK = 512
-DEGREES = ("dout", "din", "d")
-
-
-def usable(net: Network, terms: TermSet) -> bool:
-    return all(t.untouched is not None and t.idle_column(net) is not None for t in terms)
-
-
-def _known(net: Network, terms: TermSet) -> DataFrame:
-    """(v, attributes and degrees that the terms look at)"""
-    need = sorted({a for t in terms for a in t.required_vertex_attributes})
-    own = net.vertices.select("v", *need)
-    return own.join(net.degrees.select("v", *DEGREES), "v") if any(t.untouched == "degrees" for t in terms) else own
-
-
-def _idle(net: Network, terms: TermSet, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Changes s0, s1, ... of the pairs (i, j), taken as untouched."""
-    for e in ("i", "j"):
-        pairs = pairs.join(known.toDF(e, *[f"{c}_{e}" for c in known.columns[1:]]), e)
-    return pairs.select(*[t.idle_column(net).cast("double").alias(f"s{k}") for k, t in enumerate(terms)])
 
 
 def corrections(net: Network, terms: TermSet, changes) -> DataFrame:
     """(s0, s1, ..., n_tot, n_one): rows of the touched dyads as they are, less the same dyads and the unobserved ones as
     untouched. `changes` gives (i, j, y, s0, ...) of listed dyads."""
     net.listed = listed = touched(net, terms)
-    known, keys = _known(net, terms), [f"s{k}" for k in range(len(terms))]
+    keys = [f"s{k}" for k in range(len(terms))]
     rows = changes(net, terms, listed).select(*keys, F.lit(1).cast("long").alias("n_tot"), F.col("y").cast("long").alias("n_one"))
     gone = listed.select("i", "j") if net.missing is None else listed.select("i", "j").union(net.missing.select("i", "j"))
-    less = _idle(net, terms, gone, known).withColumns({"n_tot": F.lit(-1).cast("long"), "n_one": F.lit(0).cast("long")})
+    less = idle(net, terms, gone).withColumns({"n_tot": F.lit(-1).cast("long"), "n_one": F.lit(0).cast("long")})
     got = rows.unionByName(less).groupBy(*keys).agg(F.sum("n_tot").alias("n_tot"), F.sum("n_one").alias("n_one"))
     return stored(got.filter("n_tot <> 0 or n_one <> 0"))[0]
 
 
 def block_pairs(net: Network, terms: TermSet, block: int = BLOCK) -> DataFrame:
     """(b, c, x, z): two blocks and their vertices, for each pair of blocks; in an undirected network for unordered ones."""
-    known = _known(net, terms)
+    own = known(net, terms)
     blocks = max(1, -(-net.n // block))
-    cut, _ = stored(known.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(*known.columns)).alias("x")))
+    cut, _ = stored(own.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(*own.columns)).alias("x")))
     tasks = min(blocks * blocks, 4 * net.spark.sparkContext.defaultParallelism + blocks * blocks // 64)
     pairs = net.spark.range(0, blocks * blocks, 1, tasks).select(F.floor(F.col("id") / blocks).alias("b"), (F.col("id") % blocks).alias("c"))
     if not net.directed:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcweave.network import Network
 from arcweave.operators.base import PairTerm, Term, TermSet, expanded
-from arcweave.plans.sparse import complement, supported, touched, touched_rows
+from arcweave.plans.sparse import complement, idle, supported, touched, touched_rows
 
 #: Group keys keep this many decimals, so that sums built in another order stay one row.
 DIGITS = 10
@@ -111,13 +111,7 @@ def mple_design(net: Network, terms: Iterable[Term], sparse: bool | None = None)
         got = _changes(net, own, net.dyads).groupBy(*keys).agg(F.count("*").alias("n_tot"), F.sum("y").alias("n_one"))
         return got.toDF(*own.names, "n_tot", "n_one")
     rows = _changes(net, own, listed).select("y", *[f"s{k}" for k in range(len(own))], F.lit(1).cast("long").alias("n_tot"))
-    plain = TermSet(t for t in own if t.untouched != "zero")
-    at = {k: n for n, k in enumerate(k for k, t in enumerate(own) if t.untouched != "zero")}
-    if at:
-        values = _changes(net, plain, rest.select("i", "j", "y", "r")).drop("y").join(rest.select("i", "j", "n_tot"), ["i", "j"])
-        values = values.select(F.lit(0).alias("y"), *[(F.col(f"s{at[k]}").alias(f"t{k}") if k in at else F.lit(0.0).alias(f"t{k}")) for k in range(len(own))], "n_tot")
-    else:
-        values = rest.select(F.lit(0).alias("y"), *[F.lit(0.0).alias(f"t{k}") for k in range(len(own))], "n_tot")
+    values = idle(net, own, rest.select("i", "j", "n_tot")).select(F.lit(0).alias("y"), *[f"s{k}" for k in range(len(own))], "n_tot")
     every = rows.union(values)
     return every.groupBy(*keys).agg(F.sum("n_tot").alias("n_tot"), F.sum("y").alias("n_one")).toDF(*own.names, "n_tot", "n_one")
 

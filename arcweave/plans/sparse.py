@@ -20,7 +20,7 @@ CLASS_PAIRS = 4_000_000
 def touched(net: Network, terms: TermSet) -> DataFrame:
     """(i, j, y, r) of the observed dyads with a tie either way, a shared partner or a covariate."""
     pairs = net.either
-    if any(t.untouched == "zero" for t in terms):
+    if any(t.reach >= 2 for t in terms):
         pairs = pairs.unionByName(net.shared_partners("union" if net.directed else "und").select(F.col("a").alias("i"), F.col("b").alias("j")))
     for t in terms:
         if (own := t.touches(net)) is not None:
@@ -37,9 +37,9 @@ def touched(net: Network, terms: TermSet) -> DataFrame:
 
 
 def touched_rows(net: Network, terms: TermSet) -> int:
-    """At most so many rows of ties and two-paths are gone through to find the touched dyads: from the degrees, without a join."""
-    paths = any(t.untouched == "zero" for t in terms)
-    return int(net.degrees.agg(F.sum(F.col("d") * F.col("d") if paths else F.col("d"))).first()[0] or 0)
+    """About so many rows of paths are gone through to find the touched dyads: from the degrees, without a join."""
+    reach = max(t.reach for t in terms)
+    return int(net.degrees.agg(F.sum(F.pow(F.col("d").cast("double"), F.lit(float(reach))))).first()[0] or 0)
 
 
 def classes(net: Network, terms: TermSet) -> DataFrame:
@@ -65,7 +65,22 @@ def few_classes(net: Network, terms: TermSet) -> bool:
 
 
 def supported(net: Network, terms: TermSet) -> bool:
-    return all(t.untouched is not None for t in terms)
+    return all(t.untouched is not None and t.idle_column(net) is not None for t in terms)
+
+
+def known(net: Network, terms: TermSet) -> DataFrame:
+    """(v, attributes and degrees that the terms look at in an untouched dyad)"""
+    need = sorted({a for t in terms for a in t.required_vertex_attributes})
+    own = net.vertices.select("v", *need)
+    return own.join(net.degrees.select("v", "dout", "din", "d"), "v") if any(t.untouched == "degrees" for t in terms) else own
+
+
+def idle(net: Network, terms: TermSet, pairs: DataFrame) -> DataFrame:
+    """Adds the changes s0, s1, ... of the pairs (i, j), taken as untouched, to their other columns."""
+    own, keep = known(net, terms), [c for c in pairs.columns if c not in ("i", "j")]
+    for e in ("i", "j"):
+        pairs = pairs.join(own.toDF(e, *[f"{c}_{e}" for c in own.columns[1:]]), e)
+    return pairs.select(*keep, *[t.idle_column(net).cast("double").alias(f"s{k}") for k, t in enumerate(terms)])
 
 
 def complement(net: Network, terms: TermSet, listed: DataFrame) -> DataFrame | None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave.network import Network
+from arcweave.plans.scratch import with_row_numbers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,22 +56,25 @@ def user_network(spark: SparkSession, sf_dir: str, directed: bool = True) -> Net
     return Network(users(events), successors(events, "purchase"), directed)
 
 
-def shared_types(spark: SparkSession, sf_dir: str, limit: int = 63) -> Callable[[Network, DataFrame], DataFrame]:
-    """A covariate of vertex pairs: the number of event types that both users have. It is taken from a bitmask for each
-    user, for the pairs asked for alone; there may be `limit` types."""
-    events = table(spark, sf_dir, "events")
-    types = [r[0] for r in events.select("event_type").filter("event_type is not null").distinct().orderBy("event_type").limit(limit + 1).collect()]
-    if len(types) > limit:
-        raise ValueError(f"a bitmask has room for {limit} event types")
-    bit = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(1 << k)) for k, t in enumerate(types)], F.lit(0)).cast("long")
-    masks = events.groupBy("user_id").agg(F.bit_or(bit).alias("mask"))
+#: Bits of a mask; users' types beyond that take another mask.
+MASK = 63
+
+
+def shared_types(spark: SparkSession, sf_dir: str) -> Callable[[Network, DataFrame], DataFrame]:
+    """A covariate of vertex pairs: the number of event types that both users have. It is taken from bitmasks for each
+    user, for the pairs asked for alone. A type's bit is its place among the sorted types, 63 to a mask, and the masks
+    that a user needs are a map, so there may be any number of types."""
+    events = table(spark, sf_dir, "events").filter("event_type is not null").select("user_id", "event_type").distinct()
+    places = with_row_numbers(events.select("event_type").distinct(), ["event_type"])
+    bits = events.join(places, "event_type").groupBy("user_id", F.floor(F.col("row") / MASK).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(row % {MASK} as int))")).alias("mask"))
+    masks = bits.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("masks"))
 
     def value(net: Network, pairs: DataFrame) -> DataFrame:
         rows = pairs.select("i", "j")
         for e in ("i", "j"):
-            rows = rows.join(masks.select(F.col("user_id").cast("long").alias(e), F.col("mask").alias(f"mask_{e}")), e, "left")
-        both = F.bit_count(F.coalesce("mask_i", F.lit(0)).bitwiseAND(F.coalesce("mask_j", F.lit(0))))
-        return rows.select("i", "j", both.cast("double").alias("x"))
+            rows = rows.join(masks.select(F.col("user_id").cast("long").alias(e), F.col("masks").alias(f"masks_{e}")), e, "left")
+        shared = F.aggregate(F.map_entries("masks_i"), F.lit(0), lambda n, m: n + F.coalesce(F.bit_count(m["value"].bitwiseAND(F.try_element_at("masks_j", m["key"]))), F.lit(0)))
+        return rows.select("i", "j", F.coalesce(shared, F.lit(0)).cast("double").alias("x"))
 
     return value
 
