@@ -32,10 +32,14 @@ STEPS = np.unique(np.concatenate([np.arange(1, 17), np.floor(16 * 2.0 ** (np.ara
 #: where none does, a cut follows after LONGEST code points.
 WIDTH, REACH, LONGEST = 8, 16, 64
 INVERSE = pow(BASES[0], -1, P)
+#: Powers that are kept of a base, and code points that are worked on at once: longer texts go block by block, and their
+#: powers come from these and one more for each block, so a worker keeps 8 MB a base whatever it has met.
+BLOCK = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = BASES[0]) -> np.ndarray:
+    """The first n powers; at most BLOCK are asked for."""
     p = _POWERS.get(base, np.ones(1, np.uint64))
     while len(p) < n:
         p = np.concatenate([p, p * U(pow(base, len(p), P)) % U(P)])
@@ -43,18 +47,37 @@ def powers(n: int, base: int = BASES[0]) -> np.ndarray:
     return p[:n]
 
 
+def power_at(at: np.ndarray, base: int) -> np.ndarray:
+    """Powers at any places."""
+    top = int(at.max(initial=0))
+    if top < BLOCK:
+        return powers(top + 1, base)[at]
+    far = np.array([pow(base, BLOCK * k, P) for k in range(top // BLOCK + 1)], np.uint64)
+    return powers(BLOCK, base)[at % BLOCK] * far[at // BLOCK] % U(P)
+
+
+def _weighted(points: np.ndarray, base: int):
+    """(first place, values c b**i modulo p) for a block of code points at a time."""
+    for s in range(0, len(points), BLOCK):
+        x = points[s : s + BLOCK].astype(np.uint64) + U(1)
+        x = x * powers(len(x), base) % U(P)
+        yield s, x * U(pow(base, s, P)) % U(P) if s else x
+
+
 def prefix(points: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """The modular prefix array of one text: 1 longer than it. Terms stay below 2**31, so 2**33 of them add up safely."""
-    out = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + U(1)) * powers(len(points), base) % U(P), out=out[1:])
-    return out % U(P)
+    """The modular prefix array of one text: 1 longer than it, 4 bytes a value."""
+    out, before = np.zeros(len(points) + 1, np.uint32), U(0)
+    for s, x in _weighted(points, base):
+        x = (np.cumsum(x) + before) % U(P)  # at most 2**20 terms below 2**31
+        out[s + 1 : s + 1 + len(x)] = x
+        before = x[-1]
+    return out
 
 
 def span_equal(a: np.ndarray, s: int, b: np.ndarray, u: int, n: int, base: int = BASES[0]) -> bool:
     """Whether the n code points from s in one text and from u in another have the same hash."""
-    pw = powers(max(s, u) + 1, base)
     left, right = (int(a[s + n]) - int(a[s])) % P, (int(b[u + n]) - int(b[u])) % P
-    return left * int(pw[u]) % P == right * int(pw[s]) % P
+    return left * pow(base, u, P) % P == right * pow(base, s, P) % P
 
 
 def common_extension(a: np.ndarray, s: int, b: np.ndarray, u: int, base: int = BASES[0]) -> int:
@@ -73,7 +96,7 @@ def grid(n: int) -> np.ndarray:
 
 def residues(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of the spans of a text with these prefix sums, the same wherever a span stands."""
-    return (sums[end] + U(P) - sums[start]) % U(P) * powers(len(sums), INVERSE)[start] % U(P)
+    return (sums[end].astype(np.uint64) + U(P) - sums[start]) % U(P) * power_at(start, INVERSE) % U(P)
 
 
 def content_cuts(sums: np.ndarray) -> np.ndarray:
@@ -84,9 +107,10 @@ def content_cuts(sums: np.ndarray) -> np.ndarray:
     m = n - WIDTH + 1
     cuts = np.zeros(1, np.int64)
     if m > 0:
-        at = np.arange(m)
-        h = np.full(m + 2 * REACH, 1 << 32, np.uint64)
-        h[REACH:-REACH] = residues(sums, at, at + WIDTH) * U(0x9E3779B1) % U(1 << 32)  # order unlike that of the code points
+        h = np.full(m + 2 * REACH, (1 << 32) - 1, np.uint32)
+        for s in range(0, m, BLOCK):
+            at = np.arange(s, min(s + BLOCK, m))
+            h[REACH + at[0] : REACH + at[-1] + 1] = residues(sums, at, at + WIDTH) * U(0x9E3779B1) % U(1 << 32)  # order unlike that of the code points
         low, k = h, 1
         while k < REACH:  # least of k positions, doubled
             low, k = np.minimum(low[:-k], low[k:]), 2 * k
@@ -107,7 +131,7 @@ def fingerprint_of(points: np.ndarray, sums: np.ndarray | None = None, back: np.
     length : whole : cuts from the start : cuts from the end : interior spans, residues as 8 hex digits each : their lengths as 2 each."""
     n = len(points)
     at = grid(n)
-    whole = [int(((points.astype(np.uint64) + U(1)) * powers(n, b) % U(P)).sum() % U(P)) if n else 0 for b in BASES]
+    whole = [sum(int(x.sum()) for _, x in _weighted(points, b)) % P for b in BASES]
     sums = prefix(points) if sums is None else sums
     back = prefix(points[::-1]) if back is None else back
     ends = content_cuts(sums)
@@ -189,9 +213,14 @@ def _compared(batches):
                 text, after = (press.decompress(x.as_py()).decode("utf-8", "replace") for x in (own, nxt))
                 k = len(text) // 3
                 edited = text[: len(text) - k] + after[:k]
-                x, y, z = arrays(text), arrays(edited), arrays(after)
-                a, e, f = (fingerprint_of(*v) for v in (x, y, z))
-                ends = [common_extension(x[i], 0, v[i], 0) for v in (y, z) for i in (1, 2)]
+                x, ends, prints = arrays(text), [], []
+                a = fingerprint_of(*x)
+                for other in (edited, after):  # one at a time, as texts may be very long
+                    y = arrays(other)
+                    prints.append(fingerprint_of(*y))
+                    ends += [common_extension(x[i], 0, y[i], 0) for i in (1, 2)]
+                    del y
+                e, f = prints
                 out.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, f), *ends))
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out))], [c.split()[0] for c in EDITED.split(", ")])
 

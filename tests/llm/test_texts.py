@@ -74,6 +74,71 @@ def test_interior_spans_cover_the_text():
             at += n
 
 
+def plain_likeness(a, b):
+    """The likeness by its definition, over strings: cuts from both ends, then spans between cuts by content, each paired once."""
+    from arcweave.llm.fingerprints import BASES, LONGEST, REACH, STEPS, WIDTH, P
+
+    if a == b:
+        return 1.0
+    long, short = max(len(a), len(b)), min(len(a), len(b))
+    same = lambda x, y: max([0] + [int(c) for c in STEPS if c <= short and x[:c] == y[:c]])
+    head = same(a, b)
+    tail = min(same(a[::-1], b[::-1]), short - head)
+
+    def spans(t):
+        h = [sum((ord(c) + 1) * pow(BASES[0], k, P) for k, c in enumerate(t[i : i + WIDTH])) % P * 0x9E3779B1 % (1 << 32) for i in range(len(t) - WIDTH + 1)]
+        marks = [i for i in range(1, len(h)) if all(h[i] < x for x in h[max(0, i - REACH) : i]) and all(h[i] <= x for x in h[i + 1 : i + REACH + 1])]
+        cuts = [0, *marks, len(t)]
+        out = []
+        for s, e in zip(cuts, cuts[1:]):
+            out += [(k, min(k + LONGEST, e)) for k in range(s, e, LONGEST)]
+        left = {}
+        for s, e in out:
+            if (n := min(e, len(t) - tail) - max(s, head)) > 0:
+                left.setdefault(t[s:e], []).append(n)
+        return left
+
+    x, y = spans(a), spans(b)
+    between = sum(min(p, q) for k in x.keys() & y.keys() for p, q in zip(sorted(x[k], reverse=True), sorted(y[k], reverse=True)))
+    return min(head + tail + between, long - 1) / long
+
+
+def test_likeness_by_its_definition():
+    rng = random.Random(12)
+    f = lambda x: fingerprint_of(points(x))
+    pool = [prose(rng, n, 60) for n in (1, 4, 30, 90)] + ["", "a", "ab" * 90, "東京 naïve " * 20]
+    for _ in range(60):
+        a = rng.choice(pool)
+        k = rng.randrange(len(a) + 1)
+        b = rng.choice([a[:k] + rng.choice("xyz ") + a[k:], a[:k] + rng.choice(pool), a[k:] + a[:k], a[: k // 2] + a[k:], rng.choice(pool)])
+        assert abs(likeness(f(a), f(b)) - plain_likeness(a, b)) < 1e-12
+
+
+def test_long_texts_go_block_by_block(monkeypatch):
+    """Fingerprints don't depend on the size of a block, and no more than a block of powers is kept."""
+    from arcweave.llm import fingerprints as module
+
+    rng = random.Random(13)
+    texts = [points(prose(rng, n, 500)) for n in (0, 1, 12, 200)] + [points("a" * 257)]
+    want = [(fingerprint_of(t), prefix(t).tolist()) for t in texts]
+    monkeypatch.setattr(module, "BLOCK", 64)
+    monkeypatch.setattr(module, "_POWERS", {})
+    assert [(fingerprint_of(t), prefix(t).tolist()) for t in texts] == want
+    assert max(len(p) for p in module._POWERS.values()) <= 64
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    t = points("the quick brown fox " * 200_000)
+    fingerprint_of(points("warm"))
+    tracemalloc.start()
+    fingerprint_of(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(t) + (64 << 20)  # below 1 GB at 20 million code points
+
+
 def test_edited_texts(messy, empty):
     rows = messy_rows()
     want = brute_edited(rows)
