@@ -74,6 +74,60 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def probed(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot that has or could take each hash, whether it has it) in an open-addressing table of a power of two."""
+    slot = (h & U(len(keys) - 1)).astype(np.int64)
+    found = keys[slot] == h
+    left = np.flatnonzero(~found & (keys[slot] != 0))
+    while len(left):
+        slot[left] = (slot[left] + 1) & (len(keys) - 1)
+        k = keys[slot[left]]
+        found[left] = k == h[left]
+        left = left[(k != h[left]) & (k != 0)]
+    return slot, found
+
+
+def same_signs(points: np.ndarray, start: np.ndarray, end: np.ndarray, signs: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each pre-token has the very code points that stand at `begin` in `signs`."""
+    size = end - start
+    ok = length == size
+    own = np.flatnonzero(ok)
+    size = size[own]
+    ahead = np.cumsum(size) - size
+    step = np.arange(int(size.sum()))
+    equal = points[np.repeat(start[own] - ahead, size) + step] == signs[np.repeat(begin[own] - ahead, size) + step]
+    wrong = np.flatnonzero(~equal)
+    if len(wrong):
+        ok[own[np.searchsorted(ahead, wrong, "right") - 1]] = False
+    return ok
+
+
+class Lengths:
+    """The first tier: a compact hash table of frequent pre-tokens and the number of tokens of each, a few arrays that are
+    broadcast once and used where they lie. Of pre-tokens with one hash the first is kept."""
+
+    def __init__(self, keys: np.ndarray, texts: list[str], tokens: np.ndarray):
+        size = 1 << max(4, (2 * len(texts)).bit_length())
+        self.keys, self.tokens = np.zeros(size, np.uint64), np.zeros(size, np.uint16)
+        self.begin, self.length = np.zeros(size, np.int32), np.zeros(size, np.uint16)
+        self.signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        at = 0
+        for h, text, n in zip(keys.tolist(), texts, tokens.tolist()):
+            s = h & (size - 1)
+            while self.keys[s] and self.keys[s] != h:
+                s = (s + 1) & (size - 1)
+            if not self.keys[s]:
+                self.keys[s], self.tokens[s], self.begin[s], self.length[s] = h, n, at, len(text)
+            at += len(text)
+
+    def found(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the table has each pre-token, number of its tokens)."""
+        slot, have = probed(self.keys, h)
+        own = slot[have]
+        have[have] = same_signs(points, start[have], end[have], self.signs, self.begin[own], self.length[own])
+        return have, np.where(have, self.tokens[slot], 0)
+
+
 class Encoder:
     """Token ids of whole texts for one vocabulary file of the tokenizers library."""
 
@@ -113,16 +167,7 @@ class Encoder:
         return made._core_bpe.encode_single_piece
 
     def _slot(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slot that has or could take each hash, whether it has it)."""
-        slot = (h & U(SLOTS - 1)).astype(np.int64)
-        found = self.keys[slot] == h
-        left = np.flatnonzero(~found & (self.keys[slot] != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-            k = self.keys[slot[left]]
-            found[left] = k == h[left]
-            left = left[(k != h[left]) & (k != 0)]
-        return slot, found
+        return probed(self.keys, h)
 
     def add(self, h: int, points: np.ndarray, ids: list[int]) -> None:
         """Keeps the ids of a pre-token that the table lacks, as long as there is room."""
@@ -141,24 +186,8 @@ class Encoder:
         self.written += len(points)
         self.filled += 1
 
-    def load(self, keys: list[int], texts: list[str], ids: list[list[int]]) -> None:
-        """Adds entries that were encoded elsewhere."""
-        for h, t, x in zip(keys, texts, ids):
-            self.add(h, np.frombuffer(t.encode("utf-32-le"), np.uint32), x)
-
     def _same(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Whether the slot of each pre-token holds the very code points that the text has."""
-        size = end - start
-        ok = self.length[slot] == size
-        own = np.flatnonzero(ok)
-        size = size[own]
-        ahead = np.cumsum(size) - size
-        step = np.arange(int(size.sum()))
-        equal = points[np.repeat(start[own] - ahead, size) + step] == self.signs[np.repeat(self.begin[slot[own]] - ahead, size) + step]
-        wrong = np.flatnonzero(~equal)
-        if len(wrong):
-            ok[own[np.searchsorted(ahead, wrong, "right") - 1]] = False
-        return ok
+        return same_signs(points, start, end, self.signs, self.begin[slot], self.length[slot])
 
     def pretokens(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class of each code point, first and end of each pre-token, hash of each pre-token)."""
@@ -170,8 +199,9 @@ class Encoder:
         sums = FIRST.prefix(mix(points.astype(np.uint64) + U(1)))
         return kinds, start, end, mix(FIRST.span(sums, start, end) + (end - start).astype(np.uint64)) | U(1)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, points: np.ndarray, at: np.ndarray, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """(tokens of each text, ids of all texts one after another or None)."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, points: np.ndarray, at: np.ndarray, want_ids: bool = True, lengths: Lengths | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(tokens of each text, ids of all texts one after another or None). `lengths`, looked up before the worker's own
+        table, is of use where no ids are wanted."""
         n = len(at) - 1
         kinds, start, end, h = self.pretokens(points, at)
         odd = np.zeros(n, bool)
@@ -189,6 +219,11 @@ class Encoder:
         if odd.any():
             keep = ~odd[owner]
             start, end, owner, h = start[keep], end[keep], owner[keep], h[keep]
+        ahead = np.zeros(n)
+        if lengths is not None and not want_ids:
+            have, tokens = lengths.found(points, start, end, h)
+            ahead = np.bincount(owner, tokens, n)
+            start, end, owner, h = start[~have], end[~have], owner[~have], h[~have]
         slot, found = self._slot(h)
         if not found.all():
             _, first = np.unique(h[~found], return_index=True)
@@ -208,7 +243,7 @@ class Encoder:
         size = np.where(found, self.size[slot], 0).astype(np.int64)
         for i, ids in extra.items():
             size[i] = len(ids)
-        counts = np.bincount(owner, size, n).astype(np.int64)
+        counts = (ahead + np.bincount(owner, size, n)).astype(np.int64)
         whole = {int(r): self.whole.encode(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids for r in np.flatnonzero(odd)}
         for r, ids in whole.items():
             counts[r] = len(ids)

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.bpe import encoder
+from arcweave.llm.bpe import Lengths, encoder
 from arcweave.llm.frames import slices, table
 from arcweave.llm.textkit import decoded
 
 #: Entries of the broadcast table, code points of each at most, and rows of the random sample that it is fitted on (mean).
-FREQUENT, LONGEST, FIT_ROWS = 65_536, 64, 20_000
+FREQUENT, LONGEST, FIT_ROWS = 65_536, 64, 2_000
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,7 +42,7 @@ def _pieces(path: str):
 
 
 def _offer(path: str):
-    """The pre-tokens of each Arrow batch: hash, count, text, ids."""
+    """The pre-tokens of each Arrow batch: hash, count, text, number of tokens."""
 
     def run(batches):
         e = encoder(path)
@@ -59,23 +59,24 @@ def _offer(path: str):
                         counts[t] = counts.get(t, 0) + c
                         hashes[t] = k
             if counts:
-                ids = [e.single(t.encode()) for t in counts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes.values()), np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64()), pa.array(list(counts)), pa.array(ids, pa.list_(pa.int32()))], ["h", "c", "t", "ids"])
+                tokens = [len(e.single(t.encode())) for t in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(hashes.values()), np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64()), pa.array(list(counts)), pa.array(tokens, pa.int32())], ["h", "c", "t", "n"])
 
     return run
 
 
-def frequent(docs: DataFrame, path: str, rows: int = FIT_ROWS) -> tuple[list[int], list[str], list[list[int]]]:
-    """The first tier: hashes, texts and ids of the pre-tokens that a random sample of about `rows` rows has most often.
+def frequent(docs: DataFrame, path: str, rows: int = FIT_ROWS) -> Lengths | None:
+    """The first tier: lengths of the pre-tokens that a random sample of about `rows` rows has most often; None where the
+    file is not plain byte-level BPE.
 
     What is counted follows the sample and not the table. No count of tokens depends on what is in it."""
     if encoder(path).single is None:
-        return [], [], []
+        return None
     total = docs.count()
     own = docs.select("text") if total <= rows else docs.select("text").sample(rows / total, seed=1)
-    offers = own.mapInArrow(_offer(path), "h long, c long, t string, ids array<int>")
-    got = offers.groupBy("t").agg(F.sum("c").alias("c"), F.first("h").alias("h"), F.first("ids").alias("ids")).orderBy(F.desc("c"), "t").limit(FREQUENT).select("h", "t", "ids").toPandas()
-    return got.h.to_numpy(np.int64).astype(np.uint64).tolist(), got.t.tolist(), [list(x) for x in got.ids]
+    offers = own.mapInArrow(_offer(path), "h long, c long, t string, n int")
+    got = offers.groupBy("t").agg(F.sum("c").alias("c"), F.first("h").alias("h"), F.first("n").alias("n")).orderBy(F.desc("c"), "t").limit(FREQUENT).select("h", "t", "n").toPandas()
+    return Lengths(got.h.to_numpy(np.int64).view(np.uint64), got.t.tolist(), got.n.to_numpy(np.int64))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
@@ -94,14 +95,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512) ->
         first = spark.sparkContext.broadcast(frequent(docs, path))
 
         def run(batches):
-            e = encoder(path)
-            if not getattr(e, "seeded", False):
-                e.load(*first.value)
-                e.seeded = True
+            e, lengths = encoder(path), first.value
             for b in batches:
                 for lo, hi, data, off in slices(b):
                     points, at = decoded(data, off)
-                    counts, _ = e.encode(data, off, points, at, want_ids=False)
+                    counts, _ = e.encode(data, off, points, at, want_ids=False, lengths=lengths)
                     yield _out(b.slice(lo, hi - lo), off, counts, limit)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
