@@ -39,6 +39,11 @@ class Term:
     def name(self) -> str:
         return type(self).__name__
 
+    def dyad_column(self, net: Network) -> Column | None:
+        """The change of any dyad over its y and r and its ends' attributes and degrees, named as in idle_column; None if
+        it takes more than that. Such terms share one pass over the dyads."""
+        return None
+
     def idle_column(self, net: Network) -> Column | None:
         """The change of a dyad without ties and shared partners, over its ends' attributes (a_i, a_j) and degrees (dout_i,
         din_i, d_i, ...); None if that is not all it follows."""
@@ -87,6 +92,9 @@ class PairTerm(Term):
     def idle_column(self, net):
         return self.change_column(net)
 
+    def dyad_column(self, net):
+        return self.change_column(net)
+
     def stat(self, net: Network) -> DataFrame:
         rows = net.ends(net.arcs.select("i", "j"), list(self.required_vertex_attributes))
         return rows.agg(F.coalesce(F.sum(self.change_column(net).cast("double")), F.lit(0.0)).alias("value"))

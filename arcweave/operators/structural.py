@@ -53,6 +53,9 @@ class Mutual(Term):
     def idle_column(self, net):
         return F.lit(0.0)
 
+    def dyad_column(self, net):
+        return F.col("r")
+
     def local(self, state, i, j, y):
         return float(state.a[j, i])
 
@@ -137,6 +140,9 @@ class _DegreeTerm(Term):
     def idle_column(self, net):
         return sum((self.step(F.col(f"{self.side}_{e}")) for e in self._ends(net)), F.lit(0.0))
 
+    def dyad_column(self, net):
+        return sum((self.step(F.col(f"{self.side}_{e}") - F.col("y")) for e in self._ends(net)), F.lit(0.0))
+
     def change(self, net, pairs):
         own = net.degrees.select("v", F.col(self.side).alias("deg"))
         rows = pairs.select("i", "j", "y")
@@ -198,6 +204,9 @@ class TwoPath(Term):
     def idle_column(self, net):
         return F.col("din_i") + F.col("dout_j") if net.directed else F.col("d_i") + F.col("d_j")
 
+    def dyad_column(self, net):
+        return self.idle_column(net) - 2 * F.col("r" if net.directed else "y")
+
     def change(self, net, pairs):
         own = net.degrees
         one, two = ("din", "dout") if net.directed else ("d", "d")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcweave.network import Network
 from arcweave.operators.base import PairTerm, Term, TermSet, expanded
-from arcweave.plans.sparse import complement, idle, supported, touched, touched_rows
+from arcweave.plans.sparse import complement, idle, known, supported, touched, touched_rows
 
 #: Group keys keep this many decimals, so that sums built in another order stay one row.
 DIGITS = 10
@@ -77,14 +77,19 @@ def change_stat(term: Term, net: Network, i: int, j: int) -> float:
 
 
 def _changes(net: Network, own: TermSet, pairs: DataFrame) -> DataFrame:
-    """(i, j, y, s0, s1, ...)"""
-    cheap, rest = _numbered(own)
-    need = sorted({a for t in cheap.values() for a in t.required_vertex_attributes})
-    got = net.ends(pairs, need) if need else pairs
-    got = got.select("i", "j", "y", "r", *[t.change_column(net).cast("double").alias(c) for c, t in cheap.items()])
-    for c, t in rest.items():
-        got = got.join(t.change(net, pairs).withColumnRenamed("delta", c), ["i", "j"])
-    return got.select("i", "j", "y", *[f"s{k}" for k in range(len(own))])
+    """(i, j, y, s0, s1, ...): terms that look at a dyad and its ends alone in one pass, each of the others joined."""
+    named = {f"s{k}": t for k, t in enumerate(own)}
+    cheap = {c: x for c, t in named.items() if (x := t.dyad_column(net)) is not None}
+    ends = known(net, TermSet(named[c] for c in cheap))
+    got = pairs
+    if len(ends.columns) > 1:
+        for e in ("i", "j"):
+            got = got.join(ends.toDF(e, *[f"{c}_{e}" for c in ends.columns[1:]]), e, "left")
+    got = got.select("i", "j", "y", "r", *[x.cast("double").alias(c) for c, x in cheap.items()])
+    for c, t in named.items():
+        if c not in cheap:
+            got = got.join(t.change(net, pairs).withColumnRenamed("delta", c), ["i", "j"])
+    return got.select("i", "j", "y", *named)
 
 
 def change_stat_all(net: Network, terms: Iterable[Term], pairs: DataFrame | None = None) -> DataFrame:
