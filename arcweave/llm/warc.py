@@ -263,7 +263,10 @@ def _read(entries: DataFrame, folder: str, payloads: bool) -> DataFrame:
 
 
 def read_back(directory: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """Every record that the index names, read by range, without a search; with `payloads` also url and payload."""
+    """Every record that the index names, read by range, without a search; with `payloads` also url and payload.
+
+    What was written for a null page is an empty payload and a null url an empty target; repeated pages have a record
+    each, also with equal keys; an empty directory gives an empty result."""
     entries = directory.repartition(shuffle_partitions(directory.sparkSession)).mapInArrow(_blocks(folder), ENTRY)
     return _read(entries, folder, payloads)
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pandas as pd
+from llm.conftest import clashing
 from llm.test_joins import brute_cut, brute_kept
 from llm.test_texts import check_packing
 
@@ -45,3 +46,21 @@ def test_stages(spark):
             used, total = check_packing(got, docs.select("doc_id", "text").collect(), 1024)
             assert used <= -(-total // 1024) + 1
         docs = out
+
+
+def test_stages_on_messy_rows(spark, messy, empty):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names go through; so does an empty table."""
+    docs = clashing(messy)
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF))
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+            assert set(out.columns) >= {"doc_id", "text", "__key", "n_words"} and out.filter("node <> 'x' or node is null").count() == 0
+        else:
+            check_packing(out.collect(), docs.select("doc_id", "text").collect(), 1024)
+        docs = out
+    docs = clashing(empty)
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF))
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
+        docs = out
