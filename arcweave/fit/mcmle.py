@@ -82,7 +82,8 @@ def mcmle(model: ERGMModel, n_samples: int = 1000, burnin: int | None = None, in
 
 def present_missing(net: Network) -> DataFrame:
     """(i, j) of the unobserved dyads that are stored as tied: their face value."""
-    return net.missing.join(net.arcs.select("i", "j"), ["i", "j"], "left_semi").select("i", "j")
+    arcs = net.arcs.select("i", "j")
+    return arcs.join(net.observed(arcs), ["i", "j"], "left_anti")
 
 
 def independent_logz(model: ERGMModel, theta) -> float:

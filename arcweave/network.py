@@ -18,16 +18,19 @@ HUB = 2_000
 class Network:
     """A simple graph without loops. Undirected edges are stored once with i < j.
 
-    `missing` lists dyads whose state was not observed; an arc stored there is its face value. The views
+    `missing` lists dyads whose state was not observed; an arc stored there is its face value. `silent` (v) names
+    respondents whose ties were not observed: all dyads that such a vertex sends, in an undirected network all it is in.
+    They are kept as vertices and counted, never as a list of dyads. The views
     below are lazy plans; each is built once for a handle, so terms that need one share it."""
 
-    def __init__(self, vertices: DataFrame, arcs: DataFrame, directed: bool = True, missing: DataFrame | None = None):
+    def __init__(self, vertices: DataFrame, arcs: DataFrame, directed: bool = True, missing: DataFrame | None = None, silent: DataFrame | None = None):
         self.spark = vertices.sparkSession
         self.directed = directed
         self.kept = False
         self.vertices = vertices.withColumn("v", F.col("v").cast("long"))
         self.arcs = self._canonical(arcs)
-        self.missing = self._canonical(missing.select("i", "j")) if missing is not None else None
+        self.silent = silent.select(F.col("v").cast("long").alias("v")).distinct().join(self.vertices.select("v"), "v", "left_semi") if silent is not None else None
+        self.missing = self._answered(self._canonical(missing.select("i", "j"))) if missing is not None else None
 
     def _canonical(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}).filter("i is not null and j is not null and i <> j")
@@ -35,6 +38,27 @@ class Network:
             pairs = pairs.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
         return pairs.dropDuplicates(["i", "j"])
 
+    def _answered(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that no silent vertex hides."""
+        if self.silent is None:
+            return pairs
+        for e in ("i",) if self.directed else ("i", "j"):
+            pairs = pairs.join(self.silent.toDF(e), e, "left_anti")
+        return pairs
+
+    def observed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (i, j) that neither the list nor a silent vertex hides."""
+        pairs = self._answered(pairs)
+        return pairs if self.missing is None else pairs.join(self.missing, ["i", "j"], "left_anti")
+
+    def hidden(self) -> DataFrame | None:
+        """(i, j) of all unobserved dyads, listed: for networks small enough for one task."""
+        if self.silent is None:
+            return self.missing
+        rule = self.silent.toDF("i").join(self.vertices.select(F.col("v").alias("j")), F.col("i") != F.col("j"))
+        rule = self._canonical(rule)
+        return rule if self.missing is None else rule.union(self.missing.select("i", "j"))
+
     @classmethod
     def from_edges(cls, spark: SparkSession, n: int, edges: Iterable[tuple[int, int]], directed: bool = True, attributes: Mapping[str, list] | None = None, missing: Iterable[tuple[int, int]] = ()) -> "Network":
         """Vertices 1..n; attributes give a value for each vertex in order."""
@@ -50,11 +74,11 @@ class Network:
 
     def with_vertex_attribute(self, table: DataFrame, name: str) -> "Network":
         """`table` has (v, name); vertices without a row have null."""
-        return Network(self.vertices.drop(name).join(table.select(F.col("v").cast("long").alias("v"), name), "v", "left"), self.arcs, self.directed, self.missing)
+        return Network(self.vertices.drop(name).join(table.select(F.col("v").cast("long").alias("v"), name), "v", "left"), self.arcs, self.directed, self.missing, self.silent)
 
     def with_edge_attribute(self, table: DataFrame, name: str) -> "Network":
         own = self._canonical(table.select("i", "j", name))
-        return Network(self.vertices, self.arcs.drop(name).join(own, ["i", "j"], "left"), self.directed, self.missing)
+        return Network(self.vertices, self.arcs.drop(name).join(own, ["i", "j"], "left"), self.directed, self.missing, self.silent)
 
     def cached(self) -> "Network":
         """Keeps the tables that every view reads, in memory or on executors' disks; lost parts are computed again."""
@@ -72,7 +96,11 @@ class Network:
 
     @cached_property
     def n_missing(self) -> int:
-        return self.missing.count() if self.missing is not None else 0
+        listed = self.missing.count() if self.missing is not None else 0
+        if self.silent is None:
+            return listed
+        s = self.silent.count()
+        return listed + (s * (self.n - 1) if self.directed else s * (self.n - s) + s * (s - 1) // 2)
 
     @property
     def n_pairs(self) -> int:
@@ -239,8 +267,7 @@ class Network:
         if self.n <= 1_000_000:
             two = F.broadcast(two)
         every = one.join(two, F.col("i") != F.col("j") if self.directed else F.col("i") < F.col("j"))
-        if self.missing is not None:
-            every = every.join(self.missing, ["i", "j"], "left_anti")
+        every = self.observed(every)
         own = self.arcs.select("i", "j", F.lit(1).alias("y"))
         got = every.join(own, ["i", "j"], "left").fillna(0, ["y"])
         if not self.directed:

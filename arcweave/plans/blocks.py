@@ -36,6 +36,7 @@ def corrections(net: Network, terms: TermSet, changes) -> DataFrame:
 def block_pairs(net: Network, terms: TermSet, block: int = BLOCK) -> DataFrame:
     """(b, c, x, z): two blocks and their vertices, for each pair of blocks; in an undirected network for unordered ones."""
     own = known(net, terms)
+    own = own.withColumn("told", F.lit(True)) if net.silent is None else own.join(net.silent.withColumn("gone", F.lit(1)), "v", "left").withColumn("told", F.col("gone").isNull()).drop("gone")
     blocks = max(1, -(-net.n // block))
     cut, _ = stored(own.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(*own.columns)).alias("x")))
     tasks = min(blocks * blocks, 4 * net.spark.sparkContext.defaultParallelism + blocks * blocks // 64)
@@ -52,6 +53,8 @@ def block_sums(net: Network, terms: TermSet, pairs: DataFrame, beta) -> list[flo
     each = pairs.select("b", "c", F.explode("x").alias("x"), "z").select("b", "c", "x", F.explode("z").alias("z"))
     # of unordered pairs two blocks meet once, and a block with itself has each dyad both ways; changes have no direction
     each = each.filter("x.v <> z.v" if net.directed else "b < c or x.v < z.v")
+    if net.silent is not None:
+        each = each.filter("x.told" if net.directed else "x.told and z.told")
     rows = each.select(*[F.col(f"x.{c}").alias(f"{c}_i") for c in columns], *[F.col(f"z.{c}").alias(f"{c}_j") for c in columns])
     rows = rows.select(*[t.idle_column(net).cast("double").alias(f"s{k}") for k, t in enumerate(terms)])
     rows = rows.withColumn("eta", sum((float(b) * F.col(f"s{k}") for k, b in enumerate(beta)), F.lit(0.0)))

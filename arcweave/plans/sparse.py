@@ -26,8 +26,7 @@ def touched(net: Network, terms: TermSet) -> DataFrame:
         if (own := t.touches(net)) is not None:
             pairs = pairs.unionByName(own)
     pairs = (pairs if net.directed else pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))).distinct()
-    if net.missing is not None:
-        pairs = pairs.join(net.missing, ["i", "j"], "left_anti")
+    pairs = net.observed(pairs)
     own = net.arcs.select("i", "j", F.lit(1).alias("y"))
     got = pairs.join(own, ["i", "j"], "left").fillna(0, ["y"])
     if not net.directed:
@@ -87,7 +86,8 @@ def complement(net: Network, terms: TermSet, listed: DataFrame) -> DataFrame | N
     """(i, j, y, r, n_tot): one row for each pair of classes with untouched dyads, i and j standing for their classes.
     None if there are too many classes."""
     own = classes(net, terms).cache()
-    sizes = own.groupBy("cls").agg(F.count("*").alias("m"), F.min("v").alias("v"))
+    told = own.withColumn("told", F.lit(1)) if net.silent is None else own.join(net.silent.withColumn("gone", F.lit(1)), "v", "left").withColumn("told", F.when(F.col("gone").isNull(), 1).otherwise(0))
+    sizes = told.groupBy("cls").agg(F.count("*").alias("m"), F.sum("told").alias("told"), F.min("v").alias("v"))
     if sizes.count() ** 2 > CLASS_PAIRS:
         own.unpersist()
         return None
@@ -98,10 +98,11 @@ def complement(net: Network, terms: TermSet, listed: DataFrame) -> DataFrame | N
     if not net.directed:
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     used = met.groupBy("a", "b").agg(F.count("*").alias("used"))
-    one = sizes.select(F.col("cls").alias("a"), F.col("m").alias("ma"), F.col("v").alias("i"))
-    two = sizes.select(F.col("cls").alias("b"), F.col("m").alias("mb"), F.col("v").alias("j"))
+    one = sizes.select(F.col("cls").alias("a"), F.col("told").alias("ma"), F.col("m").alias("whole"), F.col("v").alias("i"))
+    two = sizes.select(F.col("cls").alias("b"), F.col("m" if net.directed else "told").alias("mb"), F.col("v").alias("j"))
     every = one.join(F.broadcast(two), F.lit(True) if net.directed else F.col("a") <= F.col("b"))  # at most CLASS_PAIRS rows
     same = F.col("a") == F.col("b")
-    pairs = F.when(same, F.col("ma") * (F.col("ma") - 1) / (1 if net.directed else 2)).otherwise(F.col("ma") * F.col("mb"))
+    # a silent vertex sends none of its dyads, in an undirected network it has none
+    pairs = F.when(same, F.col("ma") * (F.col("whole") - 1) if net.directed else F.col("ma") * (F.col("ma") - 1) / 2).otherwise(F.col("ma") * F.col("mb"))
     left = every.join(used, ["a", "b"], "left").withColumn("n_tot", pairs.cast("long") - F.coalesce("used", F.lit(0)))
     return left.filter("n_tot > 0").select("i", "j", F.lit(0).alias("y"), F.lit(0).alias("r"), "n_tot")

@@ -342,3 +342,43 @@ def test_covariate_that_follows_the_dyad_is_listed(spark):
     net = small(spark, True)
     with pytest.raises(ValueError, match="listed"):
         mple(ERGMModel([Edges(), EdgeCov(lambda n, pairs: pairs.select("i", "j").withColumn("x", pairs.i * 0.1))], net), by_blocks=True)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_silent_vertices_are_a_list_of_dyads_that_is_never_made(spark, directed):
+    from arcweave.fit.mcmle import present_missing
+    from arcweave.operators.structural import Kstar
+
+    rng = np.random.default_rng(9)
+    n, gone = 26, [3, 8, 9, 20]
+    edges = sorted({(int(a), int(b)) if directed else (min(int(a), int(b)), max(int(a), int(b))) for a, b in rng.integers(1, n + 1, (70, 2)) if a != b})
+    listed = [(1, 2), (3, 5), (4, 8)]
+    hidden = {(i, j) for i in gone for j in range(1, n + 1) if i != j} | set(listed)
+    hidden = sorted(hidden if directed else {tuple(sorted(p)) for p in hidden})
+    attributes = {"x": [float(k % 3) for k in range(n)]}
+    whole = Network.from_edges(spark, n, edges, directed, attributes, hidden)
+    base = Network.from_edges(spark, n, edges, directed, attributes, listed)
+    rule = Network(base.vertices, base.arcs, directed, base.missing, spark.createDataFrame([(v,) for v in [*gone, 3, 999]], "v long"))
+    assert rule.n_missing == len(hidden) == whole.n_missing and rule.n_dyads == whole.n_dyads == rule.dyads.count()
+    assert {tuple(r) for r in rule.hidden().collect()} == set(hidden)
+    assert {tuple(r) for r in present_missing(rule).collect()} == set(edges) & set(hidden)
+    terms = [Edges(), NodeMatch("x"), Kstar(2)]
+    want = sorted(map(tuple, mple_design(whole, terms, False).collect()))
+    for sparse in (True, False):
+        assert sorted(map(tuple, mple_design(rule, terms, sparse).collect())) == want
+    model = [Edges(), NodeCov("x"), GWESP(0.5)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        one, two = mple(ERGMModel(model, whole)), mple(ERGMModel(model, rule), by_blocks=True)
+    assert np.allclose(one.coefficients, two.coefficients, atol=1e-6) and one.nobs == two.nobs and np.isclose(one.loglik, two.loglik)
+
+
+def test_many_silent_vertices(spark):
+    """1,000 of 100,000 vertices say nothing: a hundred million dyads are hidden by their number."""
+    n = 100_000
+    arcs = spark.range(1, n).selectExpr("id AS i", "id + 1 AS j")
+    vertices = spark.range(1, n + 1).selectExpr("id AS v", "id % 2 AS side")
+    net = Network(vertices, arcs, True, None, spark.range(1, 1_001).toDF("v"))
+    assert net.n_missing == 1_000 * (n - 1)
+    rows = mple_design(net, [Edges(), NodeMatch("side")]).collect()
+    assert sum(r.n_tot for r in rows) == net.n_dyads and sum(r.n_one for r in rows) == n - 1 - 1_000 and len(rows) == 2
