@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +22,9 @@ from arcweave.operators.base import Term
 from arcweave.operators.nodal import AbsDiff, EdgeCov, NodeCov, NodeFactor, NodeMatch, NodeMismatch, NodeMix, levels_of
 from arcweave.operators.structural import KINDS, GWDSP, GWESP, Degree, Edges, GWDegree, GWIDegree, GWODegree, IDegree, Kstar, Mutual, ODegree, Triangle, TwoPath
 from arcweave.plans.design import change_stat_all, mple_design, summary_stats
+from arcweave.plans.scratch import shared_dir
 from arcweave.sources.graphs import nation_network, part_network, shared_types, table, user_network
+from arcweave.streaming.toggles import KeptStats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +270,22 @@ def _register_panels() -> None:
     add("hist_geodesic", lambda s, d: geodesics(nation_network(s, d)), f"WITH RECURSIVE {O.G2}, {walk} SELECT d::BIGINT AS d, count(*) AS c FROM (SELECT a, b, min(d) AS d FROM w WHERE a <> b GROUP BY 1, 2) GROUP BY 1")
 
 
+def _register_streams() -> None:
+    """The events as a stream: a view ties its user to another one or unties them."""
+
+    def after_toggles(s, d):
+        kept = KeptStats(_net(s, d, True), [Edges(), Mutual(), Triangle(), NodeMatch("kind"), GWESP(O.DECAY)], f"{shared_dir(s)}/kept-{uuid.uuid4().hex}")
+        events = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        views = events.filter("event_type = 'view'").select(F.struct("ts", "event_id").alias("at"), F.col("user_id").alias("i"), F.expr("pmod(event_id * 31, 1000)").alias("j"), F.expr("event_id % 3 <> 0").alias("on"))
+        kept.stream(views).awaitTermination()
+        return kept.stats().select(F.translate("term", ".", "_").alias("term"), F.round("value", 6).alias("value"))
+
+    changed = "T AS (SELECT user_id AS i, event_id * 31 % 1000 AS j, arg_max(event_id % 3 <> 0, (ts, event_id)) AS on_ FROM events WHERE event_type = 'view' GROUP BY 1, 2),\nA AS (SELECT i, j FROM A0 WHERE (i, j) NOT IN (SELECT (i, j) FROM T) UNION SELECT i, j FROM T WHERE on_ AND i <> j AND i IN (SELECT v FROM V) AND j IN (SELECT v FROM V)),\nE AS ("
+    base = O.DIR.replace("A AS (SELECT DISTINCT prev", "A0 AS (SELECT DISTINCT prev", 1).replace("E AS (", changed, 1)
+    parts = {"edges": "stat_edges_dir", "mutual": "stat_mutual", "triangle": "stat_triangle_dir", "nodematch_kind": "stat_nodematch", "gwesp_fixed_0_5": "stat_gwesp_otp"}
+    add("stats_after_toggles", after_toggles, " UNION ALL ".join(f"SELECT '{name}' AS term, round(({ORACLE_SQL[key].replace(O.DIR, base)})::DOUBLE, 6) AS value" for name, key in parts.items()))
+
+
 def _trace(s: SparkSession, d: str) -> DataFrame:
     events = table(s, d, "events").select(F.col("event_type").alias("stat"), "ts", "event_id", F.col("value").alias("x"))
     return numbered(events, "stat", ["ts", "event_id"])
@@ -327,6 +346,7 @@ def _register_fits() -> None:
 
 
 _register_panels()
+_register_streams()
 _register_traces()
 _register_long_runs()
 _register_fits()
