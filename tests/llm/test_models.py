@@ -288,6 +288,9 @@ def test_probabilities_sum_to_one():
     seen, kinds = np.bincount(c * k + g, counts, k * k).reshape(k, k), np.bincount(c * k + g, minlength=k * k).reshape(k, k)
     model = Model.start(own[:500], counts[:500], seen, kinds, total)
     model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+    after = language_model.context_hash(own[9:10], own[7:8])
+    some = np.array([3, 1200, 2999, 9])
+    model.follows = language_model.Follows.fitted(np.repeat(after, 4), own[some], np.array([5, 1, 1, 2]), counts[some], seen + 0.1 * kinds + 0.1 / k**2)
     p = np.zeros(len(own))
     for s in range(0, len(own), 1000):  # the context "w7 w9" before each word
         texts = [f"w7 w9 w{j}" if j < 3000 else "w7 w9" for j in range(s, min(s + 1000, len(own)))]
@@ -296,6 +299,7 @@ def test_probabilities_sum_to_one():
         p[s : s + len(texts)] = model.gains(t)[t.first + 2]
     base = (counts + 0.1) / (total + 0.1 * (len(own) + 1))
     assert abs((10**p * base).sum() - 1) < 1e-3
+    assert (10**p * base)[some].sum() > 0.5
 
 
 def one_mix(x):
@@ -337,7 +341,10 @@ def brute_scores(rows):
             some = [y for y in h[max(0, i - m.REACH) : i] if y in rank]
             often = int(m.BOS) if not i else min(some, key=rank.get) if some else int(m.NONE)
             both = one_mix(one * 0x9E3779B97F4A7C15 + one_mix(often))
-            yield a, b, [(j, one_mix(y + j) % size) for j, y in enumerate((one, two, often, both))], [(4 + j, one_mix(one_mix(y + 50 + j) + a) % size) for j, y in enumerate((one, often))]
+            yield a, b, [(j, one_mix(y + j) % size) for j, y in enumerate((one, two, often, both))], deep_rows(one, often, a), (one, two, often)
+
+    def deep_rows(one, often, a):
+        return [(4 + j, one_mix(one_mix(y + 50 + j) + a) % size) for j, y in enumerate((one, often))]
 
     def soft(rows_, start):
         z = [s * math.exp(sum(weights[r][c] for r in rows_ if r in weights)) for c, s in enumerate(start)]
@@ -349,7 +356,7 @@ def brute_scores(rows):
         for i, t in fit:
             if part_of[i] != r:
                 continue
-            for a, b, wide, deep in contexts(ids(t)):
+            for a, b, wide, deep, _ in contexts(ids(t)):
                 for own, taken, start in ((wide, a, share), (deep, b, [mass[a, x] / share[a] for x in range(k)])):
                     p = soft(own, start)
                     for row in own:
@@ -362,16 +369,83 @@ def brute_scores(rows):
             w = weights.setdefault(row, [0.0] * k)
             for c in range(k):
                 w[c] += min(max(m.RATE * math.log1p(max(g[c] / (used[row] * q[c] + m.PRIOR), -0.95)), -m.STEP), m.STEP)
+    after = {}
+    for _, t in fit:
+        h = ids(t)
+        for x, c in zip(h, contexts(h)):
+            after.setdefault(c[4][:2], Counter())[x] += 1
+
+    def odds(words):
+        if len(words) > m.FOLLOW:
+            return {}
+        aim = {x: (c - m.DISCOUNT) / sum(words.values()) for x, c in words.items()}
+        base = {x: (counts[x] + 0.1) / den for x in words}
+        return {x: aim[x] / base[x] * (1 - sum(base.values())) / (1 - sum(aim.values())) for x in words}
+
     out = {}
     for i, t in rows:
         h = ids(t)
         total = 0.0
-        for x, (a, b, wide, deep) in zip(h, contexts(h)):
-            total += math.log10((counts[x] + 0.1) / den * soft(wide, share)[a] / share[a] * soft(deep, [mass[a, y] / share[a] for y in range(k)])[b] / (mass[a, b] / share[a]))
+        for x, (_, _, wide, _, (one, two, often)) in zip(h, contexts(h)):
+            classes = soft(wide, share)
+
+            def softmaxes(y):
+                a, b = group(y)
+                inner = soft(deep_rows(one, often, a), [mass[a, z] / share[a] for z in range(k)])  # noqa: B023
+                return (counts[y] + 0.1) / den / mass[a, b] * classes[a] * inner[b]  # noqa: B023
+
+            own = odds(after.get((one, two), {}))
+            total += math.log10(softmaxes(x) * own.get(x, 1.0) / (1 + sum(softmaxes(y) * (e - 1) for y, e in own.items())))
         out[i] = total
     return out
 
 
+def test_better_than_a_bigram_on_held_out_text(spark):
+    """The documents of the 0.01 tables, against a bigram with absolute discounts that backs off to the base."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: [None, *tokens(r.text)] for r in docs.collect()}
+    fit = [t for i, t in rows.items() if remainder(i, 10)]
+    words, pairs = Counter(w for t in fit for w in t[1:]), Counter(p for t in fit for p in zip(t, t[1:]))
+    seen, kinds = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        seen[a] += c
+        kinds[a] += 1
+    den = sum(words.values()) + 0.1 * (len(words) + 1)
+    gain = n = 0
+    for i, t in rows.items():
+        if not remainder(i, 10):
+            for a, b in zip(t, t[1:]):
+                q = (words[b] + 0.1) / den
+                gain += math.log10((max(pairs[a, b] - 0.75, 0) + 0.75 * kinds[a] * q) / seen[a] / q) if a in seen else 0.0
+                n += 1
+    held = [r for r in scores(docs).collect() if r.held_out]
+    assert sum(r.n_tokens for r in held) == n
+    assert sum(r.score - r.base_score for r in held) / n > max(0.72, gain / n)
+
+
+def test_contexts_with_few_followers(spark):
+    """Counts by brute force in any layout; a context that many words follow is left out, in one batch or over several."""
+    rng = random.Random(3)
+    texts = [f"x y {rng.choice('abcdefgh')} {rng.choice('pq')} z" for _ in range(60)] + ["", None, "x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = language_model
+    want = {}
+    for t in texts:
+        raw = (t or "").encode()
+        own = m.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for c, h in zip(m.context_hash(*m.contexts(own)), own.hash):
+            want.setdefault(int(c), Counter())[int(h.view(np.int64))] += 1
+    assert any(len(w) > m.FOLLOW for w in want.values())
+    flat = {(c, h): n for c, w in want.items() if len(w) <= m.FOLLOW for h, n in w.items()}
+    for parts in (1, 40):
+        assert {(r.context, r.h): r.c for r in m.follow_counts(table.repartition(parts), 2**32).collect()} == flat
+    half = {x: n for x, n in flat.items() if x[0] < 2**31}
+    assert {(r.context, r.h): r.c for r in m.follow_counts(table, 2**31).collect()} == half
+    counts = m.word_counts(table)
+    some = m.follows(table, counts, 240.0, np.ones((16, 16)), most=len(flat) // 2)
+    assert 0 < len(some.context) <= len(flat) // 2 and set(some.context.tolist()) <= {c for c, _ in flat}
+
+
 part_of = {}
 
 
