@@ -289,7 +289,7 @@ def test_probabilities_sum_to_one():
     model = Model.start(own[:500], counts[:500], seen, kinds, total)
     model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
     after = language_model.context_hash(own[9:10], own[7:8])
-    some = np.array([3, 1200, 2999, 9])
+    some = np.array([3, 9, 1200, 2999])
     model.follows = language_model.Follows.fitted(np.repeat(after, 4), own[some], np.array([5, 1, 1, 2]), counts[some], seen + 0.1 * kinds + 0.1 / k**2)
     p = np.zeros(len(own))
     for s in range(0, len(own), 1000):  # the context "w7 w9" before each word
