@@ -17,18 +17,24 @@ gradient (what was seen less what was expected) over their rows of that part, su
 rows and added up as they stream in, and each block takes a damped Newton step. Results follow the rows alone and
 not how they lie in tasks. Weights of trigrams are one scaling step from the base over all training rows: counts,
 less DISCOUNT, over what the base expects. Classes, groups and rows grow with the sixth root of the tokens, so the weights with the
-cube root; counts of words are a table that grows with the corpus and is joined. Up to MOST tokens all contexts have
-trigram features, beyond it those with the smallest hashes, of about MOST tokens.
+cube root.
+
+Counts of rare words and trigram weights grow with the corpus, so no task holds them all. Texts are dealt to blocks. A
+block asks for what its own texts need, the counts first and then the weights: what it asks goes to buckets, by the word's
+hash or by the context's, together with what its training texts add to the sums there, and the answers come back to it.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import crc_mod, shuffle_partitions, slices, table, written
+from arcweave.llm.frames import crc_mod, pressed, shuffle_partitions, slices, table, unpressed, written
 from arcweave.llm.textkit import U, mix, words
 
 #: Stands before a text's first word, for none of the most frequent words, and for a text's end.
@@ -47,8 +53,10 @@ LN10 = float(np.log(10))
 
 #: Words that may follow a context with features of its own, and what is taken off each of their counts.
 FOLLOW, DISCOUNT = 4, 0.5
-#: Trigram features at most, of 18 bytes each, and how many are worked out at once.
-MOST, PART = 1 << 22, 1 << 16
+#: Trigram features that are worked out at once.
+PART = 1 << 16
+#: Tokens of a block of texts, and of a bucket of words or contexts, on average.
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
 
 
 class Tokens:
@@ -110,9 +118,16 @@ class Follows:
     @classmethod
     def fitted(cls, context: np.ndarray, h: np.ndarray, c: np.ndarray, words: np.ndarray, mass: np.ndarray) -> "Follows":
         """From entries (context, word hash, count) by context, the words' counts in all training rows, and the base's mass by
-        class and group. Contexts are worked out a PART at a time."""
+        class and group."""
+        k, group = groups_of(h, len(mass))
+        return cls.placed(context, short(h), (k * len(mass) + group).astype(np.uint16), c, words, mass)
+
+    @classmethod
+    def placed(cls, context: np.ndarray, word: np.ndarray, place: np.ndarray, c: np.ndarray, words: np.ndarray, mass: np.ndarray) -> "Follows":
+        """As fitted(), from the words' short hashes and their places: class and group in one. Contexts are worked out a
+        PART at a time."""
         n = len(context)
-        place, share, weight = np.empty(n, np.uint16), np.empty(n, np.float32), np.empty(n, np.float32)
+        share, weight = np.empty(n, np.float32), np.empty(n, np.float32)
         total, lo = mass.sum(), 0
         while lo < n:
             hi = int(np.searchsorted(context, context[min(lo + PART, n) - 1], "right"))
@@ -123,10 +138,9 @@ class Follows:
             base = own / total
             aim = (seen - DISCOUNT) / np.repeat(np.add.reduceat(seen, cut), size)  # what the words of a context are to have
             rest = lambda x: np.repeat(1 - np.add.reduceat(x, cut), size)  # noqa: B023, E731
-            k, group = groups_of(h[part], len(mass))
-            place[part], share[part], weight[part] = k * len(mass) + group, np.log(own / mass[k, group]), np.log(aim / base * rest(base) / rest(aim))
+            share[part], weight[part] = np.log(own / mass.flat[place[part]]), np.log(aim / base * rest(base) / rest(aim))
             lo = hi
-        return cls(context, short(h), place, share, weight)
+        return cls(context, word, place, share, weight)
 
     @property
     def parts(self) -> tuple:
@@ -217,17 +231,25 @@ class Model:
             lo[maybe] = np.searchsorted(own.context, context[maybe])
             size[maybe] = np.searchsorted(own.context, context[maybe], "right") - lo[maybe]
         often = self.often(t) if size.any() else before
+        wide = None
         for step, (part, p, _, taken) in enumerate(self.parts(t)):
             out[part] += np.log(p[np.arange(len(taken)), taken])
-            if step % 2 or not (some := np.flatnonzero(size[part])).size:
+            if step % 2 == 0:
+                wide = p
+                continue
+            if not (some := np.flatnonzero(size[part])).size:
                 continue
             # the words that have a weight here: what the softmaxes give each, and what the weights add to the sum
             many = size[part][some]
             at, first = np.repeat(some, many), np.cumsum(many) - many
             entry = np.repeat(lo[part][some] - first, many) + np.arange(len(at))
             c, g = np.divmod(own.place[entry].astype(np.int64), self.k)
-            within = self.shares(self.deep(before[part][at], often[part][at], c), self.inner[c])[np.arange(len(at)), g]
-            each = p[at, c].astype(np.float64) * within * np.exp(own.share[entry].astype(np.float64))
+            within = p[at, g]  # that of the token's own class
+            other = np.flatnonzero(c != k[part][at])
+            if len(other):
+                x, y = at[other], c[other]
+                within[other] = self.shares(self.deep(before[part][x], often[part][x], y), self.inner[y])[np.arange(len(x)), g[other]]
+            each = wide[at, c].astype(np.float64) * within * np.exp(own.share[entry].astype(np.float64))
             weight = own.weight[entry].astype(np.float64)
             more = np.bincount(at, each * np.expm1(weight), len(taken))
             hit = own.word[entry] == short(t.hash[part][at])
@@ -253,9 +275,12 @@ class Gradient:
                 order = np.argsort(local, kind="stable")
                 local = local[order]
                 cut = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
-                own = local[cut].astype(np.int64) + base
-                self.sums[own] -= np.add.reduceat(p.take(order, 0), cut, axis=0)
-                self.used[own] += np.diff(np.append(cut, len(local)))
+                own, size = local[cut].astype(np.int64) + base, np.diff(np.append(cut, len(local)))
+                got = p.take(order[cut], 0)
+                if len(more := np.flatnonzero(size > 1)):  # most rows are met once, which needs no sum
+                    got[more] = np.add.reduceat(p.take(order[np.repeat(size > 1, size)], 0), np.cumsum(size[more]) - size[more], axis=0)
+                self.sums[own] -= got
+                self.used[own] += size
 
     def blocks(self):
         """(number, float32 rows of sums and uses) of each block of weight rows that was used."""
@@ -353,12 +378,13 @@ def follow_counts(docs: DataFrame, below: int) -> DataFrame:
     return pairs.join(few.select("context"), "context", "left_semi")
 
 
-def follows(docs: DataFrame, counts: DataFrame, total: float, mass: np.ndarray, most: int = MOST) -> Follows:
-    """The trigram features of the rows of `docs`, given the counts (h, c) of their words: at most `most` entries reach the
-    driver, those of the smallest context hashes. Null and empty texts have their end alone; repeated rows count again."""
-    below = int(2**32 * min(1.0, most / max(total, 1.0)))
+def follows(docs: DataFrame, counts: DataFrame, total: float, mass: np.ndarray, most: int | None = None) -> Follows:
+    """The trigram features of the rows of `docs`, given the counts (h, c) of their words, all in the driver; where `most` is
+    given only the contexts of the smallest hashes, with that many entries at most. scores() has all contexts and gathers
+    none. Null and empty texts have their end alone; repeated rows count again."""
+    below = 2**32 if most is None else int(2**32 * min(1.0, most / max(total, 1.0)))
     entries = written(follow_counts(docs, below))
-    while (n := entries.filter(F.col("context") < below).count()) > most:
+    while most is not None and (n := entries.filter(F.col("context") < below).count()) > most:
         below = int(below * 0.9 * most / n)
     entries = entries.filter(F.col("context") < below)
     named = entries.select("h").distinct().join(counts, "h").toArrow()
@@ -425,6 +451,234 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length as one blob: the first bytes of all values, then the second ones, which compresses well."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns))
+
+
+def unpacked(blobs: list[bytes], *types) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(length of each blob's columns, columns of all blobs, one after the other)."""
+    wide, press = [np.dtype(t).itemsize for t in types], zstandard.ZstdDecompressor()
+    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
+    size = np.zeros(len(blobs), np.int64)
+    for i, blob in enumerate(blobs):
+        raw = np.frombuffer(press.decompress(blob), np.uint8)
+        n, at = len(raw) // sum(wide), 0
+        for x, t, w in zip(out, types, wide):
+            x.append(raw[at : at + n * w].reshape(w, n).T.copy().view(t).reshape(n))
+            at += n * w
+        size[i] = n
+    return size, [np.concatenate(x) for x in out]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of a sorted uint32 array."""
+    return np.diff(x, prepend=np.uint32(0))
+
+
+def summed_steps(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What several steps(), of these lengths, came from."""
+    out = np.cumsum(x, dtype=np.int64)
+    first = np.cumsum(size) - size
+    return (out - np.repeat(np.append(0, out)[first], size)).astype(np.uint32)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class Exchange:
+    """What blocks of texts and buckets of words or contexts do with one another. A block lists what it wants in an order
+    that its texts alone fix, and answers keep to it, so that they need not name what they are for."""
+
+    ASKED, ANSWER = "bucket int, block int, blob binary", "block int, bucket int, kind int, blob binary"
+    #: Kinds of answers: counts of rare words; how many words follow each context; these words with their weights.
+    COUNTS, MANY, WEIGHTS = range(3)
+    #: In place of how many follow: one word, and this block alone has it there, once.
+    ALONE = 255
+
+    def __init__(self, shared, mass: np.ndarray, n: int, v: int):
+        """`shared` is broadcast: counts of the frequent words and a model's parts; n and v count training tokens and words."""
+        self.shared, self.mass, self.n, self.base = shared, mass, n, float(np.log10(n + ALPHA * (v + 1)))
+        self.buckets = 1 + n // BUCKET_TOKENS
+        self.ready: Model | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"ready": None}
+
+    @property
+    def model(self) -> Model:
+        if self.ready is None:
+            self.ready = Model(*self.shared.value[1:])
+        return self.ready
+
+    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are frequent, and their counts, 0 for others."""
+        keys, c = self.model.keys, self.shared.value[0]
+        if not len(keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.uint32)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        return hit, np.where(hit, c[at], 0).astype(np.uint32)
+
+    @staticmethod
+    def tokens(texts: pa.Table) -> list[tuple[pa.RecordBatch, Tokens, np.ndarray]]:
+        """(rows, tokens, whether each is of a training row) of the texts of a block, for each slice of them."""
+        out = []
+        for b in texts.combine_chunks().to_batches():
+            held = b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, data, off in unpressed(b):
+                t = Tokens(data, off)
+                out.append((b.slice(lo, hi - lo), t, ~held[lo:hi][t.doc]))
+        return out
+
+    @staticmethod
+    def rows(schema: str, *columns) -> pa.Table:
+        fields = [x.split() for x in schema.split(", ")]
+        return pa.table([pa.array(x, pa.binary() if kind == "binary" else pa.int32()) for x, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+    @staticmethod
+    def answers(got: pa.Table, kind: int, *types) -> list[np.ndarray]:
+        """Those of a kind, in the order of their buckets."""
+        own = sorted((k, b) for k, of, b in zip(got.column("bucket").to_pylist(), got.column("kind").to_pylist(), got.column("blob").to_pylist()) if of == kind)
+        return unpacked([b for _, b in own], *types)[1]
+
+    def asked(self, texts: pa.Table, to: np.ndarray, blob) -> pa.Table:
+        """A row for each bucket that rows go to, which are sorted by it; blob() makes it from a slice."""
+        edge = np.searchsorted(to, np.arange(self.buckets + 1))
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        return self.rows(self.ASKED, some, [texts.column("block")[0].as_py()] * len(some), [blob(slice(edge[i], edge[i + 1])) for i in some])
+
+    def rare(self, tokens: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, hash, tokens in training rows) of the rare words of a block, by bucket and hash."""
+        found, fit = [], []
+        for _, t, train in tokens:
+            rare = ~self.frequent(t.hash)[0]
+            found.append(t.hash[rare])
+            fit.append(train[rare])
+        h, inv = np.unique(np.concatenate(found), return_inverse=True)
+        times = np.bincount(inv, np.concatenate(fit), len(h)).astype(np.uint32)
+        to = (mix(h + U(5)) % U(self.buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return to[order], h[order], times[order]
+
+    def counter(self, got: pa.Table, tokens: list):
+        """A function that gives words' counts, from the answers for the rare ones; and these answers."""
+        _, rare, _ = self.rare(tokens)
+        (c,) = self.answers(got, self.COUNTS, np.uint32)
+        order = np.argsort(rare)
+        keys, counts = rare[order], c[order]
+
+        def count(h: np.ndarray) -> np.ndarray:
+            hit, out = self.frequent(h)
+            if len(keys):
+                out[~hit] = counts[np.searchsorted(keys, h[~hit])]
+            return out
+
+        return count, c
+
+    def wanted(self, tokens: list, count) -> list[np.ndarray]:
+        """The contexts of a block with the words that follow them in its training rows: (context, word, place, count in all
+        training rows, times here), by context and word. A context of other rows alone has one row, with 0 times."""
+        context, h, train = (np.concatenate(x) for x in zip(*((context_hash(*contexts(t)), t.hash, train) for _, t, train in tokens)))
+        key, first, times = np.unique(context[train].astype(U) << U(32) | short(h[train]).astype(U), return_index=True, return_counts=True)
+        own, h = (key >> U(32)).astype(np.uint32), h[train][first]
+        k, group = groups_of(h, len(self.mass))
+        more = np.setdiff1d(context[~train], own)
+        context = np.append(own, more)
+        order = np.argsort(context, kind="stable")
+        rest = short(h), (k * len(self.mass) + group).astype(np.uint16), count(h), times.astype(np.uint32)
+        return [context[order], *(np.append(x, np.zeros(len(more), x.dtype))[order] for x in rest)]
+
+    def ask_counts(self, texts: pa.Table) -> pa.Table:
+        to, h, times = self.rare(self.tokens(texts))
+        return self.asked(texts, to, lambda part: packed(h[part], times[part]))
+
+    def answer_counts(self, asked: pa.Table) -> pa.Table:
+        """Counts in all training rows."""
+        size, (h, times) = unpacked(asked.column("blob").to_pylist(), U, np.uint32)
+        _, inv = np.unique(h, return_inverse=True)
+        c, end = np.bincount(inv, times)[inv].astype(np.uint32), np.cumsum(size)
+        return self.rows(self.ANSWER, asked.column("block"), asked.column("bucket"), [self.COUNTS] * len(size), [packed(c[i - n : i]) for i, n in zip(end, size)])
+
+    def ask_weights(self, got: pa.Table, texts: pa.Table) -> pa.Table:
+        """What is wanted, and in a row of its own, under a number below 0, the counts that came."""
+        tokens = self.tokens(texts)
+        count, rare = self.counter(got, tokens)
+        context, *rest = self.wanted(tokens, count)
+        to = (context.astype(U) * U(self.buckets) >> U(32)).astype(np.int64)
+        out = self.asked(texts, to, lambda part: packed(steps(context[part]), *(x[part] for x in rest)))
+        block = texts.column("block")[0].as_py()
+        return pa.concat_tables([out, self.rows(self.ASKED, [-1 - block], [block], [packed(rare)])])
+
+    def answer_weights(self, asked: pa.Table) -> pa.Table:
+        """For each context that at most FOLLOW words follow in all training rows, these words and their weights."""
+        blocks, buckets, blobs = asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), asked.column("blob").to_pylist()
+        if buckets[0] < 0:
+            return self.rows(self.ANSWER, blocks, buckets, [self.COUNTS] * len(blobs), blobs)
+        size, (delta, word, place, own, times) = unpacked(blobs, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+        context, sender = summed_steps(delta, size), np.repeat(np.arange(len(size)), size)
+        seen = np.flatnonzero(times)
+        key = context[seen].astype(U) << U(32) | word[seen].astype(U)
+        order = np.argsort(key)
+        seen, cut = seen[order], heads(key[order])
+        c = np.add.reduceat(times[seen].astype(np.int64), cut) if len(cut) else cut
+        seen = seen[cut]
+        many = np.diff(np.append(heads(context[seen]), len(seen)))
+        many = np.repeat(many, many)
+        once = ((many == 1) & (c == 1))[many <= FOLLOW]
+        seen, c = seen[many <= FOLLOW], c[many <= FOLLOW]
+        given = Follows.placed(context[seen], word[seen], place[seen], c, own[seen].astype(np.float64), self.mass)
+        new = heads(sender, context)
+        context, sender, times = context[new], sender[new], times[new]
+        lo = np.searchsorted(given.context, context)
+        many = np.searchsorted(given.context, context, "right") - lo
+        alone = (times == 1) & (many == 1)
+        alone[alone] = once[lo[alone]]
+        code, many = np.where(alone, self.ALONE, many).astype(np.uint8), np.where(alone, 0, many)
+        entry = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        rows, ends = (np.searchsorted(x, np.arange(len(size) + 1)) for x in (sender, np.repeat(sender, many)))
+        first, second, columns = [], [], (given.word, given.place, own[seen], given.weight)
+        for i in range(len(size)):
+            first.append(packed(code[rows[i] : rows[i + 1]]))
+            second.append(packed(*(x[entry[ends[i] : ends[i + 1]]] for x in columns)))
+        return self.rows(self.ANSWER, blocks * 2, buckets * 2, [self.MANY] * len(size) + [self.WEIGHTS] * len(size), first + second)
+
+    def score(self, got: pa.Table, texts: pa.Table) -> pa.Table:
+        """The texts of a block, scored with the counts and weights that came for it."""
+        tokens = self.tokens(texts)
+        count, _ = self.counter(got, tokens)
+        context, word, place, own, _ = self.wanted(tokens, count)
+        (code,) = self.answers(got, self.MANY, np.uint8)
+        first = heads(context)
+        many = np.where(code == self.ALONE, 1, code)
+        alone, mine = np.repeat(code == self.ALONE, many), first[code == self.ALONE]
+        lonely = Follows.placed(context[mine], word[mine], place[mine], np.ones(len(mine)), own[mine].astype(np.float64), self.mass)
+        columns = []
+        for x, y in zip(self.answers(got, self.WEIGHTS, np.uint32, np.uint16, np.uint32, np.float32), (lonely.word, lonely.place, own[mine], lonely.weight)):
+            both = np.empty(len(alone), x.dtype)
+            both[alone], both[~alone] = y, x
+            columns.append(both)
+        word, place, own, weight = columns
+        self.model.follows = Follows(np.repeat(context[first], many), word, place, np.log((own + ALPHA) / self.mass.flat[place]).astype(np.float32), weight)
+        out = []
+        for b, t, _ in tokens:
+            c = count(t.hash)
+            add = lambda x: np.bincount(t.doc, x, t.n)  # noqa: B023, E731
+            base = add(np.log10(c + ALPHA) - self.base)
+            got = t.counts.astype(np.int64), add(c > 0).astype(np.int64), np.full(t.n, self.n), base, base + add(self.model.gains(t))
+            out.append(pa.table([b.column(1), b.column(2), *map(pa.array, got)], [x.split()[0] for x in SCORED.split(", ")]))
+        return pa.concat_tables(out)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def scores(docs: DataFrame, mod: int = 10, held: int = 0, top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
 
@@ -441,40 +695,21 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0, top: int = TOP) -> Dat
     k, _ = shape(n)
     seen, kinds = group_sums(counts, k)
     model = train(fit, Model.start(keys, c, seen, kinds, float(n)))
-    model.follows = follows(fit, counts, float(n), seen + ALPHA * kinds + ALPHA / (k * k))
-    base = float(np.log10(n + ALPHA * (v + 1)))
-    full = len(keys) == v  # nothing is left to join
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffles of training, which nothing reads any more
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((c[order], model.keys, model.ranks, model.bias, model.inner, model.weights, model.follows.parts))
-
-    def run(batches):
-        c, *parts, after = shared.value
-        own = Model(*parts, Follows(*after))
-        keys = own.keys
-        for b in batches:
-            for lo, hi, data, off in slices(b):
-                t = Tokens(data, off)
-                at = np.minimum(np.searchsorted(keys, t.hash), max(len(keys) - 1, 0))
-                hit = keys[at] == t.hash if len(keys) else np.zeros(len(t.hash), bool)
-                settled = hit | full
-                log = np.where(settled, np.log10(np.where(hit, c[at] if len(keys) else 0.0, 0.0) + ALPHA), 0.0) - base
-                add = lambda x: np.bincount(t.doc, x, t.n)  # noqa: B023, E731
-                rare = ~settled
-                ends = np.zeros(t.n + 1, np.int32)
-                ends[1:] = np.cumsum(add(rare))
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(t.counts.astype(np.int64)), pa.array(add(hit).astype(np.int64)), pa.array(add(log)), pa.array(add(own.gains(t))), pa.ListArray.from_arrays(pa.array(ends), pa.array(t.hash[rare].view(np.int64)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare"],
-                )
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>"
-    parts = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, schema))
-    each = parts.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
-    joined = each.groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10(F.coalesce(F.col("c").cast("double"), F.lit(0.0)) + ALPHA)).alias("x"))
-    x, known = F.coalesce("x", F.lit(0.0)), F.col("known") + F.coalesce("k", F.lit(0))
-    own = F.col("base") + x
-    return parts.join(joined, "row", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), own.alias("base_score"), (own + F.col("gain")).alias("score"))
+    shared = spark.sparkContext.broadcast((c[order], model.keys, model.ranks, model.bias, model.inner, model.weights))
+    own = Exchange(shared, seen + ALPHA * kinds + ALPHA / (k * k), n, v)
+    # blocks by the rows' own content, so all readings deal alike and share the exchange of the texts
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + n // BLOCK_TOKENS)).cast("int")
+    texts = rows.select(block.alias("block"), "doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pressed, "block int, doc_id long, held_out boolean, text binary")
+    texts = texts.repartition(shuffle_partitions(spark), "block")
+    each = texts.groupBy("block")
+    # plain functions, whose arguments Spark counts
+    got = each.applyInArrow(lambda x: own.ask_counts(x), own.ASKED).groupBy("bucket").applyInArrow(lambda x: own.answer_counts(x), own.ANSWER)
+    got = got.groupBy("block").cogroup(each).applyInArrow(lambda x, y: own.ask_weights(x, y), own.ASKED)
+    got = got.groupBy("bucket").applyInArrow(lambda x: own.answer_weights(x), own.ANSWER)
+    return got.groupBy("block").cogroup(each).applyInArrow(lambda x, y: own.score(x, y), SCORED)
 
 
 def op8_language_model(spark, sf_dir: str) -> DataFrame:

@@ -457,3 +457,22 @@ def test_scores_against_plain_loops(spark):
     want = brute_scores(rows)
     got = {r.doc_id: r.score for r in scores(table).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
+
+
+def test_no_context_is_left_out_of_a_large_corpus(spark, monkeypatch):
+    """However many trigrams there are beside what one table of weights may hold, all contexts that few words follow have
+    theirs; blocks and buckets of any size, and words whose counts are asked for, give the same."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 22), 40)) for i in range(80)] + [(80, ""), (81, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    part_of.update({r[0]: r[1] for r in table.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {language_model.ROUNDS}) AS p").collect()})
+    want = brute_scores(rows)
+    rare = {r.doc_id: tuple(r) for r in scores(table, top=15).collect()}
+    gathered = language_model.follows
+    monkeypatch.setattr(language_model, "follows", lambda *x: gathered(*x, most=40))  # what a driver may gather bounds no score
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 120, raising=False)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 90, raising=False)
+    got = {r.doc_id: r.score for r in scores(table).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
+    again = {r.doc_id: tuple(r) for r in scores(table, top=15).collect()}
+    assert again.keys() == rare.keys() and all(a == b or math.isclose(a, b, rel_tol=1e-6) for i in rare for a, b in zip(again[i], rare[i]))
