@@ -64,6 +64,17 @@ def _weighted(points: np.ndarray, base: int):
         yield s, x * U(pow(base, s, P)) % U(P) if s else x
 
 
+def total(points: np.ndarray, base: int) -> int:
+    """The residue of a whole text: the last of its prefix array."""
+    out = 0
+    for s in range(0, len(points), BLOCK):
+        x = points[s : s + BLOCK].astype(np.uint64) + U(1)
+        x *= powers(len(x), base)
+        # 2**11 terms below 2**52 have a sum below 2**63
+        out += int((np.add.reduceat(x, np.arange(0, len(x), 1 << 11)) % U(P)).sum()) * pow(base, s, P)
+    return out % P
+
+
 def prefix(points: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """The modular prefix array of one text: 1 longer than it, 4 bytes a value."""
     out, before = np.zeros(len(points) + 1, np.uint32), U(0)
@@ -131,8 +142,8 @@ def fingerprint_of(points: np.ndarray, sums: np.ndarray | None = None, back: np.
     length : whole : cuts from the start : cuts from the end : interior spans, residues as 8 hex digits each : their lengths as 2 each."""
     n = len(points)
     at = grid(n)
-    whole = [sum(int(x.sum()) for _, x in _weighted(points, b)) % P for b in BASES]
     sums = prefix(points) if sums is None else sums
+    whole = [int(sums[-1]), *(total(points, b) for b in BASES[1:])]
     back = prefix(points[::-1]) if back is None else back
     ends = content_cuts(sums)
     begin = np.append(np.zeros(1, np.int64), ends[:-1])[: len(ends)]
@@ -148,14 +159,15 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
-def _between(spans: str, lengths: str, head: int, tail: int) -> dict[str, list[int]]:
-    """For each residue (with its length) how many code points of each such span lie after the first `head` and before the last `tail`."""
+def _between(spans: str, lengths: str, residues: list[int], shared: set[int], head: int, tail: int) -> dict[tuple[int, str], list[int]]:
+    """For each shared residue (with its length) how many code points of each such span lie after the first `head` and before the last `tail`."""
     size = np.frombuffer(bytes.fromhex(lengths), np.uint8).astype(np.int64)
     end = np.cumsum(size)
     left = np.minimum(end, (end[-1] if len(end) else 0) - tail) - np.maximum(end - size, head)
-    out: dict[str, list[int]] = {}
+    out: dict[tuple[int, str], list[int]] = {}
     for k in np.flatnonzero(left > 0).tolist():
-        out.setdefault(spans[8 * k : 8 * k + 8] + lengths[2 * k : 2 * k + 2], []).append(int(left[k]))
+        if residues[k] in shared:
+            out.setdefault((residues[k], lengths[2 * k : 2 * k + 2]), []).append(int(left[k]))
     return out
 
 
@@ -170,8 +182,11 @@ def likeness(a: str, b: str) -> float:
     cut = np.append(0, grid(long))
     head = int(cut[_shared(sa, sb)])
     tail = min(int(cut[_shared(ea, eb)]), short - head)
-    own, other = _between(*mid_a, head, tail), _between(*mid_b, head, tail)
-    same = sum(min(x, y) for key in own.keys() & other.keys() for x, y in zip(sorted(own[key], reverse=True), sorted(other[key], reverse=True)))
+    one, two = (np.frombuffer(x[0].encode(), np.uint64).tolist() for x in (mid_a, mid_b))  # 8 digits as one number
+    same = 0
+    if shared := set(one) & set(two):
+        own, other = _between(*mid_a, one, shared, head, tail), _between(*mid_b, two, shared, head, tail)
+        same = sum(min(x, y) for key in own.keys() & other.keys() for x, y in zip(sorted(own[key], reverse=True), sorted(other[key], reverse=True)))
     return float(min(head + tail + same, long - 1)) / long
 
 
@@ -206,21 +221,28 @@ def _compared(batches):
         x = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         return x, prefix(x), prefix(x[::-1])
 
+    blob, kept = None, ()  # a row's next text is mostly the text of the row that follows
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part, out = b.slice(lo, 256), []
             for own, nxt in zip(part.column(1), part.column(2)):
-                text, after = (press.decompress(x.as_py()).decode("utf-8", "replace") for x in (own, nxt))
+                own, nxt = own.as_py(), nxt.as_py()
+                if own != blob:
+                    text = press.decompress(own).decode("utf-8", "replace")
+                    x = arrays(text)
+                    kept = text, x, fingerprint_of(*x)
+                text, x, a = kept
+                after = press.decompress(nxt).decode("utf-8", "replace")
                 k = len(text) // 3
                 edited = text[: len(text) - k] + after[:k]
-                x, ends, prints = arrays(text), [], []
-                a = fingerprint_of(*x)
+                ends = []
                 for other in (edited, after):  # one at a time, as texts may be very long
                     y = arrays(other)
-                    prints.append(fingerprint_of(*y))
+                    kept = other, y, fingerprint_of(*y)
                     ends += [common_extension(x[i], 0, y[i], 0) for i in (1, 2)]
-                    del y
-                e, f = prints
+                    if other is edited:
+                        e = kept[2]
+                blob, f = nxt, kept[2]
                 out.append((len(text), hashlib.sha256(edited.encode()).hexdigest(), a, e, likeness(a, e), likeness(a, f), *ends))
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out))], [c.split()[0] for c in EDITED.split(", ")])
 

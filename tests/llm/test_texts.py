@@ -377,3 +377,26 @@ def test_one_url_of_very_many_pages(spark, tmp_path):
 def test_keys():
     assert reversed_host("http://www.Example.com/a?b=1") == "com,example,www)/a?b=1" and reversed_host("https://example.com:8080/x#f") == "com,example:8080)/x"
     assert reversed_host(None) == "" and reversed_host("no host") == "no host" and reversed_host("HTTP://b.org") == "org,b)/"
+
+
+def test_each_text_is_fingerprinted_once(monkeypatch):
+    """The next text's fingerprint serves again where that text's own row follows, over batches too; other rows get the same."""
+    import pyarrow as pa
+    import zstandard
+
+    from arcweave.llm import fingerprints as module
+
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(0, 90), 60) for _ in range(300)] + ["", "é" * 50, "a" * 3000]
+    press = zstandard.ZstdCompressor(level=3)
+    blobs = [press.compress(t.encode()) for t in texts]
+    names = ["doc_id", "blob", "after"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(blobs), pa.array(blobs[1:] + blobs[:1])], names)
+    calls, plain = [], module.fingerprint_of
+    monkeypatch.setattr(module, "fingerprint_of", lambda *x: calls.append(1) or plain(*x))
+    got = [r for b in module._compared([batch.slice(0, 100), batch.slice(100)]) for r in b.to_pylist()]
+    assert len(calls) == 2 * len(texts) + 1
+    mixed = rng.sample(range(len(texts)), len(texts))
+    again = [r for b in module._compared([batch.take(pa.array(mixed))]) for r in b.to_pylist()]
+    assert [got[i] for i in mixed] == again
+    assert [r["fingerprint"] for r in got] == [plain(points(t)) for t in texts]
