@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.components import components
-from arcweave.llm.frames import NULL_ID, removed, shuffle_partitions, slices, stored, table, unused, written
+from arcweave.llm.frames import NULL_ID, lean, removed, shuffle_partitions, slices, stored, table, unused, written
 from arcweave.llm.substring_dedup import _lists
 from arcweave.llm.textkit import FIRST, SECOND, U, mix, windows, words
 
@@ -114,7 +114,7 @@ def _shared(rows: DataFrame, list_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h[at]), node.take(pa.array(row)), pa.array(1 + twice.astype(np.int32))], ["h", "node", "c"])
                 lo = hi
 
-    sent = rows.select("node", list_col).mapInArrow(run, "h long, node long, c int")
+    sent = rows.select("node", list_col).mapInArrow(lean(run), "h long, node long, c int")
     one = sent.groupBy("h").agg(F.sum("c").alias("c"), F.min("node").alias("node")).filter("c = 1")
     return one.groupBy("node").agg(F.count("*").alias("alone"))
 
@@ -252,7 +252,7 @@ def _classified(docs: DataFrame, k: int, percent: int, slack: float, shard: int,
     """(id, tk, n, d, e) of each row, tk being a hash of its text; and (d, e, root, least, n_links) of each set."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
-    heads, at = stored(rows.mapInArrow(_first_rows(k, percent, slack), "id long, tk long, n long, s long, d long, e long, head array<long>"))
+    heads, at = stored(rows.mapInArrow(lean(_first_rows(k, percent, slack)), "id long, tk long, n long, s long, d long, e long, head array<long>"))
     light = written(heads.select("id", "tk", "n", "s", "d", "e"))
     # an id that stands for several sets can't name its class
     clash = light.groupBy("id").agg(F.min(F.struct("d", "e")).alias("a"), F.max(F.struct("d", "e")).alias("z")).filter("a <> z").select("id", F.lit(True).alias("clash"))
@@ -313,7 +313,7 @@ def _links(rows: DataFrame, lists: DataFrame, classes: DataFrame, lists_at: str,
                 doc = np.repeat(np.arange(hi - lo), n)
                 yield pa.RecordBatch.from_arrays([kept.column(0).slice(lo, hi - lo), pa.array(d), pa.array(e), pa.array(n), _lists(h.view(np.int64), doc, hi - lo)], ["id", "d", "e", "n", "set"])
 
-    full = own.select("id", "text", "bit").mapInArrow(whole, "id long, d long, e long, n long, set array<long>")
+    full = own.select("id", "text", "bit").mapInArrow(lean(whole), "id long, d long, e long, n long, set array<long>")
     full, at = stored(full.join(alive, ["id", "d", "e"]).select("node", "n", "set").dropDuplicates(["node"]))
     enough = f"ceil({percent} * n / 100)"
     for _ in range(2):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.bpe import encoder
-from arcweave.llm.frames import slices, table, written
+from arcweave.llm.frames import lean, slices, table, written
 from arcweave.llm.textkit import decoded
 from arcweave.llm.token_counts import default_path
 
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024) -> Da
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64", "piece": "int32"}), preserve_index=False)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lean(run), PIECES)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

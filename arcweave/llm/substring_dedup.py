@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import NULL_ID, pressed, shuffle_partitions, table, unpressed, unused, written
+from arcweave.llm.frames import NULL_ID, lean, pressed, shuffle_partitions, table, unpressed, unused, written
 from arcweave.llm.textkit import FIRST, SECOND, U, Words, mix, second_hash, words
 
 #: A perfect difference set: 30 differences of 6 residues modulo 31, each once.
@@ -242,17 +242,17 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
     first = written(light.groupBy("md5").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("md5", "first"))
     copies = light.join(first, "md5").filter("first < id").select("id", "sig").distinct()
     by_row = ["id", "sig"]
-    text = rows.select("id", "sig", "text").mapInArrow(pressed, "id long, sig long, text binary").repartition(n, "id", "sig")
+    text = rows.select("id", "sig", "text").mapInArrow(lean(pressed), "id long, sig long, text binary").repartition(n, "id", "sig")
     # the flag is tested after the join, so that all three readings share the exchange of the texts
     flagged = text.join(copies.withColumn("copy", F.lit(True)), by_row, "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     lead = flagged.filter("not copy").select("id", "sig", "text")
 
-    anchors = lead.mapInArrow(_anchor_rows(width, period, cover), "h long, id long, sig long, many boolean, done array<long>")
+    anchors = lead.mapInArrow(lean(_anchor_rows(width, period, cover)), "h long, id long, sig long, many boolean, done array<long>")
     w = Window.partitionBy("h")
     found = anchors.withColumns({"a": F.min("id").over(w), "z": F.max("id").over(w), "m": F.max("many").over(w)}).filter("m or a < z")
     shared = found.groupBy(by_row).agg(F.concat(F.collect_list(F.expr("if(done is null, h, null)")), F.flatten(F.collect_list("done"))).alias("shared"))
 
-    windows = lead.join(shared, by_row).select("id", "sig", "text", "shared").mapInArrow(_window_rows(width, period, cover), "h1 long, h2 int, id long, sig long, s int, done array<int>")
+    windows = lead.join(shared, by_row).select("id", "sig", "text", "shared").mapInArrow(lean(_window_rows(width, period, cover)), "h1 long, h2 int, id long, sig long, s int, done array<int>")
     w = Window.partitionBy("h1", "h2")
     found = windows.withColumn("a", F.min("id").over(w)).filter("h2 is null or a < id")
     starts = found.groupBy(by_row).agg(F.concat(F.collect_list("s"), F.flatten(F.collect_list("done"))).alias("starts"))
@@ -270,7 +270,7 @@ def substring_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Null and empty texts have no words. Null ids count as one id after all others. Rows of one id never
     remove each other's words, repeated rows get equal results. An empty table gives an empty result."""
-    got = removed_windows(docs, width).select("id", "sig", "text", "copy", "starts").mapInArrow(_finish(width, False), "id long, sig long, n_words long, n_removed long, kept string")
+    got = removed_windows(docs, width).select("id", "sig", "text", "copy", "starts").mapInArrow(lean(_finish(width, False)), "id long, sig long, n_words long, n_removed long, kept string")
     return got.select(_id(), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
@@ -278,7 +278,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """`docs` with repeated passages cut out of the text column: rows that lose no word keep their text as it
     is, rows that lose all leave, others have their kept words joined by one space. n_chars follows, where
     there is one. Nulls, ties and repeated rows as in substring_report."""
-    got = removed_windows(docs, width).select("id", "sig", "text", "copy", "starts").mapInArrow(_finish(width, True), "id long, sig long, n_words long, n_removed long, kept string")
+    got = removed_windows(docs, width).select("id", "sig", "text", "copy", "starts").mapInArrow(lean(_finish(width, True)), "id long, sig long, n_words long, n_removed long, kept string")
     # one row for each (id, sig): repeated rows lose the same words
     one, two, kept, none = unused(docs, "id", "sig", "kept", "none")
     cut = got.filter("n_removed > 0").groupBy(F.col("id").alias(one), F.col("sig").alias(two)).agg(F.first("kept").alias(kept), F.max(F.col("n_removed") == F.col("n_words")).alias(none))

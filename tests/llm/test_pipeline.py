@@ -64,3 +64,26 @@ def test_stages_on_messy_rows(spark, messy, empty):
         out = written(stage(spark, docs, SF))
         assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
         docs = out
+
+
+def test_a_worker_gives_back_what_a_stage_has_freed():
+    """Small blocks below one that is still held would stay with the worker while later stages run."""
+    import os
+    from pathlib import Path
+
+    from arcweave.llm.frames import lean
+
+    held = []
+
+    def size():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        for b in batches:
+            own = [bytearray(2000) for _ in range(50_000)]
+            held.append(bytearray(2000))
+            yield len(own) + b
+
+    began = size()
+    assert list(lean(run)([1, 2])) == [50_001, 50_002] and len(held) == 2
+    assert size() - began < 40e6
