@@ -20,21 +20,21 @@ less DISCOUNT, over what the base expects. Classes, groups and rows grow with th
 cube root.
 
 Counts of rare words and trigram weights grow with the corpus, so no task holds them all. Texts are dealt to blocks. A
-block asks for what its own texts need, the counts first and then the weights: what it asks goes to buckets, by the word's
-hash or by the context's, together with what its training texts add to the sums there, and the answers come back to it.
+block asks for what its own texts need, the counts first and then the counts of what follows each context: what it asks goes
+to buckets, by the word's hash or by the context's, together with what its training texts add to the sums there, and the
+answers come back to it. Texts are hashed once for that: they travel as ranks of the frequent words, which are broadcast,
+and hashes of the rest, and so do the words in questions and answers. Weights are worked out where they are used.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.frames import crc_mod, pressed, shuffle_partitions, slices, table, unpressed, written
+from arcweave.llm.frames import cleared, crc_mod, shuffle_partitions, slices, table, written
 from arcweave.llm.textkit import U, mix, words
 
 #: Stands before a text's first word, for none of the most frequent words, and for a text's end.
@@ -44,8 +44,8 @@ TOP = 1 << 17
 #: Features of a class, and of a group within a class; words before that the frequent one is picked from.
 WIDE, DEEP, REACH = 4, 2, 8
 ROUNDS, RATE, PRIOR, STEP = 3, 0.5, 2.0, 3.0
-#: Tokens handled at once, and weight rows of a block.
-BATCH, BLOCK = 4096, 512
+#: Tokens handled at once, tokens whose gradient is summed at once, and weight rows of a block.
+BATCH, SUMMED, BLOCK = 2048, 1 << 16, 512
 #: Added to each count, as the base has it.
 ALPHA = 0.1
 LN10 = float(np.log(10))
@@ -55,12 +55,16 @@ LN10 = float(np.log(10))
 FOLLOW, DISCOUNT = 4, 0.5
 #: Trigram features that are worked out at once.
 PART = 1 << 16
+#: Tokens of coded texts that are opened at once.
+OPEN = 1 << 17
 #: Tokens of a block of texts, and of a bucket of words or contexts, on average.
 BLOCK_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
 
 
 class Tokens:
-    """The tokens of one slice, with an end after each text."""
+    """The tokens of one slice, with an end after each text. Those that were opened have the ranks they were coded with."""
+
+    rank: np.ndarray | None = None
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         w = words(data, off, True)
@@ -75,6 +79,38 @@ class Tokens:
         self.hash[end] = END
         self.hash[~end] = w.hash
 
+    @classmethod
+    def opened(cls, counts: np.ndarray, rank: np.ndarray, rare: np.ndarray, by_rank: np.ndarray) -> "Tokens":
+        """Of texts of so many tokens, from their ranks and the hashes of those that have none."""
+        t = cls.__new__(cls)
+        t.n, t.counts, t.rank = len(counts), counts, rank
+        t.hash = by_rank[rank]
+        t.hash[rank == len(by_rank) - 1] = rare
+        t.doc = np.repeat(np.arange(t.n), counts)
+        t.first = np.cumsum(counts) - counts
+        return t
+
+
+class Cells:
+    """Finds values among sorted ones that spread evenly, as hashes do: their first bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, len(keys).bit_length() + 2
+        self.shift = keys.dtype.type(8 * keys.itemsize - bits)
+        self.lo = np.append(0, np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each is there, where)."""
+        if not len(self.keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int32)
+        last = len(self.keys) - 1
+        at = np.minimum(self.lo[(h >> self.shift).astype(np.int64)], last)
+        low = np.flatnonzero((self.keys[at] < h) & (at < last))
+        while len(low):
+            at[low] += 1
+            low = low[(self.keys[at[low]] < h[low]) & (at[low] < last)]
+        return self.keys[at] == h, at
+
 
 def shape(total: float) -> tuple[int, int]:
     """(classes, which is also groups in each; weight rows of each feature) for so many training tokens."""
@@ -110,6 +146,16 @@ class Follows:
 
     def __init__(self, context: np.ndarray, word: np.ndarray, place: np.ndarray, share: np.ndarray, weight: np.ndarray):
         self.context, self.word, self.place, self.share, self.weight = context, word, place, share, weight
+        self.first = heads(context)
+        self.cells = Cells(context[self.first])
+        self.many = np.diff(np.append(self.first, len(context)))
+
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first entry, number of entries) of each context."""
+        if not len(self.context):
+            return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        hit, at = self.cells.find(context)
+        return self.first[at], np.where(hit, self.many[at], 0)
 
     @classmethod
     def none(cls) -> "Follows":
@@ -155,6 +201,7 @@ class Model:
         self.keys, self.ranks, self.bias, self.inner, self.weights = keys, ranks, bias, inner, weights
         self.by_rank = np.append(np.zeros(len(keys), np.uint64), NONE)
         self.by_rank[ranks] = keys
+        self.cells = Cells(keys)
         self.rows, self.k = len(weights) // (WIDE + DEEP), weights.shape[1]
         self.ones = np.ones(self.k, np.float32)
 
@@ -169,10 +216,9 @@ class Model:
         share = mass.sum(1)
         return cls(keys[order], ranks[order], np.log(share / share.sum()).astype(np.float32), np.log(mass / share[:, None]).astype(np.float32), np.zeros(((WIDE + DEEP) * rows, k), np.float32))
 
-    def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, t: Tokens, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class, group, rows of weights of the class, and of the group) of each token."""
         before, skip = contexts(t)
-        often = self.often(t)
         k, group = groups_of(t.hash, self.k)
         own = U(self.rows)
         both = mix(before * U(0x9E3779B97F4A7C15) + mix(often))
@@ -184,14 +230,20 @@ class Model:
         own = U(self.rows)
         return np.stack([mix(mix(x + U(50 + i)) + k.astype(U)) % own + U(WIDE + i) * own for i, x in enumerate((before, often))]).astype(np.int64)
 
+    def rank(self, t: Tokens) -> np.ndarray:
+        """The rank of each token, that after the last one for words that are not frequent."""
+        if t.rank is not None:
+            return t.rank
+        hit, at = self.cells.find(t.hash)
+        out = np.full(len(at), len(self.keys), np.int32)
+        out[hit] = self.ranks[at[hit]]
+        return out
+
     def often(self, t: Tokens) -> np.ndarray:
         """The most frequent of the REACH words before each token."""
-        h, n = t.hash, len(t.hash)
+        n = len(t.hash)
         place = np.arange(n) - t.first[t.doc]
-        rank = np.full(n, len(self.keys), np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == h, self.ranks[at], rank)
+        rank = self.rank(t)
         # later texts have lower numbers, so the least of a run belongs to the text at its end
         level = t.doc * np.int64(1 << 20)
         low, width = rank - level, 1
@@ -211,9 +263,9 @@ class Model:
         z /= (z @ self.ones)[:, None]
         return z
 
-    def parts(self, t: Tokens):
+    def parts(self, t: Tokens, often: np.ndarray):
         """For each BATCH of tokens and each of the two softmaxes: (slice, shares, rows of weights, what was taken)."""
-        k, group, wide, deep = self.features(t)
+        k, group, wide, deep = self.features(t, often)
         for s in range(0, len(k), BATCH):
             part = slice(s, s + BATCH)
             yield part, self.shares(wide[:, part], self.bias), wide[:, part], k[part]
@@ -225,14 +277,10 @@ class Model:
         out = -(self.bias[k] + self.inner[k, group]).astype(np.float64)
         before, skip = contexts(t)
         context, own = context_hash(before, skip), self.follows
-        lo, size = np.zeros(len(context), np.int32), np.zeros(len(context), np.int32)
-        if len(own.context):
-            maybe = np.flatnonzero(context <= own.context[-1])
-            lo[maybe] = np.searchsorted(own.context, context[maybe])
-            size[maybe] = np.searchsorted(own.context, context[maybe], "right") - lo[maybe]
-        often = self.often(t) if size.any() else before
+        lo, size = own.find(context)
+        often = self.often(t)
         wide = None
-        for step, (part, p, _, taken) in enumerate(self.parts(t)):
+        for step, (part, p, _, taken) in enumerate(self.parts(t, often)):
             out[part] += np.log(p[np.arange(len(taken)), taken])
             if step % 2 == 0:
                 wide = p
@@ -265,22 +313,36 @@ class Gradient:
         self.sums, self.used = np.zeros(model.weights.shape), np.zeros(len(model.weights))
 
     def add(self, t: Tokens) -> None:
-        k, rows = self.model.k, self.model.rows
-        flat, small = self.sums.reshape(-1), np.uint16 if rows <= 1 << 16 else np.uint32
-        for _, p, each, taken in self.model.parts(t):
-            for r in each:
-                np.add.at(flat, r * k + taken, 1.0)
-                base = int(r[0]) // rows * rows
-                local = (r - base).astype(small)
-                order = np.argsort(local, kind="stable")
-                local = local[order]
-                cut = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
-                own, size = local[cut].astype(np.int64) + base, np.diff(np.append(cut, len(local)))
-                got = p.take(order[cut], 0)
-                if len(more := np.flatnonzero(size > 1)):  # most rows are met once, which needs no sum
-                    got[more] = np.add.reduceat(p.take(order[np.repeat(size > 1, size)], 0), np.cumsum(size[more]) - size[more], axis=0)
-                self.sums[own] -= got
-                self.used[own] += size
+        k, group, wide, deep = self.model.features(t, self.model.often(t))
+        for s in range(0, len(k), SUMMED):
+            part = slice(s, s + SUMMED)
+            self.take(k[part], wide[:, part], None)
+            self.take(group[part], deep[:, part], k[part])
+
+    def take(self, taken: np.ndarray, each: np.ndarray, within: np.ndarray | None) -> None:
+        """Of one of the two softmaxes: that over classes, or those over groups within these classes."""
+        model, rows = self.model, self.model.rows
+        small = np.uint16 if rows <= 1 << 16 else np.uint32
+        p = np.empty((len(taken), model.k), np.float32)
+        for s in range(0, len(taken), BATCH):
+            part = slice(s, s + BATCH)
+            p[part] = model.shares(each[:, part], model.bias if within is None else model.inner[within[part]])
+        p[np.arange(len(taken)), taken] -= 1
+        for r in each:
+            base = int(r[0]) // rows * rows
+            local = (r - base).astype(small)
+            order = np.argsort(local, kind="stable")
+            local = local[order]
+            cut = heads(local)
+            own, size = local[cut].astype(np.int64) + base, np.diff(np.append(cut, len(local)))
+            got = np.zeros((len(cut), model.k), np.float32)
+            for j in range(int(size.max()).bit_length()):  # runs in pieces of 1, 2, 4, ... tokens, which are summed together
+                if len(has := np.flatnonzero(size >> j & 1)):
+                    at = (cut[has] + (size[has] & ((1 << j) - 1)))[:, None] + np.arange(1 << j)
+                    piece = p.take(order[at], 0)
+                    got[has] += piece.reshape(len(has), -1, min(1 << j, 64), model.k).sum(2).sum(1) if j else piece[:, 0]
+            self.sums[own] -= got
+            self.used[own] += size
 
     def blocks(self):
         """(number, float32 rows of sums and uses) of each block of weight rows that was used."""
@@ -496,45 +558,70 @@ class Exchange:
     """What blocks of texts and buckets of words or contexts do with one another. A block lists what it wants in an order
     that its texts alone fix, and answers keep to it, so that they need not name what they are for."""
 
-    ASKED, ANSWER = "bucket int, block int, blob binary", "block int, bucket int, kind int, blob binary"
-    #: Kinds of answers: counts of rare words; how many words follow each context; these words with their weights.
-    COUNTS, MANY, WEIGHTS = range(3)
+    CODED = "block int, doc_id long, held_out boolean, ranks binary, rare binary"
+    #: `rare` is of the words that have no rank.
+    ASKED, ANSWER = "bucket int, block int, blob binary, rare binary", "block int, bucket int, kind int, blob binary, rare binary"
+    #: Kinds of answers: counts of rare words; how many words follow each context; these words with their counts there.
+    COUNTS, MANY, WORDS = range(3)
     #: In place of how many follow: one word, and this block alone has it there, once.
     ALONE = 255
 
     def __init__(self, shared, mass: np.ndarray, n: int, v: int):
-        """`shared` is broadcast: counts of the frequent words and a model's parts; n and v count training tokens and words."""
+        """`shared` is broadcast: counts of the frequent words by rank and a model's parts; n and v count training tokens and
+        words."""
         self.shared, self.mass, self.n, self.base = shared, mass, n, float(np.log10(n + ALPHA * (v + 1)))
         self.buckets = 1 + n // BUCKET_TOKENS
-        self.ready: Model | None = None
+        self.ready: tuple | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"ready": None}
 
-    @property
-    def model(self) -> Model:
+    def made(self) -> tuple[Model, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The model; and by rank (0 after the last) the frequent words' short hashes, places and counts."""
         if self.ready is None:
-            self.ready = Model(*self.shared.value[1:])
+            model = Model(*self.shared.value[1:])
+            own = model.by_rank[:-1]
+            self.ready = model, tuple(np.append(x, np.zeros(1, x.dtype)) for x in (short(own), self.place(own), self.shared.value[0].astype(np.uint32)))
         return self.ready
 
-    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether words are frequent, and their counts, 0 for others."""
-        keys, c = self.model.keys, self.shared.value[0]
-        if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[at] == h
-        return hit, np.where(hit, c[at], 0).astype(np.uint32)
+    @property
+    def model(self) -> Model:
+        return self.made()[0]
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        k, group = groups_of(h, len(self.mass))
+        return (k * len(self.mass) + group).astype(np.uint16)
 
-    @staticmethod
-    def tokens(texts: pa.Table) -> list[tuple[pa.RecordBatch, Tokens, np.ndarray]]:
-        """(rows, tokens, whether each is of a training row) of the texts of a block, for each slice of them."""
+    def code(self, batches):
+        """mapInArrow: (block, doc_id, held_out, text) as CODED."""
+        top = len(self.model.keys)
+        for b in batches:
+            for lo, hi, data, off in slices(b):
+                t = Tokens(data, off)
+                rank = self.model.rank(t).astype(np.uint32)
+                ranks = [packed(rank[i : i + n]) for i, n in zip(t.first.tolist(), t.counts.tolist())]
+                rare = np.flatnonzero(rank == top)
+                edge = np.searchsorted(rare, np.append(t.first, len(rank))).tolist()
+                hashes = t.hash[rare]
+                rest = [hashes[i:j].tobytes() for i, j in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(ranks, pa.binary()), pa.array(rest, pa.binary())], [x.split()[0] for x in self.CODED.split(", ")])
+
+    def tokens(self, texts: pa.Table) -> list[tuple[pa.RecordBatch, Tokens, np.ndarray]]:
+        """(rows, tokens, whether each is of a training row) of the coded texts of a block, about OPEN tokens at a time."""
         out = []
         for b in texts.combine_chunks().to_batches():
-            held = b.column(b.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, off in unpressed(b):
-                t = Tokens(data, off)
-                out.append((b.slice(lo, hi - lo), t, ~held[lo:hi][t.doc]))
+            train = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            counts, (rank,) = unpacked(b.column(3).to_pylist(), np.uint32)
+            rank, by_rank = rank.astype(np.int32), self.model.by_rank
+            rare, end = np.frombuffer(b"".join(b.column(4).to_pylist()), U), np.cumsum(counts)
+            seen = np.append(0, np.cumsum(rank == len(by_rank) - 1))
+            lo = 0
+            while lo < len(counts):
+                first = int(end[lo] - counts[lo])
+                hi = max(lo + 1, int(np.searchsorted(end, first + OPEN, "right")))
+                t = Tokens.opened(counts[lo:hi], rank[first : end[hi - 1]], rare[seen[first] : seen[end[hi - 1]]], by_rank)
+                out.append((b.slice(lo, hi - lo), t, train[lo:hi][t.doc]))
+                lo = hi
         return out
 
     @staticmethod
@@ -542,23 +629,31 @@ class Exchange:
         fields = [x.split() for x in schema.split(", ")]
         return pa.table([pa.array(x, pa.binary() if kind == "binary" else pa.int32()) for x, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
+    def named(self, rank: np.ndarray, rare: list[np.ndarray]) -> list[np.ndarray]:
+        """(short hash, place, count) of words by their ranks, and for those without one from `rare`, in their order."""
+        without, out = rank == len(self.model.keys), []
+        for of, x in zip(self.made()[1], rare):
+            out.append(of[rank])
+            out[-1][without] = x
+        return out
+
     @staticmethod
-    def answers(got: pa.Table, kind: int, *types) -> list[np.ndarray]:
-        """Those of a kind, in the order of their buckets."""
-        own = sorted((k, b) for k, of, b in zip(got.column("bucket").to_pylist(), got.column("kind").to_pylist(), got.column("blob").to_pylist()) if of == kind)
-        return unpacked([b for _, b in own], *types)[1]
+    def answers(got: pa.Table, kind: int, *types) -> tuple[list[np.ndarray], list[bytes]]:
+        """Those of a kind, and what comes with them of rare words, in the order of their buckets."""
+        own = sorted((k, b, r) for k, of, b, r in zip(*(got.column(x).to_pylist() for x in ("bucket", "kind", "blob", "rare"))) if of == kind)
+        return unpacked([b for _, b, _ in own], *types)[1], [r for _, _, r in own]
 
-    def asked(self, texts: pa.Table, to: np.ndarray, blob) -> pa.Table:
-        """A row for each bucket that rows go to, which are sorted by it; blob() makes it from a slice."""
+    def asked(self, texts: pa.Table, to: np.ndarray, *blobs) -> pa.Table:
+        """A row for each bucket that rows go to, which are sorted by it; each of blobs makes one from a slice."""
         edge = np.searchsorted(to, np.arange(self.buckets + 1))
         some = np.flatnonzero(np.diff(edge)).tolist()
-        return self.rows(self.ASKED, some, [texts.column("block")[0].as_py()] * len(some), [blob(slice(edge[i], edge[i + 1])) for i in some])
+        return self.rows(self.ASKED, some, [texts.column("block")[0].as_py()] * len(some), *([blob(slice(edge[i], edge[i + 1])) for i in some] for blob in blobs))
 
     def rare(self, tokens: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bucket, hash, tokens in training rows) of the rare words of a block, by bucket and hash."""
         found, fit = [], []
         for _, t, train in tokens:
-            rare = ~self.frequent(t.hash)[0]
+            rare = t.rank == len(self.model.keys)
             found.append(t.hash[rare])
             fit.append(train[rare])
         h, inv = np.unique(np.concatenate(found), return_inverse=True)
@@ -568,60 +663,67 @@ class Exchange:
         return to[order], h[order], times[order]
 
     def counter(self, got: pa.Table, tokens: list):
-        """A function that gives words' counts, from the answers for the rare ones; and these answers."""
+        """A function that gives words' counts by hash and rank, from the answers for the rare ones; and these answers."""
         _, rare, _ = self.rare(tokens)
-        (c,) = self.answers(got, self.COUNTS, np.uint32)
+        ((c,), _), often = self.answers(got, self.COUNTS, np.uint32), self.made()[1][2]
         order = np.argsort(rare)
         keys, counts = rare[order], c[order]
 
-        def count(h: np.ndarray) -> np.ndarray:
-            hit, out = self.frequent(h)
+        def count(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+            out = often[rank]
             if len(keys):
-                out[~hit] = counts[np.searchsorted(keys, h[~hit])]
+                without = rank == len(often) - 1
+                out[without] = counts[np.searchsorted(keys, h[without])]
             return out
 
         return count, c
 
-    def wanted(self, tokens: list, count) -> list[np.ndarray]:
-        """The contexts of a block with the words that follow them in its training rows: (context, word, place, count in all
-        training rows, times here), by context and word. A context of other rows alone has one row, with 0 times."""
-        context, h, train = (np.concatenate(x) for x in zip(*((context_hash(*contexts(t)), t.hash, train) for _, t, train in tokens)))
+    @staticmethod
+    def wanted(tokens: list) -> list[np.ndarray]:
+        """The contexts of a block with the words that follow them in its training rows: (context, word, rank, times here), by
+        context and word. A context of other rows alone has one row, with 0 times."""
+        context, h, rank, train = (np.concatenate(x) for x in zip(*((context_hash(*contexts(t)), t.hash, t.rank, train) for _, t, train in tokens)))
         key, first, times = np.unique(context[train].astype(U) << U(32) | short(h[train]).astype(U), return_index=True, return_counts=True)
-        own, h = (key >> U(32)).astype(np.uint32), h[train][first]
-        k, group = groups_of(h, len(self.mass))
-        more = np.setdiff1d(context[~train], own)
+        own = (key >> U(32)).astype(np.uint32)
+        more = np.unique(context[~train])
+        more = more[~Cells(own[heads(own)]).find(more)[0]]
         context = np.append(own, more)
         order = np.argsort(context, kind="stable")
-        rest = short(h), (k * len(self.mass) + group).astype(np.uint16), count(h), times.astype(np.uint32)
-        return [context[order], *(np.append(x, np.zeros(len(more), x.dtype))[order] for x in rest)]
+        return [context[order], *(np.append(x, np.zeros(len(more), x.dtype))[order] for x in (h[train][first], rank[train][first], times.astype(np.uint32)))]
 
     def ask_counts(self, texts: pa.Table) -> pa.Table:
         to, h, times = self.rare(self.tokens(texts))
-        return self.asked(texts, to, lambda part: packed(h[part], times[part]))
+        return self.asked(texts, to, lambda part: packed(h[part], times[part]), lambda part: b"")
 
     def answer_counts(self, asked: pa.Table) -> pa.Table:
         """Counts in all training rows."""
         size, (h, times) = unpacked(asked.column("blob").to_pylist(), U, np.uint32)
         _, inv = np.unique(h, return_inverse=True)
         c, end = np.bincount(inv, times)[inv].astype(np.uint32), np.cumsum(size)
-        return self.rows(self.ANSWER, asked.column("block"), asked.column("bucket"), [self.COUNTS] * len(size), [packed(c[i - n : i]) for i, n in zip(end, size)])
+        return self.rows(self.ANSWER, asked.column("block"), asked.column("bucket"), [self.COUNTS] * len(size), [packed(c[i - n : i]) for i, n in zip(end, size)], [b""] * len(size))
 
-    def ask_weights(self, got: pa.Table, texts: pa.Table) -> pa.Table:
+    def ask_words(self, got: pa.Table, texts: pa.Table) -> pa.Table:
         """What is wanted, and in a row of its own, under a number below 0, the counts that came."""
         tokens = self.tokens(texts)
         count, rare = self.counter(got, tokens)
-        context, *rest = self.wanted(tokens, count)
+        context, h, rank, times = self.wanted(tokens)
         to = (context.astype(U) * U(self.buckets) >> U(32)).astype(np.int64)
-        out = self.asked(texts, to, lambda part: packed(steps(context[part]), *(x[part] for x in rest)))
+
+        def without(part: slice) -> bytes:
+            own = h[part][rank[part] == len(self.model.keys)]
+            return packed(short(own), self.place(own), count(own, np.full(len(own), len(self.model.keys))))
+
+        out = self.asked(texts, to, lambda part: packed(steps(context[part]), rank[part], times[part]), without)
         block = texts.column("block")[0].as_py()
-        return pa.concat_tables([out, self.rows(self.ASKED, [-1 - block], [block], [packed(rare)])])
+        return pa.concat_tables([out, self.rows(self.ASKED, [-1 - block], [block], [packed(rare)], [b""])])
 
-    def answer_weights(self, asked: pa.Table) -> pa.Table:
-        """For each context that at most FOLLOW words follow in all training rows, these words and their weights."""
-        blocks, buckets, blobs = asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), asked.column("blob").to_pylist()
+    def answer_words(self, asked: pa.Table) -> pa.Table:
+        """For each context that at most FOLLOW words follow in all training rows, these words and how often each does."""
+        blocks, buckets, blobs, rest = (asked.column(x).to_pylist() for x in ("block", "bucket", "blob", "rare"))
         if buckets[0] < 0:
-            return self.rows(self.ANSWER, blocks, buckets, [self.COUNTS] * len(blobs), blobs)
-        size, (delta, word, place, own, times) = unpacked(blobs, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
+            return self.rows(self.ANSWER, blocks, buckets, [self.COUNTS] * len(blobs), blobs, rest)
+        size, (delta, rank, times) = unpacked(blobs, np.uint32, np.int32, np.uint32)
+        word, place, own = self.named(rank, unpacked(rest, np.uint32, np.uint16, np.uint32)[1])
         context, sender = summed_steps(delta, size), np.repeat(np.arange(len(size)), size)
         seen = np.flatnonzero(times)
         key = context[seen].astype(U) << U(32) | word[seen].astype(U)
@@ -632,43 +734,45 @@ class Exchange:
         many = np.diff(np.append(heads(context[seen]), len(seen)))
         many = np.repeat(many, many)
         once = ((many == 1) & (c == 1))[many <= FOLLOW]
-        seen, c = seen[many <= FOLLOW], c[many <= FOLLOW]
-        given = Follows.placed(context[seen], word[seen], place[seen], c, own[seen].astype(np.float64), self.mass)
+        seen, c = seen[many <= FOLLOW], c[many <= FOLLOW].astype(np.uint32)
         new = heads(sender, context)
-        context, sender, times = context[new], sender[new], times[new]
-        lo = np.searchsorted(given.context, context)
-        many = np.searchsorted(given.context, context, "right") - lo
+        wanted, sender, times = context[new], sender[new], times[new]
+        lo = np.searchsorted(context[seen], wanted)
+        many = np.searchsorted(context[seen], wanted, "right") - lo
         alone = (times == 1) & (many == 1)
         alone[alone] = once[lo[alone]]
         code, many = np.where(alone, self.ALONE, many).astype(np.uint8), np.where(alone, 0, many)
         entry = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
         rows, ends = (np.searchsorted(x, np.arange(len(size) + 1)) for x in (sender, np.repeat(sender, many)))
-        first, second, columns = [], [], (given.word, given.place, own[seen], given.weight)
+        first, second, third, top = [], [], [], len(self.model.keys)
         for i in range(len(size)):
             first.append(packed(code[rows[i] : rows[i + 1]]))
-            second.append(packed(*(x[entry[ends[i] : ends[i + 1]]] for x in columns)))
-        return self.rows(self.ANSWER, blocks * 2, buckets * 2, [self.MANY] * len(size) + [self.WEIGHTS] * len(size), first + second)
+            part = entry[ends[i] : ends[i + 1]]
+            second.append(packed(rank[seen[part]], c[part]))
+            without = seen[part[rank[seen[part]] == top]]
+            third.append(packed(word[without], place[without], own[without]))
+        return self.rows(self.ANSWER, blocks * 2, buckets * 2, [self.MANY] * len(size) + [self.WORDS] * len(size), first + second, [b""] * len(size) + third)
 
     def score(self, got: pa.Table, texts: pa.Table) -> pa.Table:
-        """The texts of a block, scored with the counts and weights that came for it."""
+        """The texts of a block, scored with the counts and words that came for it."""
         tokens = self.tokens(texts)
         count, _ = self.counter(got, tokens)
-        context, word, place, own, _ = self.wanted(tokens, count)
-        (code,) = self.answers(got, self.MANY, np.uint8)
+        context, h, rank, _ = self.wanted(tokens)
+        (code,), _ = self.answers(got, self.MANY, np.uint8)
         first = heads(context)
         many = np.where(code == self.ALONE, 1, code)
         alone, mine = np.repeat(code == self.ALONE, many), first[code == self.ALONE]
-        lonely = Follows.placed(context[mine], word[mine], place[mine], np.ones(len(mine)), own[mine].astype(np.float64), self.mass)
+        (ranks, c), rest = self.answers(got, self.WORDS, np.int32, np.uint32)
         columns = []
-        for x, y in zip(self.answers(got, self.WEIGHTS, np.uint32, np.uint16, np.uint32, np.float32), (lonely.word, lonely.place, own[mine], lonely.weight)):
+        for x, y in zip((*self.named(ranks, unpacked(rest, np.uint32, np.uint16, np.uint32)[1]), c), (short(h[mine]), self.place(h[mine]), count(h[mine], rank[mine]), 1)):
             both = np.empty(len(alone), x.dtype)
             both[alone], both[~alone] = y, x
             columns.append(both)
-        word, place, own, weight = columns
-        self.model.follows = Follows(np.repeat(context[first], many), word, place, np.log((own + ALPHA) / self.mass.flat[place]).astype(np.float32), weight)
+        word, place, own, c = columns
+        self.model.follows = Follows.placed(np.repeat(context[first], many), word, place, c, own.astype(np.float64), self.mass)
         out = []
         for b, t, _ in tokens:
-            c = count(t.hash)
+            c = count(t.hash, t.rank)
             add = lambda x: np.bincount(t.doc, x, t.n)  # noqa: B023, E731
             base = add(np.log10(c + ALPHA) - self.base)
             got = t.counts.astype(np.int64), add(c > 0).astype(np.int64), np.full(t.n, self.n), base, base + add(self.model.gains(t))
@@ -689,26 +793,26 @@ def scores(docs: DataFrame, mod: int = 10, held: int = 0, top: int = TOP) -> Dat
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", mod) == held).alias("held_out"), "text")
     fit = rows.filter(~F.col("held_out"))
-    counts = written(word_counts(fit))
-    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    keys, c = frequent(counts, top)
-    k, _ = shape(n)
-    seen, kinds = group_sums(counts, k)
-    model = train(fit, Model.start(keys, c, seen, kinds, float(n)))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffles of training, which nothing reads any more
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((c[order], model.keys, model.ranks, model.bias, model.inner, model.weights))
+    with cleared(spark):
+        counts = written(word_counts(fit))
+        n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+        keys, c = frequent(counts, top)
+        k, _ = shape(n)
+        seen, kinds = group_sums(counts, k)
+        model = train(fit, Model.start(keys, c, seen, kinds, float(n)))
+    often = np.empty(len(keys))
+    often[model.ranks] = c[np.argsort(keys)]
+    shared = spark.sparkContext.broadcast((often, model.keys, model.ranks, model.bias, model.inner, model.weights))
     own = Exchange(shared, seen + ALPHA * kinds + ALPHA / (k * k), n, v)
     # blocks by the rows' own content, so all readings deal alike and share the exchange of the texts
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + n // BLOCK_TOKENS)).cast("int")
-    texts = rows.select(block.alias("block"), "doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pressed, "block int, doc_id long, held_out boolean, text binary")
+    texts = rows.select(block.alias("block"), "doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(own.code, own.CODED)
     texts = texts.repartition(shuffle_partitions(spark), "block")
     each = texts.groupBy("block")
     # plain functions, whose arguments Spark counts
     got = each.applyInArrow(lambda x: own.ask_counts(x), own.ASKED).groupBy("bucket").applyInArrow(lambda x: own.answer_counts(x), own.ANSWER)
-    got = got.groupBy("block").cogroup(each).applyInArrow(lambda x, y: own.ask_weights(x, y), own.ASKED)
-    got = got.groupBy("bucket").applyInArrow(lambda x: own.answer_weights(x), own.ANSWER)
+    got = got.groupBy("block").cogroup(each).applyInArrow(lambda x, y: own.ask_words(x, y), own.ASKED)
+    got = got.groupBy("bucket").applyInArrow(lambda x: own.answer_words(x), own.ANSWER)
     return got.groupBy("block").cogroup(each).applyInArrow(lambda x, y: own.score(x, y), SCORED)
 
 

@@ -5,8 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import clashing, messy_rows, prose
 
@@ -476,3 +479,85 @@ def test_no_context_is_left_out_of_a_large_corpus(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
     again = {r.doc_id: tuple(r) for r in scores(table, top=15).collect()}
     assert again.keys() == rare.keys() and all(a == b or math.isclose(a, b, rel_tol=1e-6) for i in rare for a, b in zip(again[i], rare[i]))
+
+
+def test_what_scores_leave_on_disk(spark):
+    """Under 5 bytes a token of shuffle files for texts, questions and answers, and none of the gradients of training."""
+
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(1 / (rng.random() + 1e-5)), 20000)}" for _ in range(200)) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    assert table.count() == 1500
+    before = files()
+    got = scores(table)
+    assert len(got.collect()) == 1500
+    left = sum(n for p, n in files().items() if p not in before)
+    assert 0 < left < 5 * 1500 * 201
+    table.unpersist()
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_cells_find_what_a_set_has(kind):
+    rng = np.random.default_rng(5)
+    most = np.iinfo(kind).max
+    for n in (0, 1, 2, 3000):
+        keys = np.unique(np.append(rng.integers(0, most, n, kind), np.array([0, most], kind)[: n // 2]))
+        asked = np.concatenate([keys, keys + kind(1), rng.integers(0, most, 50, kind), np.array([0, most], kind)])
+        hit, at = language_model.Cells(keys).find(asked)
+        own = set(keys.tolist())
+        assert hit.tolist() == [x in own for x in asked.tolist()] and (keys[at[hit]] == asked[hit]).all()
+    crowd = np.arange(500, dtype=kind)  # all in one cell
+    hit, at = language_model.Cells(crowd).find(np.arange(600, dtype=kind))
+    assert hit.sum() == 500 and (at[:500] == np.arange(500)).all()
+
+
+def test_gradient_of_repeated_words(monkeypatch):
+    """Rows of weights that a few and that thousands of tokens pick, over more tokens than are summed at once."""
+    monkeypatch.setattr(language_model, "SUMMED", 1 << 14)
+    rng = np.random.default_rng(6)
+    data = np.frombuffer(" ".join(f"w{int(x)}" for x in np.minimum(1 / (rng.random(40000) + 1e-5), 5000)).encode(), np.uint8)
+    t = language_model.Tokens(data, np.array([0, len(data) // 2, len(data)]))
+    own, counts = np.unique(t.hash, return_counts=True)
+    k, _ = language_model.shape(len(t.hash))
+    c, g = language_model.groups_of(own, k)
+    model = Model.start(own[::2], counts[::2].astype(float), np.bincount(c * k + g, counts, k * k).reshape(k, k), np.bincount(c * k + g, minlength=k * k).reshape(k, k), float(len(t.hash)))
+    model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+    got = language_model.Gradient(model)
+    got.add(t)
+    want, used = np.zeros_like(got.sums), np.zeros_like(got.used)
+    for part, p, rows, taken in model.parts(t, model.often(t)):
+        for r in rows:
+            np.add.at(want, (r, taken), 1.0)
+            np.add.at(want, r, -p.astype(float))
+            np.add.at(used, r, 1)
+    assert (used == got.used).all() and used.max() > 2 * language_model.SUMMED / 3
+    assert np.allclose(got.sums, want, rtol=1e-5, atol=1e-3)
+
+
+def test_coded_texts_open_as_they_were(spark):
+    """Texts coded by ranks and rare hashes have the tokens that they had, however many are opened at once."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(0, 30), 60) for _ in range(40)] + ["", "é A a", " "]
+    raw = [x.encode() for x in texts]
+    t = language_model.Tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    own, counts = np.unique(t.hash, return_counts=True)
+    for top in (0, 9, len(own)):
+        keys, n = own[:top], counts[:top]
+        m = Model.start(keys, n, np.ones((16, 16)), np.ones((16, 16)), 1.0)
+        often = np.empty(top)
+        often[m.ranks] = n
+        e = language_model.Exchange(SimpleNamespace(value=(often, m.keys, m.ranks, m.bias, m.inner, m.weights)), np.ones((16, 16)), 100, 10)
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 43, pa.int32()), pa.array(range(43)), pa.array([i % 3 == 0 for i in range(43)]), pa.array(texts)], ["block", "doc_id", "held_out", "text"])
+        table = pa.Table.from_batches(list(e.code([batch])))
+        for most in (1, 50, 1 << 17):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(language_model, "OPEN", most)
+                got = e.tokens(table)
+            assert (np.concatenate([x.hash for _, x, _ in got]) == t.hash).all()
+            assert sum((x.counts.tolist() for _, x, _ in got), []) == t.counts.tolist()
+            assert sum((b.column(1).to_pylist() for b, _, _ in got), []) == list(range(43))
+            assert (np.concatenate([x for _, _, x in got]) == (t.doc % 3 != 0)).all()
