@@ -148,6 +148,68 @@ def test_changes_of_all_dyads_start_from_the_ties(spark):
             assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def rows_shuffled(df):
+    """Runs a plan; the rows that its shuffles wrote."""
+    df._jdf.collectToPython()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+            todo.append(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+        got = node.metrics().get("shuffleRecordsWritten")
+        if got.isDefined():
+            total += got.get().value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+#: One term for each plan of a change: of the dyad alone, of its ends, their degrees, its ties, and the partner terms.
+WHOLE = {
+    True: [Edges(), AbsDiff("age"), GWDegree(0.5), IDegree(2), Mutual(), TwoPath(), Triangle(), *(GWESP(0.5, k) for k in KINDS), *(GWDSP(0.5, k) for k in KINDS)],
+    False: [Edges(), NodeMatch("group"), GWDegree(0.5), Degree(2), TwoPath(), Triangle(), GWESP(0.5), GWDSP(0.5)],
+}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_changes_of_all_dyads_shuffle_no_dyads(spark, directed):
+    """Shuffles carry ties and vertices, however many dyads or paths there are, also where no table is small enough to be broadcast unasked."""
+    n, edges = 300, ring(300, 500, directed, 6)
+    net = Network.from_edges(spark, n, edges, directed, {"group": [GROUP[k % 7] for k in range(n)], "age": [AGE[k % 7] for k in range(n)]}).cached()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for term in WHOLE[directed][::3]:
+            got = term.change(net, net.dyads)
+            assert rows_shuffled(got) < 30 * (n + len(edges)) < net.n_dyads, term.name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_changes_in_several_tiles(spark, monkeypatch, directed):
+    """Blocks of about four vertices, a vertex without ties and a tie to an unknown one: as joined for the same dyads listed."""
+    from arcweave.plans import tiles
+
+    edges = ring(17, 30, directed, 8) + [(3, 99), (99, 7), (98, 3)]
+    net = Network.from_edges(spark, 19, edges, directed, {"group": [GROUP[k % 7] for k in range(19)], "age": [AGE[k % 7] for k in range(19)]})
+    monkeypatch.setattr(tiles, "BLOCK", 4)
+    assert tiles.fits(net) and tiles.blocks(net) == 5
+    monkeypatch.setattr(tiles, "MAX_TIES", 0)
+    listed = net.dyads  # joined
+    want = {type(t).__name__ + t.name: {(r.i, r.j): r.delta for r in t.change(net, listed.select("*")).collect()} for t in WHOLE[directed]}
+    monkeypatch.undo()
+    monkeypatch.setattr(tiles, "BLOCK", 4)
+    del net.__dict__["dyads"]
+    assert sorted(map(tuple, net.dyads.collect())) == sorted(map(tuple, listed.collect()))
+    for term in WHOLE[directed]:
+        assert net.tiled(net.dyads)
+        rows = [(r.i, r.j, r.delta) for r in term.change(net, net.dyads).collect()]
+        own = want[type(term).__name__ + term.name]
+        assert len(rows) == len(own) and all(abs(own[i, j] - x) < 1e-9 for i, j, x in rows), term.name
+
+
 def rows_made(df):
     """Runs a plan; the most rows that any of its operators put out."""
     df._jdf.collectToPython()
