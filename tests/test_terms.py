@@ -210,6 +210,38 @@ def test_changes_in_several_tiles(spark, monkeypatch, directed):
         assert len(rows) == len(own) and all(abs(own[i, j] - x) < 1e-9 for i, j, x in rows), term.name
 
 
+def test_covariate_of_ends_is_not_joined_with_dyads(spark, monkeypatch):
+    """Masks in columns and in maps agree, and no dyad is shuffled for them."""
+    from pyspark.sql import functions as F
+
+    from arcweave.operators.nodal import OfEnds
+    from arcweave.sources import graphs
+
+    net = graphs.user_network(spark, "/root/testdata/sf0.001").cached()
+    monkeypatch.setattr(graphs, "MASK", 2)  # several masks
+    columns = graphs.shared_types(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(graphs, "COLUMNS", 0)
+    one, two = ({(r.i, r.j): r.delta for r in EdgeCov(c).change(net, net.dyads).collect()} for c in (columns, graphs.shared_types(spark, "/root/testdata/sf0.001")))
+    assert one == two and len(one) == net.n_dyads and len(columns.own.columns) > 2
+    n = 300
+    net = Network.from_edges(spark, n, ring(n, 100, True, 6), True).cached()
+    own = spark.range(2, n).select(F.col("id").alias("v"), (F.col("id") % 5).alias("x"))
+    got = EdgeCov(OfEnds(own, F.col("x_i") * F.col("x_j"))).change(net, net.dyads)
+    assert rows_shuffled(got) < 30 * n < net.n_dyads
+    assert all(r.delta == (r.i % 5 * (r.j % 5) if min(r.i, r.j) > 1 and max(r.i, r.j) < n else 0) for r in got.collect())
+
+
+def test_design_of_partners_shuffles_no_paths(spark):
+    """The touched dyads of a design with one term of partners come from tiles, as counted as from a list of all dyads."""
+    n = 300
+    for terms in ([Edges(), GWDSP(0.5)], [Edges(), Triangle(), NodeMatch("group")]):
+        net = Network.from_edges(spark, n, ring(n, 500, False, 6), False, {"group": [GROUP[k % 7] for k in range(n)]}).cached()
+        got = mple_design(net, terms, sparse=True)
+        assert rows_shuffled(got) < 30 * (n + 800)
+        one, two = ({tuple(round(x, 6) for x in r[:-2]): tuple(r[-2:]) for r in x.collect()} for x in (got, mple_design(net, terms, sparse=False)))
+        assert one == two and sum(x[0] for x in one.values()) == net.n_dyads
+
+
 def rows_made(df):
     """Runs a plan; the most rows that any of its operators put out."""
     df._jdf.collectToPython()
