@@ -34,6 +34,8 @@ def read_network(spark: SparkSession, vertices: str, arcs: str, directed: bool =
 
 def write_network(net: Network, folder: str, format: str = "parquet") -> None:
     """vertices, arcs and, if any, missing, each as a table below the folder."""
+    if net.rule:
+        raise ValueError("a rule for unobserved dyads is no table; give it again with the network that is read")
     net.vertices.write.mode("overwrite").format(format).save(f"{folder}/vertices")
     net.arcs.write.mode("overwrite").format(format).save(f"{folder}/arcs")
     if net.missing is not None:

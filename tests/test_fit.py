@@ -382,3 +382,43 @@ def test_many_silent_vertices(spark):
     assert net.n_missing == 1_000 * (n - 1)
     rows = mple_design(net, [Edges(), NodeMatch("side")]).collect()
     assert sum(r.n_tot for r in rows) == net.n_dyads and sum(r.n_one for r in rows) == n - 1 - 1_000 and len(rows) == 2
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_dyads_hidden_by_a_rule_are_a_list_that_is_never_made(spark, directed):
+    from arcweave.fit.mcmle import present_missing
+    from arcweave.operators.structural import Kstar
+
+    rng = np.random.default_rng(9)
+    n, listed = 26, [(1, 2), (3, 5), (4, 8)]
+    edges = sorted({(int(a), int(b)) if directed else (min(int(a), int(b)), max(int(a), int(b))) for a, b in rng.integers(1, n + 1, (70, 2)) if a != b})
+    hidden = sorted({(i, j) for i in range(1, n + 1) for j in range(1, n + 1) if (i < j or directed and i != j) and (i + j) % 5 in (0, 2)} | set(listed))
+    attributes = {"x": [float(k % 3) for k in range(n)]}
+    whole = Network.from_edges(spark, n, edges, directed, attributes, hidden)
+    base = Network.from_edges(spark, n, edges, directed, attributes, listed)
+    ruled = ("v % 5", "(i + j) % 5 in (0, 2)")
+    with pytest.raises(ValueError, match="either"):
+        Network(base.vertices, base.arcs, directed, None, base.vertices.select("v"), ruled)
+    for rule in (Network(base.vertices, base.arcs, directed, base.missing, rule=ruled), Network(base.vertices, base.arcs, directed, rule=ruled)):
+        own = set(hidden) if rule.missing is not None else set(hidden) - {p for p in listed if sum(p) % 5 not in (0, 2)}
+        assert rule.n_missing == len(own) and rule.n_dyads == rule.dyads.count()
+        assert {tuple(r) for r in rule.hidden().collect()} == own
+        assert {tuple(r) for r in present_missing(rule).collect()} == set(edges) & own
+        if rule.missing is not None:
+            terms = [Edges(), NodeMatch("x"), Kstar(2)]
+            want = sorted(map(tuple, mple_design(whole, terms, False).collect()))
+            for sparse in (True, False):
+                assert sorted(map(tuple, mple_design(rule, terms, sparse).collect())) == want
+            one, two = mple(ERGMModel([Edges(), NodeCov("x")], whole)), mple(ERGMModel([Edges(), NodeCov("x")], rule), by_blocks=True)
+            assert np.allclose(one.coefficients, two.coefficients, atol=1e-6) and one.nobs == two.nobs
+
+
+def test_rule_that_hides_many_dyads(spark):
+    """A seventeenth of the ten billion dyads of 100,000 vertices is hidden by their number."""
+    n = 100_000
+    arcs = spark.range(1, n).selectExpr("id AS i", "id + 1 AS j")
+    net = Network(spark.range(1, n + 1).selectExpr("id AS v", "id % 2 AS side"), arcs, True, rule=("v % 17", "(i + j) % 17 = 0"))
+    left = [n // 17 + (1 <= k <= n % 17) for k in range(17)]
+    assert net.n_missing == sum(left[k] * left[-k % 17] for k in range(17)) - left[0]
+    rows = mple_design(net, [Edges(), NodeMatch("side")]).collect()
+    assert sum(r.n_tot for r in rows) == net.n_dyads and sum(r.n_one for r in rows) == sum((2 * k + 1) % 17 != 0 for k in range(1, n)) and len(rows) == 2
