@@ -422,3 +422,21 @@ def test_rule_that_hides_many_dyads(spark):
     assert net.n_missing == sum(left[k] * left[-k % 17] for k in range(17)) - left[0]
     rows = mple_design(net, [Edges(), NodeMatch("side")]).collect()
     assert sum(r.n_tot for r in rows) == net.n_dyads and sum(r.n_one for r in rows) == sum((2 * k + 1) % 17 != 0 for k in range(1, n)) and len(rows) == 2
+
+
+def test_rounds_of_distances_leave_no_shuffle_files(spark):
+    """A path of 40 vertices takes 40 rounds; their shuffles go with them."""
+    import time
+
+    from arcweave.diag.panels import geodesics
+
+    net = Network.from_edges(spark, 40, [(k, k + 1) for k in range(1, 40)], True).cached()
+    net.n, net.n_edges  # noqa: B018
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    assert [tuple(r) for r in geodesics(net).collect()] == [(d, 40 - d) for d in range(1, 40)]
+    for _ in range(20):  # files are removed behind the query's back
+        if len(files() - before) < 6:
+            break
+        time.sleep(0.5)
+    assert len(files() - before) < 6
