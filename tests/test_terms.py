@@ -388,3 +388,27 @@ def test_golden_values(tmp_path):
 
     (tmp_path / "g.toml").write_text("name = 'n'\n[fit]\ncoef = [1.5, -2]\n[fit.se]\nedges = 0.25\n")
     assert load_golden(str(tmp_path / "g.toml")) == {"name": "n", "fit": {"coef": [1.5, -2], "se": {"edges": 0.25}}}
+
+
+def test_design_of_triangles_from_lists(spark, monkeypatch):
+    """A network too large for tiles: neighbours' lists, hubs' in blocks, count as all dyads listed, and no path is shuffled."""
+    from arcweave.plans import sparse, tiles
+
+    n = 300
+    edges = ring(n, 300, False, 6) + [(1, k) for k in range(3, 200)]
+    net = Network.from_edges(spark, n, edges, False, {"group": [GROUP[k % 7] if k % 11 else None for k in range(n)]}).cached()
+    terms = [Edges(), Triangle(), NodeMatch("group"), Degree(4)]
+    rows = lambda d: sorted(tuple(round(x, 6) for x in r) for r in d.collect())
+    want = rows(mple_design(net, terms, sparse=False))
+    monkeypatch.setattr(tiles, "MAX_TIES", 0)
+    monkeypatch.setattr(sparse, "HUB", 50)
+    got = mple_design(net, terms, sparse=True)
+    assert rows(got) == want and sum(r[-2] for r in want) == net.n_dyads
+    paths = int(sum(r.d**2 for r in net.degrees.collect()))
+    assert rows_shuffled(sparse.paired(net, sparse.classes(net, mple_terms(net, terms)))) < paths / 2
+
+
+def mple_terms(net, terms):
+    from arcweave.operators.base import expanded
+
+    return expanded(net, terms)
