@@ -187,6 +187,18 @@ def test_changes_of_all_dyads_shuffle_no_dyads(spark, directed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_several_changes_of_all_dyads_shuffle_no_dyads(spark):
+    """Terms of a dyad, its ends and their degrees share one pass over the tiles."""
+    n, edges = 300, ring(300, 500, True, 6)
+    net = Network.from_edges(spark, n, edges, True, {"group": [GROUP[k % 7] for k in range(n)]}).cached()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows_shuffled(change_stat_all(net, [Edges(), Mutual(), TwoPath(), NodeMatch("group")])) < 30 * (n + len(edges)) < net.n_dyads
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("directed", [True, False])
 def test_changes_in_several_tiles(spark, monkeypatch, directed):
     """Blocks of about four vertices, a vertex without ties and a tie to an unknown one: as joined for the same dyads listed."""
